@@ -5,9 +5,11 @@ query visits leaves best bin first: a priority queue holds the open branches by
 of the query with their centres.  How many leaves it visits is widened until, on a fixed number
 of queries with exactly known neighbours over all rows, the recall wanted is reached.
 
-A leaf is cut into blocks of at most ``BLOCK`` rows, so a leaf full of copies is many small
-tasks; queries meet the blocks of their leaves by key.  All scores are exact, in double
-precision, on the vectors as given; of what a block holds each query keeps its best k.
+A leaf with more rows than usual is cut into blocks of the usual size, so a leaf full of copies
+is many small tasks; queries meet the blocks of their leaves by key.  A query's k-th best score
+in the sample bounds its k-th best over all rows from below, so a block gives out only rows at
+that bound or above it, and at most k for a query.  All scores are exact, in double precision, on
+the vectors as given.
 
 Defined cases: vectors that are null, all zero, or have a null or non-finite component take no
 part; equal scores go to the smaller id; with fewer candidates than k all are returned; an empty
@@ -18,6 +20,7 @@ query itself.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE = 20_000  #: rows the tree is fitted on
+SAMPLE = 20_000  #: rows the tree is fitted on; a leaf has at least LEAF of them
 FANOUT = 8
-LEAF = 24  #: sampled rows in a leaf at most, while the sample is the whole table
-CALIBRATION = 96  #: queries whose exact neighbours are computed
-TARGET = 0.96
-BLOCK = 512
+LEAF = 24
+CALIBRATION = 128  #: queries whose exact neighbours are computed
+TARGET = 0.94
+BLOCK = 128  #: rows of a block at least
 
 
 class Tree:
@@ -169,54 +172,80 @@ def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: f
     return visits
 
 
+def bounds(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best score: that among the sampled rows, its own left out."""
+    if len(ids) <= k:
+        return np.full(len(asks), -np.inf)
+    scores = queries @ vectors.T
+    scores[asks[:, None] == ids[None, :]] = -np.inf
+    kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return kth - 1e-9 * np.maximum(1.0, np.abs(kth))
+
+
+def pairs(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of the rows of a block that may be among a query's best k."""
+    hit = queries @ vectors.T >= least[:, None]
+    hit &= asks[:, None] != ids[None, :]
+    q, r = np.nonzero(hit)
+    score = (vectors[r] * queries[q]).sum(1)
+    order = np.lexsort((ids[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < k
+    return asks[q[keep]], ids[r[keep]], score[keep]
+
+
 def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of every query row."""
     spark = df.sparkSession
-    rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()
+    rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    kind = rows.schema["vector"].dataType.simpleString()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vector").toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = grow(np.array(sample["vector"].tolist(), np.float64))
-    shared = spark.sparkContext.broadcast(tree)
+    total = rows.count()
+    drawn = np.array(sample["vector"].tolist(), np.float64)
+    leaves = max(1, min(math.isqrt(total), len(drawn) // LEAF))
+    tree = grow(drawn, leaf=max(1, len(drawn) // leaves))
+    shared = spark.sparkContext.broadcast((tree, sample["id"].to_numpy(), drawn))
 
     def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            leaf = shared.value.descend(matrix(batch.column("vector"))) if batch.num_rows else np.zeros(0, np.int64)
+            leaf = shared.value[0].descend(matrix(batch.column("vector"))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], [*batch.schema.names, "leaf"])
 
-    indexed = materialise(rows.mapInArrow(place, "id long, vector array<double>, asks boolean, leaf long"), "leaves")
+    indexed = materialise(rows.mapInArrow(place, f"id long, vector {kind}, asks boolean, leaf long"), "leaves")
     visits = calibrate(tree, indexed.select("id", "vector"), indexed.where("asks").select("id", "vector"), k, target)
     # at most as many rows as the tree has leaves, which the sample bounds
-    blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("leaf").count().collect()}
-    parts = spark.sparkContext.broadcast(blocks)
+    usual = max(BLOCK, -(-5 * total // (4 * len(tree.leaves))))
+    counts = {r["leaf"]: -(-r["count"] // usual) for r in indexed.groupBy("leaf").count().collect()}
+    parts = spark.sparkContext.broadcast(counts)
 
     def ask(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, ids, drawn = shared.value
         for batch in source:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
-                cells = [(i, leaf, b) for i, leaves in enumerate(shared.value.visits(matrix(own.column("vector")), visits)) for leaf in leaves for b in range(parts.value.get(leaf, 0))]
+            for at in range(0, batch.num_rows, 128):
+                own = batch.slice(at, 128)
+                queries, asks = matrix(own.column("vector")), own.column("id").to_numpy()
+                least = bounds(ids, drawn, asks, queries, k)
+                cells = [(i, leaf, b) for i, found in enumerate(tree.visits(queries, visits)) for leaf in found for b in range(parts.value.get(leaf, 0))]
                 if cells:
                     row, leaf, block = (pa.array(c, pa.int64()) for c in zip(*cells, strict=True))
-                    yield pa.RecordBatch.from_arrays([own.column("id").take(row), own.column("vector").take(row), leaf, block], ["id", "vector", "leaf", "block"])
+                    yield pa.RecordBatch.from_arrays([own.column("id").take(row), own.column("vector").take(row), pa.array(least).take(row), leaf, block], ["id", "vector", "least", "leaf", "block"])
 
-    asked = indexed.where("asks").select("id", "vector").mapInArrow(ask, "id long, vector array<double>, leaf long, block long")
-    lookup = F.create_map(*(F.lit(x) for leaf, n in sorted(blocks.items()) if n > 1 for x in (leaf, n))) if any(n > 1 for n in blocks.values()) else None
-    of = F.lit(1) if lookup is None else F.coalesce(F.try_element_at(lookup, F.col("leaf")), F.lit(1))
+    asked = indexed.where("asks").select("id", "vector").mapInArrow(ask, f"id long, vector {kind}, least double, leaf long, block long")
+    hot = {leaf: n for leaf, n in sorted(counts.items()) if n > 1}
+    of = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for item in hot.items() for x in item)), F.col("leaf")), F.lit(1)) if hot else F.lit(1)
     held = indexed.select("id", "vector", "leaf", F.pmod(F.xxhash64("id"), of).cast("long").alias("block"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
-        ids, vectors = left.column("id").to_numpy(), matrix(left.column("vector"))
-        out = []
-        for at in range(0, right.num_rows, 512):
-            own = right.slice(at, 512)
-            asks, q = own.column("id").to_numpy(), matrix(own.column("vector"))
-            rough = q @ vectors.T
-            for i, query in enumerate(asks.tolist()):
-                near, score = best(ids, vectors, query, q[i], rough[i], k)
-                out.append((np.full(len(near), query), near, score))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            ids, vectors = left.column("id").to_numpy(), matrix(left.column("vector"))
+            for at in range(0, right.num_rows, 512):
+                own = right.slice(at, 512)
+                out.append(pairs(ids, vectors, own.column("id").to_numpy(), matrix(own.column("vector")), own.column("least").to_numpy(), k))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
     found = held.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, id long, score double")
