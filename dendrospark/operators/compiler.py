@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ BUDGET = 4096  #: states that a task explores for one batch of the frontier
 LOWEST, HIGHEST = -3.4028234663852886e38, 3.4028234663852886e38
 
 
+Policy = str | Callable[[list[tuple[int, int, float]]], Any]
+
+
 @dataclass
 class Domain:
     """Whether features may be missing, and groups of 0/1 features of which exactly one is 1."""
@@ -52,7 +57,8 @@ class Domain:
 class Ensemble:
     """Trees in memory: node arrays, cuts by feature, what each subtree reads and its extremes."""
 
-    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain) -> None:
+    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64) -> None:
+        self.visits = visits  #: nodes of a subtree looked at for its extremes inside a region
         trees: dict[int, dict[int, object]] = {}
         for r in rows:
             trees.setdefault(r["tree"], {})[r["node"]] = r
@@ -153,7 +159,8 @@ class Ensemble:
         for t in range(len(self.trees)):
             if at[t] >= 0:
                 c = self.channel[t]
-                low[c], high[c] = np.float32(low[c] + self.low[t][at[t]]), np.float32(high[c] + self.high[t][at[t]])
+                least, most = self.extremes(t, at[t], (lo, hi, miss, groups), [self.visits])
+                low[c], high[c] = np.float32(low[c] + least), np.float32(high[c] + most)
                 seen |= self.reads[t][at[t]]
         for w in range(len(score)):
             if all(low[w] > high[r] or (low[w] == high[r] and w < r) for r in range(len(score)) if r != w):
@@ -187,15 +194,36 @@ class Ensemble:
         at += 8 * g
         return ints[:t], ints[t : t + f], ints[t + f :], [bool(b) for b in data[at : at + f]], groups, list(np.frombuffer(data, "<f4", len(self.bias), at + f))
 
-    def split(self, state: tuple, policy: str = "source") -> object:
-        """The node whose test a state is split by: of the first open tree, or of the widest interval."""
-        open_nodes = [self.trees[t][a] for t, a in enumerate(state[0]) if a >= 0 and self.trees[t][a]["feature"] >= 0]
-        if policy == "source":
-            return open_nodes[0]
-        width = [self.high[t][a] - self.low[t][a] for t, a in enumerate(state[0]) if a >= 0 and self.trees[t][a]["feature"] >= 0]
-        return open_nodes[int(np.argmax(width))]
-
-    def children(self, state: tuple, policy: str = "source") -> tuple[object, tuple[bytes, int | None], tuple[bytes, int | None]]:
+    def split(self, state: tuple, policy: Policy = "source") -> object:
+        """The node whose test a state is split by.
+
+        ``source`` takes the first open tree, ``widest`` the one with the widest range of values,
+        ``common`` the test that most open trees share at their node.  A callable gets the open
+        nodes as (tree, feature, cut) and proposes a position; what is none is passed over.
+        """
+        open_at = [(t, a) for t, a in enumerate(state[0]) if a >= 0 and self.trees[t][a]["feature"] >= 0]
+        nodes = [self.trees[t][a] for t, a in open_at]
+        if callable(policy):
+            at = policy([(t, n["feature"], n["cut"]) for (t, _), n in zip(open_at, nodes, strict=True)])
+            return nodes[at] if isinstance(at, int) and 0 <= at < len(nodes) else nodes[0]
+        if policy == "widest":
+            return nodes[int(np.argmax([self.high[t][a] - self.low[t][a] for t, a in open_at]))]
+        if policy == "common":
+            tests = [(n["feature"], n["cut"], n["default_left"]) for n in nodes]
+            return nodes[max(range(len(nodes)), key=lambda i: (tests.count(tests[i]), -i))]
+        return nodes[0]
+
+    def extremes(self, t: int, node: int, region: tuple, visits: list[int]) -> tuple[np.float32, np.float32]:
+        """Least and greatest leaf below a node that the region can reach; static once visits run out."""
+        r = self.trees[t][node]
+        visits[0] -= 1
+        if r["feature"] < 0 or visits[0] < 0:
+            return self.low[t][node], self.high[t][node]
+        left, right = self.sides(r, *region)
+        found = [self.extremes(t, r[side], region, visits) for side, can in (("left", left), ("right", right)) if can]
+        return (min(f[0] for f in found), max(f[1] for f in found)) if found else (self.low[t][node], self.high[t][node])
+
+    def children(self, state: tuple, policy: Policy = "source") -> tuple[object, tuple[bytes, int | None], tuple[bytes, int | None]]:
         r = self.split(state, policy)
         return r, self.settle(self.restrict(state, r, True)), self.settle(self.restrict(state, r, False))
 
@@ -203,7 +231,7 @@ class Ensemble:
 EXPANDED = "state binary, feature int, cut_bits int, default_left boolean, left binary, left_class int, right binary, right_class int"
 
 
-def expand(front: DataFrame, ensemble: object, policy: str, budget: int = BUDGET) -> DataFrame:
+def expand(front: DataFrame, ensemble: object, policy: Policy, budget: int = BUDGET) -> DataFrame:
     """A row (EXPANDED) for each state of the frontier and the states below it, up to the budget."""
 
     def draft(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +254,7 @@ def expand(front: DataFrame, ensemble: object, policy: str, budget: int = BUDGET
     return front.mapInArrow(draft, EXPANDED)
 
 
-def compile_graph(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: str = "source", most_states: int = 1 << 20, budget: int = BUDGET, small: int = SMALL) -> tuple[DataFrame, int]:
+def compile_graph(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_states: int = 1 << 20, budget: int = BUDGET, small: int = SMALL) -> tuple[DataFrame, int]:
     """(nodes, root) of the graph that gives every point of the domain the ensemble's class."""
     spark = trees.sparkSession
     own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
@@ -335,7 +363,7 @@ def assemble(spark: SparkSession, states: DataFrame, first: bytes) -> tuple[Data
     return number_nodes(spark, {r["id"]: r.asDict() for r in bounded(nodes, MOST_NODES, "graph")}, top)
 
 
-def estimate_states(trees: DataFrame, bias: list[float], features: int, paths: int, domain: Domain | None = None, seed: int = 1, policy: str = "source") -> DataFrame:
+def estimate_states(trees: DataFrame, bias: list[float], features: int, paths: int, domain: Domain | None = None, seed: int = 1, policy: Policy = "source") -> DataFrame:
     """(path, depth, weight): random walks from the start; the mean weight estimates the tree's leaves.
 
     Each step takes either child with probability one half, so a walk of d steps has weight 2^d.
@@ -362,6 +390,74 @@ def estimate_states(trees: DataFrame, bias: list[float], features: int, paths: i
     return spark.range(paths).mapInArrow(walk, "path long, depth long, weight double")
 
 
+def coverage(trees: DataFrame, bias: list[float], features: int, expansions: int, domain: Domain | None = None, policy: Policy = "source") -> tuple[Fraction, int]:
+    """(settled share of the domain's grid, its cells) after at most so many expansions of one search.
+
+    Exact: each child's share of a state is the product of its bins over the state's; states that
+    were not expanded count as open.  A bounded probe for how far a full search may have to go.
+    """
+    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
+    total = 1
+    for f in range(features):
+        first, last = own.bins(f)
+        total *= last - first + 1 + own.domain.missing
+    start, label = own.settle(own.start())
+    if label is not None:
+        return Fraction(1), total
+    work, made = deque([start]), {start: None}
+    while work and expansions > 0:
+        data = work.popleft()
+        state = own.unpack(data)
+        r = own.split(state, policy)
+        _, lo, hi, miss, _, _ = state
+        f = r["feature"]
+        numbers = max(0, hi[f] - lo[f] + 1)
+        left = max(0, min(hi[f], own.cut_index(r)) - lo[f] + 1) if numbers else 0
+        share = Fraction(left + (miss[f] and r["default_left"]), numbers + miss[f])
+        kids = [own.settle(own.restrict(state, r, side)) for side in (True, False)]
+        made[data] = (share, kids)
+        expansions -= 1
+        for child, done in kids:
+            if done is None and child not in made:
+                made[child] = None
+                work.append(child)
+    settled: dict[bytes, Fraction] = {}
+
+    def value(child: bytes, done: int | None) -> Fraction | None:
+        if done is not None:
+            return Fraction(1)
+        return Fraction(0) if made[child] is None else settled.get(child)
+
+    stack = [start]
+    while stack:
+        data = stack[-1]
+        if made[data] is None or data in settled:
+            settled.setdefault(data, Fraction(0))
+            stack.pop()
+            continue
+        share, kids = made[data]
+        parts = [value(*k) for k in kids]
+        if None in parts:
+            stack += [k[0] for k, p in zip(kids, parts, strict=True) if p is None]
+            continue
+        settled[data] = share * parts[0] + (1 - share) * parts[1]
+        stack.pop()
+    return settled[start], total
+
+
+def eta(progress: DataFrame, remaining: float, window: int = 4) -> DataFrame:
+    """One row: mean rate of the last steps of ``progress`` (step, work, seconds), its error, and the seconds left.
+
+    ``status`` says why there is no estimate: too few steps, or no progress in them.
+    """
+    last = progress.orderBy(F.desc("step")).limit(window)
+    rate = F.col("work") / F.col("seconds")
+    facts = last.agg(F.count("*").alias("steps"), F.avg(rate).alias("rate"), (F.stddev_samp(rate) / F.sqrt(F.count("*"))).alias("error"))
+    status = F.when(F.col("steps") < 2, "too few steps").when(F.col("rate") <= 0, "no progress").otherwise("estimated")
+    ok = status == "estimated"
+    return facts.select("steps", "rate", "error", status.alias("status"), F.when(ok, remaining / F.col("rate")).alias("seconds"), F.when(ok, remaining / (F.col("rate") + 2 * F.col("error"))).alias("least"), F.when(ok & (F.col("rate") > 2 * F.col("error")), remaining / (F.col("rate") - 2 * F.col("error"))).alias("most"))
+
+
 def work_summary(walks: DataFrame) -> DataFrame:
     """One row: mean and standard error of the walks' weights, extremes, and the largest share."""
     w = F.col("weight")

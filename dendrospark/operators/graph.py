@@ -7,8 +7,9 @@ graph's height, and each round is written to the shared folder.
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fp32 import decimal_text, value_of
@@ -54,10 +55,10 @@ def require_valid(nodes: DataFrame, features: int, classes: int) -> None:
         raise ValueError(f"invalid graph: {[tuple(r) for r in found]}")
 
 
-def reachable(nodes: DataFrame, root: int) -> DataFrame:
-    """(node) of all nodes on paths from ``root``, one join a level."""
+def reachable(nodes: DataFrame, *roots: int) -> DataFrame:
+    """(node) of all nodes on paths from the roots, one join a level."""
     out = edges(nodes)
-    seen = cut(nodes.where(F.col("node") == root).select("node"), "seen")
+    seen = cut(nodes.where(F.col("node").isin(*roots)).select("node"), "seen")
     front = seen
     while not front.isEmpty():
         step = out.join(front.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct()
@@ -131,8 +132,14 @@ def simplify(nodes: DataFrame, root: int, passes: int = 4) -> tuple[DataFrame, i
     return nodes, root, False
 
 
-def heights(nodes: DataFrame) -> DataFrame:
-    """(node, height, unfolded): steps to the deepest leaf, and nodes of the tree it unfolds to (decimal)."""
+def heights(nodes: DataFrame, small: int = 1 << 14) -> DataFrame:
+    """(node, height, unfolded): steps to the deepest leaf, and nodes of the tree it unfolds to (decimal).
+
+    Up to ``small`` nodes are folded in memory, larger graphs by a join a level.
+    """
+    rows = nodes.select("node", "feature", "left", "right").limit(small + 1).collect()
+    if len(rows) <= small:
+        return fold_heights(nodes.sparkSession, rows)
     done = cut(nodes.where(is_leaf()).select("node", F.lit(0).alias("height"), F.lit(1).cast("decimal(38,0)").alias("unfolded")), "height")
     left = cut(nodes.where(~is_leaf()).select("node", "left", "right"), "left")
     while not left.isEmpty():
@@ -146,6 +153,21 @@ def heights(nodes: DataFrame) -> DataFrame:
     return done
 
 
+def fold_heights(spark: SparkSession, rows: list) -> DataFrame:
+    found = {r["node"]: (0, 1) for r in rows if r["feature"] == -1}
+    left = [r for r in rows if r["feature"] != -1]
+    while left:
+        ready = [r for r in left if r["left"] in found and r["right"] in found]
+        if not ready:
+            raise ValueError("the graph has a cycle or a missing child")
+        for r in ready:
+            (h1, u1), (h2, u2) = found[r["left"]], found[r["right"]]
+            found[r["node"]] = (max(h1, h2) + 1, u1 + u2 + 1)
+        left = [r for r in left if r["node"] not in found]
+    whole = [(n, h, Decimal(u)) for n, (h, u) in found.items()]
+    return spark.createDataFrame(whole, "node int, height int, unfolded decimal(38,0)")
+
+
 def statistics(nodes: DataFrame, root: int) -> DataFrame:
     """One row: nodes, leaves, branches, edges, predicates, features used, height, unfolded size."""
     top = heights(nodes).where(F.col("node") == root).select(F.col("height").cast("int").alias("height"), F.col("unfolded").cast("string").alias("unfolded"))
@@ -191,6 +213,84 @@ def decode(spark: SparkSession, data: bytes) -> tuple[DataFrame, int, int, int]:
     return nodes, root, features, classes
 
 
+def dictionary(nodes: DataFrame) -> DataFrame:
+    """(predicate, feature, cut_bits, default_left, cut): distinct tests with dense numbers in key order."""
+    order = Window.orderBy("feature", "default_left", "cut_bits")
+    return predicates(nodes).withColumn("predicate", F.row_number().over(order) - 1)
+
+
+def compact(nodes: DataFrame, classes: int) -> tuple[DataFrame, DataFrame, int]:
+    """(words, dictionary, width): each node as one long, its test's number and both children.
+
+    A leaf holds the dictionary's size plus its class.  ``width`` is the bits of a child.
+    """
+    table = cut(dictionary(nodes), "dictionary")
+    facts = nodes.agg(F.max("node").alias("top")).first()
+    width, tests = max(1, (facts["top"] or 0).bit_length()), table.count()
+    if 2 * width + (tests + classes).bit_length() > 63:
+        raise ValueError("the graph is too large for one word a node")
+    named = nodes.alias("n").join(table.alias("d"), [F.col(f"n.{c}") == F.col(f"d.{c}") for c in PREDICATE], "left")
+    number = F.when(F.col("n.feature") == -1, F.col("n.class") + tests).otherwise(F.col("d.predicate")).cast("long")
+    child = lambda side: F.greatest(F.col(f"n.{side}"), F.lit(0)).cast("long")
+    word = F.shiftleft(number, 2 * width).bitwiseOR(F.shiftleft(child("right"), width)).bitwiseOR(child("left"))
+    return named.select(F.col("n.node").alias("node"), word.alias("word")), table, width
+
+
+def expand_compact(words: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """The nodes that ``compact`` packed."""
+    tests = table.count()
+    low = F.lit((1 << width) - 1)
+    parts = words.select("node", F.shiftright("word", 2 * width).cast("int").alias("number"), F.shiftright("word", width).bitwiseAND(low).cast("int").alias("r"), F.col("word").bitwiseAND(low).cast("int").alias("l"))
+    full = parts.join(table, F.col("number") == F.col("predicate"), "left")
+    branch = F.col("number") < tests
+    return full.select("node", F.when(branch, F.col("feature")).otherwise(-1).alias("feature"), "cut", "cut_bits", "default_left", F.when(branch, F.col("l")).otherwise(-1).alias("left"), F.when(branch, F.col("r")).otherwise(-1).alias("right"), F.when(~branch, F.col("number") - tests).alias("class"))
+
+
+def unfold(nodes: DataFrame, root: int, most: int = 1 << 16) -> DataFrame:
+    """The graph as a tree with one parent for each node: (path, node, ...) with path '' at the root.
+
+    Paths are strings of L and R.  A tree of more than ``most`` nodes is refused beforehand.
+    """
+    size = heights(nodes).where(F.col("node") == root).first()
+    if size is None or size["unfolded"] > most:
+        raise ValueError(f"the tree has more than {most} nodes")
+    side = nodes.select(F.col("node").alias("at"), *COLUMNS[1:])
+    level = nodes.where(F.col("node") == root).select(F.lit("").alias("path"), *COLUMNS)
+    out = level
+    for _ in range(size["height"]):
+        down = level.where(~is_leaf()).select(F.explode(F.array(F.struct(F.concat("path", F.lit("L")).alias("p"), F.col("left").alias("c")), F.struct(F.concat("path", F.lit("R")).alias("p"), F.col("right").alias("c")))).alias("x"))
+        level = cut(down.select(F.col("x.p").alias("path"), F.col("x.c").alias("at")).join(side, "at").select("path", F.col("at").alias("node"), *COLUMNS[1:]), "level")
+        out = out.unionByName(level)
+    return out
+
+
+def import_tree(tree: DataFrame, most: int = 1 << 16) -> tuple[DataFrame, int]:
+    """(nodes, root) of a physical tree (node, ..., any ids): children before parents, ids dense.
+
+    Every node but the root must have exactly one parent.
+    """
+    parents = edges(tree).groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n"))
+    joined = tree.select("node").join(parents, "node", "left")
+    counts = joined.agg(F.count_if(F.col("n").isNull()).alias("roots"), F.count_if(F.col("n") > 1).alias("shared"), F.count("*").alias("all")).first()
+    if counts["roots"] != 1 or counts["shared"] or counts["all"] > most:
+        raise ValueError("not one tree with single parents")
+    level = heights(tree)
+    if level.count() != counts["all"]:
+        raise ValueError("not one tree with single parents")
+    order = Window.orderBy("height", "node")
+    new = cut(level.select(F.col("node").alias("old"), (F.row_number().over(order) - 1).alias("new")), "new")
+    out = tree.join(new, F.col("node") == F.col("old")).select(F.col("new").alias("node"), *COLUMNS[1:])
+    for side in ("left", "right"):
+        out = out.join(new, F.col(side) == F.col("old"), "left").select(*(F.coalesce("new", F.lit(-1)).alias(c) if c == side else F.col(c) for c in COLUMNS))
+    return cut(out, "imported"), counts["all"] - 1
+
+
+def same_graph(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two node tables have the same rows, thresholds told apart by their bits."""
+    keep = [c for c in COLUMNS if c != "cut"]
+    return a.select(*keep).exceptAll(b.select(*keep)).isEmpty() and b.select(*keep).exceptAll(a.select(*keep)).isEmpty()
+
+
 def equations(nodes: DataFrame) -> DataFrame:
     """(node, equation): each node as a function of the input, thresholds in round-trip decimals."""
     texts = nodes.where(~is_leaf()).select("cut_bits").distinct()

@@ -6,13 +6,16 @@ Teachers that differ in rounds alone share one fit, of which shorter ones are pr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fp32 import first_winner, softmax
 from ..plans.options import trials as expand_trials
+from ..plans import storage
 from ..plans.storage import cut
 from . import evaluation, scoring, training
 
@@ -125,3 +128,97 @@ def confirm(scored: DataFrame, candidates: DataFrame, baseline: int, label: str,
     best = evaluation.winner(candidates).first()["ord"]
     block = evaluation.block_of(F.col(id_col), scored.count(), blocks)
     return evaluation.gates_by_block(scored, block, f"c{best}", f"c{baseline}", label)
+
+
+def cached_model(models: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(want, model, rounds) of the shortest stored model that covers each wanted plan, the first if several.
+
+    ``models`` has (model, ord, plan, rounds), ``wanted`` (want, plan, rounds); ``plan`` is the
+    identity of all parameters but the rounds.
+    """
+    side = models.select("model", "ord", F.col("plan").alias("_plan"), F.col("rounds").alias("_rounds"))
+    fits_ = wanted.join(side, (F.col("plan") == F.col("_plan")) & (F.col("_rounds") >= F.col("rounds")), "left")
+    best = fits_.groupBy("want").agg(F.min_by(F.struct("model", F.col("_rounds").alias("rounds")), F.struct("_rounds", "ord")).alias("m"))
+    return best.select("want", "m.model", "m.rounds")
+
+
+def import_columns(responses: DataFrame, donor: DataFrame, own: DataFrame) -> DataFrame:
+    """Responses of a finished study under the numbers of this one.
+
+    ``donor`` and ``own`` have (teacher, declaration); only equal declarations match, and a
+    declaration that either side has twice is an error.
+    """
+    for side in (donor, own):
+        if not side.groupBy("declaration").count().where("count > 1").isEmpty():
+            raise ValueError("a teacher is declared twice")
+    match = donor.join(own.select(F.col("teacher").alias("_own"), "declaration"), "declaration").select("teacher", "_own")
+    return responses.join(match, "teacher").select("row_id", F.col("_own").alias("teacher"), "class", "p")
+
+
+def bundle_bytes(parts: DataFrame) -> DataFrame:
+    """(bundle, bytes): sizes of bundles (bundle, model, bytes); a model used twice counts once."""
+    return parts.dropDuplicates(["bundle", "model"]).groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
+
+
+def overlap(a: DataFrame, b: DataFrame, columns: list[str]) -> int:
+    """How many distinct rows two tables share; holdouts must share none with what was fitted."""
+    return a.select(*columns).intersect(b.select(*columns)).count()
+
+
+def refit(rows: DataFrame, features: list[str], label: str, classes: int, plans: list[dict[str, Any]], meta: tuple[DataFrame, list[float]], scored: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """``scored`` rows by a frozen meta model over teachers fitted again on all of ``rows``."""
+    teachers = fits(rows, features, label, classes, plans)
+    answers = None
+    for t, (trees, bias) in enumerate(teachers):
+        own = respond(scored, trees, features, bias, t, id_col)
+        answers = own if answers is None else answers.unionByName(own)
+    wide, names = widen(answers, len(plans), classes)
+    judged = scoring.classify(wide, meta[0], names, meta[1]).select(F.col("row_id").alias("_row"), "class")
+    return scored.join(judged, F.col(id_col) == F.col("_row")).drop("_row")
+
+
+class Rows:
+    """A table with a role.  Only FIT rows may be fitted, only VALID and HOLDOUT rows may choose."""
+
+    def __init__(self, df: DataFrame, role: str) -> None:
+        if role not in ("FIT", "VALID", "HOLDOUT", "TEST"):
+            raise ValueError("unknown role")
+        self.df, self.role = df, role
+
+    def to_fit(self) -> DataFrame:
+        if self.role != "FIT":
+            raise ValueError(f"{self.role} rows must not be fitted")
+        return self.df
+
+    def to_choose(self) -> DataFrame:
+        if self.role not in ("VALID", "HOLDOUT"):
+            raise ValueError(f"{self.role} rows must not choose a model")
+        return self.df
+
+
+class Holdouts:
+    """Contents that were used to confirm a model before; each may be used once."""
+
+    def __init__(self, spent: set[str] | None = None) -> None:
+        self.spent = set(spent or ())
+
+    def spend(self, rows: Rows, content: str) -> DataFrame:
+        if content in self.spent:
+            raise ValueError("this holdout was used before")
+        self.spent.add(content)
+        return rows.to_choose()
+
+
+def final_test(spark: SparkSession, path: str, plan: dict[str, Any], test: Rows, classify: Callable[[DataFrame], DataFrame], label: str) -> dict[str, Any]:
+    """Accuracy on TEST rows, counted once: later calls with the plan return the saved receipt unread."""
+    if test.role != "TEST":
+        raise ValueError("only TEST rows are a final test")
+    try:
+        return storage.load(spark, path, plan)[1]["result"]
+    except AnalysisException:
+        pass
+    counts = classify(test.df).agg(F.count("*").alias("rows"), F.count_if(F.col("class") != F.col(label)).alias("errors"))
+    row = counts.first()
+    result = {"rows": row["rows"], "errors": row["errors"]}
+    storage.save(spark.createDataFrame([(row["rows"], row["errors"])], "rows long, errors long"), path, plan, result=result)
+    return result

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
-from .operators import compiler, evaluation, graph, grid, scoring, study, training
+from .operators import compiler, evaluation, graph, grid, regions, scoring, study, training
 from .sources.tables import apply_labels, first_seen_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,6 +506,103 @@ def state_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.work_summary(compiler.estimate_states(forest(spark), BIAS, len(NAMES), 2000))
 
 
+NUMBERS = [sorted({c for g, c in USED if g == f}) for f in range(len(CUTS))]
+WHOLE = (len(NUMBERS[0]) + 1) * (len(NUMBERS[1]) + 1) * (len(NUMBERS[2]) + 1)
+
+
+@query(values([(t, 4, WHOLE, True) for t in range(2 * K)], "tree, leaves, covered, whole"))
+def leaf_partition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf boxes of every tree cover the grid exactly."""
+    return regions.partition_audit(regions.leaf_partitions(forest(spark), len(NAMES)), WHOLE).select("tree", F.col("leaves").cast("int").alias("leaves"), F.col("covered").cast("int").alias("covered"), "whole")
+
+
+@query(f"{CELLS} SELECT class, CAST(count(*) AS BIGINT) AS cells FROM s WHERE NOT (isnan(x0) OR isnan(x1) OR isnan(x2)) GROUP BY class")
+def class_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by class from the ordered sum of the trees' boxes; the SQL enumerates the cells."""
+    return regions.class_regions(regions.score_regions(forest(spark), BIAS, len(NAMES))).select("class", "cells")
+
+
+@query(f"{SCORED} SELECT row_id, class FROM s")
+def compact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compiled graph packed into a word a node, unpacked and used."""
+    nodes, root = compiled(spark)
+    back = graph.expand_compact(*graph.compact(nodes, K))
+    return scoring.predict(events(spark, sf_dir), back, root, NAMES).select("row_id", "class")
+
+
+@query(f"{SCORED} SELECT row_id, class FROM s")
+def unfolded_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph unfolded to a tree with single parents, imported again and used."""
+    nodes, root = compiled(spark)
+    flat = graph.unfold(nodes, root)
+    from pyspark.sql import Window
+
+    ids = flat.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("id"))
+    tree = flat.join(ids, "path")
+    for name, step in (("left", "L"), ("right", "R")):
+        child = ids.select(F.col("path").alias("below"), F.col("id").alias(f"to_{name}"))
+        tree = tree.join(child, F.concat("path", F.lit(step)) == F.col("below"), "left").drop("below")
+    tree = tree.select(F.col("id").alias("node"), "feature", "cut", "cut_bits", "default_left", F.coalesce("to_left", F.lit(-1)).alias("left"), F.coalesce("to_right", F.lit(-1)).alias("right"), "class")
+    again, top = graph.import_tree(tree)
+    return scoring.predict(events(spark, sf_dir), again, top, NAMES).select("row_id", "class")
+
+
+@query(f"""WITH {EVENTS}, d AS (SELECT row_id, CASE WHEN isnan(x0) THEN 0.0 ELSE 1 / (1 + exp(-(20 - CAST(x0 AS DOUBLE)) / 10)) END AS a, 1 / (1 + exp(-(0.5 - CAST(CAST(x2 / 100 AS FLOAT) AS DOUBLE)) / 0.1)) AS b FROM x)
+SELECT row_id, round(b * (1 - a), 6) AS g0, round(b * a, 6) AS g1, round(1 - b, 6) AS g2 FROM d""")
+def graded_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, nodes, root = demo_rows(spark, sf_dir)
+    out = regions.graded_classes(rows, nodes, root, NAMES, K, [10.0, 1.0, 0.1])
+    return out.select("row_id", *(F.round(F.get("grades", F.lit(k)), 6).alias(f"g{k}") for k in range(K)))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS model, o_orderkey AS ord, o_custkey % 40 AS plan, o_orderkey % 17 AS rounds FROM orders),
+w AS (SELECT o_orderkey AS want, o_custkey % 40 AS plan, o_orderkey % 19 AS rounds FROM orders WHERE o_orderkey % 10 = 0)
+SELECT want, model, rounds FROM (SELECT w.want, m.model, m.rounds, row_number() OVER (PARTITION BY w.want ORDER BY m.rounds NULLS LAST, m.ord) AS place FROM w LEFT JOIN m ON m.plan = w.plan AND m.rounds >= w.rounds) WHERE place = 1 AND model IS NOT NULL""")
+def training_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    i, plan = F.col("o_orderkey"), F.col("o_custkey") % 40
+    models = t.select(i.alias("model"), i.alias("ord"), plan.alias("plan"), (i % 17).alias("rounds"))
+    wanted = t.where(i % 10 == 0).select(i.alias("want"), plan.alias("plan"), (i % 19).alias("rounds"))
+    return study.cached_model(models, wanted).where("model IS NOT NULL")
+
+
+@query("SELECT o_custkey AS bundle, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT DISTINCT o_custkey, o_orderkey % 7 AS model, (o_orderkey % 7) * 100 + 16 AS bytes FROM orders) GROUP BY o_custkey")
+def bundle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey") % 7
+    return study.bundle_bytes(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("bundle"), i.alias("model"), (i * 100 + 16).alias("bytes")))
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS declaration, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS teacher FROM orders GROUP BY o_orderpriority),
+r AS (SELECT o_orderkey AS row_id, o_orderkey % 5 AS teacher FROM orders), own AS (SELECT declaration, row_number() OVER (ORDER BY declaration) - 1 AS teacher FROM d WHERE declaration <> '5-LOW')
+SELECT r.row_id, CAST(own.teacher AS INTEGER) AS teacher FROM r JOIN d ON d.teacher = r.teacher JOIN own ON own.declaration = d.declaration""")
+def import_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    donor = first_seen_labels(t, "o_orderpriority", "o_orderkey").select(F.col("class").alias("teacher"), F.col("label").alias("declaration"))
+    own = donor.where("declaration <> '5-LOW'").select((F.row_number().over(Window.orderBy("declaration")) - 1).cast("int").alias("teacher"), "declaration")
+    responses = t.select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % 5).alias("teacher"), F.lit(0).alias("class"), F.lit(1.0).alias("p"))
+    return study.import_columns(responses, donor, own).select("row_id", "teacher")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS shared FROM (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1)")
+def holdout_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = study.overlap(t.where("o_orderkey % 2 = 0"), t.where("o_orderkey % 2 = 1"), ["o_custkey", "o_orderpriority"])
+    return spark.createDataFrame([(n,)], "shared long")
+
+
+@query()
+def settled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact settled share of the domain after 1, 4, 16, ... expansions; 1 once the search is complete."""
+    rows = []
+    for n in (1, 4, 16, 64, 256):
+        share, total = compiler.coverage(forest(spark), BIAS, len(NAMES), n)
+        low, _ = grid.settled_bounds(share, share, total)
+        rows.append((n, float(share), low, total))
+    return spark.createDataFrame(rows, "expansions int, share double, settled_cells long, cells long")
+
+
 # ---- training and studies --------------------------------------------------------------------
 
 BIN_SQL = ", ".join(f"CASE WHEN isnan(x{f}) THEN -1 ELSE {' + '.join(f'(x{f} >= {c})::INT' for c in CUTS[f])} END AS b{f}" for f in range(3))
