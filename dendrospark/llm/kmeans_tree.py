@@ -6,9 +6,11 @@ of the query with their centres.  How many leaves it visits is widened until, on
 of queries with exactly known neighbours over all rows, the recall wanted is reached.
 
 A leaf with more rows than usual is cut into blocks of the usual size, so a leaf full of copies
-is many small tasks; queries meet the blocks of their leaves by key.  A query's k-th best score
-in the sample bounds its k-th best over all rows from below, so a block gives out only rows at
-that bound or above it, and at most k for a query.  All scores are exact, in double precision, on
+is many small tasks; queries meet the blocks of their leaves by key.  The sampled rows in the
+leaves that a query visits are among the rows it will meet, so their k-th best score bounds its
+k-th best from below: a block gives out only rows at that bound or above, and at most k for a
+query, and still every query gets the best k of all rows in its leaves.  A query whose leaves
+hold fewer than k others visits more.  All scores are exact, in double precision, on
 the vectors as given.
 
 Defined cases: vectors that are null, all zero, or have a null or non-finite component take no
@@ -61,15 +63,19 @@ class Tree:
                 c = self.centres[kids]
                 at[rows] = self.first[node] + ((c * c).sum(1) - 2 * vectors[rows] @ c.T).argmin(1)
 
-    def visits(self, vectors: np.ndarray, most: int) -> list[list[int]]:
-        """The first ``most`` leaves of each query, best bin first."""
+    def visits(self, vectors: np.ndarray, most: int, sizes: dict[int, int] | None = None, need: int = 0) -> list[list[int]]:
+        """The first ``most`` leaves of each query, best bin first.
+
+        With ``sizes`` (rows by leaf) a query goes on until it has seen ``need`` rows.
+        """
         out = []
         for scores in vectors @ self.centres.T:
-            queue, found = [(-scores[0], 0)], []
-            while queue and len(found) < most:
+            queue, found, rows = [(-scores[0], 0)], [], 0
+            while queue and (len(found) < most or (sizes is not None and rows < need)):
                 _, node = heapq.heappop(queue)
                 if not self.count[node]:
                     found.append(node)
+                    rows += 0 if sizes is None else sizes.get(node, 0)
                 for kid in range(self.first[node], self.first[node] + self.count[node]):
                     heapq.heappush(queue, (-scores[kid], kid))
             out.append(found)
@@ -172,14 +178,17 @@ def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: f
     return visits
 
 
-def bounds(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-    """A lower bound of each query's k-th best score: that among the sampled rows, its own left out."""
+def bounds(ids: np.ndarray, vectors: np.ndarray, seen: np.ndarray, asks: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best score: that among the sampled rows it will meet.
+
+    ``seen`` says which those are, for each query; its own row is left out.
+    """
     if len(ids) <= k:
         return np.full(len(asks), -np.inf)
     scores = queries @ vectors.T
-    scores[asks[:, None] == ids[None, :]] = -np.inf
+    scores[~seen | (asks[:, None] == ids[None, :])] = -np.inf
     kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-    return kth - 1e-9 * np.maximum(1.0, np.abs(kth))
+    return np.where(np.isfinite(kth), kth - 1e-9 * np.maximum(1.0, np.abs(kth)), -np.inf)
 
 
 def pairs(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,17 +227,24 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     visits = calibrate(tree, indexed.select("id", "vector"), indexed.where("asks").select("id", "vector"), k, target)
     # at most as many rows as the tree has leaves, which the sample bounds
     usual = max(BLOCK, -(-5 * total // (4 * len(tree.leaves))))
-    counts = {r["leaf"]: -(-r["count"] // usual) for r in indexed.groupBy("leaf").count().collect()}
-    parts = spark.sparkContext.broadcast(counts)
+    sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    counts = {leaf: -(-n // usual) for leaf, n in sizes.items()}
+    parts = spark.sparkContext.broadcast((sizes, counts))
 
     def ask(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, ids, drawn = shared.value
+        sizes, counts = parts.value
+        own_leaf = tree.descend(drawn)
         for batch in source:
             for at in range(0, batch.num_rows, 128):
                 own = batch.slice(at, 128)
                 queries, asks = matrix(own.column("vector")), own.column("id").to_numpy()
-                least = bounds(ids, drawn, asks, queries, k)
-                cells = [(i, leaf, b) for i, found in enumerate(tree.visits(queries, visits)) for leaf in found for b in range(parts.value.get(leaf, 0))]
+                chosen = tree.visits(queries, visits, sizes, k + 1)
+                visited = np.zeros((len(asks), len(tree.count)), bool)
+                for i, found in enumerate(chosen):
+                    visited[i, found] = True
+                least = bounds(ids, drawn, visited[:, own_leaf], asks, queries, k)
+                cells = [(i, leaf, b) for i, found in enumerate(chosen) for leaf in found for b in range(counts.get(leaf, 0))]
                 if cells:
                     row, leaf, block = (pa.array(c, pa.int64()) for c in zip(*cells, strict=True))
                     yield pa.RecordBatch.from_arrays([own.column("id").take(row), own.column("vector").take(row), pa.array(least).take(row), leaf, block], ["id", "vector", "least", "leaf", "block"])

@@ -35,6 +35,7 @@ def test_recall_and_exact_scores(spark, folder):
     for r in op6_kmeans_tree_ann(spark, folder(embeddings=table(spark, rows))).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     assert set(got) == set(truth)
+    assert all(sorted(found) == list(range(1, 21)) for found in got.values())
     hits = [len({v for v, _ in got[q].values()} & {v for v, _ in truth[q]}) / 20 for q in truth]
     assert np.mean(hits) >= 0.9
     for q, found in got.items():
@@ -72,6 +73,36 @@ def test_traversal_is_best_first_and_complete():
     assert all(a[:3] == b for a, b in zip(visits, tree.visits(x[:5], 3), strict=True))
 
 
+@pytest.mark.parametrize("target", [0.0, 0.5])
+def test_every_query_gets_k_rows_however_few_leaves_it_visits(spark, target):
+    """Low recall may miss neighbours, but never shortens a query's list."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((1500, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = kmeans_tree.search(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0, target=target)
+    sizes = {r.query_id: (r.n, r.most) for r in out.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("most")).collect()}
+    assert sizes == {q: (20, 20) for q in range(0, 1500, 20)}
+    assert out.select("query_id", "vec_id").distinct().count() == 75 * 20
+
+
+def test_lists_are_the_best_of_the_leaves_visited(spark):
+    """With the tree and the visits known, each list is exact over the rows of those leaves."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((900, 16))
+    tree = kmeans_tree.grow(x, leaf=30)
+    leaf, ids, asks = tree.descend(x), np.arange(900), np.arange(0, 900, 20)
+    chosen = tree.visits(x[asks], 3)
+    seen = np.array([np.isin(leaf, c) for c in chosen])
+    least = kmeans_tree.bounds(ids[::2], x[::2], seen[:, ::2], asks, x[asks], 20)
+    for i, q in enumerate(asks):
+        rows = np.flatnonzero(seen[i] & (ids != q))
+        score = (x[rows] * x[q]).sum(1)
+        want = rows[np.lexsort((rows, -score))][:20]
+        mine = np.flatnonzero(seen[i])
+        _, got, _ = kmeans_tree.pairs(ids[mine], x[mine], np.array([q]), x[[q]], least[[i]], 20)
+        assert got.tolist() == want.tolist()
+
+
 def test_blocks_of_a_hot_leaf(spark, folder, monkeypatch):
     monkeypatch.setattr(kmeans_tree, "BLOCK", 16)
     rows = [(i, [1.0, 0.25]) for i in range(200)] + [(i, [0.1, -1.0 - i / 1000]) for i in range(201, 260)]
