@@ -81,12 +81,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str]
     own = own.withColumn("fit", rule_column(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
     known = listed.select(F.col("url").alias("listed_url")).where(F.col("listed_url").isNotNull() & (F.col("listed_url") != ""))
     probed = own.withColumn("block", block_of(F.col("canonical"), blocks)).join(F.broadcast(bloom_filter(known, "listed_url", blocks)), "block", "left")
-    # what the filter turns away gets a null key: it takes no part in the exact join
-    key = F.when(F.col("fit").isNull() & (F.col("host") != "") & passes(F.col("canonical")), F.col("canonical"))
-    exact = known.groupBy("listed_url").agg(F.count("*").alias("times"))
-    joined = probed.select("page_id", "host", "path", "fit", key.alias("candidate")).hint("shuffle_hash").join(exact, F.col("candidate") == F.col("listed_url"), "left")
-    hit = F.col("times").isNotNull()
-    return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.when(F.col("fit").isNotNull(), F.col("fit.verdict")).when(hit, "block").otherwise("allow").alias("verdict"), hit.alias("listed"))
+    probed = probed.withColumn("suspect", F.col("fit").isNull() & (F.col("host") != "") & passes(F.col("canonical")))
+    # grouped by one column more than the join's, so that Spark shuffles both sides of the join by
+    # the URL alone and may split a URL that many pages have
+    exact = known.groupBy("listed_url", block_of(F.col("listed_url"), blocks).alias("list_block")).agg(F.count("*").alias("times"))
+    suspects = probed.where("suspect").select("page_id", "host", "path", "fit", "canonical")
+    joined = suspects.join(exact, F.col("canonical") == F.col("listed_url"), "left").select("page_id", "host", "path", "fit", F.col("times").isNotNull().alias("listed"))
+    # what the filter turns away is not shuffled at all
+    passed = probed.where("NOT suspect").select("page_id", "host", "path", "fit", F.lit(False).alias("listed"))
+    verdict = F.when(F.col("fit").isNotNull(), F.col("fit.verdict")).when(F.col("listed"), "block").otherwise("allow")
+    return passed.unionByName(joined).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
 def spam_list(pages: DataFrame) -> DataFrame:
