@@ -118,10 +118,16 @@ def renumber(nodes: DataFrame, root: int) -> tuple[DataFrame, int]:
     return cut(out, "renumbered"), ids.index(root)
 
 
-def simplify(nodes: DataFrame, root: int, passes: int = 4) -> tuple[DataFrame, int, bool]:
-    """Up to ``passes`` rounds of bypass, interning and collection; whether a fixed point was reached."""
+def simplify(nodes: DataFrame, root: int, passes: int = 4, small: int = 1 << 14) -> tuple[DataFrame, int, bool]:
+    """Up to ``passes`` rounds of bypass, interning and collection; whether a fixed point was reached.
+
+    Graphs of up to ``small`` nodes, in which children come first, are rewritten in memory.
+    """
     if not 1 <= passes <= 16:
         raise ValueError("passes must be from 1 to 16")
+    rows = nodes.limit(small + 1).collect()
+    if len(rows) <= small and all(r["left"] < r["node"] and r["right"] < r["node"] for r in rows):
+        return simplify_rows(nodes.sparkSession, rows, root, passes)
     for _ in range(passes):
         before = nodes.count()
         nodes, moved = bypass(nodes)
@@ -132,6 +138,46 @@ def simplify(nodes: DataFrame, root: int, passes: int = 4) -> tuple[DataFrame, i
     return nodes, root, False
 
 
+def simplify_rows(spark: SparkSession, rows: list, root: int, passes: int) -> tuple[DataFrame, int, bool]:
+    """One pass goes up the ids once: every node's children are final before it is looked at."""
+    graph = {r["node"]: (r["feature"], r["cut_bits"], r["default_left"], r["left"], r["right"], r["class"]) for r in rows}
+    for done in range(passes + 1):
+        made: dict[tuple, int] = {}
+        alias: dict[int, int] = {}
+        kept: dict[int, tuple] = {}
+        for n in sorted(graph):
+            feature, word, side, left, right, label = graph[n]
+            if feature >= 0:
+                ends = []
+                for at, child in enumerate((left, right)):
+                    while graph[child][:3] == (feature, word, side):
+                        child = graph[child][3 + at]
+                    ends.append(alias[child])
+                if ends[0] == ends[1]:
+                    alias[n] = ends[0]
+                    continue
+                left, right = ends
+            key = (feature, word, side, left, right, label)
+            alias[n] = made.setdefault(key, n)
+            if alias[n] == n:
+                kept[n] = key
+        top = alias[root]
+        live, work = {top}, [top]
+        while work:
+            fresh = {c for c in kept[work.pop()][3:5] if c >= 0} - live
+            live |= fresh
+            work += fresh
+        order = {n: i for i, n in enumerate(sorted(live))}
+        order[-1] = -1
+        after = {order[n]: (*kept[n][:3], order[kept[n][3]], order[kept[n][4]], kept[n][5]) for n in live}
+        same = after == graph
+        if same or done == passes:
+            break
+        graph, root = after, order[top]
+    out = [(n, f, None if f < 0 else value_of(w), w, s, a, b, k) for n, (f, w, s, a, b, k) in sorted(graph.items())]
+    return spark.createDataFrame(out, NODES), root, same
+
+
 def heights(nodes: DataFrame, small: int = 1 << 14) -> DataFrame:
     """(node, height, unfolded): steps to the deepest leaf, and nodes of the tree it unfolds to (decimal).
 

@@ -75,7 +75,7 @@ def shrink(g: Column, alpha: float) -> Column:
 
 
 def best_splits(hist: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """(class, node, feature, bin, default_left, gain, g, h): the best split of each open node.
+    """(class, node, feature, bin, default_left, gain, g, h, gl, hl): the best split of each open node.
 
     ``bin`` is the last bin that goes left.  Ties go to the lower feature, bin, then to the right
     as default side.  Nodes without a split that gains more than gamma have feature null.
@@ -98,10 +98,10 @@ def best_splits(hist: DataFrame, p: dict[str, Any]) -> DataFrame:
     heavy = (F.col("hl") >= p["min_child_weight"]) & (F.col("hr") >= p["min_child_weight"]) & ((F.col("bin") < F.col("last")) | (~F.col("default_left") & (F.col("h_gone") > 0)))
     scored = both.withColumn("gain", F.when(heavy, gain))
     fits = F.col("gain") > max(p["gamma"], 1e-6)
-    pick = F.max(F.when(fits, F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), (~F.col("default_left")).alias("r")))).alias("pick")
+    pick = F.max(F.when(fits, F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), (~F.col("default_left")).alias("r"), "gl", "hl"))).alias("pick")
     totals = F.struct(F.max("g_all").alias("g"), F.max("h_all").alias("h"))
     out = scored.groupBy("class", "node").agg(pick, totals.alias("t"))
-    return out.select("class", "node", (-F.col("pick.f")).alias("feature"), (-F.col("pick.b")).alias("bin"), (~F.col("pick.r")).alias("default_left"), F.col("pick.gain").alias("gain"), F.col("t.g").alias("g"), F.col("t.h").alias("h"))
+    return out.select("class", "node", (-F.col("pick.f")).alias("feature"), (-F.col("pick.b")).alias("bin"), (~F.col("pick.r")).alias("default_left"), F.col("pick.gain").alias("gain"), F.col("t.g").alias("g"), F.col("t.h").alias("h"), F.col("pick.gl").alias("gl"), F.col("pick.hl").alias("hl"))
 
 
 def leaf_value(g: float, h: float, p: dict[str, Any]) -> float:
@@ -131,20 +131,19 @@ def train(rows: DataFrame, features: list[str], label: str, classes: int, parame
         else:
             live = live.withColumn("used", F.lit(True))
         live = cut(live, "live")
-        for depth in range(p["max_depth"] + 1):
-            hist = histogram(live.where("used"))
-            picks = bounded(best_splits(hist, p), MOST_OPEN, "open nodes")
-            if not picks:
-                break
+        sums: list[dict[int, tuple[float, float]]] = [{} for _ in range(classes)]
+        for _ in range(p["max_depth"]):
+            picks = bounded(best_splits(histogram(live.where("used")), p), MOST_OPEN, "open nodes")
             moves: list[list[tuple]] = [[] for _ in range(classes)]
             for r in sorted(picks, key=lambda r: (r["class"], r["node"])):
                 k, node = r["class"], r["node"]
                 tree = own[k]
-                if r["feature"] is None or depth == p["max_depth"]:
-                    tree[node] = (-1, None, None, None, -1, -1, leaf_value(r["g"], r["h"], p))
+                sums[k][node] = (r["g"], r["h"])
+                if r["feature"] is None:
                     continue
                 left = len(tree)
                 tree += [None, None]
+                sums[k][left], sums[k][left + 1] = (r["gl"], r["hl"]), (r["g"] - r["gl"], r["h"] - r["hl"])
                 here = cuts[r["feature"]]
                 # a split after the last bin parts known values from missing ones
                 bound = here[r["bin"]] if r["bin"] < len(here) else float("inf")
@@ -155,7 +154,7 @@ def train(rows: DataFrame, features: list[str], label: str, classes: int, parame
             live = cut(live.withColumn("at", F.array(*(descend(F.get("at", F.lit(k)), m) for k, m in enumerate(moves)))), "live")
         values = []
         for k, tree in enumerate(own):
-            tree[:] = [t or (-1, None, None, None, -1, -1, 0.0) for t in tree]
+            tree[:] = [t or (-1, None, None, None, -1, -1, leaf_value(*sums[k].get(n, (0.0, 0.0)), p)) for n, t in enumerate(tree)]
             for node, t in enumerate(tree):
                 out.append((turn * classes + k, k, node, *t))
             # ``at`` holds -2 - leaf once a row's node is closed
