@@ -20,7 +20,6 @@ without any).
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rows_of
+from .common import batches, materialise, rows_of
 
 MOST_TRAINING = 12_000
 FEATURES = 4096
@@ -103,43 +102,69 @@ def noisy_or(z: np.ndarray) -> float:
     return float(np.clip(np.log(-np.expm1(min(none, -1e-12))) - none, -30, 30))
 
 
-def bags(texts: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence of each feature hit, feature of each hit, document of each sentence."""
-    rows, cols, docs = [], [], []
-    cache: dict[str, list[int]] = {}
-    for d, text in enumerate(texts):
-        for sentence in SENTENCE.findall(text.lower()):
-            words = [w for w in TOKEN.findall(sentence) if w not in BREAKS]
-            if not words:
-                continue
-            s = len(docs)
-            docs.append(d)
-            for w in words:
-                if (own := cache.get(w)) is None:
-                    own = cache[w] = [index[f] for f in word_features(w) if f in index]
-                rows += [s] * len(own)
-                cols += own
-    return np.array(rows, np.int64), np.array(cols, np.int64), np.array(docs, np.int64)
-
-
-def choose_features(texts: list[str], labels: np.ndarray, most: int = FEATURES) -> dict[str, int]:
-    """The features whose document counts differ most between the labels (by chi-square)."""
-    counts: dict[str, list[int]] = {}
-    for text, label in zip(texts, labels.tolist(), strict=True):
-        own = {f for w in set(TOKEN.findall(text.lower())) - BREAKS for f in word_features(w)}
-        for f in own:
-            counts.setdefault(f, [0, 0])[label] += 1
-    n = np.bincount(labels, minlength=2).astype(float)
-    names = [f for f, c in counts.items() if c[0] + c[1] >= 3]
-    if not names:
-        return {}
-    c = np.array([counts[f] for f in names], float)
-    total = c.sum(1)
-    expected = total * n[1] / n.sum()
-    gain = (c[:, 1] - expected) ** 2 / np.maximum(expected * (1 - total / n.sum() * 0.999), 1e-9)
-    gain[c[:, 1] / n[1] < c[:, 0] / n[0]] *= 0.1
-    order = sorted(range(len(names)), key=lambda i: (-gain[i], names[i]))[:most]
-    return {names[i]: k for k, i in enumerate(order)}
+def hits(text: str, index: dict[str, int], cache: dict[str, list[int]]) -> tuple[int, list[int], list[int]]:
+    """A document's number of sentences, and sentence and feature of each hit of a chosen feature."""
+    n, rows, cols = 0, [], []
+    for sentence in SENTENCE.findall(text.lower()):
+        words = [w for w in TOKEN.findall(sentence) if w not in BREAKS]
+        for w in words:
+            if (own := cache.get(w)) is None:
+                if len(cache) > CACHED:
+                    cache.clear()
+                own = cache[w] = [index[f] for f in word_features(w) if f in index]
+            rows += [n] * len(own)
+            cols += own
+        n += bool(words)
+    return n, rows, cols
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, clean, toxic): how many documents of each label have a feature."""
+
+    def explode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("feature", pa.string()), ("toxic", pa.int32())])
+        for batch in source:
+
+            def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
+                for text, toxic in rows_of(batch, "_text", "toxic"):
+                    for f in {f for w in set(TOKEN.findall(text.lower())) - BREAKS for f in word_features(w)}:
+                        yield f, toxic
+
+            yield from batches(rows(), schema, 4 << 20)
+
+    flat = sample.select("_text", "toxic").mapInArrow(explode, "feature string, toxic int")
+    return flat.groupBy("feature").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+def choose_features(sample: DataFrame, clean: int, toxic: int, most: int = FEATURES) -> list[str]:
+    """The features whose document counts differ most between the labels, by chi-square; toxic ones first."""
+    n = clean + toxic
+    total = F.col("clean") + F.col("toxic")
+    expected = total * toxic / n
+    gain = F.pow(F.col("toxic") - expected, F.lit(2.0)) / F.greatest(expected * (1 - total * 0.999 / n), F.lit(1e-9))
+    gain = F.when(F.col("toxic") / toxic < F.col("clean") / clean, gain * 0.1).otherwise(gain)
+    best = feature_counts(sample).where(total >= 3).orderBy(gain.desc(), "feature").limit(most).select("feature")
+    return [r["feature"] for r in best.collect()]
+
+
+def bags(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence and feature of each hit, document of each sentence, label of each document; by id."""
+    shared = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, list[int]] = {}
+        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64()), ("rows", pa.list_(pa.int32())), ("cols", pa.list_(pa.int32()))])
+        for batch in source:
+            made = ((i, y, *hits(t, shared.value, cache)) for i, t, y in rows_of(batch, "doc_id", "_text", "toxic"))
+            yield from batches(made, schema, most=2000)
+
+    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "_text", "toxic").mapInArrow(find, "doc_id long, toxic int, n long, rows array<int>, cols array<int>")
+    table = found.orderBy("doc_id").toArrow()
+    n = table.column("n").to_numpy()
+    start = np.cumsum(n) - n
+    rows, cols = (table.column(c).combine_chunks() for c in ("rows", "cols"))
+    lengths = np.diff(rows.offsets.to_numpy())
+    return rows.flatten().to_numpy().astype(np.int64) + np.repeat(start, lengths), cols.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n), table.column("toxic").to_numpy().astype(np.int64)
 
 
 def fit_weights(rows: np.ndarray, cols: np.ndarray, docs: np.ndarray, labels: np.ndarray, features: int, steps: int = 250, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -172,22 +197,16 @@ def best_cut(raw: np.ndarray, labels: np.ndarray) -> float:
     return float((raw[order[at]] + below) / 2)
 
 
-def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Model:
-    if len(labels) == 0 or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.0
-        return Model({}, -30.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    index = choose_features(texts, labels)
-    rows, cols, docs = bags(texts, index)
-    names = sorted(index, key=index.get)
-    fold = np.arange(len(labels)) % folds
+def fit(names: list[str], rows: np.ndarray, cols: np.ndarray, docs: np.ndarray, labels: np.ndarray, folds: int = 3) -> Model:
+    """Weights from all bags; the shift from scores of bags left out of their fit."""
     raw = np.zeros(len(labels))
+    fold = np.arange(len(labels)) % folds
     if len(labels) >= 10 * folds:
         for k in range(folds):
             use = fold != k
             kept = use[docs]
-            renamed = np.cumsum(kept) - 1
             hit = kept[rows]
-            w, b = fit_weights(renamed[rows[hit]], cols[hit], (np.cumsum(use) - 1)[docs[kept]], labels[use], len(names))
+            w, b = fit_weights((np.cumsum(kept) - 1)[rows[hit]], cols[hit], (np.cumsum(use) - 1)[docs[kept]], labels[use], len(names))
             z = b + np.bincount(rows, w[cols], len(docs))
             none = np.minimum(np.bincount(docs, -np.logaddexp(0, z), len(labels)), -1e-12)
             raw[~use] = np.clip(np.log(-np.expm1(none)) - none, -30, 30)[~use]
@@ -197,12 +216,21 @@ def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Model:
-    """A model from the labelled rows whose id is not held out; a bounded sample of them."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most")
+    """A model from the labelled rows whose id is not held out; a bounded sample of them.
+
+    Features are counted and sentences are searched for them on the executors; the driver gets
+    the chosen features and their hits, whose number the sample bounds.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most")
     chosen = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("_text").alias("_text"), F.first("toxic").alias("toxic")).orderBy("doc_id").toPandas()
-    return fit(sample["_text"].tolist(), sample["toxic"].to_numpy().astype(np.int64))
+    sample = materialise(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("_text").alias("_text"), F.first("toxic").alias("toxic")), "sample")
+    counts = sample.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
+    if not counts["clean"] or not counts["toxic"]:
+        share = counts["toxic"] / max(1, counts["clean"] + counts["toxic"])
+        return Model({}, -30.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    names = choose_features(sample, counts["clean"], counts["toxic"])
+    return fit(names, *bags(sample, names))
 
 
 def score(df: DataFrame, text: str, keep: list[str], model: Model, locate: bool = True) -> DataFrame:

@@ -58,6 +58,25 @@ def test_held_out_accuracy_and_offending_sentences(spark, folder):
     assert np.mean(hits) > 0.95
 
 
+def test_features_and_bags_against_plain_python(spark):
+    rows = corpus(80)
+    sample = spark.createDataFrame([(i, t, y) for i, t, y in rows], "doc_id long, _text string, toxic int")
+    want = {}
+    for _, t, y in rows:
+        for f in {f for w in toxicity.TOKEN.findall(t) if w not in ".!?" for f in toxicity.word_features(w)}:
+            want.setdefault(f, [0, 0])[y] += 1
+    assert {r.feature: [r.clean, r.toxic] for r in toxicity.feature_counts(sample).collect()} == want
+    n = sum(y for _, _, y in rows)
+    names = toxicity.choose_features(sample, len(rows) - n, n, 8)
+    assert {"vil", "vile"} <= set(names)
+    hit, cols, docs, labels = toxicity.bags(sample, names)
+    assert labels.tolist() == [y for _, _, y in rows]
+    flat = [(d, s) for d, (_, t, _) in enumerate(rows) for s in t.split(".") if s.strip()]
+    assert docs.tolist() == [d for d, _ in flat]
+    expected = sorted((k, names.index(f)) for k, (_, s) in enumerate(flat) for w in s.split() for f in toxicity.word_features(w) if f in names)
+    assert sorted(zip(hit.tolist(), cols.tolist(), strict=True)) == expected
+
+
 def test_edge_cases(spark, documents, no_documents, folder):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = op3_toxicity_mil(spark, folder(documents=documents, labels=none)).collect()
@@ -70,7 +89,8 @@ def test_edge_cases(spark, documents, no_documents, folder):
 
 def test_other_columns_are_no_inputs(spark):
     rows = corpus(60)
-    model = toxicity.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     a = spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id long, text string, lang string")
     b = a.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.col("doc_id") + 1000)
     one = sorted(r.score for r in toxicity.score(a, "text", ["doc_id"], model).collect())
