@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
-from .operators import compiler, evaluation, graph, grid, regions, scoring, study, training
+from .operators import compiler, evaluation, graph, grid, policy, regions, scoring, study, training
 from .sources.tables import apply_labels, first_seen_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,6 +603,12 @@ def settled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "expansions int, share double, settled_cells long, cells long")
 
 
+@query()
+def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split orders that make smaller graphs, learned from parallel episodes."""
+    return policy.learn(forest(spark), BIAS, len(NAMES), 3, 16)[0]
+
+
 # ---- training and studies --------------------------------------------------------------------
 
 BIN_SQL = ", ".join(f"CASE WHEN isnan(x{f}) THEN -1 ELSE {' + '.join(f'(x{f} >= {c})::INT' for c in CUTS[f])} END AS b{f}" for f in range(3))
