@@ -13,12 +13,13 @@ read twice and joined with the short list of their host's template nodes by a ke
 broadcasts where that list is small, and else splits where a host is hot.
 
 Defined cases: null or empty html gives an empty text; a null url counts as a host of its own;
-repeated pages count as pages each; hosts with fewer than ``LEAST_PAGES`` pages have no
-statistics, so only declared roles cut there.
+repeated pages are extracted each, and count once; hosts with fewer than ``LEAST_PAGES`` different
+pages have no statistics, so only declared roles cut there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea select svg math iframe object head title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOT_CONTENT = frozenset("nav footer aside form button menu dialog".split()) | RAW
+PLAIN = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "a", "b", "i", "u", "em", "strong", "span", "code", "sub", "sup")
 CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|replies|disqus|pagination)(?:$|[\s_-])", re.I)
@@ -154,15 +156,17 @@ def walk(html: str, closed: list[Node] | None = None) -> list[tuple[str, bool, b
     return blocks
 
 
-def features(html: str) -> dict[str, int]:
-    """Style path -> a hash of all that the page shows at that node: layout and own text."""
+def features(html: str) -> tuple[dict[str, int], int]:
+    """Style path -> a hash of all that the page shows at that node: layout and own text; and a hash
+    of all its content."""
     closed: list[Node] = []
-    walk(html, closed)
+    blocks = walk(html, closed)
     out: dict[str, int] = {}
     for node in closed:
         own = "\x1f".join([*node.layout, "\x1e", *node.text]).encode("utf-8", "surrogatepass")
         out[node.path] = zlib.crc32(own, out.get(node.path, 0))
-    return out
+    content = "\n".join(b[3] for b in blocks if not b[1]).encode("utf-8", "surrogatepass")
+    return out, int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
 
 
 def main_text(html: str, templates: frozenset[str] | set[str] = frozenset()) -> str:
@@ -188,22 +192,26 @@ def in_branch(path: str, templates: frozenset[str] | set[str]) -> bool:
 
 
 def node_counts(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, path, mark, pages): how many pages of a host show the same at a style node."""
+    """(host, path, mark, pages): how many pages of a host show the same at a style node.
+
+    Pages with the same content count as one: copies of an article are no template.
+    """
 
     def explode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("mark", pa.int64())])
+        schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("mark", pa.int64()), ("page", pa.int64())])
         for batch in source:
 
             def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
                 for link, body in rows_of(batch, "_url", "_html"):
                     host = host_of(link)
-                    for path, mark in features(body or "").items():
-                        yield host, path, mark
+                    marks, page = features(body or "")
+                    for path, mark in marks.items():
+                        yield host, path, mark, page
 
             yield from batches(rows(), schema, 4 << 20)
 
-    marks = pages.select(pages[url].alias("_url"), pages[html].alias("_html")).mapInArrow(explode, "host string, path string, mark long")
-    return marks.groupBy("host", "path", "mark").agg(F.count("*").alias("pages"))
+    marks = pages.select(pages[url].alias("_url"), pages[html].alias("_html")).mapInArrow(explode, "host string, path string, mark long, page long")
+    return marks.groupBy("host", "path", "mark").agg(F.count_distinct("page").alias("pages"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
@@ -220,12 +228,13 @@ def importance(counts: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, url: str, html: str, low: float = LOW, least: int = LEAST_PAGES) -> DataFrame:
     """(host, paths): the nodes of low importance of each host that has any, in the shared folder.
 
-    A node that holds the article's own structure is kept while a node below it is important.
+    Plain text elements of a declared article are its text, however often they repeat.
     """
     scored = importance(node_counts(pages, url, html)).where((F.col("seen") >= least) & (F.col("importance") < low))
     # an element without text of its own looks alike everywhere and says nothing about its children
     leaf = ~F.regexp_extract("path", r"([^/.]+)(\.[^/]*)?$", 1).isin("html", "body", "article", "main", "head", "ul", "ol", "table", "tbody", "tr", "section", "div", "dl")
-    return materialise(scored.where(leaf).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths")), "templates")
+    plain = F.col("path").rlike(r"/(article|main)(\.[^/]*)?/") & F.regexp_extract("path", r"([^/]+)$", 1).isin(*PLAIN)
+    return materialise(scored.where(leaf & ~plain).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths")), "templates")
 
 
 def extract(pages: DataFrame, url: str, html: str, keep: list[str], low: float = LOW, least: int = LEAST_PAGES) -> DataFrame:

@@ -36,6 +36,16 @@ def test_templates_are_cut_by_entropy(spark):
     assert out[3] == "Text number 3" and out[99] == "Same on every page\nText number 99"
 
 
+def test_copies_are_no_template(spark):
+    """Neither exact nor near copies of an article, on a host of their own, lose any of their text."""
+    article = "<article><h1>Same head</h1><p>Same body</p><p>%s</p></article><footer>f</footer>"
+    rows = [(i, f"http://c.example/{i}", article % "end") for i in range(30)] + [(50 + i, f"http://n.example/{i}", article % f"end {i}") for i in range(30)]
+    rows += [(100 + i, f"http://p.example/{i}", "<div><p>One</p><p>Two</p></div>") for i in range(30)] + [(140, "http://p.example/x", "<div><p>Three</p></div>")]
+    out = {r.page_id: r.text for r in style_tree.extract(pages(spark, rows), "url", "html", ["page_id"]).collect()}
+    assert out[7] == "Same head\nSame body\nend" and out[57] == "Same head\nSame body\nend 7"
+    assert out[105] == "One\nTwo" and out[140] == "Three"
+
+
 def test_importance_is_normalised_entropy(spark):
     rows = [("h", "p", m, n) for m, n in ((1, 3), (2, 1), (3, 4))]
     got = style_tree.importance(spark.createDataFrame(rows, "host string, path string, mark long, pages long")).first().importance
