@@ -34,8 +34,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-PERCENT = re.compile(r"[\w.~!$&'()*+,;=:@/?-]*(?:%[0-9A-Fa-f]{2}[\w.~!$&'()*+,;=:@/?-]*)+", re.ASCII)
-ESCAPED = re.compile(r"(?:[\x21-\x5B\x5D-\x7E]*\\u[0-9A-Fa-f]{4})+[\x21-\x5B\x5D-\x7E]*")
+# Runs are matched whole and searched inside, so that long ones without escapes take linear time.
+URL_RUN, URL_BYTE = re.compile(r"[\w.~!$&'()*+,;=:@/?%-]+", re.ASCII), re.compile(r"%[0-9A-Fa-f]{2}")
+RUN = re.compile(r"[\x21-\x7E]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})")
 MOST_INFLATED = 32 << 20
@@ -90,12 +91,13 @@ def unbase64(text: str) -> bytes | None:
 def layers(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, content) of the encoded stretches of ``text``, each unwrapped once."""
     if "%" in text:
-        for m in PERCENT.finditer(text):
-            if (out := as_text(unquote_to_bytes(m[0]))) is not None:
+        for m in URL_RUN.finditer(text):
+            if URL_BYTE.search(m[0]) and (out := as_text(unquote_to_bytes(m[0]))) is not None:
                 yield m.start(), m.end(), out
     if "\\u" in text:
-        for m in ESCAPED.finditer(text):
-            yield m.start(), m.end(), unescape(m[0])
+        for m in RUN.finditer(text):
+            if UNIT.search(m[0]):
+                yield m.start(), m.end(), unescape(m[0])
     for m in BASE64.finditer(text):
         data = unbase64(m[0])
         while data is not None and (inner := inflate(data)) is not None:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -69,6 +70,15 @@ def test_cycles_end_and_bombs_are_bounded(monkeypatch):
     assert ("access", 0, len(bomb)) in secrets.unwrap(bomb)[0]
 
 
+def test_long_runs_take_linear_time():
+    """A megabyte without a break, next to signs that start the decoders."""
+    began = time.process_time()
+    for run in ("x" * 1_000_000, "a1-" * 300_000, "0123456789abcdef" * 60_000):
+        text = f"100% {run} 5% \\u {KEY} % \\"
+        assert any(s[0] == "access" for s in secrets.unwrap(text)[0])
+    assert time.process_time() - began < 20
+
+
 def test_redaction_merges_spans():
     text = "a password=abcdefgh0123 b"
     assert secrets.redact(text, secrets.unwrap(text)[0]) == "a [SECRET] b"
