@@ -97,8 +97,10 @@ def walk(html: str, closed: list[Node] | None = None) -> list[tuple[str, bool, b
                 closed.append(node)
 
     at, end = 0, len(html)
+    # no tag ends after the last bracket, though a comment may stay open
+    last = max(html.rfind(">"), html.rfind("<!--"))
     while at < end:
-        m = TAG.search(html, at)
+        m = TAG.search(html, at) if at <= last else None
         if m is None:
             held.append(unescape(html[at:]))
             break

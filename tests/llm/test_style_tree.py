@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 from dendrospark.llm import style_tree
@@ -24,6 +25,13 @@ def test_pages_without_article_and_broken_markup():
     assert style_tree.main_text("") == ""
 
 
+def test_open_brackets_take_linear_time():
+    began = time.process_time()
+    text = "a<b " * 50_000
+    assert style_tree.main_text("<p>x</p>" + text) == "x\n" + text.strip()
+    assert time.process_time() - began < 10
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, text string").repartition(2)
 
