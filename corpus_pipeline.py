@@ -23,12 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near-duplicates."""
-    found = simhash.components(docs, "doc_id", "text")
-    kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows that repeat a kept id are copies of it, unless they were told apart by their texts
-    return out if kept.where("_n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """Keeps one row of each component of near-duplicates: that of the smallest id (null last), then text.
+
+    Every row has a key of its own, since ids may be null or repeated.
+    """
+    keyed = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key"), F.xxhash64("text").alias("_hash")), "keyed")
+    found = simhash.components(keyed, "_key", "text", ["doc_id", "_hash"])
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_key")
+    kept = materialise(found.groupBy("component_id").agg(F.min_by("_key", rank).alias("_key")).select("_key"), "kept")
+    return keyed.join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ null id never is a component's smallest id unless it has no other.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -243,9 +243,9 @@ def spread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = after.select("node", "own", "label")
 
 
-def components(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, fingerprint, component_id) of every row of ``df``; ids are integers."""
-    own = materialise(fingerprints(df, text, [id_col]), "fingerprints")
+def components(df: DataFrame, id_col: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, fingerprint, component_id) of every row of ``df``, with its ``keep`` columns; ids are integers."""
+    own = materialise(fingerprints(df, text, [id_col, *keep]), "fingerprints")
     folded = materialise(own.groupBy("fingerprint").agg(F.min(id_col).alias("own")), "folded")
     # a fingerprint whose ids are all null takes part with an id beyond all others
     top = F.lit(2**63 - 1)
@@ -254,7 +254,7 @@ def components(df: DataFrame, id_col: str, text: str) -> DataFrame:
     label = spread(edges, nodes)
     least = materialise(nodes.join(label.select("node", "label"), "node", "left").select("node", F.coalesce("label", "own").alias("least")), "components")
     found = own.join(least, F.col("fingerprint") == F.col("node"), "left")
-    return found.select(id_col, "fingerprint", F.nullif("least", top).alias("component_id"))
+    return found.select(id_col, *keep, "fingerprint", F.nullif("least", top).alias("component_id"))
 
 
 def hexadecimal(code: Column) -> Column:

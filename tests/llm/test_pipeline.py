@@ -56,3 +56,13 @@ def test_repeated_ids_keep_one_row(spark, tables):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, where).collect()) == [1, 2]
     none = docs.limit(0)
     assert corpus_pipeline.drop_near_copies(spark, none, where).count() == 0
+
+
+def test_rows_without_or_with_shared_ids_are_told_apart(spark, tables):
+    """Ids may be null or repeated: different texts stay, near copies under one id do not."""
+    where, _ = tables
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (1, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, where).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (None, b), (1, c), (1, d)], key=str)
