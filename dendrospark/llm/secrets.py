@@ -2,9 +2,9 @@
 
 Every text is scanned for three kinds of secret.  A worklist then unwraps encoded stretches
 (percent escapes, backslash-u escapes, base64, and what gzip or zlib compressed), scans what comes out, and goes
-on with the encoded stretches in that, until nothing new appears.  Each decoded layer carries
-the span of the stretch of the original text that it came from, so a secret found at any depth is
-reported at that span.  A layer whose content was seen before in the same text is not unwrapped
+on with the encoded stretches in that, until nothing new appears.  Each decoded layer carries a
+map to the original text, so a secret found at any depth is reported at the least span that holds
+it: to the character through escapes and base64, at the whole stretch through compression.  A layer whose content was seen before in the same text is not unwrapped
 again, which ends cycles and repeated work.
 
 Defined cases: null text is empty and has no spans; empty layers are dropped; overlapping finds
@@ -19,9 +19,11 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,10 +40,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 URL_RUN, URL_BYTE = re.compile(r"[\w.~!$&'()*+,;=:@/?%-]+", re.ASCII), re.compile(r"%[0-9A-Fa-f]{2}")
 RUN = re.compile(r"[\x21-\x7E]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})")
+UNIT = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
 MOST_INFLATED = 32 << 20
 
 Span = tuple[str, int, int]
+Places = tuple[np.ndarray, np.ndarray]
 
 
 def scan(text: str) -> list[Span]:
@@ -73,9 +76,25 @@ def as_text(data: bytes) -> str | None:
     return text if text and sum(c < " " and c not in "\t\r\n" for c in text) * 10 <= len(text) else None
 
 
-def unescape(text: str) -> str:
-    plain = UNIT.sub(lambda m: chr(int(m[1], 16)), text)
-    return plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def byte_starts(text: str) -> np.ndarray:
+    """The byte at which each character of ``text`` starts, and the number of bytes."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+
+
+def kept(run: str, escapes: re.Pattern[str]) -> np.ndarray:
+    """Where each item of an unescaped run starts in ``run``, and the run's length: an escape is one item."""
+    first = np.ones(len(run), bool)
+    for m in escapes.finditer(run):
+        first[m.start() + 1 : m.end()] = False
+    return np.append(np.flatnonzero(first), len(run))
+
+
+def code_point(m: re.Match[str]) -> str:
+    if m[1]:
+        return chr(0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00)
+    code = int(m[3], 16)
+    return "\ufffd" if 0xD800 <= code < 0xE000 else chr(code)
 
 
 def unbase64(text: str) -> bytes | None:
@@ -88,39 +107,68 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, content) of the encoded stretches of ``text``, each unwrapped once."""
+def url_map(run: str, out: str, at: int) -> Places:
+    edges = at + kept(run, URL_BYTE)[byte_starts(out)]
+    return edges[:-1], edges[1:]
+
+
+def unit_map(run: str, at: int) -> Places:
+    edges = at + kept(run, UNIT)
+    return edges[:-1], edges[1:]
+
+
+def base64_map(out: str, at: int) -> Places:
+    """A character of base64 holds six bits."""
+    bits = byte_starts(out) * 8
+    return at + bits[:-1] // 6, at + (bits[1:] - 1) // 6 + 1
+
+
+def layers(text: str) -> Iterator[tuple[int, int, str, Callable[[], Places] | None]]:
+    """(start, end, content, places) of the encoded stretches of ``text``, each unwrapped once.
+
+    Places are the start and end in ``text`` of every character of the content; None after
+    compression, where all of the stretch counts.
+    """
     if "%" in text:
         for m in URL_RUN.finditer(text):
             if URL_BYTE.search(m[0]) and (out := as_text(unquote_to_bytes(m[0]))) is not None:
-                yield m.start(), m.end(), out
+                yield m.start(), m.end(), out, partial(url_map, m[0], out, m.start())
     if "\\u" in text:
         for m in RUN.finditer(text):
             if UNIT.search(m[0]):
-                yield m.start(), m.end(), unescape(m[0])
+                yield m.start(), m.end(), UNIT.sub(code_point, m[0]), partial(unit_map, m[0], m.start())
     for m in BASE64.finditer(text):
-        data = unbase64(m[0])
+        data, whole = unbase64(m[0]), False
         while data is not None and (inner := inflate(data)) is not None:
-            data = inner
+            data, whole = inner, True
         if data and (out := as_text(data)) is not None:
-            yield m.start(), m.end(), out
+            yield m.start(), m.end(), out, None if whole else partial(base64_map, out, m.start())
 
 
 def unwrap(text: str, base: list[Span] | None = None) -> tuple[list[Span], int]:
     """Base spans and those of all decoded layers, in code points of ``text``; the number of layers."""
     found = set(scan(text) if base is None else base)
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [(a, b, inner) for a, b, inner in layers(text)]
+    work = [(a, b, inner, places and places()) for a, b, inner, places in layers(text)]
     n = 0
     while work:
-        start, end, layer = work.pop()
+        start, end, layer, places = work.pop()
         mark = hashlib.blake2b(f"{start}:{end}:".encode() + layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
             continue
         seen.add(mark)
         n += 1
-        found.update((kind, start, end) for kind, _, _ in scan(layer))
-        work += [(start, end, inner) for _, _, inner in layers(layer)]
+        if places is None:
+            found.update((kind, start, end) for kind, _, _ in scan(layer))
+            work += [(start, end, inner, None) for _, _, inner, _ in layers(layer)]
+            continue
+        first, last = places
+        found.update((kind, int(first[a]), int(last[b - 1])) for kind, a, b in scan(layer))
+        for a, b, inner, within in layers(layer):
+            if within is not None:
+                lo, hi = within()
+                within = first[lo], last[hi - 1]
+            work.append((int(first[a]), int(last[b - 1]), inner, within))
     return sorted(found, key=order), n
 
 

@@ -89,3 +89,23 @@ def test_rows_stay(spark, documents, no_documents, folder):
     out = op8_secret_worklist(spark, folder(documents=documents)).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in TEXTS)
     assert op8_secret_worklist(spark, folder(documents=no_documents)).count() == 0
+
+
+def test_spans_map_to_the_secret_alone():
+    """Through escapes and base64 a span covers the secret, not its stretch; base finds are not widened."""
+    text = '{"name":"Jos\\u00e9","token":"abcd1234efgh","mark":"\\ud83d\\ude00","body":"kept"}'
+    spans = secrets.unwrap(text)[0]
+    assert [text[a:b] for _, a, b in spans] == ['token":"abcd1234efgh'] and '"body":"kept"' in secrets.redact(text, spans)
+    text = "a=%C3%A9&token%3Dabcd1234&b=2&secret%3Dxyzw9876%26c"
+    assert [text[a:b] for _, a, b in secrets.unwrap(text)[0]] == ["token%3Dabcd1234", "secret%3Dxyzw9876"]
+    for body in (f"clear text before {KEY} and after, {KEY}Q too", f"clear \u00e9 {KEY} {KEY}Q after that"):
+        inner = base64.b64encode(body.encode()).decode()
+        text = "x " + nest(inner, "url") + " y"
+        found = [s for s in secrets.unwrap(text)[0] if s[0] == "access"]
+        assert len(found) == 2
+        for (_, a, b), own in zip(found, (KEY, KEY + "Q")):
+            at = body.encode().index(own.encode() + (b"" if own != KEY else b" "))
+            assert (a, b) == (2 + 3 * (at * 8 // 6), 2 + 3 * -(-(at + len(own)) * 8 // 6))
+
+    deep = "%" + "25" * 2000 + "41KIAABCDEFGHIJKLMNOP"
+    assert ("access", 0, len(deep)) in secrets.unwrap(deep)[0]
