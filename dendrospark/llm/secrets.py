@@ -8,8 +8,10 @@ it: to the character through escapes and base64, at the whole stretch through co
 again, which ends cycles and repeated work.
 
 Defined cases: null text is empty and has no spans; empty layers are dropped; overlapping finds
-from different layers are all reported, equal (kind, start, end) once.  Decompression of a layer
-stops at ``MOST_INFLATED`` bytes (a guard against bombs; the part read so far is scanned).
+from different layers are all reported, equal (kind, start, end) once.  Bytes are read as UTF-8, with
+a sign for each that is none, and as UTF-16 if any is zero.  What compressed data holds, in any number
+of joined members and as far as it is whole, is scanned in overlapping windows of about
+``MOST_INFLATED`` bytes; only an encoded stretch in it that has no blank for that long is cut.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,7 +44,11 @@ URL_RUN, URL_BYTE = re.compile(r"[\w.~!$&'()*+,;=:@/?%-]+", re.ASCII), re.compil
 RUN = re.compile(r"[\x21-\x7E]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 UNIT = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
-MOST_INFLATED = 32 << 20
+# Two lines or more; the first is one by itself as well.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+MOST_INFLATED = 32 << 20  #: bytes of an inflated stream that are scanned at once
+MOST_PIECE = 1 << 20
 
 Span = tuple[str, int, int]
 Places = tuple[np.ndarray, np.ndarray]
@@ -56,30 +63,109 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def inflate(data: bytes) -> bytes | None:
-    """What gzip or zlib data holds; None if it is neither."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def compressed(head: bytes) -> bool:
+    """Whether gzip or zlib data begins so; text may have the signs of it, but does not inflate."""
+    if not (head[:2] == b"\x1f\x8b" or len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0):
+        return False
     unpack = zlib.decompressobj(47)
     try:
-        return unpack.decompress(data, MOST_INFLATED) or None
+        return bool(unpack.decompress(head, 64)) or unpack.eof
     except zlib.error:
-        return None
-
-
-def as_text(data: bytes) -> str | None:
-    """Decoded bytes count as a layer only if they are mostly readable text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c < " " and c not in "\t\r\n" for c in text) * 10 <= len(text) else None
-
-
-def byte_starts(text: str) -> np.ndarray:
-    """The byte at which each character of ``text`` starts, and the number of bytes."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        return False
+
+
+def chunks(data: bytes) -> Iterator[bytes]:
+    return (data[at : at + 512] for at in range(0, len(data), 512))
+
+
+def inflate(source: Iterator[bytes]) -> Iterator[bytes]:
+    """What joined gzip or zlib members hold, as far as they can be read; what follows them as it is."""
+    unpack, begun = zlib.decompressobj(47), True
+    for part in source:
+        while part:
+            if unpack is None:
+                if not begun and len(part) < 3:
+                    part += next(source, b"")
+                if begun or not compressed(part):
+                    begun = True
+                    yield part
+                    break
+                unpack = zlib.decompressobj(47)
+            try:
+                out = unpack.decompress(part, MOST_PIECE)
+            except zlib.error:
+                unpack, begun = None, True
+                break
+            if out:
+                yield out
+            part = unpack.unconsumed_tail
+            if unpack.eof:
+                part, unpack, begun = unpack.unused_data, None, False
+            elif not part and len(out) == MOST_PIECE:
+                # the last of the output may still be held back
+                while tail := unpack.decompress(b"", MOST_PIECE):
+                    yield tail
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of compressed data in pieces, through any number of compressions; nothing if it is none.
+
+    A content that begins as one further out did ends the descent, so data that holds itself does too.
+    """
+    source, heads = chunks(data), set()
+    head = data[:4096]
+    while compressed(head) and head not in heads:
+        heads.add(head)
+        source = inflate(source)
+        pieces = []
+        while sum(map(len, pieces)) < 4096 and (piece := next(source, None)) is not None:
+            pieces.append(piece)
+        joined = b"".join(pieces)
+        if not joined:
+            return iter(())
+        head, source = joined[:4096], itertools.chain(chunks(joined), source)
+    return source if heads else iter(())
+
+
+def windows(source: Iterator[bytes]) -> Iterator[bytes]:
+    """Stretches of about ``MOST_INFLATED`` bytes that end at a blank, if there is one, and overlap."""
+    lap = min(4096, MOST_INFLATED // 4)
+    held = bytearray()
+    fresh = False
+    for piece in source:
+        held += piece
+        fresh = True
+        while len(held) > MOST_INFLATED:
+            end = max(held.rfind(b" ", 2 * lap, MOST_INFLATED), held.rfind(b"\n", 2 * lap, MOST_INFLATED)) + 1 or MOST_INFLATED
+            yield bytes(held[:end])
+            del held[: end - lap]
+    if fresh and held:
+        yield bytes(held)
+
+
+def decode(data: bytes) -> tuple[str, np.ndarray]:
+    """UTF-8 text, with a sign for each byte that is none; where each character starts, and the number of bytes."""
+    text = data.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+    size[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return text, np.append(0, np.cumsum(size))
+
+
+def texts(data: bytes) -> Iterator[tuple[str, Callable[[], np.ndarray]]]:
+    """The readings of decoded bytes, each with the starts of its characters: UTF-8, and UTF-16 if there are zeros."""
+    if data.isascii():
+        yield data.decode("ascii"), partial(np.arange, len(data) + 1)
+    elif data:
+        text, starts = decode(data)
+        yield text, lambda: starts
+    if b"\0" in data:
+        for order in ("utf-16-le", "utf-16-be"):
+            text = data.decode(order, "replace")
+            # a lone surrogate or byte at the end is one sign as well
+            units = np.cumsum([0, *(4 if c > "\uffff" else 2 for c in text)])
+            if text:
+                yield text, partial(np.minimum, units, len(data))
 
 
 def kept(run: str, escapes: re.Pattern[str]) -> np.ndarray:
@@ -107,20 +193,41 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def url_map(run: str, out: str, at: int) -> Places:
-    edges = at + kept(run, URL_BYTE)[byte_starts(out)]
+def between(edges: np.ndarray) -> Places:
     return edges[:-1], edges[1:]
 
 
+def url_map(run: str, starts: Callable[[], np.ndarray], at: int) -> Places:
+    return between(at + kept(run, URL_BYTE)[starts()])
+
+
 def unit_map(run: str, at: int) -> Places:
-    edges = at + kept(run, UNIT)
-    return edges[:-1], edges[1:]
+    return between(at + kept(run, UNIT))
+
 
+def base64_map(starts: Callable[[], np.ndarray], at: np.ndarray) -> Places:
+    """A character of base64 holds six bits; ``at`` are the places of these characters."""
+    bits = starts() * 8
+    return at[bits[:-1] // 6], at[(bits[1:] - 1) // 6] + 1
 
-def base64_map(out: str, at: int) -> Places:
-    """A character of base64 holds six bits."""
-    bits = byte_starts(out) * 8
-    return at + bits[:-1] // 6, at + (bits[1:] - 1) // 6 + 1
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Base64 in a line, and wrapped over lines: all of them, and from each line on whose length differs from
+    the one before, as long as it stays the same, with the line after."""
+    for m in BASE64.finditer(text):
+        yield m.span()
+    for m in WRAPPED.finditer(text):
+        yield m.span()
+        lines = [(m.start() + w.start(), m.start() + w.end()) for w in LINE.finditer(m[0])]
+        sizes = [b - a for a, b in lines]
+        at = 0
+        while at < len(lines) - 1:
+            to = at + 1
+            while to < len(lines) and sizes[to] == sizes[at]:
+                to += 1
+            if (at, to) != (0, len(lines)):
+                yield lines[at][0], lines[min(to, len(lines) - 1)][1]
+            at = to
 
 
 def layers(text: str) -> Iterator[tuple[int, int, str, Callable[[], Places] | None]]:
@@ -131,44 +238,66 @@ def layers(text: str) -> Iterator[tuple[int, int, str, Callable[[], Places] | No
     """
     if "%" in text:
         for m in URL_RUN.finditer(text):
-            if URL_BYTE.search(m[0]) and (out := as_text(unquote_to_bytes(m[0]))) is not None:
-                yield m.start(), m.end(), out, partial(url_map, m[0], out, m.start())
+            if URL_BYTE.search(m[0]):
+                for out, starts in texts(unquote_to_bytes(m[0])):
+                    yield m.start(), m.end(), out, partial(url_map, m[0], starts, m.start())
     if "\\u" in text:
         for m in RUN.finditer(text):
             if UNIT.search(m[0]):
                 yield m.start(), m.end(), UNIT.sub(code_point, m[0]), partial(unit_map, m[0], m.start())
-    for m in BASE64.finditer(text):
-        data, whole = unbase64(m[0]), False
-        while data is not None and (inner := inflate(data)) is not None:
-            data, whole = inner, True
-        if data and (out := as_text(data)) is not None:
-            yield m.start(), m.end(), out, None if whole else partial(base64_map, out, m.start())
+    for start, end in stretches(text):
+        body = text[start:end]
+        lines = body.split("\n")
+        data = unbase64("".join(line.rstrip("\r") for line in lines)) if len(lines) > 1 else unbase64(body)
+        if not data:
+            continue
+        found = False
+        if compressed(data):
+            for part in windows(unpacked(data)):
+                found = True
+                for out, _ in texts(part):
+                    yield start, end, out, None
+        if not found:
+            at = np.array([start + i for i, c in enumerate(body) if c not in "\r\n"]) if len(lines) > 1 else np.arange(start, end)
+            for out, starts in texts(data):
+                yield start, end, out, partial(base64_map, starts, at)
+
+
+def below(layer: tuple[int, int, str, Places | None]) -> Iterator[tuple[int, int, str, Places | None]]:
+    """The layers in a layer, with their places in the original text."""
+    start, end, text, places = layer
+    for a, b, inner, within in layers(text):
+        if places is None:
+            yield start, end, inner, None
+        elif within is None:
+            yield int(places[0][a]), int(places[1][b - 1]), inner, None
+        else:
+            lo, hi = within()
+            yield int(places[0][a]), int(places[1][b - 1]), inner, (places[0][lo], places[1][hi - 1])
 
 
 def unwrap(text: str, base: list[Span] | None = None) -> tuple[list[Span], int]:
     """Base spans and those of all decoded layers, in code points of ``text``; the number of layers."""
     found = set(scan(text) if base is None else base)
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [(a, b, inner, places and places()) for a, b, inner, places in layers(text)]
+    # the layers of a text are drawn one at a time, so that of a stream only a window is held
+    work = [((a, b, inner, places and places()) for a, b, inner, places in layers(text))]
     n = 0
     while work:
-        start, end, layer, places = work.pop()
-        mark = hashlib.blake2b(f"{start}:{end}:".encode() + layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        start, end, inner, places = layer
+        mark = hashlib.blake2b(f"{start}:{end}:".encode() + inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
             continue
         seen.add(mark)
         n += 1
         if places is None:
-            found.update((kind, start, end) for kind, _, _ in scan(layer))
-            work += [(start, end, inner, None) for _, _, inner, _ in layers(layer)]
-            continue
-        first, last = places
-        found.update((kind, int(first[a]), int(last[b - 1])) for kind, a, b in scan(layer))
-        for a, b, inner, within in layers(layer):
-            if within is not None:
-                lo, hi = within()
-                within = first[lo], last[hi - 1]
-            work.append((int(first[a]), int(last[b - 1]), inner, within))
+            found.update((kind, start, end) for kind, _, _ in scan(inner))
+        else:
+            found.update((kind, int(places[0][a]), int(places[1][b - 1])) for kind, a, b in scan(inner))
+        work.append(below(layer))
     return sorted(found, key=order), n
 
 

@@ -109,3 +109,29 @@ def test_spans_map_to_the_secret_alone():
 
     deep = "%" + "25" * 2000 + "41KIAABCDEFGHIJKLMNOP"
     assert ("access", 0, len(deep)) in secrets.unwrap(deep)[0]
+
+
+def has(text):
+    return {text[a:b] for k, a, b in secrets.unwrap(text)[0] if k in ("assign", "access")}
+
+
+def test_layers_are_read_whole(monkeypatch):
+    """Bytes that are no UTF-8, UTF-16, joined and cut members, wrapped lines, streams beyond a window."""
+    assert has("token%3Dabcdefgh1234%26city%3DM%FCnchen") == {"token%3Dabcdefgh1234"}
+    assert has("%FC%E4%FCtoken%3Dabcdefgh1234") == {"token%3Dabcdefgh1234"}
+    for code in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert has(base64.b64encode(f"wide {KEY} text".encode(code)).decode())
+    first, second = gzip.compress(b"first"), gzip.compress(f" {KEY}".encode())
+    for data in (first + second, zlib.compress(b"first") + zlib.compress(KEY.encode()), first + KEY.encode(), gzip.compress(b"\xfc\xff " + KEY.encode()), gzip.compress((KEY + " " + "text " * 9000).encode() + bytes(range(256)) * 99)[:-200]):
+        text = base64.b64encode(data).decode()
+        assert ("access", 0, len(text)) in secrets.unwrap(text)[0]
+    for body in (b"x" * 44 + KEY.encode() + b"y" * 90, gzip.compress(f"{KEY} {list(range(200))}".encode())):
+        for wrapped in (base64.encodebytes(body).decode(), base64.encodebytes(body).decode().replace("\n", "\r\n")):
+            assert has(f"Heading_of_certificates_\n{wrapped}\nafter") or has(wrapped)
+            assert has(wrapped) and has(f"a_heading_of_many_letters\n{wrapped}"), wrapped
+    text = base64.b64encode(gzip.compress(b"") + gzip.compress(f"x^ has the signs of zlib, {KEY}".encode())).decode()
+    assert ("access", 0, len(text)) in secrets.unwrap(text)[0]
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1000)
+    for lead in (0, 900, 990, 995, 1000, 5000, 2_000_000):
+        text = base64.b64encode(gzip.compress(b"\xc3\xa9" * (lead // 2) + f" {KEY} ".encode() + b"tail" * 900)).decode()
+        assert ("access", 0, len(text)) in secrets.unwrap(text)[0]
