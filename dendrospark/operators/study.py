@@ -10,7 +10,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fp32 import first_winner, softmax
@@ -136,10 +136,17 @@ def cached_model(models: DataFrame, wanted: DataFrame) -> DataFrame:
     ``models`` has (model, ord, plan, rounds), ``wanted`` (want, plan, rounds); ``plan`` is the
     identity of all parameters but the rounds.
     """
-    side = models.select("model", "ord", F.col("plan").alias("_plan"), F.col("rounds").alias("_rounds"))
-    fits_ = wanted.join(side, (F.col("plan") == F.col("_plan")) & (F.col("_rounds") >= F.col("rounds")), "left")
-    best = fits_.groupBy("want").agg(F.min_by(F.struct("model", F.col("_rounds").alias("rounds")), F.struct("_rounds", "ord")).alias("m"))
-    return best.select("want", "m.model", "m.rounds")
+    place = F.struct(F.col("ord").isNull(), "ord", "model")
+    first = models.where("plan IS NOT NULL AND rounds IS NOT NULL").groupBy("plan", "rounds").agg(F.min(place).alias("_place"))
+    # the nearest stored rounds at or above each wanted number; a plan's rows here are its different rounds
+    stored = first.select("plan", "rounds", F.col("rounds").alias("_rounds"))
+    asked = wanted.select("plan", "rounds").distinct().withColumn("_rounds", F.lit(None).cast(models.schema["rounds"].dataType))
+    nearest = F.last("_rounds", ignorenulls=True).over(Window.partitionBy("plan").orderBy(F.desc("rounds")))
+    both = stored.unionByName(asked).select("plan", "rounds", nearest.alias("_rounds")).distinct()
+    at = first.select("plan", F.col("rounds").alias("_rounds"), "_place")
+    fits_ = wanted.join(both.join(at, ["plan", "_rounds"]), ["plan", "rounds"], "left")
+    best = fits_.groupBy("want").agg(F.min(F.struct(F.col("_rounds").isNull(), F.col("_rounds").alias("rounds"), "_place")).alias("m"))
+    return best.select("want", "m._place.model", "m.rounds")
 
 
 def import_columns(responses: DataFrame, donor: DataFrame, own: DataFrame) -> DataFrame:
