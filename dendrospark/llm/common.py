@@ -37,6 +37,13 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(keep: Iterable[str], *names: str) -> None:
+    """Raises where a kept column has a name that an operator gives to a column of its own."""
+    taken = sorted(k for k in keep if k.startswith("_") or k in names)
+    if taken:
+        raise ValueError(f"rename these columns to keep them: {', '.join(taken)}")
+
+
 def utf8(text: str | Column) -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")

@@ -1,20 +1,37 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of one host are merged: elements with the same path of tags and classes are one style
-node.  A node's importance is an entropy: over the layouts below it that the host's pages show
-(presentation), and over the texts directly inside it (content).  A node whose pages all look and
-read alike is a template and has importance near 0; one that differs from page to page has
-importance near 1.  Nodes that markup itself declares to be no content (menus, page headers and
-footers, sidebars, adverts, forms, scripts, styles, comments) have importance 0 on every page.
-Branches of low importance are cut from each page, and the blocks that stay are its text.
-
-Only (host, path, hash) counts are shuffled, combined before the shuffle; the pages themselves are
-read twice and joined with the short list of their host's template nodes by a key, which Spark
-broadcasts where that list is small, and else splits where a host is hot.
+The DOMs of one host are merged.  A style node is an element's tag, classes and declared role,
+below its parent's node; generic containers of one style are told apart by their place among their
+siblings, text elements (``REPEATED``) are not.  For each node two entropies are measured over the
+pages of the host that have it: of the layouts (what elements it holds, presentation) and of the
+texts directly in it (content).  They are collision entropies: ``1 - exp(-H)`` is the chance that
+two of the pages differ there, whose estimate is the same in the mean for every number of pages.
+``PRIOR`` pairs of pages are added to those seen, at 0.5, or 1 inside a declared article; so nothing
+is decided on a host of one page, and no host is treated otherwise for its size.
+
+A text node's importance is the mean of both.  That of a container is its presentation and the mean
+of its children, weighted by ``DECAY`` to the power of their number.  On that importance
+
+* a branch below ``LOW`` is a template and is cut, be it a container or a text;
+* a branch of ``HIGH`` or more, no container in which lies ``PEAK`` above it, holds main text;
+* others are undecided: they stay inside a main branch or declared article, as a first-level
+  heading, or on pages that have neither branch nor article, and go elsewhere.
+
+Elements that markup itself declares to be no content (menus, page headers and footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments, by element name, role or class word) have
+importance 0 and take no part in the statistics.  Text elements of a declared article are never
+templates, since near copies of an article look like one; nor are body, article and main themselves.
+
+Only counts by (host, node, mark) are shuffled, combined before the shuffle; levels of the tree are
+joined from the leaves up.  Pages are read twice and joined with the short list of their host's
+decided nodes by a key, which Spark broadcasts where that list is small, and else splits where a
+host is hot.
 
 Defined cases: null or empty html gives an empty text; a null url counts as a host of its own;
-repeated pages are extracted each, and count once; hosts with fewer than ``LEAST_PAGES`` different
-pages have no statistics, so only declared roles cut there.
+repeated pages are extracted each, and count once, as do pages of equal content; a tie of two
+importances decides neither node against the other; elements below ``DEEPEST`` levels belong to
+their ancestor there; very long pages are read whole, in time linear in their length; an empty table
+gives no rows.  Columns named ``text`` or starting with ``_`` cannot be kept (ValueError).
 """
 
 from __future__ import annotations
@@ -26,22 +43,27 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, materialise, rows_of
+from .common import batches, materialise, own_names, rows_of
 
-LEAST_PAGES = 5
-LOW = 0.2
-DECAY = 0.9  #: weight of a node's own layout against its descendants, per child
+LOW, HIGH, PEAK = 0.2, 0.6, 0.05
+DECAY = 0.9
+PRIOR = 6
+DEEPEST = 64
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea select svg math iframe object head title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOT_CONTENT = frozenset("nav footer aside form button menu dialog".split()) | RAW
-PLAIN = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "a", "b", "i", "u", "em", "strong", "span", "code", "sub", "sup")
+UNPARSED = frozenset("script style textarea title noscript iframe template".split())
+IN_HEAD = frozenset("title script style noscript template meta link base".split())
+ROOTS = frozenset("#root html body article main".split())
+REPEATED = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption caption".split())
 CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|widget|related|share|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|replies|disqus|pagination)(?:$|[\s_-])", re.I)
@@ -50,6 +72,11 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<(
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
 
+ROOT = 0
+LAYOUT, TEXT = 0, 1  #: kinds of marks
+Decided = tuple[frozenset[int], frozenset[int]]  #: nodes of templates and of main branches
+NOTHING: Decided = (frozenset(), frozenset())
+
 
 def host_of(url: str | None) -> str:
     if not url or "://" not in url:
@@ -58,43 +85,59 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    """An element that is open: its style path, whether markup declares it no content, its layout."""
-
-    __slots__ = ("layout", "path", "skip", "tag", "text")
-
-    def __init__(self, tag: str, path: str, skip: bool) -> None:
-        self.tag, self.path, self.skip = tag, path, skip
+    """An open element.  ``home`` is the node its text and layout belong to: itself if it is a block."""
+
+    __slots__ = ("article", "cut", "depth", "home", "key", "kids", "layout", "main", "outer", "skip", "tag", "text", "up")
+
+    def __init__(self, tag: str, key: int, home: Node | None, article: bool = False, skip: bool = False) -> None:
+        self.tag, self.key, self.skip = tag, key, skip
+        self.home = self
+        self.up = home.key if home else ROOT
+        self.depth = home.depth + 1 if home else 0
+        self.article = article or tag in ("article", "main")
+        self.cut = self.main = False
+        self.outer: list[str] | None = None  #: text of a block around this inline element without content
+        self.kids: dict[str, int] = {}
         self.layout: list[str] = []
         self.text: list[str] = []
 
 
-def walk(html: str, closed: list[Node] | None = None) -> list[tuple[str, bool, bool, str]]:
-    """Blocks of a page in order: (style path, no content, inside an article, text).
+class Block:
+    """A run of text between block elements, and what is known of the node it lies in."""
 
-    Elements that end are added to ``closed``, if given, for the statistics of their nodes.
-    """
-    stack = [Node("#root", "", False)]
-    blocks: list[tuple[str, bool, bool, str]] = []
+    __slots__ = ("article", "cut", "main", "skip", "tag", "text")
+
+    def __init__(self, node: Node, text: str, article: bool) -> None:
+        self.tag, self.text, self.article = node.tag, text, article
+        self.skip, self.cut, self.main = node.skip, node.cut, node.main
+
+
+def walk(html: str, decided: Decided = NOTHING, nodes: list[Node] | None = None) -> list[Block]:
+    """The blocks of a page in order.  Style nodes with content are added to ``nodes``, if given."""
+    cuts, mains = decided
+    stack = [Node("#root", ROOT, None)]
+    opened: dict[str, int] = {}
+    blocks: list[Block] = []
     held: list[str] = []
-    articles = 0
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(held)).strip()
         held.clear()
         if text:
-            top = stack[-1]
-            blocks.append((top.path, top.skip, articles > 0, text))
-            top.text.append(text)
+            home = stack[-1].home
+            blocks.append(Block(home, text, stack[-1].article))
+            home.text.append(text)
 
     def close(to: int) -> None:
-        nonlocal articles
         while len(stack) > to:
             if stack[-1].tag in BLOCK:
                 flush()
             node = stack.pop()
-            articles -= node.tag in ("article", "main")
-            if closed is not None:
-                closed.append(node)
+            opened[node.tag] = opened.get(node.tag, 0) - 1
+            if node.outer is not None:
+                held[:] = node.outer
+            if nodes is not None and node.home is node and not node.skip:
+                nodes.append(node)
 
     at, end = 0, len(html)
     # no tag ends after the last bracket, though a comment may stay open
@@ -110,7 +153,7 @@ def walk(html: str, closed: list[Node] | None = None) -> list[tuple[str, bool, b
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
                     if tag in BLOCK:
                         flush()
@@ -120,146 +163,200 @@ def walk(html: str, closed: list[Node] | None = None) -> list[tuple[str, bool, b
                     break
         elif m[2]:
             tag = m[2].lower()
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
+                close(len(stack) - 1)
             if tag in BLOCK:
                 flush()
             while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
                 close(len(stack) - 1)
-            if tag in BLOCK and tag != "hr":
-                k = max((i for i, x in enumerate(stack) if x.tag == "p"), default=0)
-                if k and tag in CLOSED_BY["p"]:
-                    close(k)
+            if opened.get("p") and tag in CLOSED_BY["p"] and tag != "hr":
+                close(max(i for i, x in enumerate(stack) if x.tag == "p"))
+            home, article = stack[-1].home, stack[-1].article
             if tag in VOID:
+                home.layout.append(tag)
                 if tag in ("br", "hr"):
                     held.append(" ")
                 continue
+            if tag in UNPARSED:
+                stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at = stop.end() if stop else end
+                continue
             attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(m[3])} if m[3] else {}
             style = ".".join([tag, *sorted(attrs.get("class", "").lower().split())])
-            above = stack[-1]
-            outside = articles == 0
-            skip = above.skip or tag in NOT_CONTENT or (tag == "header" and outside) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or bool(tag not in ("html", "body", "article", "main") and (NAMES.search(attrs.get("class", "")) or NAMES.search(attrs.get("id", ""))))
-            above.layout.append(style)
-            if tag in RAW:
-                if tag in ("script", "style", "textarea", "title", "noscript", "iframe", "template"):
-                    stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    inner = html[at : stop.start()] if stop else html[at:]
-                    at = stop.end() if stop else end
-                    if closed is not None:
-                        node = Node(tag, f"{above.path}/{style}", True)
-                        node.text.append(inner)
-                        closed.append(node)
-                    continue
             if m[3].endswith("/") and tag not in BLOCK:
+                home.layout.append(style)
                 continue
-            node = Node(tag, f"{above.path}/{style}", skip)
-            articles += tag in ("article", "main")
+            skip = home.skip or no_content(tag, attrs, article)
+            if not skip:
+                home.layout.append(style)
+            if skip and not home.skip:
+                node = Node(tag, ROOT, home, article, True)
+                if tag not in BLOCK:
+                    node.outer = held[:]
+                    held.clear()
+            elif tag in BLOCK and not skip and home.depth < DEEPEST:
+                place = home.kids[style] = home.kids.get(style, 0) + 1
+                if place > 1 and tag not in REPEATED:
+                    style = f"{style}:{place}"
+                node = Node(tag, xxhash.xxh64_intdigest(style.encode("utf-8", "surrogatepass"), home.key), home, article)
+                node.cut, node.main = home.cut or node.key in cuts, home.main or node.key in mains
+            else:
+                node = Node(tag, home.key, home, article, skip)
+                node.home = home
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
-    close(1)
+    close(0)
     return blocks
 
 
-def features(html: str) -> tuple[dict[str, int], int]:
-    """Style path -> a hash of all that the page shows at that node: layout and own text; and a hash
-    of all its content."""
-    closed: list[Node] = []
-    blocks = walk(html, closed)
-    out: dict[str, int] = {}
-    for node in closed:
-        own = "\x1f".join([*node.layout, "\x1e", *node.text]).encode("utf-8", "surrogatepass")
-        out[node.path] = zlib.crc32(own, out.get(node.path, 0))
-    content = "\n".join(b[3] for b in blocks if not b[1]).encode("utf-8", "surrogatepass")
+def no_content(tag: str, attrs: dict[str, str], article: bool) -> bool:
+    """Whether an element's name, state, role or class words declare it to be no content."""
+    if tag in NOT_CONTENT or (tag == "header" and not article) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return True
+    words = NAMES.search(attrs.get("class", "")) or NAMES.search(attrs.get("id", ""))
+    return attrs.get("role", "").lower() in ROLES or bool(words and tag not in ("html", "body", "article", "main"))
+
+
+def main_text(html: str, decided: Decided = NOTHING) -> str:
+    """The blocks of a page that its host's decided nodes and its declared articles leave, joined by newlines."""
+    blocks = [b for b in walk(html, decided) if not (b.skip or b.cut)]
+    if any(b.main or b.article for b in blocks):
+        blocks = [b for b in blocks if b.main or b.article or b.tag == "h1"]
+    return "\n".join(b.text for b in blocks)
+
+
+def features(html: str) -> tuple[list[tuple[int, int, int, int, int, int, int]], int]:
+    """(node, node above, depth, flags, kind, children, mark) of all a page shows, and a hash of its content."""
+    nodes: list[Node] = []
+    blocks = walk(html, NOTHING, nodes)
+    merged: dict[int, list[Node]] = {}
+    for n in nodes:
+        merged.setdefault(n.key, []).append(n)
+    out = []
+    for key, own in merged.items():
+        n = own[0]
+        head = key, n.up, n.depth, n.article | (2 if n.tag in ROOTS or (n.article and n.tag not in ("div", "section")) else 0)
+        # how often a repeated element occurs is its parent's layout; its own are the different ones it has
+        shapes = sorted({"\x1f".join(x.layout) for x in own})
+        out.append((*head, LAYOUT, sum(sum(x.kids.values()) for x in own), crc("\x1e".join(shapes))))
+        text = "\x1e".join("\x1f".join(x.text) for x in own if x.text)
+        if text:
+            out.append((*head, TEXT, 0, crc(text)))
+    content = "\n".join(b.text for b in blocks if not b.skip).encode("utf-8", "surrogatepass")
     return out, int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
 
 
-def main_text(html: str, templates: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks of a page outside declared roles and template branches, joined by newlines.
+def crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
-    Where a page marks an article, only its blocks count.
-    """
-    blocks = [b for b in walk(html) if not b[1]]
-    if any(b[2] for b in blocks):
-        blocks = [b for b in blocks if b[2]]
-    if templates:
-        blocks = [b for b in blocks if not in_branch(b[0], templates)]
-    return "\n".join(b[3] for b in blocks)
 
+def signed(key: int) -> int:
+    return key - (key >> 63 << 64)
 
-def in_branch(path: str, templates: frozenset[str] | set[str]) -> bool:
-    at = len(path)
-    while at > 0:
-        if path[:at] in templates:
-            return True
-        at = path.rfind("/", 0, at)
-    return False
 
+MARKS = "host string, node long, up long, depth int, flags int, kind int, kids int, mark long, page long"
 
-def node_counts(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, path, mark, pages): how many pages of a host show the same at a style node.
 
-    Pages with the same content count as one: copies of an article are no template.
-    """
+def node_counts(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """How many pages of a host, counted by different content, show the same layout or text at a style node."""
 
     def explode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("mark", pa.int64()), ("page", pa.int64())])
+        long, short = pa.int64(), pa.int32()
+        schema = pa.schema([("host", pa.string()), ("node", long), ("up", long), ("depth", short), ("flags", short), ("kind", short), ("kids", short), ("mark", long), ("page", long)])
         for batch in source:
 
             def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
                 for link, body in rows_of(batch, "_url", "_html"):
                     host = host_of(link)
                     marks, page = features(body or "")
-                    for path, mark in marks.items():
-                        yield host, path, mark, page
+                    for node, up, depth, flags, kind, kids, mark in marks:
+                        yield host, signed(node), signed(up), depth, flags, kind, kids, mark, page
 
             yield from batches(rows(), schema, 4 << 20)
 
-    marks = pages.select(pages[url].alias("_url"), pages[html].alias("_html")).mapInArrow(explode, "host string, path string, mark long, page long")
-    return marks.groupBy("host", "path", "mark").agg(F.count_distinct("page").alias("pages"))
-
-
-def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, seen, importance): the entropy of a node's marks, 1 where all pages differ.
-
-    With m pages and p the share of a mark, it is -sum p log p / log m.
+    marks = pages.select(pages[url].alias("_url"), pages[html].alias("_html")).mapInArrow(explode, MARKS)
+    return marks.groupBy("host", "node", "up", "depth", "flags", "kind", "kids", "mark").agg(F.count_distinct("page").alias("pages"))
+
+
+def entropy_importance(seen: Column, same: Column, prior: Column) -> Column:
+    """The chance that two of ``seen`` pages differ; ``same`` counts ordered pairs that do not."""
+    pairs = seen * (seen - 1) / 2
+    return (pairs - same / 2 + PRIOR * prior) / (pairs + PRIOR)
+
+
+def nodes_of(counts: DataFrame) -> DataFrame:
+    """The nodes of all hosts' trees: presentation and content importance, pages seen, mean number of children."""
+    n = F.col("pages").cast("double")
+
+    def over(kind: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value))
+
+    sums = counts.groupBy("host", "node", "up", "depth", "flags").agg(
+        over(LAYOUT, n).alias("seen"), over(LAYOUT, n * (n - 1)).alias("same"), (over(LAYOUT, n * F.col("kids")) / over(LAYOUT, n)).alias("kids"),
+        over(TEXT, n).alias("read"), over(TEXT, n * (n - 1)).alias("alike"),
+    )
+    prior = F.when(F.col("flags").bitwiseAND(1) == 1, 1.0).otherwise(0.5)
+    return sums.select("host", "node", "up", "depth", "flags", "seen", "kids", "read", entropy_importance(F.col("seen"), F.col("same"), prior).alias("presentation"), entropy_importance(F.col("read"), F.col("alike"), prior).alias("content"))
+
+
+def importance(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``importance``, ``below`` (that of the most important child with children) and ``most`` (that of the whole branch)."""
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    out: DataFrame | None = None
+    level: DataFrame | None = None
+    text = (F.col("presentation") + F.col("content")) / 2
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        own = nodes.where(F.col("depth") == depth)
+        if level is None:
+            scored = own.select("*", F.coalesce(text, "presentation").alias("importance"), F.lit(None).cast("double").alias("below"))
+            scored = scored.withColumn("most", F.col("importance"))
+        else:
+            kids = level.groupBy("host", F.col("up").alias("node")).agg(F.sum(F.col("seen") * F.col("importance")).alias("total"), F.sum("seen").alias("weight"), F.max(F.when(F.col("kids") > 0, F.col("importance"))).alias("below"), F.max("most").alias("under"))
+            joined = own.join(kids, ["host", "node"], "left")
+            read = F.coalesce("read", F.lit(0.0))
+            mean = (F.col("total") + F.coalesce(read * text, F.lit(0.0))) / (F.col("weight") + read)
+            share = F.pow(F.lit(DECAY), F.col("kids") + F.when(read > 0, 1).otherwise(0))
+            inner = (1 - share) * F.col("presentation") + share * mean
+            joined = joined.withColumn("importance", F.when(F.col("total").isNull(), F.coalesce(text, "presentation")).otherwise(inner))
+            scored = joined.select(*nodes.columns, "importance", "below", F.greatest("importance", "under").alias("most"))
+        level = materialise(scored, f"level{depth}")
+        out = level if out is None else out.unionByName(level)
+    return nodes.select("*", *(F.lit(None).cast("double").alias(c) for c in ("importance", "below", "most"))) if out is None else out
+
+
+def decisions(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, cuts, mains): the template and main nodes of each host that has any, in the shared folder."""
+    scored = importance(materialise(nodes_of(node_counts(pages, url, html)), "nodes"))
+    cut = (F.col("most") < LOW) & (F.col("flags") < 2)
+    main = (F.col("importance") >= HIGH) & F.coalesce(F.col("below") <= F.col("importance") + PEAK, F.lit(True))
+    chosen = scored.where(cut | main).groupBy("host").agg(F.collect_list(F.when(cut, F.col("node"))).alias("cuts"), F.collect_list(F.when(main, F.col("node"))).alias("mains"))
+    return materialise(chosen, "decisions")
+
+
+def extract(pages: DataFrame, url: str, html: str, keep: list[str], by_tree: bool = True) -> DataFrame:
+    """``keep`` columns and ``text``, the main text of every page.
+
+    Without ``by_tree`` declared roles and articles alone decide.
     """
-    n = F.col("pages")
-    sums = counts.groupBy("host", "path").agg(F.sum(n).alias("seen"), F.sum(n * F.log(n.cast("double"))).alias("weighted"))
-    entropy = 1 - F.col("weighted") / (F.col("seen") * F.log(F.col("seen").cast("double")))
-    return sums.select("host", "path", "seen", F.when(F.col("seen") > 1, entropy).otherwise(1.0).alias("importance"))
-
-
-def templates(pages: DataFrame, url: str, html: str, low: float = LOW, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, paths): the nodes of low importance of each host that has any, in the shared folder.
-
-    Plain text elements of a declared article are its text, however often they repeat.
-    """
-    scored = importance(node_counts(pages, url, html)).where((F.col("seen") >= least) & (F.col("importance") < low))
-    # an element without text of its own looks alike everywhere and says nothing about its children
-    leaf = ~F.regexp_extract("path", r"([^/.]+)(\.[^/]*)?$", 1).isin("html", "body", "article", "main", "head", "ul", "ol", "table", "tbody", "tr", "section", "div", "dl")
-    plain = F.col("path").rlike(r"/(article|main)(\.[^/]*)?/") & F.regexp_extract("path", r"([^/]+)$", 1).isin(*PLAIN)
-    return materialise(scored.where(leaf & ~plain).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths")), "templates")
-
-
-def extract(pages: DataFrame, url: str, html: str, keep: list[str], low: float = LOW, least: int = LEAST_PAGES) -> DataFrame:
-    """``keep`` columns and ``text``, the main text of every page."""
-    cut = templates(pages, url, html, low, least)
+    own_names(keep, "text")
     host = F.lower(F.regexp_extract(F.coalesce(pages[url], F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     own = pages.select(*keep, pages[html].alias("_html"), host.alias("_host"))
-    joined = own.join(cut.withColumnRenamed("host", "_of"), F.col("_host") == F.col("_of"), "left").select("_html", F.col("paths").alias("_paths"), *keep)
+    if by_tree:
+        own = own.join(decisions(pages, url, html).withColumnRenamed("host", "_of"), F.col("_host") == F.col("_of"), "left")
+    else:
+        own = own.withColumns({c: F.lit(None).cast("array<long>") for c in ("cuts", "mains")})
+    joined = own.select("_html", F.col("cuts").alias("_cuts"), F.col("mains").alias("_mains"), *keep)
     out_type = T.StructType([*(pages.schema[k] for k in keep), T.StructField("text", T.StringType())])
 
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[str]] = {}
         for batch in source:
             schema = pa.schema([*(batch.schema.field(k) for k in keep), ("text", pa.string())])
 
             def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
-                for body, paths, *rest in rows_of(batch, "_html", "_paths", *keep):
-                    key = tuple(paths or ())
-                    if key not in sets:
-                        if len(sets) > 1000:
-                            sets.clear()
-                        sets[key] = frozenset(key)
-                    yield (*rest, main_text(body or "", sets[key]))
+                for body, cuts, mains, *rest in rows_of(batch, "_html", "_cuts", "_mains", *keep):
+                    decided = frozenset(k % (1 << 64) for k in cuts or ()), frozenset(k % (1 << 64) for k in mains or ())
+                    yield (*rest, main_text(body or "", decided))
 
             yield from batches(rows(), schema)
 

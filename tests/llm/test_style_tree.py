@@ -1,7 +1,13 @@
-import math
+import itertools
+import random
+import re
 import time
+import zlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from dendrospark.llm import style_tree
 from dendrospark.llm.entry import op5_style_tree
 
@@ -54,10 +60,113 @@ def test_copies_are_no_template(spark):
     assert out[105] == "One\nTwo" and out[140] == "Three"
 
 
-def test_importance_is_normalised_entropy(spark):
-    rows = [("h", "p", m, n) for m, n in ((1, 3), (2, 1), (3, 4))]
-    got = style_tree.importance(spark.createDataFrame(rows, "host string, path string, mark long, pages long")).first().importance
-    assert abs(got + sum(n / 8 * math.log(n / 8) for n in (3, 1, 4)) / math.log(8)) < 1e-12
+def neutral(html):
+    """The same page without a word that tells what its elements are for."""
+    html = re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="x{zlib.crc32(m[2].encode()):x}"', html)
+    return re.sub(r"(</?)(nav|article|footer|header|aside|main|form)\b", r"\1div", html)
+
+
+def site(host, n, seed=0):
+    """(page_id, url, html, the article's text): menus and adverts change their words but not their layout."""
+    say = random.Random(seed)
+    words = lambda k: " ".join(say.choice("alder birch cedar elm fir hazel larch maple oak pine rowan yew".split()) for _ in range(k)) + f" {say.random()}"
+    out = []
+    for i in range(n):
+        title, parts = words(3), [words(say.randint(5, 20)) for _ in range(say.randint(1, 12))]
+        menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(6))
+        body = "".join(f"<p>{p}</p>" if k % 3 else f"<p><b>{p}</b></p>" for k, p in enumerate(parts))
+        out.append((seed * 1000 + i, f"http://{host}/{i}", f'<html><body><nav><ul>{menu}</ul></nav><div class="motto">Ever the same</div><div class="ad">{words(4)}</div><article><h1>{title}</h1>{body}<div class="box">Read on</div></article><footer>{words(3)}</footer></body></html>', "\n".join([title, *parts])))
+    return out
+
+
+def test_the_tree_alone_finds_the_article(spark):
+    """Without names to go by, all is kept where no statistics decide, and only the article where they do."""
+    rows = [(i, u, neutral(h)) for i, u, h, _ in site("one.example", 40, 1) + site("two.example", 25, 2)]
+    want = {i: t for i, _, _, t in site("one.example", 40, 1) + site("two.example", 25, 2)}
+    df = pages(spark, rows)
+    assert {r.page_id: r.text for r in style_tree.extract(df, "url", "html", ["page_id"]).collect()} == want
+    off = {r.page_id: r.text for r in style_tree.extract(df, "url", "html", ["page_id"], by_tree=False).collect()}
+    assert all(want[i] != off[i] and "Ever the same" in off[i] for i in want)
+
+
+def test_the_tree_changes_pages_with_articles(spark, folder):
+    """A container that is alike on all pages goes from inside a declared article as well."""
+    rows = [r[:3] for r in site("one.example", 40, 3)]
+    df = pages(spark, rows)
+    want = {i: t for i, _, _, t in site("one.example", 40, 3)}
+    assert {r.page_id: r.text for r in op5_style_tree(spark, folder(pages=df)).collect()} == want
+    off = {r.page_id: r.text for r in style_tree.extract(df, "url", "html", ["page_id"], by_tree=False).collect()}
+    assert off == {i: t + "\nRead on" for i, t in want.items()}
+
+
+def differ(marks, prior):
+    """The chance that two pages differ, all pairs compared one by one."""
+    both = list(itertools.combinations(marks, 2))
+    return (sum(a != b for a, b in both) + style_tree.PRIOR * prior) / (len(both) + style_tree.PRIOR)
+
+
+def brute(rows):
+    """page_id -> text of a whole table: every node's pairs of pages, importance by recursion."""
+    hosts = {}
+    for _, url, html in rows:
+        marks, content = style_tree.features(html or "")
+        hosts.setdefault(style_tree.host_of(url), {})[content] = marks
+    decided = {}
+    for host, seen in hosts.items():
+        shows, kids = {}, {}
+        for marks in seen.values():
+            for key, up, depth, flags, kind, n, mark in marks:
+                shows.setdefault(key, ([], [], [], flags))[kind].append(mark)
+                if kind == style_tree.LAYOUT:
+                    shows[key][2].append(n)
+                    if depth:
+                        kids.setdefault(up, set()).add(key)
+
+        def weigh(key, shows=shows, kids=kids):
+            layouts, texts, counts, flags = shows[key]
+            looks = differ(layouts, 1 if flags & 1 else 0.5)
+            reads = (looks + differ(texts, 1 if flags & 1 else 0.5)) / 2 if texts else None
+            if key not in kids:
+                return looks if reads is None else reads
+            parts = [(len(shows[k][0]), weigh(k)) for k in kids[key]] + ([(len(texts), reads)] if texts else [])
+            share = style_tree.DECAY ** (sum(counts) / len(counts) + bool(texts))
+            return (1 - share) * looks + share * sum(n * w for n, w in parts) / sum(n for n, _ in parts)
+
+        def most(key, kids=kids, weigh=weigh):
+            return max([weigh(key), *(most(k) for k in kids.get(key, ()))])
+
+        cuts = {k for k, v in shows.items() if v[3] < 2 and most(k) < style_tree.LOW}
+        mains = {k for k in shows if weigh(k) >= style_tree.HIGH and all(weigh(c) <= weigh(k) + style_tree.PEAK for c in kids.get(k, ()) if c in kids)}
+        decided[host] = frozenset(cuts), frozenset(mains)
+    return {i: style_tree.main_text(html or "", decided[style_tree.host_of(url)]) for i, url, html in rows}
+
+
+def test_query_against_brute_force(spark, folder):
+    rows = [r[:3] for r in site("one.example", 30, 4)] + [(i, u, neutral(h)) for i, u, h, _ in site("two.example", 12, 5) + site("few.example", 3, 6)]
+    rows += [(9000 + i, f"http://one.example/c{i}", rows[0][2]) for i in range(20)]
+    rows += [(9100 + i, "http://odd.example/", f"<div><div>same</div><div>{i % 3}<p>x{i}</p></div><ul><li>a<li>b{i % 2}</ul></div>") for i in range(15)]
+    rows += [(9200, None, None), (9201, "http://one.example/empty", "")]
+    got = {r.page_id: r.text for r in op5_style_tree(spark, folder(pages=pages(spark, rows))).collect()}
+    assert got == brute(rows)
+
+
+def test_importance_is_the_chance_that_two_pages_differ(spark):
+    rows = [("h", 5, 0, 1, 0, 0, 0, m, n) for m, n in ((1, 3), (2, 1), (3, 4))]
+    got = style_tree.nodes_of(spark.createDataFrame(rows, "host string, node long, up long, depth int, flags int, kind int, kids int, mark long, pages long")).first()
+    assert abs(got.presentation - differ([1, 1, 1, 2, 3, 3, 3, 3], 0.5)) < 1e-12 and got.content is None
+
+
+def test_inline_elements_and_missing_ends():
+    assert style_tree.main_text("<div>one <button>Share</button>two <span class='ad'>x<div>y</div></span>three</div>") == "one two three"
+    assert style_tree.main_text("<html><head><title>t</title><body><p>x</p>") == "x"
+    deep = "<div>" * 30_000 + "deep" + "</div>" * 30_000
+    assert style_tree.main_text(deep) == "deep" and max(m[2] for m in style_tree.features(deep)[0]) == style_tree.DEEPEST
+
+
+def test_own_names_cannot_be_kept(spark):
+    df = pages(spark, [(1, "http://a.b/", "x")]).withColumn("text", F.lit("t"))
+    with pytest.raises(ValueError, match="text"):
+        style_tree.extract(df, "url", "html", ["page_id", "text"])
 
 
 def test_query_edge_cases(spark, folder):
