@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kmeans_tree, packing, secrets, simhash, style_tree, telephony, tokens, toxicity, url_filter, warc
-from .common import table, utf8
+from .common import materialise, table, utf8
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,7 @@ def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = utf8("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(payload).cast("long").alias("n_bytes"), telephony.padded(payload).alias("payload"))
     docs = docs.withColumn("codec", telephony.codec_by_content(F.col("payload")))
-    stored = telephony.store(docs, "payload", "codec", ["doc_id", "n_bytes"])
+    stored = telephony.save(telephony.store(docs, "payload", "codec", ["doc_id", "n_bytes"]), "media")
     described = stored.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     read = telephony.load(described, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
     size = F.octet_length("payload")
@@ -30,7 +32,7 @@ def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, "text", ["doc_id"], *VOCABULARY)
 
 
 def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +43,11 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
-    records = read.where("kind != 'gap'")
-    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    """The pages' archives read back; gaps, if any, are logged and stay in a table of the shared folder."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    read = materialise(warc.read_archives(archives).drop("payload"), "records")
+    warc.log_gaps(read)
+    return read.where("kind != 'gap'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,19 @@ Buckets are dealt by row, so that no bucket grows with the data or with a freque
 that packing may still cut travel to the buckets, in two bytes each; whole sequences of a long
 document travel as their checksums.
 
+Ids are those of the vocabulary's own library: a text is cut at the vocabulary's added tokens, each of
+which is one id, and the stretches between are encoded by the ranks.
+
 Defined cases: null text is empty and consists of the end id alone; repeated rows are packed one
-by one; an empty table gives no pieces.
+by one; equal costs go to the sequence that was opened first; texts of any length are encoded whole;
+an empty table gives no pieces.  Columns named like PIECES or starting with ``_`` cannot be kept
+(ValueError).
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,12 +30,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rows_of
-from .tokens import coder, read_ranks
+from .common import batches, own_names, rows_of
+from .tokens import read_ranks
 
 ROOM = 2048
 END = 1
@@ -74,29 +81,64 @@ def assign(lengths: list[int], room: int = ROOM) -> list[tuple[int, int, int, in
     return out
 
 
-def pack_documents(df: DataFrame, text: str, keep: list[str], rank_file: str, pattern: str, room: int = ROOM, end: int = END, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def added_tokens(vocabulary_file: str) -> dict[str, int]:
+    """The added tokens of a vocabulary in JSON: a handful of strings that are one id each."""
+    with open(vocabulary_file, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with conditions")
+    return {t["content"]: t["id"] for t in added}
+
+
+class Encoder:
+    """Ids of texts: by the ranks alone where no added token occurs in a text, as most have none."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[str, int]) -> None:
+        self.added = added
+        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(self, text: str) -> list[int]:
+        if any(t in text for t in self.added):
+            return self.core.encode(text, allowed_special="all", disallowed_special=())
+        return self.core.encode_ordinary(text)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(name: str, shared: Any, pattern: str) -> Encoder:
+    """The encoder of broadcast ranks and added tokens, built once in each Python worker."""
+    if name not in _encoders:
+        ranks, added = shared.value
+        _encoders[name] = Encoder(ranks, pattern, added)
+    return _encoders[name]
+
+
+def pack_documents(df: DataFrame, text: str, keep: list[str], rank_file: str, vocabulary_file: str, pattern: str, room: int = ROOM, end: int = END, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pieces of all rows of ``df``: the ``keep`` columns and PIECES.
 
-    ``rank_file`` has the vocabulary's ranks; it must have fewer than 65,536 ids.
+    ``rank_file`` has the vocabulary's ranks, ``vocabulary_file`` its added tokens; it must have fewer
+    than 65,536 ids.
     """
+    own_names(keep, *(x.split()[0] for x in PIECES.split(", ")))
     spark = df.sparkSession
-    ranks = read_ranks(rank_file)
-    if max(ranks.values(), default=0) >= 1 << 16:
+    ranks, added = read_ranks(rank_file), added_tokens(vocabulary_file)
+    if max([*ranks.values(), *added.values()], default=0) >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
-    shared = spark.sparkContext.broadcast(ranks)
-    name = f"{rank_file}:{len(ranks)}"
+    shared = spark.sparkContext.broadcast((ranks, added))
+    name = f"{rank_file}:{len(ranks)}:{sorted(added)}:{pattern}"
     kept = [df.schema[k] for k in keep]
     source = df.select(F.coalesce(df[text].cast("string"), F.lit("")).alias("_text"), *keep)
     buckets = max(1, math.ceil(source.count() / bucket_rows))
 
     def tokenise(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(name, shared, pattern).core
+        code = encoder(name, shared, pattern)
         for batch in source:
             schema = pa.schema([*(batch.schema.field(k) for k in keep), ("_tokens", pa.int64()), ("_full", pa.binary()), ("_tail", pa.binary())])
 
             def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
                 for body, *rest in rows_of(batch, "_text", *keep):
-                    ids = np.array([*code.encode_ordinary(body), end], "<u4")
+                    ids = np.array([*code.encode(body), end], "<u4")
                     whole = len(ids) // room
                     full = np.array([zlib.crc32(ids[k * room : (k + 1) * room].tobytes()) for k in range(whole)], "<u4")
                     yield (*rest, len(ids), full.tobytes(), ids[whole * room :].astype("<u2").tobytes())

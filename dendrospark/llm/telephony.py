@@ -7,9 +7,13 @@ runs over the positions inside a block while numpy steps all blocks of a batch a
 Decoded sound is resampled by an integer factor with a windowed-sinc polyphase filter and
 returned as 16-bit PCM.
 
+``store`` makes containers and ``save`` writes a table, of containers or of PCM, to the shared folder
+and reads it back.
+
 Defined cases: a null or empty payload becomes one block of zero bytes; equal payloads give
-equal containers and features; an empty table gives an empty result; further input columns are
-kept only if named in ``keep``.
+equal containers and features; very long sounds are read whole and resampled in slices; an empty
+table gives an empty result; further input columns are kept only if named in ``keep``, where names
+of the operator's own columns are refused (ValueError).
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rows_of
+from .common import batches, materialise, own_names, rows_of
 
 UNIT = 64  #: payload bytes of an ADPCM block, and the unit that payloads are padded to
 RATE = 8000
+SLICE = 1 << 20  #: samples that are described and resampled at once
 CODECS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}  #: WAVE format tags (fixed values)
 
 # The step sizes and index moves of IMA ADPCM.
@@ -76,17 +81,20 @@ def filter_phases(factor: int, half: int = 4) -> np.ndarray:
     return (taps / taps.sum(1, keepdims=True)).astype(np.float32)
 
 
-def resample(pcm: np.ndarray, phases: np.ndarray) -> np.ndarray:
-    """``pcm`` with ``len(phases)`` times as many samples, rounded and clipped to 16 bits."""
+def resample(pcm: np.ndarray, phases: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Samples ``start`` to ``stop`` of ``pcm``, ``len(phases)`` for each, rounded and clipped to 16 bits."""
     factor, taps = phases.shape
     half = taps // 2
-    padded = np.pad(pcm.astype(np.float32), (half - 1, half), mode="edge")
-    out = np.empty((len(pcm), factor), np.int16)
-    out[:, 0] = pcm
+    stop = len(pcm) if stop is None else stop
+    low, high = max(0, start - half + 1), min(len(pcm), stop + half)
+    padded = np.pad(pcm[low:high].astype(np.float32), (low - (start - half + 1), stop + half - high), mode="edge")
+    n = stop - start
+    out = np.empty((n, factor), np.int16)
+    out[:, 0] = pcm[start:stop]
     for phase in range(1, factor):
-        total = padded[: len(pcm)] * phases[phase, 0]
+        total = padded[:n] * phases[phase, 0]
         for k in range(1, taps):
-            total += padded[k : k + len(pcm)] * phases[phase, k]
+            total += padded[k : k + n] * phases[phase, k]
         out[:, phase] = np.clip(np.rint(total), -32768, 32767)
     return out.ravel()
 
@@ -138,6 +146,7 @@ def codec_by_content(payload: Column) -> Column:
 
 def store(df: DataFrame, payload: str, codec: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``media``: each padded payload inside a WAV container of its codec."""
+    own_names(keep, "media", payload, codec)
     fields = [df.schema[k] for k in keep] + [T.StructField("media", T.BinaryType())]
 
     def build(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +163,26 @@ def load(df: DataFrame, media: str, keep: list[str], factor: int = 2, with_pcm:
     The feature names codec, samples, peak, energy and zero crossings of the decoded sound, and
     count and checksum of the resampled one.
     """
+    own_names(keep, "payload", "pcm", "feature", media)
     extra = [T.StructField("payload", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("feature", T.StringType())]
     laws = {"mulaw": mulaw_table(), "alaw": alaw_table()}
     phases = filter_phases(factor)
 
     def describe(codec: str, pcm: np.ndarray) -> tuple[bytes, str]:
-        wide = pcm.astype(np.int64)
-        out = resample(pcm, phases).astype("<i2").tobytes()
-        sign = pcm >= 0
-        crossings = int(np.count_nonzero(sign[1:] != sign[:-1]))
-        return out, f"codec={codec};samples={len(pcm)};peak={int(np.abs(wide).max())};energy={int((wide * wide).sum())};crossings={crossings};resampled={len(out) // 2};crc={zlib.crc32(out)}"
+        """The resampled sound and the feature; long sounds go through in slices."""
+        peak = energy = crossings = crc = 0
+        parts = []
+        for at in range(0, len(pcm), SLICE):
+            own = pcm[at : at + SLICE]
+            wide = own.astype(np.int64)
+            peak, energy = max(peak, int(np.abs(wide).max())), energy + int((wide * wide).sum())
+            sign = pcm[at : at + SLICE + 1] >= 0
+            crossings += int(np.count_nonzero(sign[1:] != sign[:-1]))
+            made = resample(pcm, phases, at, at + len(own)).astype("<i2").tobytes()
+            crc = zlib.crc32(made, crc)
+            parts.append(made)
+        out = b"".join(parts)
+        return out, f"codec={codec};samples={len(pcm)};peak={peak};energy={energy};crossings={crossings};resampled={len(out) // 2};crc={crc}"
 
     def part(rows: list[tuple]) -> Iterator[tuple]:
         opened = [unwrap(r[0]) for r in rows]
@@ -199,3 +218,8 @@ def load(df: DataFrame, media: str, keep: list[str], factor: int = 2, with_pcm:
             yield from batches(part(held), schema)
 
     return df.select(media, *keep).mapInArrow(read, T.StructType([df.schema[k] for k in keep] + extra))
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Containers or sounds, stored in the shared folder and read from there."""
+    return materialise(df, name)

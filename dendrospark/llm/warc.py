@@ -5,20 +5,24 @@ share one stored body: the page with the largest id is the ``response``, the oth
 ``revisit`` records that carry the payload digest and name it.  Archives are blobs of a few MB
 in a table of the shared folder, so any executor can read any of them.
 
-Reading: members are read one after another.  A member counts only if its checksum, its record
-header, its length and its payload digest all hold.  After a failed check the reader looks for
-the next offset at which a whole valid member or an uncompressed version line with a valid
-record begins, goes on from there, and reports the bytes in between as a ``gap`` row.
+Reading: members are read one after another; one member may hold several records, of any type.  A
+member counts only if its checksum holds, a record only if its header and length do, and its payload
+digest where it has one.  After a failed check the reader looks for the next offset at which a whole
+valid member or an uncompressed version line with a valid record begins, goes on from there, and
+reports the bytes in between as a ``gap`` row.  A record that fails inside a sound member is a gap of
+that member, and so is what follows up to the next valid version line in it.
 
 Defined cases: null html is an empty payload; a null page id is written without an id and comes
 back null; repeated rows are records of their own, and rows that repeat the largest id of their
-payload are all responses; an empty table gives no archives.
+payload are all responses; records of very long pages are held one at a time; an empty table gives
+no archives; further columns of the pages are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, rows_of, utf8
 
+log = logging.getLogger(__name__)
+
 ARCHIVE_BYTES = 4 << 20
 WINDOW = 16 << 10  #: bytes fed to the decompressor at once
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+DATE = "1970-01-01T00:00:00Z"  #: of records whose pages have no date of their own
 RECORDS = "archive_id string, offset long, length long, kind string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, note string"
 
 
@@ -41,7 +48,7 @@ def digest32(payload: bytes) -> str:
 
 def compose(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record; a revisit names its payload but does not hold it."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}"]
     if page_id is not None:
         lines.append(f"WARC-Record-ID: <urn:page:{page_id}>")
     if url is not None:
@@ -72,39 +79,38 @@ def parse(record: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | Non
         return None
     head = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
     size = head.get("content-length", "")
-    if not size.isdigit() or head.get("warc-type") not in ("response", "revisit"):
+    if not size.isdigit() or not head.get("warc-type"):
         return None
     body = record[end + 4 : end + 4 + int(size)]
     stop = end + 4 + int(size)
     if len(body) != int(size) or record[stop : stop + 4] != b"\r\n\r\n":
         return None
-    if head["warc-type"] == "response" and head.get("warc-payload-digest") != f"sha1:{digest32(body)}":
+    named = head.get("warc-payload-digest", "")
+    if head["warc-type"] == "response" and named.startswith("sha1:") and named != f"sha1:{digest32(body)}":
         return None
     return head, body, stop + 4
 
 
-def member_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The valid record, compressed or plain, that begins at ``at``, and the offset after it."""
-    if data.startswith(MAGIC, at):
-        unpack, parts, end = zlib.decompressobj(31), [], at
-        try:
-            while not unpack.eof and end < len(data):
-                parts.append(unpack.decompress(data[end : end + WINDOW]))
-                end += WINDOW
-        except zlib.error:
-            return None
-        if not unpack.eof:
-            return None
-        found = parse(b"".join(parts))
-        return found and (found[0], found[1], min(end, len(data)) - len(unpack.unused_data))
-    return parse(data, at)
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(offset, length, headers, body) of each record; headers are None for a quarantined gap."""
+Found = tuple[int, int, dict[str, str] | None, bytes]  #: offset, length, headers (None for a gap), body
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """The contents of the member that begins at ``at`` and the offset after it, if it is sound."""
+    unpack, parts, end = zlib.decompressobj(31), [], at
+    try:
+        while not unpack.eof and end < len(data):
+            parts.append(unpack.decompress(data[end : end + WINDOW]))
+            end += WINDOW
+    except zlib.error:
+        return None
+    return (b"".join(parts), min(end, len(data)) - len(unpack.unused_data)) if unpack.eof else None
+
+
+def records(text: bytes) -> Iterator[Found]:
+    """The records of a member's contents, and what lies between valid ones."""
     at, bad = 0, -1
-    while at < len(data):
-        found = member_at(data, at)
+    while at < len(text):
+        found = parse(text, at)
         if found:
             if bad >= 0:
                 yield bad, at - bad, None, b""
@@ -113,6 +119,32 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             at = found[2]
             continue
         bad = at if bad < 0 else bad
+        ahead = text.find(VERSION, at + 1)
+        at = ahead if ahead >= 0 else len(text)
+    if bad >= 0:
+        yield bad, len(text) - bad, None, b""
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """Records and quarantined gaps of an archive.  Those inside a member have the member's offset and length."""
+    at, bad = 0, -1
+    while at < len(data):
+        own: list[Found] = []
+        end = at
+        if data.startswith(MAGIC, at) and (opened := inflate(data, at)):
+            end = opened[1]
+            own = [(at, end - at, head, body) for _, _, head, body in records(opened[0])]
+        elif found := parse(data, at):
+            end = found[2]
+            own = [(at, end - at, found[0], found[1])]
+        if any(head for _, _, head, _ in own):
+            if bad >= 0:
+                yield bad, at - bad, None, b""
+                bad = -1
+            yield from own
+            at = end
+            continue
+        bad = at if bad < 0 else bad
         ahead = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
         at = min(ahead, default=len(data))
     if bad >= 0:
@@ -175,7 +207,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         held.append((name, at, length, "gap", None, None, None, None, None, None, f"quarantined bytes {at} to {at + length}"))
                     else:
                         kind = head["warc-type"]
-                        held.append((name, at, length, kind, number(head.get("warc-record-id")), head.get("warc-target-uri"), len(body) if kind == "response" else int(head.get("warc-payload-length", "0")), head.get("warc-payload-digest", "").removeprefix("sha1:"), number(head.get("warc-refers-to")), body if kind == "response" else None, None))
+                        held.append((name, at, length, kind, number(head.get("warc-record-id")), head.get("warc-target-uri"), int(head["warc-payload-length"]) if kind == "revisit" and head.get("warc-payload-length", "").isdigit() else len(body), head.get("warc-payload-digest", "").removeprefix("sha1:"), number(head.get("warc-refers-to")), None if kind == "revisit" else body, None))
                     weight += len(body)
                     if weight > 4 << 20 or len(held) >= 5000:
                         yield flush(held)
@@ -184,3 +216,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield flush(held)
 
     return archives.select("archive_id", "data").mapInArrow(read, RECORDS)
+
+
+def log_gaps(records: DataFrame) -> int:
+    """Warns of quarantined gaps with their number, bytes and archives; returns the number."""
+    found = records.where("kind = 'gap'").agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.count_distinct("archive_id").alias("archives")).first()
+    if found.n:
+        log.warning("%d gaps of %d bytes in %d archives were quarantined", found.n, found.size, found.archives)
+    return int(found.n)

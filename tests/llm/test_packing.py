@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from dendrospark.llm import packing
-from dendrospark.llm.entry import op2_cost_packing
+from dendrospark.llm.entry import VOCABULARY, op2_cost_packing
 
 from .conftest import TEXTS
 
@@ -41,7 +41,6 @@ def test_costs_are_balanced():
 def test_ids_are_those_of_the_tokenizers_library(spark, documents, folder):
     """The rank file gives the ids of the vocabulary's own library, and every id lies in one piece."""
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     rows = op2_cost_packing(spark, folder(documents=documents)).collect()
     by_doc = defaultdict(list)
     for r in rows:
@@ -66,8 +65,23 @@ def test_ids_are_those_of_the_tokenizers_library(spark, documents, folder):
         assert end <= packing.ROOM
 
 
+def test_added_tokens_are_one_id(spark):
+    """Strings of the vocabulary's added tokens become their id, as in the library."""
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f" {mark}  x", f"one\n \n{mark}\n two  {mark}", "<|endoftext|", f"<{mark}>", f"\u00e9{mark}\U0001f600"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(docs, "text", ["doc_id"], *VOCABULARY).collect()
+    assert own.encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
+    for i, text in enumerate(texts):
+        ids = [*own.encode(text, add_special_tokens=False).ids, 1]
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [p.doc_tokens for p in pieces] == [len(ids)] * len(pieces) and sum(p.length for p in pieces) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
+
+
 def test_many_buckets(spark, documents):
-    out = packing.pack_documents(documents, "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bucket_rows=2).collect()
+    out = packing.pack_documents(documents, "text", ["doc_id"], *VOCABULARY, bucket_rows=2).collect()
     seen = Counter((r.sequence_id, o) for r in out for o in range(r.offset, r.offset + r.length))
     assert max(seen.values()) == 1
 

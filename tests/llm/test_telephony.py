@@ -73,3 +73,21 @@ def test_query_on_edge_cases(spark, documents, folder):
 
 def test_empty_table(spark, no_documents, folder):
     assert op1_telephony_audio(spark, folder(documents=no_documents)).count() == 0
+
+
+def test_long_sounds_are_resampled_in_slices():
+    pcm = np.random.default_rng(1).integers(-32768, 32767, 5000).astype(np.int16)
+    phases = telephony.filter_phases(3)
+    whole = telephony.resample(pcm, phases)
+    parts = [telephony.resample(pcm, phases, a, min(a + 7, len(pcm))) for a in range(0, len(pcm), 7)]
+    assert (np.concatenate(parts) == whole).all()
+
+
+def test_sounds_are_stored_and_read_back(spark):
+    docs = spark.createDataFrame([(i, bytearray(bytes([i]) * 64), c) for i, c in enumerate(telephony.CODECS)], "id long, payload binary, codec string")
+    media = telephony.save(telephony.store(docs, "payload", "codec", ["id"]), "media")
+    pcm = telephony.save(telephony.load(media, "media", ["id"]).select("id", "pcm"), "pcm")
+    made = {r.id: bytes(r.pcm) for r in telephony.load(media, "media", ["id"]).collect()}
+    assert {r.id: bytes(r.pcm) for r in pcm.collect()} == made and all(len(v) >= 256 for v in made.values())
+    with pytest.raises(ValueError, match="media"):
+        telephony.store(docs.withColumn("media", docs.payload), "payload", "codec", ["id", "media"])

@@ -78,3 +78,22 @@ def test_gap_rows(spark):
 
 def test_empty_table(spark, folder):
     assert op4_warc_salvage(spark, folder(pages=table(spark).limit(0))).count() == 0
+
+
+def test_members_with_several_records_of_any_type():
+    """A whole archive in one member, records of other types and without digest, damage between them."""
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    bare = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    rows = [info, *records(2), bare]
+    whole = warc.member(b"".join(rows))
+    assert [(h["warc-type"], b) for _, _, h, b in warc.salvage(whole)] == [("warcinfo", b"abcd"), ("response", b"payload 0" * 9), ("response", b"payload 1" * 9), ("response", b"ok")]
+    spoiled = rows[1].replace(b"payload 0", b"payload X", 1)
+    found = list(warc.salvage(warc.member(info + spoiled + rows[2])))
+    assert [h and h["warc-type"] for _, _, h, _ in found] == ["warcinfo", None, "response"]
+
+
+def test_gaps_are_counted_and_logged(spark, caplog):
+    data = b"".join(warc.member(r) for r in records())
+    df = spark.createDataFrame([("a", bytearray(data[:100] + b"\0\0" + data[102:]))], "archive_id string, data binary")
+    assert warc.log_gaps(warc.read_archives(df)) == 1 and "1 gaps of" in caplog.text
+    assert warc.log_gaps(warc.read_archives(df.limit(0))) == 0
