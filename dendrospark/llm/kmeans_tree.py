@@ -1,6 +1,9 @@
 """Approximate nearest neighbours by inner product, with a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every row is then put into the leaf it descends to.  A
+The upper tree is fitted on a sample of ``SAMPLE`` rows.  Leaves grow with the square root of the rows,
+up to ``MOST_LEAVES``; where the sample is too small for so many, each upper leaf gets a tree of its
+own, fitted on an executor on about ``LEAF`` rows for each leaf wanted.  Every row is then put into the
+leaf it descends to.  A
 query visits leaves best bin first: a priority queue holds the open branches by the inner product
 of the query with their centres.  How many leaves it visits is widened until, on a fixed number
 of queries with exactly known neighbours over all rows, the recall wanted is reached.
@@ -14,9 +17,10 @@ hold fewer than k others visits more.  All scores are exact, in double precision
 the vectors as given.
 
 Defined cases: vectors that are null, all zero, or have a null or non-finite component take no
-part; equal scores go to the smaller id; with fewer candidates than k all are returned; an empty
-table gives an empty result.  Ids are expected to be distinct; a row with the query's id is the
-query itself.
+part, nor do those of another length than most (the smaller length of a tie); an id is one vector,
+so of rows that share an id that with the least vector counts, and repeated rows count once; equal
+scores go to the smaller id; with fewer candidates than k all are returned; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE = 20_000  #: rows the tree is fitted on; a leaf has at least LEAF of them
+SAMPLE = 20_000  #: rows the upper tree is fitted on; a leaf has at least LEAF of them
+UPPER = 256  #: leaves of the upper tree where lower ones are fitted
+MOST_LEAVES = 1 << 17  #: bound of the broadcast: 128 MB of centres at 128 dimensions
 FANOUT = 8
 LEAF = 24
 CALIBRATION = 128  #: queries whose exact neighbours are computed
@@ -46,6 +53,20 @@ class Tree:
     def __init__(self, centres: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
         self.centres, self.first, self.count = centres, first, count
 
+    def graft(self, parts: dict[int, Tree]) -> Tree:
+        """This tree with others in the place of leaves."""
+        centres, first, count, size = [self.centres], self.first.copy(), self.count.copy(), len(self.first)
+        firsts, counts = [], []
+        for leaf, part in parts.items():
+            if part.count[0]:
+                # the part's root is the leaf itself
+                first[leaf], count[leaf] = size + part.first[0] - 1, part.count[0]
+                centres.append(part.centres[1:])
+                firsts.append(np.where(part.count[1:] > 0, part.first[1:] + size - 1, 0))
+                counts.append(part.count[1:])
+                size += len(part.first) - 1
+        return Tree(np.concatenate(centres), np.concatenate([first, *firsts]), np.concatenate([count, *counts]))
+
     @property
     def leaves(self) -> np.ndarray:
         return np.flatnonzero(self.count == 0)
@@ -162,7 +183,8 @@ def exact(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> Data
 
 def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: float, least: int = 4) -> int:
     """How many leaves a query must visit: doubled until the measured recall is ``target``."""
-    sample = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toPandas()
+    share = min(1.0, (2 * CALIBRATION + 100) / max(1, queries.count()))
+    sample = queries.where(share_of(F.col("id")) < share).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toPandas()
     if not len(sample):
         return least
     ids, vectors = sample["id"].to_numpy(), np.array(sample["vector"].tolist(), np.float64)
@@ -204,19 +226,67 @@ def pairs(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, queries: np.nd
     return asks[q[keep]], ids[r[keep]], score[keep]
 
 
-def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20, target: float = TARGET) -> DataFrame:
+def fit(rows: DataFrame, drawn: np.ndarray, total: int, upper: int = UPPER, most: int = MOST_LEAVES) -> Tree:
+    """A tree with about the square root of ``total`` leaves, from drawn rows and, if they are too few, from all."""
+    leaves = max(1, min(math.isqrt(total), most))
+    if leaves * LEAF <= len(drawn) or len(drawn) <= LEAF:
+        return grow(drawn, leaf=max(1, len(drawn) // leaves))
+    top = grow(drawn, leaf=max(LEAF, len(drawn) // upper))
+    own, times = np.unique(top.descend(drawn), return_counts=True)
+    # a leaf of many rows gets many leaves, all of them rows in proportion
+    share = min(1.0, leaves * LEAF / total)
+    wanted = {int(n): max(1, round(leaves * int(k) / len(drawn))) for n, k in zip(own, times, strict=True)}
+    shared = rows.sparkSession.sparkContext.broadcast(top)
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            leaf = shared.value.descend(matrix(batch.column("vector"))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column("vector")], ["leaf", "vector"])
+
+    def branch(key: Any, table: pa.Table) -> pa.Table:
+        leaf, vectors = key[0].as_py(), matrix(table.column("vector"))
+        tree = grow(vectors, leaf=max(1, len(vectors) // wanted.get(leaf, 1)))
+        n = len(tree.first)
+        centres = pa.array(list(tree.centres.astype(np.float64)), pa.list_(pa.float64()))
+        return pa.table([pa.array(np.full(n, leaf)), pa.array(np.arange(n)), centres, pa.array(tree.first), pa.array(tree.count)], names=["leaf", "node", "centre", "first", "count"])
+
+    drawn_rows = rows.where(share_of(F.col("id")) < share).select("vector").mapInArrow(place, f"leaf long, vector {kind}")
+    found = drawn_rows.groupBy("leaf").applyInArrow(branch, "leaf long, node long, centre array<double>, first long, count long").toPandas()
+    parts = {}
+    for leaf, own_rows in found.sort_values(["leaf", "node"]).groupby("leaf"):
+        parts[int(leaf)] = Tree(np.array(own_rows["centre"].tolist()), own_rows["first"].to_numpy(), own_rows["count"].to_numpy())
+    return top.graft(parts)
+
+
+def share_of(id_col: Column) -> Column:
+    """A number from 0 to 1 that an id is dealt evenly."""
+    return F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def usable_rows(df: DataFrame, id_col: str, vector_col: str, is_query: Column) -> DataFrame:
+    """(id, vector, asks): one row for each id, all vectors of the length that most have."""
+    rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if sizes is not None:
+        rows = rows.where(F.size("vector") == sizes["n"])
+    return rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+
+
+def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20, target: float = TARGET, sample: int = SAMPLE, upper: int = UPPER) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of every query row."""
     spark = df.sparkSession
-    rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = materialise(usable_rows(df, id_col, vector_col, is_query), "rows")
     kind = rows.schema["vector"].dataType.simpleString()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vector").toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = rows.count()
-    drawn = np.array(sample["vector"].tolist(), np.float64)
-    leaves = max(1, min(math.isqrt(total), len(drawn) // LEAF))
-    tree = grow(drawn, leaf=max(1, len(drawn) // leaves))
-    shared = spark.sparkContext.broadcast((tree, sample["id"].to_numpy(), drawn))
+    # somewhat more than the sample by hash, so that no task sorts more than that
+    drawn_rows = rows.where(share_of(F.col("id")) < min(1.0, (1.2 * sample + 100) / max(1, total)))
+    sampled = drawn_rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vector").toPandas()
+    if not len(sampled):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    drawn = np.array(sampled["vector"].tolist(), np.float64)
+    tree = fit(rows, drawn, total, upper)
+    shared = spark.sparkContext.broadcast((tree, sampled["id"].to_numpy(), drawn))
 
     def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -225,7 +295,7 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
 
     indexed = materialise(rows.mapInArrow(place, f"id long, vector {kind}, asks boolean, leaf long"), "leaves")
     visits = calibrate(tree, indexed.select("id", "vector"), indexed.where("asks").select("id", "vector"), k, target)
-    # at most as many rows as the tree has leaves, which the sample bounds
+    # at most as many rows as the tree has leaves, which MOST_LEAVES bounds
     usual = max(BLOCK, -(-5 * total // (4 * len(tree.leaves))))
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     counts = {leaf: -(-n // usual) for leaf, n in sizes.items()}
@@ -236,8 +306,9 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
         sizes, counts = parts.value
         own_leaf = tree.descend(drawn)
         for batch in source:
-            for at in range(0, batch.num_rows, 128):
-                own = batch.slice(at, 128)
+            step = max(1, min(128, (1 << 24) // len(tree.first)))
+            for at in range(0, batch.num_rows, step):
+                own = batch.slice(at, step)
                 queries, asks = matrix(own.column("vector")), own.column("id").to_numpy()
                 chosen = tree.visits(queries, visits, sizes, k + 1)
                 visited = np.zeros((len(asks), len(tree.count)), bool)

@@ -111,3 +111,54 @@ def test_blocks_of_a_hot_leaf(spark, folder, monkeypatch):
     for r in out.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [v for v, _ in near] for q, near in brute(rows).items()}
+
+
+def test_repeated_ids_and_unequal_lengths(spark, folder):
+    """An id is one vector and is listed once; vectors of another length than most take no part."""
+    rows = [(i, [1.0 + i / 100, 0.5]) for i in range(60)]
+    odd = [(200, [1.0, 2.0, 3.0]), (201, [9.0]), (220, [])]
+    once = op6_kmeans_tree_ann(spark, folder(embeddings=table(spark, rows))).orderBy("query_id", "rank").collect()
+    more = op6_kmeans_tree_ann(spark, folder(embeddings=table(spark, rows + rows + odd + [(7, [9.0, 9.0])]))).orderBy("query_id", "rank").collect()
+    assert once == more and len({r.vec_id for r in once if r.query_id == 0}) == 20
+
+
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(8).standard_normal((100, 16)) * 4
+    x = centres[rng.integers(0, len(centres), n)] + 0.3 * rng.standard_normal((n, 16))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def met(spark, n, seed=3):
+    """Rows that a query meets, and the recall, for a tree whose leaves outgrow the sample."""
+    x = clustered(n, seed)
+    df = spark.createDataFrame([(i, v.tolist(), i % 20 == 0) for i, v in enumerate(x)], "id long, vector array<double>, asks boolean").repartition(4)
+    tree = kmeans_tree.fit(df, x[:600], n, upper=8)
+    leaf = tree.descend(x)
+    assert set(leaf) <= set(tree.leaves.tolist()) and len(tree.leaves) > 600 // kmeans_tree.LEAF
+    visits = kmeans_tree.calibrate(tree, df, df.where("asks"), 20, 0.94)
+    asks = np.arange(0, n, 20)[:100]
+    seen, hits = 0, 0
+    for q, chosen in zip(asks, tree.visits(x[asks], visits), strict=True):
+        rows = np.flatnonzero(np.isin(leaf, chosen))
+        seen += len(rows)
+        best = np.argsort(-(x @ x[q]), kind="stable")
+        hits += np.isin(best[best != q][:20], rows).sum()
+    return len(tree.leaves), seen / len(asks), hits / len(asks) / 20
+
+
+def test_leaves_grow_with_the_table(spark):
+    """On clustered vectors eight times the rows give some three times the leaves, and far fewer rows met than eight times."""
+    leaves, rows, recall = met(spark, 4000)
+    more_leaves, more_rows, more_recall = met(spark, 32_000)
+    assert more_leaves > 2 * leaves and more_rows < 4 * rows and min(recall, more_recall) >= 0.9
+
+
+def test_search_with_grafted_trees(spark):
+    x = clustered(3000, 4).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    truth = brute(rows)
+    got = {}
+    for r in kmeans_tree.search(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0, sample=500, upper=6).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {v for v, _ in truth[q]}) / 20 for q in truth]) >= 0.9
