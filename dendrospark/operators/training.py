@@ -1,28 +1,36 @@
 """Multiclass gradient boosting by distributed histograms.
 
-A level of a tree costs one aggregate: gradients and their curvatures summed by class, node,
-feature and bin, combined before the shuffle, so what is shuffled has the size of the histogram
-and not of the data.  Splits are chosen from running sums over the bins, once with missing values
-to the left and once to the right.  Only the chosen splits, a row for each open node, reach the
-driver.  Margins live in a table that is written to the shared folder after each round.
+Rows are read once into a table of bins.  A level of a round's trees costs one pass: each task walks
+its rows down the trees so far, adds their gradients and curvatures up by class, open node, feature
+and bin with numpy, and gives out one partial histogram, so what is shuffled has the size of the
+histogram and not of the data.  Sums are whole numbers in units of 2 ** -28, so that no order of rows
+or tasks changes them.  The summed histogram, at most ``MOST_CELLS`` cells a pass, is of the size of a
+model and reaches the driver, where splits are chosen from running sums over the bins, once with
+missing values to the left and once to the right.  Margins are written every ``KEEP`` rounds; trees
+since then are walked again, in their order, so margins are the same FP32 sums.
+
+``histogram`` and ``best_splits`` are the same two steps as DataFrame operations.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fp32 import word_of
 from ..functions.models import TREES
 from ..plans.options import training_parameters
-from ..plans.storage import bounded, cut
+from ..plans.storage import cut
 
-MOST_OPEN = 1 << 16
+UNIT = float(1 << 28)
+MOST_CELLS = 1 << 21  #: cells of a pass: classes, open nodes, features and bins; levels of more take several
+KEEP = 16
 
 
 def require_labels(rows: DataFrame, label: str, classes: int) -> None:
@@ -109,6 +117,124 @@ def leaf_value(g: float, h: float, p: dict[str, Any]) -> float:
     return float(np.float32(-g / (h + p["lambda"]) * p["eta"]))
 
 
+class Tree:
+    """The tree of a class in a round, on bins: what ``split`` made of its nodes so far."""
+
+    def __init__(self) -> None:
+        self.feature, self.last, self.left = [-1], [0], [-1]
+        self.default_left = [False]
+        self.value = [0.0]
+
+    def split(self, node: int, feature: int, last: int, default_left: bool) -> int:
+        left = len(self.feature)
+        self.feature[node], self.last[node], self.default_left[node], self.left[node] = feature, last, default_left, left
+        for column, empty in ((self.feature, -1), (self.last, 0), (self.left, -1), (self.default_left, False), (self.value, 0.0)):
+            column += [empty, empty]
+        return left
+
+    def arrive(self, bins: np.ndarray) -> np.ndarray:
+        """The node where each row of bins ends."""
+        at = np.zeros(len(bins), np.int64)
+        feature, last, left, default_left = (np.array(c) for c in (self.feature, self.last, self.left, self.default_left))
+        rows = np.arange(len(bins))
+        while True:
+            own = feature[at[rows]]
+            rows = rows[own >= 0]
+            if not len(rows):
+                return at
+            node = at[rows]
+            b = bins[rows, feature[node]]
+            goes = np.where(b < 0, default_left[node], b <= last[node])
+            at[rows] = left[node] + ~goes
+
+
+def add_up(margins: np.ndarray, rounds: list[list[Tree]], bins: np.ndarray) -> np.ndarray:
+    """FP32 margins after further rounds, added in their order."""
+    for trees in rounds:
+        for k, tree in enumerate(trees):
+            margins[:, k] += np.array(tree.value, np.float32)[tree.arrive(bins)]
+    return margins
+
+
+def slopes(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and curvatures by row and class, in whole units: as ``gradients`` has them."""
+    raised = np.exp((margins - margins.max(1, keepdims=True)).astype(np.float64))
+    total = np.zeros(len(margins))
+    for k in range(margins.shape[1]):
+        total += raised[:, k]
+    p = raised / total[:, None]
+    g = p - (label[:, None] == np.arange(margins.shape[1]))
+    return np.rint(g * UNIT), np.rint(np.maximum(2 * p * (1 - p), 1e-16) * UNIT)
+
+
+def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and margins of a batch's rows."""
+    bins, margins = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("bins", "margins"))
+    return bins.astype(np.int64), margins.astype(np.float32)
+
+
+def level(state: DataFrame, rounds: list[list[Tree]], now: list[Tree], open_nodes: list[tuple[int, int]], width: int, features: int) -> np.ndarray:
+    """The summed histogram of ``open_nodes`` (class, node): [open node, feature, bin from -1, (g, h, n)]."""
+    spark = state.sparkSession
+    shared = spark.sparkContext.broadcast((rounds, now, open_nodes))
+    shape = (len(open_nodes), features, width + 1)
+
+    def part(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds, now, open_nodes = shared.value
+        sums = np.zeros((3, math.prod(shape)), np.int64)
+        for batch in source:
+            for at in range(0, batch.num_rows, 1 << 16):
+                rows = batch.slice(at, 1 << 16)
+                bins, margins = matrices(rows)
+                g, h = slopes(add_up(margins, rounds, bins), rows.column("label").to_numpy())
+                ends = [tree.arrive(bins) for tree in now]
+                for slot, (k, node) in enumerate(open_nodes):
+                    own = ends[k] == node
+                    if own.any():
+                        weights = g[own, k], h[own, k]
+                        for f in range(features):
+                            cell = bins[own, f] + 1
+                            base = (slot * features + f) * (width + 1)
+                            for i, w in enumerate((*weights, None)):
+                                sums[i, base : base + width + 1] += np.bincount(cell, w, width + 1).astype(np.int64)
+        cells = np.flatnonzero(sums[2])
+        yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(s[cells]) for s in sums)], ["cell", "g", "h", "n"])
+
+    partial = state.select("label", "bins", "margins").mapInArrow(part, "cell long, g long, h long, n long")
+    found = partial.groupBy("cell").agg(*(F.sum(c).alias(c) for c in "ghn")).toArrow()
+    out = np.zeros((math.prod(shape), 3), np.int64)
+    out[found.column("cell").to_numpy()] = np.stack([found.column(c).to_numpy() for c in "ghn"], 1)
+    return out.reshape(*shape, 3)
+
+
+def choose(hist: np.ndarray, p: dict[str, Any]) -> dict[str, Any]:
+    """The best split of a node from its histogram [feature, bin from -1, (g, h, n)], by the rules of ``best_splits``."""
+    g, h, n = hist[..., 0] / UNIT, hist[..., 1] / UNIT, hist[..., 2]
+    out: dict[str, Any] = {"g": float(g[0].sum()), "h": float(h[0].sum()), "feature": None}
+
+    def worth(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (np.sign(g) * np.maximum(np.abs(g) - p["alpha"], 0)) ** 2 / (h + p["lambda"])
+
+    best: tuple = ()
+    for f in range(len(hist)):
+        seen = np.flatnonzero(n[f, 1:])
+        if not len(seen):
+            continue
+        for default_left in (False, True):
+            gl = np.cumsum(g[f, 1:]) + (g[f, 0] if default_left else 0.0)
+            hl = np.cumsum(h[f, 1:]) + (h[f, 0] if default_left else 0.0)
+            gr, hr = out["g"] - gl, out["h"] - hl
+            gain = worth(gl, hl) + worth(gr, hr) - worth(np.array(out["g"]), np.array(out["h"]))
+            last = seen[-1]
+            for b in seen.tolist():
+                heavy = hl[b] >= p["min_child_weight"] and hr[b] >= p["min_child_weight"] and (b < last or (not default_left and n[f, 0] > 0))
+                if heavy and gain[b] > max(p["gamma"], 1e-6):
+                    best = max(best, (float(gain[b]), -f, -b, not default_left, float(gl[b]), float(hl[b])))
+    if best:
+        out |= {"feature": -best[1], "bin": -best[2], "default_left": not best[3], "gl": best[4], "hl": best[5]}
+    return out
+
+
 def train(rows: DataFrame, features: list[str], label: str, classes: int, parameters: dict[str, Any]) -> tuple[DataFrame, list[float]]:
     """(trees, bias) fitted to all ``rows``; float features, NaN for missing, labels from 0.
 
@@ -119,60 +245,63 @@ def train(rows: DataFrame, features: list[str], label: str, classes: int, parame
     require_labels(rows, label, classes)
     spark = rows.sparkSession
     cuts = quantile_cuts(rows, features, int(p["max_bin"]))
+    width = max(len(c) for c in cuts) + 1
     base = rows.select(F.col(label).cast("int").alias("label"), bin_columns(rows, features, cuts).alias("bins"))
     state = cut(base.withColumn("margins", F.array(*(F.lit(0.0).cast("float") for _ in range(classes)))), "margins")
+    at_once = max(1, MOST_CELLS // (len(features) * (width + 1)))
+    done: list[list[Tree]] = []
+    kept = 0
     out: list[tuple] = []
     for turn in range(p["rounds"]):
-        own: list[list[tuple | None]] = [[None] for _ in range(classes)]  # nodes of each class's tree
-        live = state.withColumn("grads", gradients(F.col("margins"), F.col("label"), classes)).withColumn("at", F.array(*(F.lit(0) for _ in range(classes))))
+        live = state
         if p.get("subsample", 1.0) < 1:
-            share = F.pmod(F.xxhash64("bins", "label", F.lit(turn), F.lit(p["seed"])), F.lit(1 << 20)) < int(p["subsample"] * (1 << 20))
-            live = live.withColumn("used", share)
-        else:
-            live = live.withColumn("used", F.lit(True))
-        live = cut(live, "live")
+            live = state.where(F.pmod(F.xxhash64("bins", "label", F.lit(turn), F.lit(p["seed"])), F.lit(1 << 20)) < int(p["subsample"] * (1 << 20)))
+        own = [Tree() for _ in range(classes)]
         sums: list[dict[int, tuple[float, float]]] = [{} for _ in range(classes)]
+        open_nodes = [(k, 0) for k in range(classes)]
         for _ in range(p["max_depth"]):
-            picks = bounded(best_splits(histogram(live.where("used")), p), MOST_OPEN, "open nodes")
-            moves: list[list[tuple]] = [[] for _ in range(classes)]
-            for r in sorted(picks, key=lambda r: (r["class"], r["node"])):
-                k, node = r["class"], r["node"]
-                tree = own[k]
-                sums[k][node] = (r["g"], r["h"])
-                if r["feature"] is None:
-                    continue
-                left = len(tree)
-                tree += [None, None]
-                sums[k][left], sums[k][left + 1] = (r["gl"], r["hl"]), (r["g"] - r["gl"], r["h"] - r["hl"])
-                here = cuts[r["feature"]]
-                # a split after the last bin parts known values from missing ones
-                bound = here[r["bin"]] if r["bin"] < len(here) else float("inf")
-                tree[node] = (r["feature"], bound, word_of(bound), r["default_left"], left, left + 1, None)
-                moves[k].append((node, r["feature"], r["bin"], r["default_left"], left))
-            if not any(moves):
+            found = []
+            for at in range(0, len(open_nodes), at_once):
+                found += [choose(h, p) for h in level(live, done[kept:], own, open_nodes[at : at + at_once], width, len(features))]
+            further = []
+            for (k, node), pick in zip(open_nodes, found, strict=True):
+                sums[k][node] = pick["g"], pick["h"]
+                if pick["feature"] is not None:
+                    left = own[k].split(node, pick["feature"], pick["bin"], pick["default_left"])
+                    sums[k][left], sums[k][left + 1] = (pick["gl"], pick["hl"]), (pick["g"] - pick["gl"], pick["h"] - pick["hl"])
+                    further += [(k, left), (k, left + 1)]
+            open_nodes = further
+            if not open_nodes:
                 break
-            live = cut(live.withColumn("at", F.array(*(descend(F.get("at", F.lit(k)), m) for k, m in enumerate(moves)))), "live")
-        values = []
         for k, tree in enumerate(own):
-            tree[:] = [t or (-1, None, None, None, -1, -1, leaf_value(*sums[k].get(n, (0.0, 0.0)), p)) for n, t in enumerate(tree)]
-            for node, t in enumerate(tree):
-                out.append((turn * classes + k, k, node, *t))
-            # ``at`` holds -2 - leaf once a row's node is closed
-            where = F.get("at", F.lit(k))
-            values.append(reduce(lambda c, n, where=where, tree=tree: F.when((where == n) | (where == -2 - n), F.lit(tree[n][6]).cast("float")).otherwise(c), [n for n, t in enumerate(tree) if t[0] < 0], F.lit(0.0).cast("float")))
-        added = F.array(*((F.get("margins", F.lit(k)) + v).cast("float") for k, v in enumerate(values)))
-        state = cut(live.select("label", "bins", added.alias("margins")), "margins")
+            for node, feature in enumerate(tree.feature):
+                if feature < 0:
+                    tree.value[node] = leaf_value(*sums[k].get(node, (0.0, 0.0)), p)
+                    out.append((turn * classes + k, k, node, -1, None, None, None, -1, -1, tree.value[node]))
+                else:
+                    here = cuts[feature]
+                    # a split after the last bin parts known values from missing ones
+                    bound = here[tree.last[node]] if tree.last[node] < len(here) else float("inf")
+                    out.append((turn * classes + k, k, node, feature, bound, word_of(bound), bool(tree.default_left[node]), tree.left[node], tree.left[node] + 1, None))
+        done.append(own)
+        if len(done) - kept >= KEEP and turn + 1 < p["rounds"]:
+            state, kept = cut(with_margins(state, done[kept:]), "margins"), len(done)
     return spark.createDataFrame(out, TREES), [0.0] * classes
 
 
-def descend(at: Column, moves: list[tuple]) -> Column:
-    """The next node of a row: a child where its node was split, closed where it was not."""
-    out = F.when(at >= 0, -2 - at).otherwise(at)
-    for node, feature, last, default_left, left in moves:
-        b = F.get("bins", F.lit(feature))
-        goes = F.when(b < 0, F.lit(default_left)).otherwise(b <= last)
-        out = F.when(at == node, F.when(goes, left).otherwise(left + 1)).otherwise(out)
-    return out.cast("int")
+def with_margins(state: DataFrame, rounds: list[list[Tree]]) -> DataFrame:
+    """``state`` with its margins after further rounds."""
+    shared = state.sparkSession.sparkContext.broadcast(rounds)
+
+    def part(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows:
+                bins, margins = matrices(batch)
+                margins = add_up(margins.copy(), shared.value, bins)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1) * margins.shape[1], pa.int32()), pa.array(margins.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("bins"), lists], ["label", "bins", "margins"])
+
+    return state.select("label", "bins", "margins").mapInArrow(part, "label int, bins array<int>, margins array<float>")
 
 
 def prefix(trees: DataFrame, rounds: int, classes: int) -> DataFrame:

@@ -126,3 +126,26 @@ def test_blocks_and_folds(spark):
 
 def test_model_table_schema(spark):
     assert trees_table(spark, []).columns[0] == "tree"
+
+
+def test_margins_written_between_rounds_change_nothing(spark, clusters, monkeypatch):
+    keep = ["tree", "node", "feature", "cut", "default_left", "left", "right", "value"]
+    whole = training.train(clusters, NAMES, "label", 3, PLAN)[0].select(*keep).collect()
+    monkeypatch.setattr(training, "KEEP", 1)
+    monkeypatch.setattr(training, "MOST_CELLS", 40)
+    assert training.train(clusters.repartition(3), NAMES, "label", 3, PLAN)[0].select(*keep).collect() == whole
+
+
+def test_choice_equals_that_of_the_data_frame_form(spark, clusters):
+    """The driver's choice on a summed histogram and ``best_splits`` agree."""
+    p = options.training_parameters(PLAN, 3)
+    cuts = training.quantile_cuts(clusters, NAMES, 16)
+    zero = F.array(*(F.lit(0.0).cast("float") for _ in range(3)))
+    rows = clusters.select("label", training.bin_columns(clusters, NAMES, cuts).alias("bins"), zero.alias("margins"))
+    live = rows.withColumn("grads", training.gradients(F.col("margins"), F.col("label"), 3)).withColumn("at", F.array(*(F.lit(0) for _ in range(3))))
+    want = {r["class"]: r for r in training.best_splits(training.histogram(live), p).collect()}
+    width = max(map(len, cuts)) + 1
+    for k, hist in enumerate(training.level(rows, [], [training.Tree() for _ in range(3)], [(k, 0) for k in range(3)], width, 2)):
+        got = training.choose(hist, p)
+        assert (got["feature"], got["bin"], got["default_left"]) == (want[k].feature, want[k].bin, want[k].default_left)
+        assert abs(got["gl"] - want[k].gl) < 1e-5 and abs(got["h"] - want[k].h) < 1e-5
