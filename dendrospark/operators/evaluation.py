@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_least, sliding
+
 
 def accuracy_by_role(scored: DataFrame, label: str = "label", predicted: str = "class", role: str = "role") -> DataFrame:
     """(role, rows, errors, accuracy)."""
@@ -75,9 +77,8 @@ def gates_by_block(scored: DataFrame, block: Column, candidate: str, baseline: s
 
 def incumbents(candidates: DataFrame) -> DataFrame:
     """(ord, errors, bytes, best_ord, became_incumbent): the best so far by errors, size and order."""
-    key = F.struct("errors", "bytes", "ord")
-    best = F.min(key).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return candidates.withColumn("best", best).select("ord", "errors", "bytes", F.col("best.ord").alias("best_ord"), (F.col("best.ord") == F.col("ord")).alias("became_incumbent"))
+    best = running_least(candidates, "ord", F.struct("errors", "bytes", "ord"))
+    return best.select("ord", "errors", "bytes", F.col("_least.ord").alias("best_ord"), (F.col("_least.ord") == F.col("ord")).alias("became_incumbent"))
 
 
 def winner(candidates: DataFrame) -> DataFrame:
@@ -101,9 +102,10 @@ def coverage_audit(responses: DataFrame, rows: DataFrame, teachers: int, classes
 
 
 def throughput(progress: DataFrame, steps: int = 4) -> DataFrame:
-    """``progress`` (step, work, seconds) with the rate over the last ``steps`` steps."""
-    w = Window.orderBy("step").rowsBetween(1 - steps, 0)
-    return progress.withColumn("rate", F.sum("work").over(w) / F.sum("seconds").over(w))
+    """``progress`` (step, work, seconds; steps differ) with the rate over the last ``steps`` steps."""
+    w = Window.partitionBy("_chunk").orderBy("_place").rowsBetween(1 - steps, 0)
+    rated = sliding(progress, "step", steps).withColumn("rate", F.sum("work").over(w) / F.sum("seconds").over(w))
+    return rated.where("NOT _copy").drop("_place", "_chunk", "_copy")
 
 
 def tree_conflicts(boxes: DataFrame) -> DataFrame:

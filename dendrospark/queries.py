@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
-from .operators import compiler, evaluation, graph, grid, policy, regions, scoring, study, training
+from .operators import compiler, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
 from .sources.tables import apply_labels, first_seen_labels
+from .streaming.scoring import class_counts, latest_counts, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,19 +203,19 @@ def embedding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.classify(rows, forest(spark, WIDE_FOREST), WIDE, [0.0] * 10, how="arrays").select("vec_id", "class")
 
 
-@query()
+@query(f"WITH t AS (SELECT ts, CAST(value AS FLOAT) AS x0, CAST(user_id AS FLOAT) AS x1, CAST(event_id % 100 AS FLOAT) AS x2 FROM events) SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day, class, CAST(count(*) AS BIGINT) AS rows FROM {scored_sql(source='t')} GROUP BY 1, 2")
 def stream_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts from a stream: files as they come, a compiled graph, event-time windows."""
-    from .streaming.scoring import class_counts, score_stream
+    """Counts by day from a stream: files as they come, a compiled graph, event-time windows.
 
+    Each batch replaces the counts in the shared folder.
+    """
     nodes, root = compiled(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     rows = source.select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("float").alias("x0"), F.col("user_id").cast("float").alias("x1"), (F.col("event_id") % 100).cast("float").alias("x2"))
     counts = class_counts(score_stream(rows, nodes, root, NAMES), "ts", "1 day", "1 day")
-    running = counts.writeStream.format("memory").queryName("stream_class_counts").outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table("stream_class_counts")
+    path = latest_counts(counts)
+    return spark.read.schema(counts.schema).parquet(path).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "class", "rows")
 
 
 # ---- evaluation and folds --------------------------------------------------------------------
@@ -376,12 +377,10 @@ def exactly_one_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(dense_rank() OVER (ORDER BY CAST(v AS FLOAT)) AS BIGINT) AS place, CAST(v AS DOUBLE) AS back FROM (SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN -value ELSE value END AS FLOAT) AS v FROM events)")
 def float_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits of floats: their order keys sort as the floats do, and the bits give the floats back."""
-    from pyspark.sql import Window
-
     v = F.when(F.col("event_id") % 2 == 0, -F.col("value")).otherwise(F.col("value")).cast("float")
     words = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", fp32.bits(v).alias("word"))
-    place = F.dense_rank().over(Window.orderBy(fp32.order_key(F.col("word")))).cast("long")
-    return words.select("event_id", place.alias("place"), fp32.from_bits(F.col("word")).cast("double").alias("back"))
+    words = words.withColumn("key", fp32.order_key(F.col("word")))
+    return words.join(ordered.dense_places(words, "key"), "key").select("event_id", "place", fp32.from_bits(F.col("word")).cast("double").alias("back"))
 
 
 @query(f"WITH {EVENTS} SELECT row_id, CAST(CASE WHEN isnan(x0) THEN -1 ELSE (x0 >= 10)::INT + (x0 >= 40)::INT + (x0 >= 90.5)::INT END AS INTEGER) AS place FROM x")
@@ -643,18 +642,21 @@ def train_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL = {"rounds": 2, "max_depth": 2, "max_bin": 16, "eta": 0.5}
 
 
+DEEP = {"rounds": 8, "max_depth": 4, "max_bin": 16, "eta": 0.5}
+
+
 @query()
 def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("role = 'FIT'")
-    return training.train(rows, NAMES, "label", K, SMALL)[0]
+    return training.train(rows, NAMES, "label", K, DEEP)[0]
 
 
-@query()
+@query("SELECT CAST(0 AS BIGINT) AS mismatches")
 def train_compile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trained ensemble, compiled, and both compared on every cell of its grid."""
     trees, bias = training.train(events(spark, sf_dir).where("role = 'FIT'"), NAMES, "label", K, SMALL)
     nodes, root = compiler.compile_graph(trees, bias, len(NAMES))
-    return grid.audit(trees, bias, nodes, root, len(NAMES))
+    return grid.audit(trees, bias, nodes, root, len(NAMES)).select("mismatches")
 
 
 @query()
