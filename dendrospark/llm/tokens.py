@@ -5,13 +5,15 @@ fixed file).  Texts are cut into overlapping chunks, so that one long text is pr
 many tasks.  The pre-tokeniser looks only ahead, and at most ``MARGIN`` characters past a token;
 so from an offset where two neighbouring chunks both have a boundary, both go on alike.  Each
 chunk owns the tokens between the first such offset it shares with its predecessor and the one
-it shares with its successor.  Where an overlap holds no such offset (a run longer than the
-overlap), the text is pre-tokenised whole, in one task.  Pieces are then encoded one by one;
-decoding concatenates the bytes of the ids.
+it shares with its successor, and they are encoded where the chunk is; a row takes its chunks' ids
+together.  Where an overlap holds no such offset (a run longer than the overlap), the text is
+pre-tokenised and encoded whole, in one task.  Both ways give the same ids.  Decoding concatenates the
+bytes of the ids.
 
 Defined cases: null text is empty and has no ids; repeated rows keep their own results, since
 chunks are grouped by a key of the row, not of the document; lone tokens of any length are
-encoded whole.
+encoded whole; an empty table gives no rows.  Columns named ``ids``, ``decoded`` or starting with ``_``
+cannot be kept (ValueError).
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rows_of
+from .common import batches, materialise, own_names, rows_of
 
 CHUNK, OVERLAP, MARGIN = 32_768, 512, 4  #: characters; a chunk is shorter than 65,536
 CACHED = 200_000  #: pieces whose ids a task remembers
@@ -93,6 +96,7 @@ def first_common(tail: list[int] | None, head: list[int] | None, end: int) -> in
 
 def encode_documents(df: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int], pattern: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``keep`` columns, ``ids`` (array<int>) and ``decoded`` (binary, from the ids) of every row."""
+    own_names(keep, "ids", "decoded")
     spark = df.sparkSession
     name = hashlib.sha256(repr(sorted(ranks.items(), key=lambda x: x[1])[-50:]).encode() + str(len(ranks)).encode() + pattern.encode()).hexdigest()
     shared = spark.sparkContext.broadcast(ranks)
@@ -135,44 +139,79 @@ def encode_documents(df: DataFrame, text: str, keep: list[str], ranks: dict[byte
 
     cut_type = T.StructType([T.StructField("_row", T.StringType()), *kept, T.StructField("_k", T.IntegerType()), T.StructField("_of", T.IntegerType()), T.StructField("_start", T.LongType()), T.StructField("_chunk", T.StringType())])
     chunks = chunked.mapInArrow(cut, cut_type).repartition("_row", "_k")
+    ends = T.ArrayType(T.LongType())
+    cut_chunks = materialise(chunks.mapInArrow(partial(boundaries, name, shared, pattern, overlap), T.StructType([*cut_type.fields, T.StructField("_stop", T.LongType()), T.StructField("_head", ends), T.StructField("_tail", ends)])), "chunks")
 
-    def encode_chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the lengths of the chunk's pieces, as unsigned 16-bit numbers."""
-        code = coder(name, shared, pattern)
-        for batch in source:
-            schema = pa.schema([("_row", pa.string()), *(batch.schema.field(k) for k in keep), ("_k", pa.int32()), ("_of", pa.int32()), ("_start", pa.int64()), ("_chunk", pa.string()), ("_lengths", pa.binary())])
+    # Where neighbours agree is found from the boundaries in their overlaps; texts stay where they are.
+    by_row = Window.partitionBy("_row").orderBy("_k")
+    common = F.filter(F.array_intersect("_tail", F.lead("_head").over(by_row)), lambda x: x <= F.col("_stop") - MARGIN)
+    joints = cut_chunks.select("_row", "_k", "_of", "_stop", F.array_min(common).alias("_joint")).withColumn("_first", F.coalesce(F.lag("_joint").over(by_row), F.lit(0)))
+    apart = (F.col("_joint").isNull() & (F.col("_k") < F.col("_of") - 1)).cast("int")
+    joints = joints.select("_row", "_k", "_first", F.coalesce("_joint", "_stop").alias("_last"), F.max(apart).over(Window.partitionBy("_row")).alias("_apart"))
+    own = cut_chunks.drop("_head", "_tail", "_stop").join(joints, ["_row", "_k"])
 
-            def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
-                for row, k, of, start, body, *rest in rows_of(batch, "_row", "_k", "_of", "_start", "_chunk", *keep):
-                    yield (row, *rest, k, of, start, body, np.array([len(p) for p in code.pieces(body)], "<u2").tobytes())
+    part_type = T.StructType([T.StructField("_row", T.StringType()), *kept, T.StructField("_k", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    coded = own.where("_apart = 0").select("_row", *keep, "_k", "_start", "_first", "_last", "_chunk").mapInArrow(partial(encode_parts, name, shared, pattern, keep), part_type)
 
-            yield from batches(rows(), schema, 2 << 20, 500)
+    def unsynced(table: pa.Table) -> pa.Table:
+        return encode_whole(name, shared, pattern, keep, table)
 
-    ends_type = T.StructType([*cut_type.fields, T.StructField("_lengths", T.BinaryType())])
-    cut_chunks = chunks.mapInArrow(encode_chunks, ends_type)
+    coded = coded.unionByName(own.where("_apart = 1").groupBy("_row").applyInArrow(unsynced, part_type))
+    gathered = coded.groupBy("_row").agg(*(F.min_by(k, "_k").alias(k) for k in keep), F.sort_array(F.collect_list(F.struct("_k", "ids"))).alias("_parts"))
+    joined = gathered.select(*keep, F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
 
-    def stitch(key: Any, table: pa.Table) -> pa.Table:
-        """One text: the chunks' boundaries joined where they resynchronise, then encoded."""
+    def restore(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(name, shared, pattern)
-        rows = sorted(table.to_pylist(), key=lambda r: r["_k"])
-        for r in rows:
-            r["_ends"] = (r["_start"] + np.cumsum(np.frombuffer(r["_lengths"], "<u2"), dtype=np.int64)).tolist()
-        joints = [first_common([e for e in a["_ends"] if e > b["_start"]], b["_ends"], a["_start"] + len(a["_chunk"])) for a, b in zip(rows, rows[1:], strict=False)]
-        if None in joints:
-            body = rows[0]["_chunk"] + "".join(b["_chunk"][a["_start"] + len(a["_chunk"]) - b["_start"] :] for a, b in zip(rows, rows[1:], strict=False))
-            ids = code.encode(code.pieces(body))
-        else:
-            ids = []
-            for row, first, last in zip(rows, [0, *joints], [*joints, rows[-1]["_start"] + len(rows[-1]["_chunk"])], strict=True):
-                at, own = first, []
-                for end in row["_ends"]:
-                    if first < end <= last:
-                        own.append(row["_chunk"][at - row["_start"] : end - row["_start"]])
-                        at = end
-                ids += code.encode(own)
-        head = rows[0]
-        columns = [pa.array([head[k]], table.schema.field(k).type) for k in keep]
-        return pa.table([*columns, pa.array([ids], pa.list_(pa.int32())), pa.array([code.decode(ids)], pa.binary())], names=[*keep, "ids", "decoded"])
-
-    stitched = cut_chunks.groupBy("_row").applyInArrow(stitch, out_type)
-    return whole.unionByName(stitched)
+        for batch in source:
+            made = ((*row, code.decode(row[-1])) for row in rows_of(batch, *keep, "ids"))
+            yield from batches(made, out_schema(batch), most=1)
+
+    return whole.unionByName(joined.mapInArrow(restore, out_type))
+
+
+def boundaries(name: str, shared: Any, pattern: str, overlap: int, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a chunk's end, and the ends of its pieces within the overlaps at its head and tail."""
+    code = coder(name, shared, pattern)
+    for batch in source:
+        schema = pa.schema([*batch.schema, ("_stop", pa.int64()), ("_head", pa.list_(pa.int64())), ("_tail", pa.list_(pa.int64()))])
+
+        def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
+            at = batch.schema.names.index("_start")
+            for row in rows_of(batch, *batch.schema.names):
+                start, body = row[at], row[-1]
+                ends = start + np.cumsum([len(p) for p in code.pieces(body)], dtype=np.int64)
+                stop = start + len(body)
+                yield (*row, stop, ends[ends <= start + overlap].tolist(), ends[ends > stop - overlap].tolist())
+
+        yield from batches(rows(), schema, 2 << 20, 500)
+
+
+def encode_parts(name: str, shared: Any, pattern: str, keep: list[str], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of a chunk's own pieces: those that end after its first joint, up to its last."""
+    code = coder(name, shared, pattern)
+    for batch in source:
+        schema = pa.schema([batch.schema.field("_row"), *(batch.schema.field(k) for k in keep), batch.schema.field("_k"), ("ids", pa.list_(pa.int32()))])
+
+        def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
+            for row, *rest, k, start, first, last, body in rows_of(batch, "_row", *keep, "_k", "_start", "_first", "_last", "_chunk"):
+                at, own = start, []
+                for piece in code.pieces(body):
+                    at += len(piece)
+                    if first < at <= last:
+                        own.append(piece if at - len(piece) >= first else piece[first - at :])
+                yield (row, *rest, k, code.encode(own))
+
+        yield from batches(rows(), schema, 1 << 20, 200)
+
+
+def encode_whole(name: str, shared: Any, pattern: str, keep: list[str], table: pa.Table) -> pa.Table:
+    """The ids of a text whose chunks do not resynchronise: a run longer than an overlap."""
+    code = coder(name, shared, pattern)
+    table = table.sort_by("_k")
+    parts, end = [], 0
+    for start, body in zip(table.column("_start").to_pylist(), table.column("_chunk").to_pylist(), strict=True):
+        parts.append(body[end - start :])
+        end = start + len(body)
+    ids = code.encode(code.pieces("".join(parts)))
+    head = table.slice(0, 1)
+    return pa.table([head.column("_row"), *(head.column(k) for k in keep), head.column("_k"), pa.array([ids], pa.list_(pa.int32()))], names=["_row", *keep, "_k", "ids"])

@@ -69,3 +69,20 @@ def test_empty_tables(spark, folder):
     assert op10_url_bloom(spark, folder(pages=pages(spark).limit(0))).count() == 0
     none = spark.createDataFrame([], "url string")
     assert {r.verdict for r in url_filter.judge(pages(spark, ["http://spam-farm.example.net/a"]), none).collect()} == {"allow"}
+
+
+def test_filter_grows_with_the_list():
+    assert url_filter.blocks_for(0) == url_filter.LEAST_BLOCKS and url_filter.blocks_for(10**12) == url_filter.MOST_BLOCKS
+    for n in (10**5, 10**6, 10**7):
+        blocks = url_filter.blocks_for(n)
+        assert blocks & (blocks - 1) == 0 and 256 * blocks >= 16 * n and url_filter.pass_rate(n, blocks) < 0.003
+
+
+def test_pass_rate_is_about_right(spark):
+    listed = spark.range(40_000).selectExpr("concat('h.example/', id) AS url")
+    blocks = url_filter.blocks_for(40_000)
+    bloom = url_filter.bloom_filter(listed, "url", blocks)
+    probe = spark.range(20_000).selectExpr("concat('other.example/', id) AS u")
+    joined = probe.withColumn("block", url_filter.block_of(probe.u, blocks)).join(bloom, "block", "left")
+    rate = joined.where(url_filter.passes(joined.u)).count() / 20_000
+    assert rate < 3 * url_filter.pass_rate(40_000, blocks) + 0.001
