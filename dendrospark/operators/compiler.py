@@ -15,27 +15,35 @@ so become one node, and nodes with equal children vanish.  Up to ``SMALL`` state
 is done in memory, beyond that by joins.
 
 A state whose winner no open leaf can change is a leaf: its channels' least and greatest sums
-decide, ties going to the smaller class.  A search beyond ``most_states`` raises; a graph is
-never returned incomplete.
+decide, ties going to the smaller class.  They are not looked for where two witness points of the
+region, at its lower and upper ends, have different classes.  A search beyond ``most_states`` raises; a
+graph is never returned incomplete.
+
+With a ``folder`` each wave is kept there with a manifest, and a later call with the same ensemble,
+domain and policy goes on after the last whole wave, once the waves were checked.  With a ``region`` the
+search starts from a part of the domain, and the graph answers for that part alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fp32 import value_of, word_of
 from ..functions.models import NODES, split_mix
-from ..plans.storage import bounded, cut
+from ..plans.storage import bounded, content_id, cut, load, save
 from .graph import MOST_NODES
 
 SMALL = 1 << 16  #: states whose graph is put together in memory
@@ -46,6 +54,20 @@ LOWEST, HIGHEST = -3.4028234663852886e38, 3.4028234663852886e38
 Policy = str | Callable[[list[tuple[int, int, float]]], Any]
 
 
+class Paused(Exception):
+    """A search stopped after a stated number of waves; the folder has them."""
+
+
+@dataclass
+class Region:
+    """A part of a domain: for features, the least and greatest value and whether it may be missing; for
+    groups, the members that may be set.  What is not named is as the domain has it."""
+
+    values: dict[int, tuple[float, float]] = field(default_factory=dict)
+    missing: dict[int, bool] = field(default_factory=dict)
+    members: dict[int, list[int]] = field(default_factory=dict)
+
+
 @dataclass
 class Domain:
     """Whether features may be missing, and groups of 0/1 features of which exactly one is 1."""
@@ -57,8 +79,9 @@ class Domain:
 class Ensemble:
     """Trees in memory: node arrays, cuts by feature, what each subtree reads and its extremes."""
 
-    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64) -> None:
+    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64, screen: bool = True) -> None:
         self.visits = visits  #: nodes of a subtree looked at for its extremes inside a region
+        self.screen = screen  #: whether two points are tried before the extremes
         trees: dict[int, dict[int, object]] = {}
         for r in rows:
             trees.setdefault(r["tree"], {})[r["node"]] = r
@@ -99,10 +122,68 @@ class Ensemble:
         first = sum(c <= LOWEST for c in cuts)
         return first, len(cuts) - sum(c > HIGHEST for c in cuts)
 
-    def start(self) -> tuple:
-        lo, hi = zip(*(self.bins(f) for f in range(self.features)), strict=True)
+    def start(self, region: Region | None = None) -> tuple:
+        """The state of the whole domain or of a region, which must be a part of it and not empty."""
+        part = region or Region()
+        lo, hi = map(list, zip(*(self.bins(f) for f in range(self.features)), strict=True))
+        miss = [part.missing.get(f, self.domain.missing) for f in range(self.features)]
+        if any(miss) and not self.domain.missing:
+            raise ValueError("the domain has no missing values")
+        for f, (low, high) in part.values.items():
+            if f in self.group or not np.isfinite([low, high]).all():
+                raise ValueError(f"feature {f} has no range of values")
+            own = [sum(c <= float(np.float32(v)) for c in self.cuts[f]) for v in (low, high)]
+            lo[f], hi[f] = (max(lo[f], own[0]), min(hi[f], own[1])) if low <= high else (1, 0)
+        if any(lo[f] > hi[f] and not miss[f] for f in range(self.features)):
+            raise ValueError("the region is empty")
         groups = [(1 << len(g)) - 1 for g in self.domain.groups]
-        return [0] * len(self.trees), list(lo), list(hi), [self.domain.missing] * self.features, groups, list(self.bias)
+        for g, members in part.members.items():
+            groups[g] = sum({1 << self.domain.groups[g].index(f) for f in members})
+            if not groups[g]:
+                raise ValueError("the region is empty")
+        return [0] * len(self.trees), lo, hi, miss, groups, list(self.bias)
+
+    def witness(self, state: tuple, mode: int = 0) -> list[float]:
+        """A point of a state's region.  Modes: 0 low ends, 1 high ends, 2 missing, else -0, 3 -0, 4 +0, where they may be.
+
+        Modes 1 and 3 take the last allowed member of a group and the high end else, others the first and the low end.
+        """
+        _, lo, hi, miss, groups, _ = state
+        point: list[float] = []
+        for f in range(self.features):
+            if f in self.group:
+                g, m = self.group[f]
+                allowed = [k for k in range(len(self.domain.groups[g])) if groups[g] >> k & 1]
+                point.append(float(m == allowed[-1 if mode in (1, 3) else 0]))
+                continue
+            cuts = self.cuts[f]
+            if lo[f] > hi[f] or (mode == 2 and miss[f]):
+                point.append(float("nan"))
+                continue
+            low = cuts[lo[f] - 1] if lo[f] else LOWEST
+            high = float(np.nextafter(np.float32(cuts[hi[f]]), np.float32("-inf"))) if hi[f] < len(cuts) else HIGHEST
+            if mode in (2, 3, 4) and low <= 0 <= high:
+                point.append(0.0 if mode == 4 else -0.0)
+            else:
+                point.append(high if mode in (1, 3) else low)
+        return point
+
+    def class_at(self, state: tuple, point: list[float]) -> int:
+        """The class of a point of a state's region, from the scores added so far and the open trees in order."""
+        at, score = state[0], [np.float32(s) for s in state[5]]
+        for t, tree in enumerate(self.trees):
+            n = at[t]
+            if n < 0:
+                continue
+            while (r := tree[n])["feature"] >= 0:
+                x = point[r["feature"]]
+                n = r["left"] if (r["default_left"] if x != x else np.float32(x) < np.float32(r["cut"])) else r["right"]
+            score[self.channel[t]] = np.float32(score[self.channel[t]] + np.float32(r["value"]))
+        return max(range(len(score)), key=lambda k: (score[k], -k))
+
+    def mixed(self, state: tuple) -> bool:
+        """Whether two witness points of the region differ in class, so that no one class can be proved."""
+        return self.class_at(state, self.witness(state, 0)) != self.class_at(state, self.witness(state, 1))
 
     def sides(self, r: object, lo: list[int], hi: list[int], miss: list[bool], groups: list[int]) -> tuple[bool, bool]:
         """Whether some point of the region goes left, and right, at a node."""
@@ -156,13 +237,15 @@ class Ensemble:
                 blocked.add(c)
         low, high = [np.float32(s) for s in score], [np.float32(s) for s in score]
         seen: set[tuple[int, int]] = set()
+        mixed = self.screen and self.mixed(state)
         for t in range(len(self.trees)):
             if at[t] >= 0:
                 c = self.channel[t]
-                least, most = self.extremes(t, at[t], (lo, hi, miss, groups), [self.visits])
-                low[c], high[c] = np.float32(low[c] + least), np.float32(high[c] + most)
+                if not mixed:
+                    least, most = self.extremes(t, at[t], (lo, hi, miss, groups), [self.visits])
+                    low[c], high[c] = np.float32(low[c] + least), np.float32(high[c] + most)
                 seen |= self.reads[t][at[t]]
-        for w in range(len(score)):
+        for w in range(len(score)) if not mixed else ():
             if all(low[w] > high[r] or (low[w] == high[r] and w < r) for r in range(len(score)) if r != w):
                 return b"", w
         used: dict[int, list[int]] = {}
@@ -254,31 +337,125 @@ def expand(front: DataFrame, ensemble: object, policy: Policy, budget: int = BUD
     return front.mapInArrow(draft, EXPANDED)
 
 
-def compile_graph(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_states: int = 1 << 20, budget: int = BUDGET, small: int = SMALL) -> tuple[DataFrame, int]:
-    """(nodes, root) of the graph that gives every point of the domain the ensemble's class."""
+def compile_graph(
+    trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_states: int = 1 << 20, budget: int = BUDGET, small: int = SMALL,
+    region: Region | None = None, folder: str | None = None, most_waves: int | None = None, screen: bool = True,
+) -> tuple[DataFrame, int]:
+    """(nodes, root) of the graph that gives every point of the domain, or of a region, the ensemble's class.
+
+    A search of more than ``most_waves`` waves in this call raises ``Paused``.
+    """
     spark = trees.sparkSession
-    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
-    first, label = own.settle(own.start())
+    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain(), screen=screen)
+    first, label = own.settle(own.start(region))
     if label is not None:
         return spark.createDataFrame([(0, -1, None, None, None, -1, -1, label)], NODES), 0
     shared = spark.sparkContext.broadcast(own)
-    front = spark.createDataFrame([(first,)], "state binary").coalesce(1)
-    states = None
+    waves = Waves(spark, folder, own, region, policy) if folder else None
+    done = waves.restore(first) if waves else []
+    states = union_of(spark, done)
     while True:
-        wave = cut(expand(front, shared, policy, budget), "wave")
-        states = wave if states is None else cut(states.unionByName(wave).dropDuplicates(["state"]), "states")
+        front = cut(spark.createDataFrame([(first,)], "state binary").coalesce(1) if not done else open_children(states).join(states.select("state"), "state", "left_anti"), "front")
+        if done and front.isEmpty():
+            break
+        if most_waves is not None and most_waves <= 0:
+            raise Paused(f"{len(done)} waves are kept")
+        most_waves = most_waves if most_waves is None else most_waves - 1
+        # a task may explore what an earlier wave or another task has
+        wave = expand(front, shared, policy, budget).dropDuplicates(["state"]).join(states.select("state"), "state", "left_anti")
+        done.append(waves.keep(wave, len(done)) if waves else cut(wave, "wave"))
+        states = union_of(spark, done)
         total = states.count()
         if total > most_states:
             raise ValueError(f"the search has more than {most_states} states; no graph is returned")
-        found = wave.select(F.explode(F.array(F.when(F.col("left_class").isNull(), F.col("left")), F.when(F.col("right_class").isNull(), F.col("right")))).alias("state")).where("state IS NOT NULL").distinct()
-        front = cut(found.join(states.select("state"), "state", "left_anti"), "front")
-        if front.isEmpty():
-            break
-    if total <= small:
+    if states.count() <= small:
         return assemble_small(spark, states.collect(), first)
     return assemble(spark, states, first)
 
 
+def union_of(spark: SparkSession, waves: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, waves) if waves else spark.createDataFrame([], EXPANDED)
+
+
+def open_children(states: DataFrame) -> DataFrame:
+    """(state): the different open states below ``states``."""
+    sides = F.array(F.when(F.col("left_class").isNull(), F.col("left")), F.when(F.col("right_class").isNull(), F.col("right")))
+    return states.select(F.explode(sides).alias("state")).where("state IS NOT NULL").distinct()
+
+
+class Waves:
+    """The waves of a search in a folder: a table each, and a manifest that is written after it."""
+
+    def __init__(self, spark: SparkSession, folder: str, own: Ensemble, region: Region | None, policy: Policy) -> None:
+        if callable(policy):
+            raise ValueError("a search by a callable cannot be resumed")
+        self.spark, self.folder = spark, folder.rstrip("/")
+        nodes = [[sorted((k, str(v)) for k, v in r.items()) for _, r in sorted(t.items())] for t in own.trees]
+        facts = repr((nodes, [float(b).hex() for b in own.bias], own.features, own.domain, region, own.visits))
+        self.plan = {"search": hashlib.sha256(facts.encode()).hexdigest(), "policy": policy}
+
+    def keep(self, wave: DataFrame, number: int) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        wave.write.parquet(path)
+        kept = self.spark.read.schema(EXPANDED).parquet(path)
+        save(self.spark.createDataFrame([(path, kept.count(), content_id(kept))], "path string, states long, content string"), f"{self.folder}/wave-{number}", self.plan)
+        return kept
+
+    def restore(self, first: bytes) -> list[DataFrame]:
+        """The whole waves of the folder; one that is not a search's that starts at ``first`` is an error."""
+        out: list[DataFrame] = []
+        while True:
+            try:
+                row = load(self.spark, f"{self.folder}/wave-{len(out)}", self.plan)[0].first()
+            except AnalysisException:
+                break
+            wave = self.spark.read.schema(EXPANDED).parquet(row["path"])
+            if content_id(wave) != row["content"]:
+                raise ValueError(f"wave {len(out)} is not as it was written")
+            out.append(wave)
+        if out:
+            self.check(out, first)
+        return out
+
+    def check(self, waves: list[DataFrame], first: bytes) -> None:
+        """Every state once, each but the first below another, and leaves with classes alone."""
+        states = union_of(self.spark, waves)
+        counts = states.agg(F.count("*").alias("n"), F.count_distinct("state").alias("k"), F.count_if(F.col("state") == F.lit(first)).alias("first"), F.count_if((F.length("left") == 0) != F.col("left_class").isNotNull()).alias("odd")).first()
+        above = states.where(F.col("state") != F.lit(first)).select("state").join(open_children(states), "state", "left_anti")
+        if counts["n"] != counts["k"] or counts["first"] != 1 or counts["odd"] or not above.isEmpty():
+            raise ValueError("the kept waves are not those of one search")
+
+
+def witnesses(trees: DataFrame, bias: list[float], features: int, states: DataFrame, domain: Domain | None = None, modes: int = 5) -> DataFrame:
+    """(state, mode, x, class): points of the regions of ``states`` (state), and the class that a state's scores and open trees give each."""
+    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
+    shared = states.sparkSession.sparkContext.broadcast(own)
+
+    def points(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Ensemble = shared.value
+        for batch in source:
+            out = []
+            for data in batch.column("state").to_pylist():
+                state = own.unpack(data)
+                for mode in range(modes):
+                    x = own.witness(state, mode)
+                    out.append((data, mode, x, own.class_at(state, x)))
+            if out:
+                kinds = [pa.binary(), pa.int32(), pa.list_(pa.float32()), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["state", "mode", "x", "class"])
+
+    return states.select("state").mapInArrow(points, "state binary, mode int, x array<float>, class int")
+
+
+def explored(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, budget: int = BUDGET) -> DataFrame:
+    """EXPANDED rows of a first wave from the whole domain."""
+    spark = trees.sparkSession
+    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
+    first, label = own.settle(own.start())
+    front = spark.createDataFrame([(first,)] if label is None else [], "state binary").coalesce(1)
+    return cut(expand(front, spark.sparkContext.broadcast(own), "source", budget), "wave")
+
+
 def branch_hash(feature: int, word: int, default_left: bool, a: str, b: str) -> str:
     return hashlib.sha256(f"branch:{feature}:{word}:{str(default_left).lower()}:{a}:{b}".encode()).hexdigest()
 

@@ -127,3 +127,89 @@ def test_margins_agree_both_ways(spark):
     assert out[0] == out[1]
     classes = {r.row_id: r["class"] for r in scoring.classify(df, trees_table(spark, rows), names, bias).collect()}
     assert classes == {i: direct(rows, bias, x) for i, *x in points}
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path):
+    trees, bias, folder = trees_table(spark, rule_forest(2, 3, CUTS, 2, 7)), [0.0] * 3, f"file://{tmp_path}/search"
+    whole, top = compiler.compile_graph(trees, bias, 3)
+    with pytest.raises(compiler.Paused):
+        compiler.compile_graph(trees, bias, 3, budget=1, folder=folder, most_waves=2)
+    kept = sorted(p.name for p in (tmp_path / "search").iterdir() if p.name.startswith("wave-"))
+    assert kept == ["wave-0", "wave-1"]
+    nodes, root = compiler.compile_graph(trees, bias, 3, budget=1, folder=folder)
+    assert root == top and graph.same_graph(nodes, whole)
+    again, _ = compiler.compile_graph(trees, bias, 3, folder=folder, most_waves=0)
+    assert graph.same_graph(again, whole)
+    with pytest.raises(ValueError, match="another plan"):
+        compiler.compile_graph(trees, [0.0, 0.0, 1.0], 3, folder=folder)
+
+
+def test_spoiled_waves_are_refused(spark, tmp_path):
+    trees, bias = trees_table(spark, rule_forest(2, 3, CUTS, 2, 7)), [0.0] * 3
+    own = compiler.Ensemble([r.asDict() for r in trees.collect()], bias, 3, compiler.Domain())
+    first, _ = own.settle(own.start())
+    wave = compiler.explored(trees, bias, 3)
+    waves = compiler.Waves(spark, f"file://{tmp_path}", own, None, "source")
+    waves.check([wave], first)
+    for bad in (wave.unionByName(wave), wave.where(wave.state != first), wave.limit(0)):
+        with pytest.raises(ValueError, match="one search"):
+            waves.check([bad], first)
+    kept = waves.keep(wave, 0)
+    compiler.save(spark.createDataFrame([(kept.inputFiles()[0].rsplit("/", 1)[0], 1, "other")], "path string, states long, content string"), f"file://{tmp_path}/wave-1", waves.plan)
+    with pytest.raises(ValueError, match="as it was written"):
+        waves.restore(first)
+
+
+def test_region_of_the_domain(spark):
+    rows, bias = rule_forest(3, 3, CUTS, 2, 11), [0.0] * 3
+    trees = trees_table(spark, rows)
+    region = compiler.Region({0: (0.0, 2.9), 1: (-5.0, 0.0)}, {0: False, 2: True})
+    nodes, root = compiler.compile_graph(trees, bias, 3, region=region)
+    known = {r.node: r for r in nodes.collect()}
+    for x in itertools.product([0.0, 1.0, 1.5, 2.9], [-5.0, -1.0, 0.0, float("nan")], [0.0, 0.5, float("nan")]):
+        assert follow(known, root, x) == direct(rows, bias, x)
+    assert nodes.count() <= compiler.compile_graph(trees, bias, 3)[0].count()
+    for bad in (compiler.Region({0: (2.0, 1.0)}, {0: False}), compiler.Region({0: (float("nan"), 1.0)})):
+        with pytest.raises(ValueError):
+            compiler.compile_graph(trees, bias, 3, region=bad)
+    with pytest.raises(ValueError, match="missing"):
+        compiler.compile_graph(trees, bias, 3, compiler.Domain(False), region=compiler.Region({}, {0: True}))
+
+
+def test_witnesses_lie_in_their_regions(spark):
+    rows, bias = rule_forest(3, 3, CUTS, 2, 12), [0.0] * 3
+    trees = trees_table(spark, rows)
+    own = compiler.Ensemble([r.asDict() for r in trees.collect()], bias, 3, compiler.Domain())
+    points = compiler.witnesses(trees, bias, 3, compiler.explored(trees, bias, 3)).collect()
+    assert len({p.mode for p in points}) == 5
+    for p in points:
+        _, lo, hi, miss, _, _ = own.unpack(bytes(p.state))
+        for f, v in enumerate(p.x):
+            place = sum(c <= v for c in own.cuts[f])
+            assert miss[f] if np.isnan(v) else lo[f] <= place <= hi[f]
+        if p.mode in (3, 4):
+            assert all(np.signbit(np.float32(v)) == (p.mode == 3) for v in p.x if v == 0)
+    first, _ = own.settle(own.start())
+    from_start = [p for p in points if bytes(p.state) == first]
+    assert len(from_start) == 5 and all(p["class"] == direct(rows, bias, p.x) for p in from_start)
+
+
+def test_screen_changes_no_graph(spark):
+    for seed in (1, 2, 3):
+        trees = trees_table(spark, rule_forest(2, 3, CUTS, 2, seed))
+        with_it, a = compiler.compile_graph(trees, [0.0] * 3, 3)
+        without, b = compiler.compile_graph(trees, [0.0] * 3, 3, screen=False)
+        assert a == b and graph.same_graph(with_it, without)
+
+
+def test_groups_have_witnesses(spark):
+    rows = rule_forest(2, 3, [[0.5], [0.5], [0.5], [1.0, 2.0]], 2, 5)
+    domain = compiler.Domain(True, [[0, 1, 2]])
+    own = compiler.Ensemble([r.asDict() for r in trees_table(spark, rows).collect()], [0.0] * 3, 4, domain)
+    state = own.start(compiler.Region(members={0: [1, 2]}))
+    assert [own.witness(state, m)[:3] for m in (0, 1)] == [[0, 1, 0], [0, 0, 1]]
+    nodes, root = compiler.compile_graph(trees_table(spark, rows), [0.0] * 3, 4, domain, region=compiler.Region(members={0: [1, 2]}))
+    known = {r.node: r for r in nodes.collect()}
+    for hot, x in itertools.product((1, 2), (0.0, 1.5, 3.0, float("nan"))):
+        point = [float(k == hot) for k in range(3)] + [x]
+        assert follow(known, root, point) == direct(rows, [0.0] * 3, point)
