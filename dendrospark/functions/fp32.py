@@ -86,6 +86,32 @@ def weighted_plane(x: Column, terms: list[tuple[float, int]], threshold: float)
     return total < F.lit(float(threshold))
 
 
+def half_ulp(x: Column) -> Column:
+    """Half the gap from a finite float's magnitude to the next one: the most that rounding to it moves a number; null else."""
+    size = F.abs(x.cast("float"))
+    following = from_bits(bits(size) + 1).cast("double")
+    return F.when((size < float("inf")) & (following < float("inf")), (following - size.cast("double")) / 2)
+
+
+def lowest_bit(x: Column) -> Column:
+    """The place of the lowest set bit of a long, -1 for none."""
+    digits = F.bin(x.cast("long"))
+    return F.when(x == 0, -1).otherwise(F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))).cast("int")
+
+
+def highest_bit(x: Column) -> Column:
+    """The place of the highest set bit of a long, -1 for none."""
+    return (F.length(F.ltrim(F.bin(x.cast("long")), F.lit("0"))) - 1).cast("int")
+
+
+def soft_gate(x: Column, cut: Column, width: Column) -> tuple[Column, Column]:
+    """The share of a value that goes left, sigmoid((cut - x) / width), and its derivative by x; neither overflows."""
+    z = (cut.cast("double") - x.cast("double")) / width.cast("double")
+    small = F.exp(-F.abs(z))
+    share = F.when(z >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+    return share, -small / ((1 + small) * (1 + small)) / width.cast("double")
+
+
 def word_of(value: float) -> int:
     """Bits of a Python number's FP32 value, as a signed 32-bit integer."""
     return struct.unpack("<i", struct.pack("<f", value))[0]

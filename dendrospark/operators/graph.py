@@ -365,3 +365,36 @@ def sql_case(nodes: DataFrame, root: int, names: list[str], most: int = 512) ->
         return f"CASE WHEN {test} THEN {text(r['left'])} ELSE {text(r['right'])} END"
 
     return text(root)
+
+
+def pack_graphs(graphs: list[tuple[DataFrame, int]]) -> tuple[DataFrame, list[int]]:
+    """One table of several graphs, the ids of each moved behind those before, and their roots in it."""
+    out, roots, offset = None, [], 0
+    for nodes, root in graphs:
+        moved = [F.when(is_leaf(), F.lit(-1)).otherwise(F.col(c) + offset).cast("int").alias(c) for c in ("left", "right")]
+        own = nodes.select((F.col("node") + offset).cast("int").alias("node"), "feature", "cut", "cut_bits", "default_left", *moved, "class")
+        out = own if out is None else out.unionByName(own)
+        roots.append(root + offset)
+        offset += nodes.agg(F.max("node")).first()[0] + 1
+    if out is None:
+        raise ValueError("there are no graphs to pack")
+    return out, roots
+
+
+def take_arc(rows: DataFrame, arcs: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (node, rank) with the ``child`` of the one arc (node, low, high, child) of their node that holds their rank.
+
+    A row that no arc or several arcs hold is an error when it is read.
+    """
+    held = rows.join(arcs.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("rank").between(F.col("low"), F.col("high")), "left")
+    taken = held.groupBy(*rows.columns).agg(F.count("child").alias("_n"), F.max("child").alias("_child"))
+    wrong = F.raise_error(F.concat(F.lit("arcs that hold row "), F.col(id_col).cast("string"), F.lit(": "), F.col("_n").cast("string")))
+    return taken.select(*rows.columns, F.when(F.col("_n") == 1, F.col("_child")).otherwise(wrong.cast("int")).alias("child"))
+
+
+def exact_lookup(rows: DataFrame, costs: DataFrame, key: str, cost: str) -> DataFrame:
+    """``rows`` with the cost of their key, which must be known exactly once (else an error when it is read)."""
+    known = costs.groupBy(key).agg(F.count("*").alias("_n"), F.first(cost).alias(cost))
+    wrong = F.raise_error(F.concat(F.lit("costs of key "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(": "), F.coalesce("_n", F.lit(0)).cast("string")))
+    kind = costs.schema[cost].dataType
+    return rows.join(known, key, "left").select(*rows.columns, F.when(F.col("_n") == 1, F.col(cost)).otherwise(wrong.cast(kind)).alias(cost))

@@ -90,19 +90,43 @@ def widen(responses: DataFrame, teachers: int, classes: int) -> tuple[DataFrame,
     return responses.groupBy("row_id").agg(*picks), names
 
 
-def combine(fit: DataFrame, valid: DataFrame, features: list[str], label: str, classes: int, plans: list[dict[str, Any]], meta: list[dict[str, Any]], folds: int = 2, seed: int = 0, id_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+class Stopped(Exception):
+    """A study stopped after its out-of-fold responses, which its folder keeps."""
+
+
+def kept_responses(folder: str | None, plan: dict[str, Any], make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """Responses of the folder, if they are of this plan, else made and kept there."""
+    if folder is None:
+        return make()
+    try:
+        return storage.load(spark, folder, plan)[0]
+    except AnalysisException:
+        storage.save(make(), folder, plan)
+        return storage.load(spark, folder, plan)[0]
+
+
+def combine(
+    fit: DataFrame, valid: DataFrame, features: list[str], label: str, classes: int, plans: list[dict[str, Any]], meta: list[dict[str, Any]], folds: int = 2, seed: int = 0, id_col: str = "row_id",
+    folder: str | None = None, stop_after_responses: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """Candidates of a stacking study, and the validation rows with every candidate's class.
 
     Candidates are the teachers fitted on all of ``fit``, then for each meta plan a model on the
-    teachers' out-of-fold responses.  A combination's size counts each distinct teacher once.
+    teachers' out-of-fold responses.  A combination's size counts each distinct teacher once.  With a
+    ``folder`` the responses are kept there for later calls of the same plan; a study may stop once
+    they are (``Stopped``), before any meta model is fitted.
     """
     spark = fit.sparkSession
+    identity = {"plans": plans, "folds": folds, "seed": seed, "features": features, "classes": classes, "rows": storage.content_id(fit.select(id_col, label, *features)) if folder else None}
+    responses = kept_responses(folder, identity, lambda: out_of_fold(fit, features, label, classes, plans, folds, seed, id_col), spark)
+    if stop_after_responses:
+        raise Stopped(f"{len(plans)} teachers have answered")
     teachers = fits(fit, features, label, classes, plans)
     sizes = [size_of(t) for t, _ in teachers]
     scored = valid
     for i, (trees, bias) in enumerate(teachers):
         scored = scoring.classify(scored, trees, features, bias, name=f"c{i}")
-    oof, names = widen(out_of_fold(fit, features, label, classes, plans, folds, seed, id_col), len(plans), classes)
+    oof, names = widen(responses, len(plans), classes)
     inner = oof.join(fit.select(F.col(id_col).alias("row_id"), label), "row_id")
     answers = None
     for t, (trees, bias) in enumerate(teachers):

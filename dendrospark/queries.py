@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
-from .operators import compiler, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
+from .operators import bundles, compiler, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
+from .plans import storage
 from .sources.tables import apply_labels, first_seen_labels
 from .streaming.scoring import class_counts, latest_counts, score_stream
 
@@ -401,6 +402,31 @@ def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", *(F.round(F.get("p", F.lit(k)).cast("double"), 4).alias(f"p{k}") for k in range(K)))
 
 
+@query("SELECT event_id, (CAST(nextafter(v, CAST('inf' AS FLOAT)) AS DOUBLE) - CAST(v AS DOUBLE)) / 2 AS radius FROM (SELECT event_id, abs(CAST(value AS FLOAT)) AS v FROM events)")
+def half_ulp_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", fp32.half_ulp(F.col("value").cast("float")).alias("radius"))
+
+
+@query("SELECT o_orderkey, CAST(bit_count(o_orderkey) AS INTEGER) AS set_bits, CASE WHEN o_orderkey = 0 THEN -1 ELSE CAST(log2(o_orderkey & -o_orderkey) AS INTEGER) END AS lowest, CASE WHEN o_orderkey = 0 THEN -1 ELSE CAST(floor(log2(o_orderkey)) AS INTEGER) END AS highest FROM orders")
+def bit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(x, F.bit_count(x).alias("set_bits"), fp32.lowest_bit(x).alias("lowest"), fp32.highest_bit(x).alias("highest"))
+
+
+@query(f"WITH {EVENTS}, s AS (SELECT row_id, 1 / (1 + exp(-(75.0 - CAST(x1 AS DOUBLE)) / 12.5)) AS p FROM x) SELECT row_id, round(p, 6) AS share, round(-p * (1 - p) / 12.5, 6) AS slope FROM s")
+def soft_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share, slope = fp32.soft_gate(F.col("x1"), F.lit(75.0), F.lit(12.5))
+    return events(spark, sf_dir).select("row_id", F.round(share, 6).alias("share"), F.round(slope, 6).alias("slope"))
+
+
+@query("SELECT o_orderkey, c_acctbal AS cost FROM orders JOIN customer ON c_custkey = o_custkey")
+def certified_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of each order's key, which must be known exactly once."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("key"))
+    costs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("cost"))
+    return graph.exact_lookup(orders, costs, "key", "cost").select("o_orderkey", "cost")
+
+
 # ---- graphs and grids ------------------------------------------------------------------------
 
 
@@ -608,6 +634,66 @@ def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.learn(forest(spark), BIAS, len(NAMES), 3, 16)[0]
 
 
+@query(f"WITH {EVENTS} SELECT row_id, CAST(CASE WHEN row_id % 2 = 0 THEN CASE WHEN r < 40 THEN 3 WHEN r < 90 THEN 5 ELSE 7 END ELSE CASE WHEN r < 10 THEN 4 ELSE 6 END END AS INTEGER) AS child FROM (SELECT row_id, CAST(x2 AS INTEGER) AS r FROM x)")
+def arc_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row takes the one arc of its node whose range of ranks holds its own."""
+    arcs = spark.createDataFrame([(0, 0, 39, 3), (0, 40, 89, 5), (0, 90, 99, 7), (1, 0, 9, 4), (1, 10, 99, 6)], "node int, low int, high int, child int")
+    rows = events(spark, sf_dir).select("row_id", (F.col("row_id") % 2).cast("int").alias("node"), F.col("x2").cast("int").alias("rank"))
+    return graph.take_arc(rows, arcs, "row_id").select("row_id", "child")
+
+
+@query(f"WITH {EVENTS} SELECT row_id, class FROM {scored_sql(SECOND)}")
+def packed_graph_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two graphs in one table; the second is followed from its root there."""
+    packed, roots = graph.pack_graphs([compiled(spark), compiler.compile_graph(forest(spark, SECOND), BIAS, len(NAMES))])
+    return scoring.predict(events(spark, sf_dir), packed, roots[1], NAMES).select("row_id", "class")
+
+
+REGION = compiler.Region({0: (10.0, 60.0), 1: (0.0, 80.0)}, {0: False, 1: False, 2: False})
+
+
+@query(f"WITH {EVENTS} SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS mismatches FROM x WHERE x0 BETWEEN 10 AND 60 AND x1 BETWEEN 0 AND 80 AND NOT isnan(x0)")
+def region_graph_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph compiled for a part of the domain, against the ensemble on the rows there."""
+    nodes, root = compiler.compile_graph(forest(spark), BIAS, len(NAMES), region=REGION)
+    rows = events(spark, sf_dir).where("x0 BETWEEN 10 AND 60 AND x1 BETWEEN 0 AND 80 AND NOT isnan(x0)")
+    both = scoring.predict(scoring.classify(rows, forest(spark), NAMES, BIAS, name="expected"), nodes, root, NAMES)
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("class") != F.col("expected")).alias("mismatches"))
+
+
+TALL = rule_forest(22, K, [[10.0, 25.0, 40.0, 60.0, 75.0, 90.5], [15.0, 30.0, 75.0, 100.0, 120.0], [5.0, 25.0, 50.0, 75.0, 95.0]], depth=6, seed=41)
+
+
+@query("SELECT CAST(7 * 6 * 6 AS BIGINT) AS known_cells, CAST(0 AS BIGINT) AS mismatches")
+def tall_forest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """66 trees of depth 6, compiled and compared on every cell of their grid, missing values included."""
+    trees = forest(spark, TALL)
+    nodes, root = compiler.compile_graph(trees, BIAS, len(NAMES))
+    # a feature that may be missing has one more cell
+    cells = F.lit(7 * 6 * 6) * (F.col("cells") == 8 * 7 * 7).cast("long")
+    return grid.audit(trees, BIAS, nodes, root, len(NAMES)).select(cells.alias("known_cells"), "mismatches")
+
+
+@query(f"{SCORED} SELECT role, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (class <> label) AS BIGINT) AS errors, count(*) FILTER (class = label) / count(*) AS accuracy FROM s GROUP BY role")
+def bundle_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved bundle, read back with its checks, on the rows of both roles."""
+    path = storage.shared_dir(spark) + "/bundle"
+    bundles.save(bundles.Bundle(NAMES, K, ["only"], {"only": (forest(spark), BIAS)}), path)
+    return bundles.evaluate(bundles.load(spark, path), events(spark, sf_dir), "label", "role", "row_id")
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT row_id, 1 / (1 + exp(-(0.5 - CAST(x2 AS DOUBLE)) / 20)) AS b, CASE WHEN isnan(x0) THEN 0 ELSE 1 / (1 + exp(CAST(x0 AS DOUBLE) / 30)) END AS a,
+  CASE WHEN isnan(x0) THEN 0 ELSE 1 END AS known, CASE WHEN NOT x2 < 0.5 THEN 2 WHEN NOT isnan(x0) AND x0 < 0 THEN 1 ELSE 0 END AS class FROM x)
+SELECT row_id, CAST(class AS INTEGER) AS class, round(b * (1 - a), 6) AS g0, round(b * a, 6) AS g1, round(1 - b, 6) AS g2, round(known * b * a * (1 - a) / 30, 6) AS d0, round(b * (1 - b) / 20, 6) AS d2 FROM s""")
+def graded_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the classes in a softened graph, and two of their derivatives: class 0 by x0, class 2 by x2."""
+    rows, root = demo_graph()
+    own = events(spark, sf_dir).select("row_id", *NAMES)
+    out = regions.graded_slopes(own, nodes_table(spark, rows), root, NAMES, K, [30.0, 1.0, 20.0])
+    grades = [F.round(F.get("grades", F.lit(k)), 6).alias(f"g{k}") for k in range(K)]
+    return out.select("row_id", "class", *grades, F.round(F.get("slopes", F.lit(0)), 6).alias("d0"), F.round(F.get("slopes", F.lit(8)), 6).alias("d2"))
+
+
 # ---- training and studies --------------------------------------------------------------------
 
 BIN_SQL = ", ".join(f"CASE WHEN isnan(x{f}) THEN -1 ELSE {' + '.join(f'(x{f} >= {c})::INT' for c in CUTS[f])} END AS b{f}" for f in range(3))

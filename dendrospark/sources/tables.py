@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fp32 import or_missing, parse_feature
+from ..plans.storage import identity, load, save
 
 
 def read_csv(spark: SparkSession, path: str, target: str | int | None = None, header: str = "auto") -> tuple[DataFrame, list[str]]:
@@ -142,3 +144,17 @@ def read_images(spark: SparkSession, path: str, rows: int, size: int, multiplier
                     yield out
 
     return blobs.mapInPandas(spread, "row_id long, source_row long, " + ", ".join(f"{n} float" for n in names))
+
+
+def retained_csv(spark: SparkSession, path: str, folder: str, **options: str | int | None) -> tuple[DataFrame, list[str]]:
+    """``read_csv`` kept as Parquet in ``folder`` under the files' contents and the options; equal input is parsed once."""
+    files = spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256).alias("sha")).orderBy("sha", "length").collect()
+    plan = {"files": [[r["length"], r["sha"]] for r in files], "options": {k: v for k, v in sorted(options.items()) if v is not None}}
+    kept = f"{folder.rstrip('/')}/{identity(plan)}"
+    try:
+        rows, manifest = load(spark, kept, plan)
+    except AnalysisException:
+        rows, names = read_csv(spark, path, **options)
+        save(rows, kept, plan, features=names)
+        rows, manifest = load(spark, kept, plan)
+    return rows, manifest["features"]
