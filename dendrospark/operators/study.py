@@ -49,10 +49,12 @@ def search(fit: DataFrame, valid: DataFrame, features: list[str], label: str, cl
     """Candidates (ord, kind, errors, bytes) of all trials, and their models."""
     plans = expand_trials(base, overlays, classes)
     models = fits(fit, features, label, classes, plans)
-    rows = []
+    scored = valid
     for i, (trees, bias) in enumerate(models):
-        scored = scoring.classify(valid, trees, features, bias)
-        rows.append((i, "trial", errors_of(scored, label, "class"), size_of(trees)))
+        scored = scoring.classify(scored, trees, features, bias, name=f"c{i}")
+    # one pass over the validation rows counts the errors of all trials
+    counts = scored.agg(*(F.count_if(F.col(f"c{i}") != F.col(label)).alias(f"c{i}") for i in range(len(models)))).first()
+    rows = [(i, "trial", counts[f"c{i}"], size_of(trees)) for i, (trees, _) in enumerate(models)]
     return fit.sparkSession.createDataFrame(rows, CANDIDATES), models
 
 
