@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,25 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MOST_BROADCAST = 1 << 20  #: rows of two numbers, 16 MB, that a join may send to all executors
+
+
+def checked(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A materialised table for a join: broadcast if it has at most ``most`` rows, else left to Spark."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """``df`` with ``_file`` and ``_at``, which tell its rows apart and are the same at every reading.
+
+    They are a row's file (hashed) and place in it; what is not read from Parquet files is written first.
+    """
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return row_keys(materialise(df, "rows"))
+
+
 def own_names(keep: Iterable[str], *names: str) -> None:
     """Raises where a kept column has a name that an operator gives to a column of its own."""
     taken = sorted(k for k in keep if k.startswith("_") or k in names)

@@ -23,7 +23,8 @@ null id never is a component's smallest id unless it has no other.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +33,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, materialise, rows_of
+from .common import MOST_BROADCAST, batches, checked, materialise, rows_of
 
 WORDS, SEED, RADIUS = 4, 42, 4
 LEAF, FANOUT = 8, 8
+WIDE_LEAF = 64  #: fingerprints of a leaf beyond RADIUS bits, where a tree prunes less
 LEAST_CELL, MOST_CELL = 512, 16_384  #: rows of a key that stay together; between them, a task's even share
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64 bits of a text, unsigned."""
+def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
+    """XXH64 of each of a text's shingles of ``size`` words, in order; of all words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
-        return digest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    stops = ends[WORDS - 1 :].tolist()
-    starts = [0, *(ends[: -WORDS] + 1).tolist()]
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+    stops = ends[size - 1 :].tolist()
+    starts = [0, *(ends[:-size] + 1).tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, size: int = WORDS) -> int:
+    """The 64 bits of a text, unsigned."""
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -88,31 +99,38 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 def linked(codes: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into ``codes``, different and in Gray order) at ``radius`` bits or fewer, in batches."""
+    leaf = LEAF if radius <= RADIUS else WIDE_LEAF
     # levels[0] are the code words; each upper level shares bits over FANOUT nodes of the one below
     levels = [(codes, np.full(len(codes), ~np.uint64(0)))]
-    span = LEAF
-    while len(levels[-1][0]) > 1:
+    span = leaf
+    while len(levels) == 1 or len(levels[-1][0]) > 1:
         pattern, mask = levels[-1]
         cuts = np.arange(0, len(pattern), span)
         both, either = np.bitwise_and.reduceat(pattern, cuts), np.bitwise_or.reduceat(pattern, cuts)
         levels.append((both, np.bitwise_and.reduceat(mask, cuts) & ~(both ^ either)))
         span = FANOUT
+    padded = np.resize(codes, (len(levels[1][0]), leaf)) if len(codes) else np.zeros((0, leaf), np.uint64)
     start = [(np.zeros(1, np.int64), np.zeros(1, np.int64), len(levels) - 1)]
     while start:
         left, right, level = start.pop()
-        if level == 0:
-            yield left, right
-            continue
         pattern, mask = levels[level - 1]
-        span = LEAF if level == 1 else FANOUT
-        room = 1 << 14
+        span = leaf if level == 1 else FANOUT
+        room = (1 << 20) // (span * span)
         if len(left) > room:
             start += [(left[k : k + room], right[k : k + room], level) for k in range(0, len(left), room)]
             continue
+        if level == 1:
+            apart = np.bitwise_count(padded[left][:, :, None] ^ padded[right][:, None, :])
+            k, i, j = np.nonzero(apart <= radius)
+            a, b = left[k] * leaf + i, right[k] * leaf + j
+            fits = (a < b) & (b < len(codes))
+            if fits.any():
+                yield a[fits], b[fits]
+            continue
         kids = np.arange(span)
         a = np.broadcast_to((left * span)[:, None, None] + kids[None, :, None], (len(left), span, span)).ravel()
         b = np.broadcast_to((right * span)[:, None, None] + kids[None, None, :], (len(left), span, span)).ravel()
-        fits = (a < len(pattern)) & (b < len(pattern)) & ((a < b) if level == 1 else (a <= b))
+        fits = (a < len(pattern)) & (b < len(pattern)) & (a <= b)
         a, b = a[fits], b[fits]
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
         if near.any():
@@ -135,11 +153,11 @@ def groups(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
-def cell_edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cell_edges(codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect each linked group of a cell: a tree with FANOUT branches at a node."""
     codes = np.unique(codes)
     codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-    label = groups(codes)
+    label = groups(codes, radius)
     order = np.argsort(label, kind="stable")
     sizes = np.bincount(label, minlength=len(codes))
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -149,20 +167,20 @@ def cell_edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[order][child], codes[order][parent]
 
 
-def blocks_for(n: int, share: int = 1024) -> int:
+def blocks_for(n: int, share: int = 1024, radius: int = RADIUS) -> int:
     """The fewest blocks that leave about ``share`` of ``n`` random fingerprints to a key."""
-    for b in range(RADIUS + 1, 9):
-        if n >> int(64 / b * (b - RADIUS)) <= share:
+    for b in range(radius + 1, radius + 5):
+        if n >> int(64 / b * (b - radius)) <= share:
             return b
-    return 8
+    return radius + 4
 
 
-def keys(code: Column, b: int) -> Column:
-    """An array of (table, key) structs: one for each choice of ``b - RADIUS`` of the ``b`` blocks."""
+def keys(code: Column, b: int, radius: int = RADIUS) -> Column:
+    """An array of (table, key) structs: one for each choice of ``b - radius`` of the ``b`` blocks."""
     edges = [64 * k // b for k in range(b + 1)]
     part = [F.shiftrightunsigned(code, edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1)) for k in range(b)]
     tables = []
-    for t, chosen in enumerate(itertools.combinations(range(b), b - RADIUS)):
+    for t, chosen in enumerate(itertools.combinations(range(b), b - radius)):
         key = F.lit(0).cast("long")
         for k in chosen:
             key = F.shiftleft(key, edges[k + 1] - edges[k]).bitwiseOR(part[k])
@@ -170,13 +188,14 @@ def keys(code: Column, b: int) -> Column:
     return F.array(*tables)
 
 
-def links(codes: DataFrame) -> DataFrame:
+def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges whose connected groups are those of the linked fingerprints of ``codes`` (fingerprint, distinct)."""
     spark = codes.sparkSession
     n = codes.count()
-    b = blocks_for(n)
-    dealt = codes.select("fingerprint", F.inline(keys(F.col("fingerprint"), b)))
-    tables = len(list(itertools.combinations(range(b), b - RADIUS)))
+    # a wider radius needs many more tables for shorter cells, so its cells are larger
+    b = blocks_for(n, 1024 if radius <= RADIUS else 8192, radius)
+    dealt = codes.select("fingerprint", F.inline(keys(F.col("fingerprint"), b, radius)))
+    tables = math.comb(b, radius)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = min(MOST_CELL, max(LEAST_CELL, n * tables // max(1, tasks)))
     large = materialise(dealt.groupBy("t", "key").count().where(F.col("count") > share).select("t", "key", F.ceil(F.col("count") / share).cast("int").alias("parts")), "large")
@@ -193,7 +212,7 @@ def links(codes: DataFrame) -> DataFrame:
 
         def take(rows: np.ndarray) -> None:
             if len(rows) > 1:
-                a, b = cell_edges(rows)
+                a, b = cell_edges(rows, radius)
                 if len(a):
                     out.append(np.stack([a, b]).view(np.int64))
 
@@ -257,5 +276,119 @@ def components(df: DataFrame, id_col: str, text: str, keep: Sequence[str] = ())
     return found.select(id_col, *keep, "fingerprint", F.nullif("least", top).alias("component_id"))
 
 
+NEAR_WORDS, NEAR_RADIUS, SIMILARITY = 5, 9, 0.8
+SHORT = 2  #: words of the shingles whose fingerprints find candidates
+MOST_LOCAL = 4096  #: different texts of a component that one task compares
+ROUNDS = 5  #: rounds that bring similar texts of a larger component together, by a min-hash each
+
+
+def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(_file, _at): the rows of ``docs`` (with ``row_keys``) to drop so that one of each group of near copies stays.
+
+    Candidates are the components of texts one of whose two fingerprints differs in ``NEAR_RADIUS`` bits
+    or fewer.  They are from ``SHORT``-word shingles, each counted once: an edit moves them less than
+    longer ones, and unlike those of single words unlike texts hardly ever share them.  Inside a component
+    texts are taken by id (nulls last), and one is dropped if its ``NEAR_WORDS``-word shingles have a
+    Jaccard similarity of ``SIMILARITY`` or more with those of one that stays; equal texts are
+    compared once.  So no row goes without a similar one before it.  Ids may be null or repeated.
+
+    A component of more than ``MOST_LOCAL`` texts is dealt out evenly first, which leaves one of each
+    group to a part; what stays of it is compared once more, in one part where that is few enough, else
+    by min-hashes of the shingles, one a round.
+    """
+    order = ["_last", id_col, "_hash", "_file", "_at"]
+    keyed = docs.select("_file", "_at", id_col, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
+    own = keyed.select("_file", "_at", id_col, "_body", F.xxhash64("_body").alias("_hash"), F.col(id_col).isNull().alias("_last"))
+    own = materialise(two_fingerprints(own, "_body", order), "fingerprints")
+    best = own.groupBy("_one", "_two", "_hash").agg(F.min(F.struct(*order)).alias("best")).select("_one", "_two", "best.*")
+    best = materialise(best, "texts")
+    edges = materialise(links(best.select(F.col("_one").alias("fingerprint")).distinct(), NEAR_RADIUS), "links")
+    others = materialise(links(best.select(F.col("_two").alias("fingerprint")).distinct(), NEAR_RADIUS), "links")
+    # a second fingerprint is a node of its own, tied to the first ones of the texts that have it
+    second = F.xxhash64(F.lit("second"), "_two")
+    linked_two = others.select(F.col("a").alias("_two")).union(others.select("b")).distinct()
+    ties = best.select("_one", "_two").distinct().join(linked_two, "_two").select(F.col("_one").alias("a"), second.alias("b"))
+    moved = others.select(*(F.xxhash64(F.lit("second"), c).alias(c) for c in ("a", "b")))
+    edges = materialise(edges.unionByName(moved).unionByName(ties), "edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("own"))
+    label = spread(edges, nodes)
+    grouped = best.join(label.select("node", "label"), F.col("_one") == F.col("node"), "left").withColumn("_group", F.coalesce("label", "_one"))
+    sizes = grouped.groupBy("_group").agg(F.count("*").alias("_size")).where("_size > 1")
+    members = materialise(grouped.join(sizes, "_group").select(*order, "_group", "_size"), "members")
+    left = materialise(keyed.select("_file", "_at", "_body").join(checked(members, MOST_BROADCAST // 4), ["_file", "_at"]), "candidates")
+    dropped = own.join(best.select("_file", "_at"), ["_file", "_at"], "left_anti").select("_file", "_at")
+    for turn in range(ROUNDS + 1):
+        parts = F.ceil(F.col("_size") / MOST_LOCAL)
+        salt = F.pmod(F.xxhash64("_hash"), parts) if turn == 0 else F.when(parts == 1, F.lit(0)).otherwise(F.element_at("_mins", turn))
+        dealt = left.withColumn("_part", salt.cast("long")).select(*order, "_group", "_size", "_part", "_body")
+        judged = materialise(dealt.groupBy("_group", "_part").applyInArrow(apart(order), f"{', '.join(f'{c} {dealt.schema[c].dataType.simpleString()}' for c in order)}, _group long, _size long, _mins array<long>, _stays boolean"), "judged")
+        dropped = dropped.unionByName(judged.where("NOT _stays").select("_file", "_at"))
+        stays = judged.where(F.col("_stays") & (F.col("_size") > MOST_LOCAL))
+        if turn == ROUNDS or stays.isEmpty():
+            break
+        again = stays.groupBy("_group").agg(F.count("*").alias("_now"))
+        left = stays.join(again, "_group").withColumn("_size", F.col("_now")).join(keyed.select("_file", "_at", "_body"), ["_file", "_at"]).select(*order, "_group", "_size", "_mins", "_body")
+    return materialise(dropped, "dropped")
+
+
+def two_fingerprints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the fingerprints ``_one`` and ``_two`` of a text's different short shingles, by two hashes."""
+
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            schema = pa.schema([*(batch.schema.field(k) for k in keep), ("_one", pa.int64()), ("_two", pa.int64())])
+
+            def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
+                for body, *rest in rows_of(batch, text, *keep):
+                    hashes = np.unique(shingle_hashes(body, SHORT))
+                    pair = [majority(h) for h in (hashes, remix(hashes))]
+                    yield (*rest, *(v - (v >> 63 << 64) for v in pair))
+
+            yield from batches(rows(), schema)
+
+    out_type = T.StructType([*(df.schema[k] for k in keep), T.StructField("_one", T.LongType()), T.StructField("_two", T.LongType())])
+    return df.select(text, *keep).mapInArrow(read, out_type)
+
+
+def remix(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits for each hash, by two rounds of an odd multiplication and a shift."""
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(odd)
+    return hashes ^ hashes >> np.uint64(29)
+
+
+def similar(kept: dict[int, list[int]], sizes: list[int], own: np.ndarray) -> bool:
+    """Whether shingles reach SIMILARITY with those of a kept text, by an index of the kept texts' shingles."""
+    common: dict[int, int] = {}
+    for h in own.tolist():
+        for k in kept.get(h, ()):
+            common[k] = common.get(k, 0) + 1
+    n = len(own)
+    return any(c >= SIMILARITY * (n + sizes[k] - c) for k, c in common.items()) or (n == 0 and 0 in sizes)
+
+
+def apart(order: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Marks the rows of a part that stay: those not similar to an earlier one that stays."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        kept: dict[int, list[int]] = {}
+        sizes: list[int] = []
+        stays, mins = [], []
+        for body in table.column("_body"):
+            own = np.unique(shingle_hashes(body.as_py(), NEAR_WORDS))
+            stays.append(not similar(kept, sizes, own))
+            if stays[-1]:
+                for h in own.tolist():
+                    kept.setdefault(h, []).append(len(sizes))
+                sizes.append(len(own))
+            turned = [(own * np.uint64(2 * turn + 0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64) for turn in range(ROUNDS)]
+            mins.append([int(t.min()) if len(t) else 0 for t in turned])
+        columns = [table.column(c) for c in (*order, "_group", "_size")]
+        return pa.table([*columns, pa.array(mins, pa.list_(pa.int64())), pa.array(stays)], names=[*order, "_group", "_size", "_mins", "_stays"])
+
+    return judge
+
+
 def hexadecimal(code: Column) -> Column:
     return F.lpad(F.lower(F.hex(code)), 16, "0")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -15,6 +17,65 @@ def tables(spark, folder):
     return folder(documents=docs, labels=labels), texts
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {None}
+
+
+def brute_kept(rows):
+    """Ids that stay: those without an earlier one, of those that stay, at similarity 0.8 or more."""
+    kept = []
+    for i, text in rows:
+        own = shingles(text)
+        if not any(len(own & x) >= 0.8 * len(own | x) for _, x in kept):
+            kept.append((i, own))
+    return {i for i, _ in kept}
+
+
+def test_near_copies_against_brute_force(spark, tables):
+    """Edited copies down to similarity 0.8 go, all but the few whose fingerprints are too far; texts below it stay."""
+    where, _ = tables
+    say = random.Random(5)
+    words = [f"w{k}" for k in range(4000)]
+    rows, i = [], 0
+    for group in range(30):
+        base = [say.choice(words) for _ in range(say.randint(60, 300))]
+        rows.append((i := i + 1, " ".join(base)))
+        for _ in range(group % 4):
+            edited = list(base)
+            for at in say.sample(range(len(base)), len(base) // 60):
+                edited[at] = say.choice(words)
+            rows.append((i := i + 1, " ".join(edited)))
+        far = list(base)
+        for at in range(0, len(base), 10):
+            far[at] = say.choice(words)
+        rows.append((i := i + 1, " ".join(far)))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, where).collect()}
+    want = brute_kept(rows)
+    assert len(rows) - len(want) > 30 and got >= want and len(got - want) <= 0.02 * (len(rows) - len(want))
+
+
+def test_large_components_are_dealt_out(spark, tables, monkeypatch):
+    """A component larger than a part: copies meet in later rounds, unlike texts of one fingerprint stay."""
+    where, _ = tables
+    monkeypatch.setattr(simhash, "MOST_LOCAL", 5)
+    say = random.Random(6)
+    base = [f"v{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        edited = list(base)
+        edited[say.randrange(400)] = f"e{i}"
+        rows.append((i, " ".join(edited)))
+    for i in range(40, 60):
+        shuffled = list(base)
+        say.shuffle(shuffled)
+        rows.append((i, " ".join(shuffled)))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, where).collect()}
+    assert got == brute_kept(rows) == {0, *range(40, 60)}
+
+
 def test_each_stage_against_its_decisions(spark, tables):
     where, _ = tables
     docs = spark.read.parquet(f"{where}/documents.parquet")
@@ -24,8 +85,7 @@ def test_each_stage_against_its_decisions(spark, tables):
     after = {r.doc_id: r for r in clean.collect()}
     assert after == {i: r for i, r in before.items() if model.score(model.raw(r.text or "")) < toxicity.THRESHOLD}
     single = {r.doc_id: r for r in corpus_pipeline.drop_near_copies(spark, clean, where).collect()}
-    groups = {r.doc_id: r.component_id for r in simhash.components(clean, "doc_id", "text").collect()}
-    assert set(single) == set(groups.values()) and all(single[i] == after[i] for i in single)
+    assert set(single) == brute_kept([(i, after[i].text) for i in sorted(after)]) and all(single[i] == after[i] for i in single)
     kept = clean.where(clean.doc_id.isin(list(single)))
     safe = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, kept, where).collect()}
     assert set(safe) == set(single)

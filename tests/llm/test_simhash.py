@@ -108,7 +108,7 @@ def test_chains_and_hot_keys(spark, monkeypatch, blocks):
     """A long chain of codes two bits apart, many near copies of one code, and strangers."""
     monkeypatch.setattr(simhash, "LEAST_CELL", 8)
     monkeypatch.setattr(simhash, "MOST_CELL", 8)
-    monkeypatch.setattr(simhash, "blocks_for", lambda n: blocks)
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, *_: blocks)
     rng = np.random.default_rng(9)
     chain = [0]
     for k in range(0, 60, 2):
