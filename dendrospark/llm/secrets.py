@@ -11,7 +11,9 @@ Defined cases: null text is empty and has no spans; empty layers are dropped; ov
 from different layers are all reported, equal (kind, start, end) once.  Bytes are read as UTF-8, with
 a sign for each that is none, and as UTF-16 if any is zero.  What compressed data holds, in any number
 of joined members and as far as it is whole, is scanned in overlapping windows of about
-``MOST_INFLATED`` bytes; only an encoded stretch in it that has no blank for that long is cut.
+``MOST_INFLATED`` bytes; only an encoded stretch in it that has no blank for that long is cut.  Repeated
+rows are scanned each, texts of any length whole; an empty table gives no rows.  Columns named like
+the operator's own cannot be kept (ValueError).
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import batches, rows_of
+from .common import batches, own_names, rows_of
 
 KINDS = ("assign", "access", "hex")
 # The three patterns, by the contract of the scan.
@@ -318,6 +320,7 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 def find_secrets(df: DataFrame, text: str, keep: list[str], redacted: bool = False) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans`` (arrays of kind, start, end), ``layers`` unwrapped and,
     if asked for, the ``redacted`` text."""
+    own_names(keep, "base", "spans", "layers", "redacted")
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [df.schema[k] for k in keep] + [T.StructField("base", span), T.StructField("spans", span), T.StructField("layers", T.LongType())]
     fields += [T.StructField("redacted", T.StringType())] * redacted

@@ -14,7 +14,10 @@ best with the training labels (on folds left out of the fit) at THRESHOLD.
 Defined cases: null and empty texts have no sentence and get the lowest score of the scale;
 labels that are null, or that contradict each other for one id, are not learned from; without
 any labelled document, or with labels of one kind only, every score is the share of toxic labels (0
-without any).
+without any).  Of several texts under one id the least is learned from, and each is scored; repeated
+rows are scored each; features that tie go by name, documents that tie by id; texts of any length are
+scored whole; an empty table gives no rows.  Columns named ``score``, ``predicted``, ``spans`` or starting
+with ``_`` cannot be kept (ValueError).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, materialise, rows_of
+from .common import batches, materialise, own_names, rows_of
 
 MOST_TRAINING = 12_000
 FEATURES = 4096
@@ -236,6 +239,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) ->
 def score(df: DataFrame, text: str, keep: list[str], model: Model, locate: bool = True) -> DataFrame:
     """``keep`` columns, ``score``, ``predicted`` and, in texts that are predicted toxic, the offending
     sentences as ``spans`` (start, end, p): those with p of at least one half, else the likeliest."""
+    own_names(keep, "score", "predicted", "spans")
     shared = df.sparkSession.sparkContext.broadcast(model)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
     out_type = T.StructType([*(df.schema[k] for k in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", span)])
