@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrospark.llm import packing, secrets, simhash, toxicity
-from dendrospark.llm.common import materialise, table
+from dendrospark.llm.common import checked, materialise, row_keys, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,15 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near-duplicates: that of the smallest id (null last), then text.
+    """Keeps one row of each group of near copies (5-word similarity of 0.8 or more): the smallest id, null last.
 
-    Every row has a key of its own, since ids may be null or repeated.
+    Rows are told apart by file and place, since ids may be null or repeated.
     """
-    keyed = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_key"), F.xxhash64("text").alias("_hash")), "keyed")
-    found = simhash.components(keyed, "_key", "text", ["doc_id", "_hash"])
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_key")
-    kept = materialise(found.groupBy("component_id").agg(F.min_by("_key", rank).alias("_key")).select("_key"), "kept")
-    return keyed.join(kept, "_key", "left_semi").select(*COLUMNS)
+    keyed = row_keys(docs.select(*COLUMNS))
+    gone = simhash.near_copies(keyed, "doc_id", "text")
+    return keyed.join(checked(gone), ["_file", "_at"], "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
