@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -41,6 +42,23 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, in as many buckets of ``by`` as a shuffle has partitions.
+
+    Joins on ``by`` then leave its rows where they are.  Rows of each value of ``kind`` are in files of
+    their own.  The table's name is gone after the block, its files stay.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").partitionBy(kind).bucketBy(n, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 MOST_BROADCAST = 1 << 20  #: rows of two numbers, 16 MB, that a join may send to all executors
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kmeans_tree, packing, secrets, simhash, style_tree, telephony, tokens, toxicity, url_filter, warc
+from . import delta_lloyd, divergence, exact_dedup, kmeans_tree, packing, secrets, simhash, style_tree, telephony, tokens, toxicity, url_filter, warc
 from .common import materialise, table, utf8
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -90,13 +90,25 @@ def op10_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.spam_list(pages)).drop("listed")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").drop("centroid")
+
+
+def op12_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op13_shard_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony_audio, op2_cost_packing, op3_toxicity_mil, op4_warc_salvage, op5_style_tree, op6_kmeans_tree_ann, op7_overlap_bpe, op8_secret_worklist, op9_simhash_gray, op10_url_bloom)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony_audio, op2_cost_packing, op3_toxicity_mil, op4_warc_salvage, op5_style_tree, op6_kmeans_tree_ann, op7_overlap_bpe, op8_secret_worklist, op9_simhash_gray, op10_url_bloom, op11_delta_lloyd, op12_golomb_exchange, op13_shard_divergence)}
 
 OP10_SQL = r"""
 WITH parts AS (
@@ -125,4 +137,51 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_url_bloom": OP10_SQL}
+
+def lloyd_sql(rounds: int) -> str:
+    """Every round as two tables: owners by full comparison, and the means of all their vectors."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT no, min(d * 8 + k) // 8 AS distance, min(d * 8 + k) % 8 AS k FROM (
+  SELECT v.no, c.k, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(v.q, c.q)])::BIGINT AS d FROM v CROSS JOIN c{r} c) GROUP BY no)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (
+  SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM (
+    SELECT k, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{r} JOIN v USING (no) CROSS JOIN range(1, 65) r(i) GROUP BY k, i) GROUP BY k) m USING (k))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS no, vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS k, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v) ORDER BY h NULLS LAST, q LIMIT 8),
+{", ".join(steps)}
+SELECT vec_id, k::INTEGER AS cluster, distance::BIGINT AS distance, sum(distance) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (no) JOIN c{rounds} c USING (k)"""
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]', '', 'g') AS plain FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, row_number() OVER w = 1 AS kept, sha256(plain) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY plain ORDER BY length(body) DESC, doc_id NULLS LAST)
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS no, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS MATERIALIZED (SELECT no, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT no) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (coalesce(n.n, 0) + 1)::HUGEINT * 1000000000 // (coalesce(total.total, 0) + v.v) AS p
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN total ON total.lang = g.lang AND total.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+q AS (SELECT lang, term, 1 + (sum(n) + 1)::HUGEINT * 1000000000 // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM n GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms) WHERE rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_url_bloom": OP10_SQL, "op11_delta_lloyd": lloyd_sql(delta_lloyd.ROUNDS), "op12_golomb_exchange": OP12_SQL, "op13_shard_divergence": OP13_SQL}
