@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,10 @@ SPARE = 10  #: bits of a fingerprint beyond those that number the rows
 OWNED = 1 << 18  #: fingerprints of an owner, about
 
 
+def digest(body: bytes) -> bytes:
+    return hashlib.sha256(body).digest()
+
+
 def parameter(gap: float) -> int:
     """The Golomb parameter for geometric gaps (from 0) of this mean."""
     return max(1, math.ceil(gap * math.log(2)))
@@ -99,9 +103,10 @@ def messages(prints: np.ndarray, bits: int, owner_bits: int) -> Iterator[tuple[i
 class Sender:
     """A run of rows of one task: its different texts, by bytes, with the rows that have them."""
 
-    def __init__(self) -> None:
+    def __init__(self, most_rows: int, most_bytes: int) -> None:
         self.slots: dict[bytes, list[tuple]] = {}
         self.rows = self.weight = 0
+        self.most_rows, self.most_bytes = most_rows, most_bytes
 
     def add(self, body: bytes, row_id: object, length: int) -> None:
         own = body.translate(None, BLANKS)
@@ -113,12 +118,12 @@ class Sender:
 
     @property
     def full(self) -> bool:
-        return self.rows >= MOST_ROWS or self.weight >= MOST_BYTES
+        return self.rows >= self.most_rows or self.weight >= self.most_bytes
 
-    def tables(self, number: int, bits: int, owner_bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def tables(self, number: int, bits: int, owner_bits: int, schema: pa.Schema, digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
         """Its texts, then its messages."""
         bodies = list(self.slots)
-        digests = [hashlib.sha256(b).digest() for b in bodies]
+        digests = [digest(b) for b in bodies]
         prints = np.array([int.from_bytes(d[:8], "big") >> (64 - bits) for d in digests], np.int64)
         different, place = np.unique(prints, return_inverse=True)
         members = list(self.slots.values())
@@ -172,7 +177,7 @@ def send(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
     out = T.StructType([T.StructField(n, t) for n, t in (("kind", T.StringType()), ("sender", T.LongType()), ("sha", T.BinaryType()), ("place", T.IntegerType()), ("members", T.ArrayType(member)), ("owner", T.IntegerType()), ("first", T.IntegerType()), ("count", T.IntegerType()), ("m", T.LongType()), ("body", T.BinaryType()))])
 
     def part(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, own, schema = TaskContext.get().partitionId() << 24, Sender(), None
+        number, own, schema = TaskContext.get().partitionId() << 24, Sender(MOST_ROWS, MOST_BYTES), None
         for rows in source:
             if schema is None:
                 kind = rows.schema.field("id").type
@@ -181,10 +186,10 @@ def send(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
             for row_id, text, length in zip(rows.column("id").to_pylist(), rows.column("body"), rows.column("length").to_pylist(), strict=True):
                 own.add(text.as_py(), row_id, length)
                 if own.full:
-                    yield from own.tables(number, bits, owner_bits, schema)
-                    number, own = number + 1, Sender()
+                    yield from own.tables(number, bits, owner_bits, schema, digest)
+                    number, own = number + 1, Sender(MOST_ROWS, MOST_BYTES)
         if own.rows:
-            yield from own.tables(number, bits, owner_bits, schema)
+            yield from own.tables(number, bits, owner_bits, schema, digest)
 
     return read.mapInArrow(part, out)
 
