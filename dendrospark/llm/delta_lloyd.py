@@ -176,10 +176,10 @@ def cluster(df: DataFrame, id_col: str, vector_col: str, k: int = K, rounds: int
             before = names.enter_context(bucketed(assign(held, before, centroids, changed), "at", "kind"))
             if turn == rounds:
                 break
-            parts = before.where("kind = 'moved'").select("owner", "n", F.posexplode("sums").alias("i", "s"))
-            for r in parts.groupBy("owner", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():  # a number a centroid and component
-                n[r["owner"]] += r["n"] if r["i"] == 0 else 0
-                sums[r["owner"], r["i"]] += r["s"]
+            totals = before.where("kind = 'moved'").groupBy("owner").agg(F.expr("sum(n) AS n"), *(F.expr(f"sum(sums[{i}]) AS s{i}") for i in range(length)))
+            for r in totals.collect():  # a row a centroid
+                n[r["owner"]] += r["n"]
+                sums[r["owner"]] += np.array(r[2:], object)
             means = [s // c if c else old for s, c, old in zip(sums, n, centroids, strict=True)]
             moved = np.array(means, np.int64).reshape(centroids.shape)
             changed = (moved != centroids).any(1)
