@@ -1,9 +1,10 @@
 """How much the words of each source differ from other sources of its language, by sums over shards in DuckDB.
 
-Terms are counted once per task and source; Spark adds the counts up and hashes (language, term) to shards
-of about ``SHARD`` rows, so a shard has all sources of its terms.  In each shard DuckDB counts the documents
-of a term over all sources, keeps what enough have (``LEAST``), and adds up for each pair of sources what
-their common terms contribute.  Spark adds the shards' sums and ranks.
+Each task counts its texts' terms and deals the counts to shards by a hash of (language, term), so a shard has
+all sources of its terms.  There DuckDB adds them up, keeps the terms that enough documents of the language
+have (``LEAST``), and, once Spark has the totals of all shards, adds up for each pair of sources what their
+common terms contribute.  Spark adds the shards' sums and ranks.  Between tasks a shard's terms travel as
+lists, a row for each task and shard, so Spark moves a few rows for millions of counts.
 
 With p and q the smoothed shares of a term in two sources, in billionths, its divergence is
 f = floor((p - q)^2 / q).  A pair's value is the sum over all kept terms of the language, also those that
@@ -17,7 +18,7 @@ All of it is in whole numbers: 128-bit integers in DuckDB, decimals of 38 digits
 
 Defined cases: null text, language and source count as empty; a (language, source) without terms is a
 group like any other; a language without kept terms has value 0 for all its pairs; a language with one
-source has no pairs; ties go to the item first in UTF-8; long texts are read whole, a megabyte at a time;
+source has no pairs; ties go to the item first in UTF-8; long texts are read whole, those over ``SLICE`` bytes in pieces;
 repeated rows each count; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,17 +28,22 @@ from collections import Counter
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked, materialise
 
 LEAST, TOP = 3, 200
-SHARD = 1 << 17  #: rows of a shard, about
-HELD = 400_000  #: different (language, source, term) that a task counts before it gives them out
-PIECE = 1 << 20  #: bytes of a text that are split into words at a time
+SHARD = 1 << 14  #: documents for each shard, at most, unless there are as many shards as shuffle partitions
+HELD = 2_000_000  #: counts that a task holds before it gives them out
+SLICE = 16 << 20  #: bytes of texts that are split into words at a time; longer texts are counted in pieces
+PIECE = 1 << 20
 UNIT = 1_000_000_000
+ENTRY = ["group", "term", "n", "docs"]
 
 #: ASCII letters in lower case and all other characters' bytes stay; the rest parts terms.
 BYTES = bytes(b if chr(b).isalpha() else 32 for b in range(128)).lower() + bytes(range(128, 256))
@@ -53,56 +59,106 @@ def pieces(body: bytes, size: int = PIECE) -> Iterator[bytes]:
         at = end
 
 
-def count_terms(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term, summed up by task; a null term for each group."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    read = df.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).cast("binary").alias("body"))
+def count_one(body: bytes, group: int) -> pa.Table:
+    """A long text's terms, counted piece by piece."""
+    n: Counter[bytes] = Counter()
+    for piece in pieces(body):
+        n.update(piece.split())
+    return pa.table([pa.array([group] * len(n), pa.int32()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([1] * len(n), pa.int64())], names=ENTRY)
+
+
+def count_many(bodies: pa.Array, group: np.ndarray) -> pa.Table:
+    """(group, term, n, docs) of texts, one number of a group for each."""
+    _, ends, data = bodies.buffers()
+    text = pa.py_buffer(data.to_pybytes().translate(BYTES)) if data is not None else pa.py_buffer(b"")
+    # the bytes left are letters and bytes from 128, whose runs an ASCII split leaves whole
+    words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(bodies), ends, text, offset=bodies.offset))
+    coded = words.flatten().dictionary_encode()
+    code, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_parent_indices(words).to_numpy()
+    terms = coded.dictionary.cast(pa.binary())
+    some = pc.binary_length(terms).to_numpy(zero_copy_only=False)[code] > 0 if len(code) else np.zeros(0, bool)
+    code, doc = code[some], doc[some]
+    size = max(1, len(terms))
+    key, n = np.unique(group[doc] * size + code, return_counts=True)
+    once = np.unique(doc * size + code)
+    _, docs = np.unique(group[once // size] * size + once % size, return_counts=True)
+    return pa.table([pa.array((key // size).astype(np.int32)), terms.take(pa.array(key % size)), pa.array(n), pa.array(docs)], names=ENTRY)
+
+
+def dealt(parts: list[pa.Table], names: list[tuple[str, str]], shards: int) -> pa.RecordBatch:
+    """What a task has counted, a row for each shard: its groups, and for each count its group's place there, term, n and docs."""
+    whole = pa.concat_tables(parts)
+    if len(parts) > 1:
+        whole = whole.group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(ENTRY)
+    whole = whole.combine_chunks()
+    group = whole.column("group").to_numpy()
+    langs = [lang.encode() for lang, _ in names]
+    shard = np.array([xxhash.xxh64_intdigest(t, xxhash.xxh64_intdigest(langs[g])) % shards for g, t in zip(group.tolist(), whole.column("term").to_pylist(), strict=True)], np.int64)
+    order = np.lexsort((group, shard))
+    shard, group = shard[order], group[order]
+    # runs of one group within one shard, and the shards' first runs
+    run = np.cumsum((np.diff(shard, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)) - 1
+    runs, rows = np.flatnonzero(np.diff(run, prepend=-1)), np.flatnonzero(np.diff(shard, prepend=-1))
+    row = np.cumsum(np.diff(shard, prepend=-1) != 0) - 1
+    who = [names[g] for g in group[runs].tolist()]
+    place = (run - run[rows][row] + 1).astype(np.int32)
+    ends, run_ends = pa.array(np.append(rows, len(order)).astype(np.int32)), pa.array(np.append(run[rows], len(runs)).astype(np.int32))
+    own = whole.take(pa.array(order))
+    lists = [pa.ListArray.from_arrays(run_ends, pa.array([x[k] for x in who], pa.string())) for k in (0, 1)]
+    lists += [pa.ListArray.from_arrays(ends, c) for c in (pa.array(place), *(own.column(c).combine_chunks() for c in ("term", "n", "docs")))]
+    return pa.RecordBatch.from_arrays([pa.array(shard[rows]), *lists], ["shard", "langs", "sources", "at", "terms", "n", "docs"])
+
+
+def count_terms(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, langs, sources, at, terms, n, docs) of ``rows`` (lang, source, body): what each task counts, in lists."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, tuple[Counter, Counter]] = {}
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (own_lang, own_source), (n, docs) in counts.items():
-                terms = [None, *n]
-                names = [pa.array([x] * len(terms), pa.string()) for x in (own_lang, own_source)]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64())], ["lang", "source", "term", "n", "docs"])
-            counts.clear()
-
+        known: dict[tuple[str, str], int] = {}
+        parts: list[pa.Table] = []
         for batch in batches:
-            for own_lang, own_source, body in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("body"), strict=True):
-                n, docs = counts.setdefault((own_lang, own_source), (Counter(), Counter()))
-                before, seen = len(n), set()
-                for piece in pieces(body.as_py()):
-                    words = piece.split()
-                    n.update(words)
-                    seen.update(words)
-                docs.update(seen)
-                held += len(n) - before
-                if held >= HELD:
-                    yield from flush()
-                    held = 0
-        yield from flush()
-
-    counted = read.mapInArrow(part, "lang string, source string, term binary, n long, docs long")
-    return counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
-
+            group = np.array([known.setdefault(g, len(known)) for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64)
+            sizes = pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(sizes):
+                # as many texts as fit, or one long text
+                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, "right")))
+                long = end == at + 1 and sizes[at] > SLICE
+                parts.append(count_one(batch.column("body")[at].as_py(), int(group[at])) if long else count_many(batch.column("body").slice(at, end - at), group[at:end]))
+                at = end
+                if sum(map(len, parts)) >= HELD:
+                    yield dealt(parts, list(known), shards)
+                    parts = []
+        if sum(map(len, parts)):
+            yield dealt(parts, list(known), shards)
+
+    return rows.mapInArrow(part, "shard long, langs array<string>, sources array<string>, at array<int>, terms array<binary>, n array<long>, docs array<long>")
+
+
+#: Of a shard: the terms that enough documents of the language have, in lists by source, and how often each count occurs.
 KEEP = """
-SELECT shard, lang, source, term, n, of_lang, row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1 AS first FROM (
-  SELECT *, sum(docs) OVER (PARTITION BY lang, term) AS in_docs, CAST(sum(n) OVER (PARTITION BY lang, term) AS BIGINT) AS of_lang FROM held)
-WHERE in_docs >= $least
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS of_row, * FROM held),
+g AS (SELECT of_row, generate_subscripts(langs, 1) AS place, unnest(langs) AS lang, unnest(sources) AS source FROM r),
+e AS (SELECT of_row, unnest("at") AS place, decode(unnest(terms)) AS term, unnest(n) AS n, unnest(docs) AS docs FROM r),
+c AS MATERIALIZED (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM e JOIN g USING (of_row, place) GROUP BY ALL),
+t AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS of_lang, min(source) AS first FROM c GROUP BY lang, term HAVING sum(docs) >= $least),
+k AS MATERIALIZED (SELECT c.lang, source, term, n, of_lang, first FROM c JOIN t USING (lang, term)),
+h AS (SELECT lang, source, list({'n': n, 'times': times}) AS counts FROM (SELECT lang, source, n, count(*) AS times FROM k GROUP BY ALL) GROUP BY ALL)
+SELECT (SELECT min(shard) FROM held) AS shard, k.lang, k.source, list({'term': term, 'n': n, 'of_lang': of_lang}) AS entries, any_value(counts) AS counts,
+  CAST(sum(n) AS BIGINT) AS total, count(*) AS terms, count(*) FILTER (first = k.source) AS new
+FROM k JOIN h ON h.lang = k.lang AND h.source = k.source GROUP BY k.lang, k.source
 """
+KEPT = "shard long, lang string, source string, entries array<struct<term string, n long, of_lang long>>, counts array<struct<n long, times long>>, total long, terms long, new long"
 
-SHARE = """
-CREATE MACRO share(n, total) AS CAST(1 + CAST(n + 1 AS HUGEINT) * 1000000000 // total AS HUGEINT);
+MACROS = """
+CREATE MACRO share(n, total) AS CAST(1 + CAST(n + 1 AS HUGEINT) * 1000000000 // total AS BIGINT);
 CREATE MACRO apart(p, q) AS (p - q) * (p - q) // q;
 """
 
 #: Of a shard's terms: what pairs of sources have in common, and the terms that lead each source.
 SUMS = """
-WITH k AS (
-  SELECT lang, source, term, share(n, total + v) AS p, share(0, total + v) AS p0, share(of_lang, lang_total + v) AS q FROM held),
+WITH e AS (SELECT lang, source, total, lang_total, v, unnest(entries) AS e FROM held),
+k AS MATERIALIZED (
+  SELECT lang, source, e.term AS term, share(e.n, total + v) AS p, share(0, total + v) AS p0, share(e.of_lang, lang_total + v) AS q FROM e),
 led AS (SELECT lang, source, term, apart(p, q) AS f FROM k WHERE p > q)
 SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
   CAST(sum(apart(a.p, b.p) - apart(a.p, b.p0) - apart(a.p0, b.p) + apart(a.p0, b.p0)) AS DECIMAL(38, 0)) AS value
@@ -145,7 +201,7 @@ def pairs(kept: DataFrame, groups: DataFrame, common: DataFrame) -> DataFrame:
     neither = (F.col("v") - F.col("terms") - F.col("item_terms")).cast("decimal(20,0)") * apart(F.col("empty"), F.col("item_empty"))
     base = own.join(other, "lang").where("source != item").select("lang", "source", "item", neither.cast("decimal(38,0)").alias("value"))
     # how often each count occurs in a source stands for its terms
-    times = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("times")).join(checked(groups), ["lang", "source"])
+    times = kept.select("lang", "source", F.inline("counts")).groupBy("lang", "source", "n").agg(F.sum("times").alias("times")).join(checked(groups), ["lang", "source"])
     times = times.select("lang", "source", F.col("times").cast("decimal(18,0)").alias("times"), share(F.col("n"), F.col("total") + F.col("v")).alias("p"))
     sides = times.join(other, "lang").where("source != item").groupBy("lang", "source", "item").agg(
         F.sum(F.col("times") * apart(F.col("p"), F.col("item_empty"))).cast("decimal(38,0)").alias("there"),
@@ -171,22 +227,21 @@ def leaders(rows: DataFrame, top: int) -> DataFrame:
 
 def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank) of every pair of sources of a language and of each source's leading terms."""
-    spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = materialise(count_terms(df, text, lang, source), "counts")
-    shards = max(tasks, counts.count() // SHARD + 1)
-    held = counts.where("term IS NOT NULL").select(F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).alias("shard"), "*")
-    kept = materialise(on_shards(held, KEEP, "shard long, lang string, source string, term string, n long, of_lang long, first boolean", least=least), "kept")
-
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    groups = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").select("lang", "source", zero("total"), zero("terms"))
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("first").alias("v"))
-    groups = materialise(groups.join(langs, "lang", "left").select("lang", "source", "total", "terms", zero("lang_total"), zero("v")), "groups")
-    few = checked(groups)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = df.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).cast("binary").alias("body"))
+    shards = max(tasks, df.count() // SHARD)
+    kept = materialise(on_shards(count_terms(rows, shards), KEEP, KEPT, least=least), "kept")
 
-    rows = kept.drop("first").join(few.select("lang", "source", "total", "lang_total", "v"), ["lang", "source"])
-    sums = materialise(on_shards(rows, SUMS, "lang string, source string, part string, item string, value decimal(38,0)", SHARE, top=top), "sums")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    totals = kept.groupBy("lang", "source").agg(F.sum("total").alias("total"), F.sum("terms").alias("terms"))
+    langs = kept.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("new").alias("v"))
+    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = materialise(groups.select("lang", "source", *map(zero, ("total", "terms", "lang_total", "v"))), "groups")
+
+    known = checked(groups.select("lang", "source", "total", "lang_total", "v"))
+    shares = kept.select("shard", "lang", "source", "entries").join(known, ["lang", "source"])
+    sums = materialise(on_shards(shares, SUMS, "lang string, source string, part string, item string, value decimal(38,0)", MACROS, top=top), "sums")
     out = ["lang", "source", "part", "item", "value", "rank"]
     of_pairs = rank(pairs(kept, groups, sums.where("part = 'pair'")), ["lang", "source"]).withColumn("part", F.lit("pair"))
     of_terms = leaders(sums.where("part = 'term'"), top).withColumn("part", F.lit("term"))
