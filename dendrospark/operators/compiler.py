@@ -16,7 +16,8 @@ is done in memory, beyond that by joins.
 
 A state whose winner no open leaf can change is a leaf: its channels' least and greatest sums
 decide, ties going to the smaller class.  They are not looked for where two witness points of the
-region, at its lower and upper ends, have different classes.  A search beyond ``most_states`` raises; a
+region have different classes.  Where trees one by one prove nothing, they are taken two at a time: a pair of
+leaves counts only if one point of the region reaches both.  A search beyond ``most_states`` raises; a
 graph is never returned incomplete.
 
 With a ``folder`` each wave is kept there with a manifest, and a later call with the same ensemble,
@@ -49,6 +50,8 @@ from .graph import MOST_NODES
 SMALL = 1 << 16  #: states whose graph is put together in memory
 BUDGET = 4096  #: states that a task explores for one batch of the frontier
 LOWEST, HIGHEST = -3.4028234663852886e38, 3.4028234663852886e38
+SCREEN = 4  #: points of a region that are tried before its bounds
+GOLDEN = 0.6180339887498949
 
 
 Policy = str | Callable[[list[tuple[int, int, float]]], Any]
@@ -79,9 +82,10 @@ class Domain:
 class Ensemble:
     """Trees in memory: node arrays, cuts by feature, what each subtree reads and its extremes."""
 
-    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64, screen: bool = True) -> None:
+    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64, screen: bool = True, joint: bool = True) -> None:
         self.visits = visits  #: nodes of a subtree looked at for its extremes inside a region
-        self.screen = screen  #: whether two points are tried before the extremes
+        self.screen = screen  #: whether points are tried before the extremes
+        self.joint = joint  #: whether trees are looked at two at a time where one by one proves nothing
         trees: dict[int, dict[int, object]] = {}
         for r in rows:
             trees.setdefault(r["tree"], {})[r["node"]] = r
@@ -143,30 +147,26 @@ class Ensemble:
                 raise ValueError("the region is empty")
         return [0] * len(self.trees), lo, hi, miss, groups, list(self.bias)
 
-    def witness(self, state: tuple, mode: int = 0) -> list[float]:
-        """A point of a state's region.  Modes: 0 low ends, 1 high ends, 2 missing, else -0, 3 -0, 4 +0, where they may be.
+    def choices(self, state: tuple) -> list[list[float]]:
+        """For each feature outside groups what a point of a state's region may have there: the ends of its values, both zeros, missing.
 
-        Modes 1 and 3 take the last allowed member of a group and the high end else, others the first and the low end.
+        The coordinates of groups follow, with the features that may be the one.
         """
         _, lo, hi, miss, groups, _ = state
-        point: list[float] = []
+        out: list[list[float]] = []
         for f in range(self.features):
-            if f in self.group:
-                g, m = self.group[f]
-                allowed = [k for k in range(len(self.domain.groups[g])) if groups[g] >> k & 1]
-                point.append(float(m == allowed[-1 if mode in (1, 3) else 0]))
-                continue
-            cuts = self.cuts[f]
-            if lo[f] > hi[f] or (mode == 2 and miss[f]):
-                point.append(float("nan"))
-                continue
-            low = cuts[lo[f] - 1] if lo[f] else LOWEST
-            high = float(np.nextafter(np.float32(cuts[hi[f]]), np.float32("-inf"))) if hi[f] < len(cuts) else HIGHEST
-            if mode in (2, 3, 4) and low <= 0 <= high:
-                point.append(0.0 if mode == 4 else -0.0)
-            else:
-                point.append(high if mode in (1, 3) else low)
-        return point
+            cuts, own = self.cuts[f], []
+            if f not in self.group and lo[f] <= hi[f]:
+                ends = cuts[lo[f] - 1] if lo[f] else LOWEST, float(np.nextafter(np.float32(cuts[hi[f]]), np.float32("-inf"))) if hi[f] < len(cuts) else HIGHEST
+                own = [*dict.fromkeys(ends), *([-0.0, 0.0] if ends[0] <= 0 <= ends[1] else [])]
+            out.append(own + [float("nan")] * bool(miss[f] and f not in self.group))
+        return out + [[float(f) for k, f in enumerate(g) if groups[i] >> k & 1] for i, g in enumerate(self.domain.groups)]
+
+    def witness(self, state: tuple, number: int = 0) -> list[float]:
+        """A point of a state's region: of each coordinate's choices, the one that a multiple of an irrational step falls on."""
+        drawn = [own[int(number * (i + 1) * GOLDEN % 1 * len(own))] if own else 0.0 for i, own in enumerate(self.choices(state))]
+        ones = {int(f) for f in drawn[self.features :]}
+        return [float(f in ones) if f in self.group else drawn[f] for f in range(self.features)]
 
     def class_at(self, state: tuple, point: list[float]) -> int:
         """The class of a point of a state's region, from the scores added so far and the open trees in order."""
@@ -181,9 +181,10 @@ class Ensemble:
             score[self.channel[t]] = np.float32(score[self.channel[t]] + np.float32(r["value"]))
         return max(range(len(score)), key=lambda k: (score[k], -k))
 
-    def mixed(self, state: tuple) -> bool:
-        """Whether two witness points of the region differ in class, so that no one class can be proved."""
-        return self.class_at(state, self.witness(state, 0)) != self.class_at(state, self.witness(state, 1))
+    def seen_class(self, state: tuple) -> int | None:
+        """The class of all of ``SCREEN`` points of the region; none if two differ, so that no one class can be proved."""
+        first = self.class_at(state, self.witness(state))
+        return first if all(self.class_at(state, self.witness(state, k)) == first for k in range(1, SCREEN)) else None
 
     def sides(self, r: object, lo: list[int], hi: list[int], miss: list[bool], groups: list[int]) -> tuple[bool, bool]:
         """Whether some point of the region goes left, and right, at a node."""
@@ -237,7 +238,8 @@ class Ensemble:
                 blocked.add(c)
         low, high = [np.float32(s) for s in score], [np.float32(s) for s in score]
         seen: set[tuple[int, int]] = set()
-        mixed = self.screen and self.mixed(state)
+        seen_class = self.seen_class(state) if self.screen else None
+        mixed = self.screen and seen_class is None
         for t in range(len(self.trees)):
             if at[t] >= 0:
                 c = self.channel[t]
@@ -248,6 +250,11 @@ class Ensemble:
         for w in range(len(score)) if not mixed else ():
             if all(low[w] > high[r] or (low[w] == high[r] and w < r) for r in range(len(score)) if r != w):
                 return b"", w
+        if self.joint and not mixed:
+            state = (at, lo, hi, miss, groups, score)
+            for w in range(len(score)) if seen_class is None else [seen_class]:
+                if self.leads(state, w):
+                    return b"", w
         used: dict[int, list[int]] = {}
         for f, j in seen:
             used.setdefault(f, []).append(j)
@@ -306,6 +313,68 @@ class Ensemble:
         found = [self.extremes(t, r[side], region, visits) for side, can in (("left", left), ("right", right)) if can]
         return (min(f[0] for f in found), max(f[1] for f in found)) if found else (self.low[t][node], self.high[t][node])
 
+    def parts(self, t: int, node: int, region: tuple, visits: list[int]) -> Iterator[tuple[np.float32, np.float32, tuple]]:
+        """(least, greatest, region) of the leaves below a node that the region reaches; of whole subtrees once visits run out."""
+        r = self.trees[t][node]
+        visits[0] -= 1
+        if r["feature"] < 0 or visits[0] < 0:
+            yield self.low[t][node], self.high[t][node], region
+            return
+        left, right = self.sides(r, *region)
+        for side, can in (("left", left), ("right", right)):
+            if can:
+                own = self.restrict(([], *region, []), r, side == "left")[1:5] if left and right else region
+                yield from self.parts(t, r[side], own, visits)
+
+    def reached(self, t: int, node: int, region: tuple) -> tuple[np.float32, np.float32]:
+        """Least and greatest leaf below a node that some point of the region reaches, tests of one feature taken together."""
+        found = [part[:2] for part in self.parts(t, node, region, [self.visits])]
+        return min(f[0] for f in found), max(f[1] for f in found)
+
+    def paired(self, t: int, u: int, at: list[int], region: tuple, low: np.float32, high: np.float32) -> tuple[np.float32, np.float32]:
+        """Least and greatest ordered sum of two trees' leaves that one point can reach, on sums from ``low`` to ``high``.
+
+        Rounding keeps order, so that the least sum before gives the least after.
+        """
+        found = []
+        for least, most, own in self.parts(t, at[t], region, [self.visits]):
+            a, b = self.reached(u, at[u], own)
+            found.append((np.float32(np.float32(low + least) + a), np.float32(np.float32(high + most) + b)))
+        return min(f[0] for f in found), max(f[1] for f in found)
+
+    def before_last(self, state: tuple, c: int) -> tuple[np.float32, np.float32, int | None]:
+        """Bounds of a channel's sum before its last open tree, trees taken two at a time, and that tree."""
+        at, *region, score = state
+        trees = [t for t in range(len(self.trees)) if at[t] >= 0 and self.channel[t] == c]
+        low = high = np.float32(score[c])
+        while len(trees) > 1:
+            if len(trees) > 2:
+                low, high = self.paired(trees[0], trees[1], at, tuple(region), low, high)
+            else:
+                least, most = self.reached(trees[0], at[trees[0]], tuple(region))
+                low, high = np.float32(low + least), np.float32(high + most)
+            trees = trees[2 if len(trees) > 2 else 1 :]
+        return low, high, trees[0] if trees else None
+
+    def leads(self, state: tuple, w: int) -> bool:
+        """Whether class ``w`` wins on the whole region, by bounds of two trees at a time.
+
+        Against each rival the last open trees of both classes are looked at together: no pair of their leaves
+        that one point can reach may put the rival ahead.
+        """
+        at, *region, _ = state
+        low, _, last = self.before_last(state, w)
+        own = [(np.float32(low + least), part) for least, _, part in self.parts(last, at[last], tuple(region), [self.visits])] if last is not None else [(low, tuple(region))]
+        for r in range(len(self.bias)):
+            if r == w:
+                continue
+            _, high, rival = self.before_last(state, r)
+            for least, part in own:
+                most = high if rival is None else np.float32(high + self.reached(rival, at[rival], part)[1])
+                if not (least > most or (least == most and w < r)):
+                    return False
+        return True
+
     def children(self, state: tuple, policy: Policy = "source") -> tuple[object, tuple[bytes, int | None], tuple[bytes, int | None]]:
         r = self.split(state, policy)
         return r, self.settle(self.restrict(state, r, True)), self.settle(self.restrict(state, r, False))
@@ -339,14 +408,14 @@ def expand(front: DataFrame, ensemble: object, policy: Policy, budget: int = BUD
 
 def compile_graph(
     trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_states: int = 1 << 20, budget: int = BUDGET, small: int = SMALL,
-    region: Region | None = None, folder: str | None = None, most_waves: int | None = None, screen: bool = True,
+    region: Region | None = None, folder: str | None = None, most_waves: int | None = None, screen: bool = True, joint: bool = True,
 ) -> tuple[DataFrame, int]:
     """(nodes, root) of the graph that gives every point of the domain, or of a region, the ensemble's class.
 
     A search of more than ``most_waves`` waves in this call raises ``Paused``.
     """
     spark = trees.sparkSession
-    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain(), screen=screen)
+    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain(), screen=screen, joint=joint)
     first, label = own.settle(own.start(region))
     if label is not None:
         return spark.createDataFrame([(0, -1, None, None, None, -1, -1, label)], NODES), 0
@@ -426,25 +495,25 @@ class Waves:
             raise ValueError("the kept waves are not those of one search")
 
 
-def witnesses(trees: DataFrame, bias: list[float], features: int, states: DataFrame, domain: Domain | None = None, modes: int = 5) -> DataFrame:
-    """(state, mode, x, class): points of the regions of ``states`` (state), and the class that a state's scores and open trees give each."""
+def witnesses(trees: DataFrame, bias: list[float], features: int, states: DataFrame, domain: Domain | None = None, points: int = 5) -> DataFrame:
+    """(state, number, x, class): points of the regions of ``states`` (state), and the class that a state's scores and open trees give each."""
     own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
     shared = states.sparkSession.sparkContext.broadcast(own)
 
-    def points(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Ensemble = shared.value
         for batch in source:
             out = []
             for data in batch.column("state").to_pylist():
                 state = own.unpack(data)
-                for mode in range(modes):
-                    x = own.witness(state, mode)
-                    out.append((data, mode, x, own.class_at(state, x)))
+                for number in range(points):
+                    x = own.witness(state, number)
+                    out.append((data, number, x, own.class_at(state, x)))
             if out:
                 kinds = [pa.binary(), pa.int32(), pa.list_(pa.float32()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["state", "mode", "x", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["state", "number", "x", "class"])
 
-    return states.select("state").mapInArrow(points, "state binary, mode int, x array<float>, class int")
+    return states.select("state").mapInArrow(drawn, "state binary, number int, x array<float>, class int")
 
 
 def explored(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, budget: int = BUDGET) -> DataFrame:

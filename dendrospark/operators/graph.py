@@ -386,8 +386,9 @@ def take_arc(rows: DataFrame, arcs: DataFrame, id_col: str) -> DataFrame:
 
     A row that no arc or several arcs hold is an error when it is read.
     """
-    held = rows.join(arcs.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("rank").between(F.col("low"), F.col("high")), "left")
-    taken = held.groupBy(*rows.columns).agg(F.count("child").alias("_n"), F.max("child").alias("_child"))
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())  # equal rows are rows of their own
+    held = keyed.join(arcs.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("rank").between(F.col("low"), F.col("high")), "left")
+    taken = held.groupBy(*keyed.columns).agg(F.count("child").alias("_n"), F.max("child").alias("_child"))
     wrong = F.raise_error(F.concat(F.lit("arcs that hold row "), F.col(id_col).cast("string"), F.lit(": "), F.col("_n").cast("string")))
     return taken.select(*rows.columns, F.when(F.col("_n") == 1, F.col("_child")).otherwise(wrong.cast("int")).alias("child"))
 

@@ -66,7 +66,7 @@ def audit(trees: DataFrame, bias: list[float], nodes: DataFrame, root: int, feat
     names = [f"x{f}" for f in range(features)]
     grid = points(trees.sparkSession, axes)
     both = predict(margins(grid, trees, names, bias), nodes, root, names, name="graph_class").withColumn("source_class", first_winner(F.col("margins")))
-    return both.agg(F.count("*").alias("cells"), F.count_if(F.col("graph_class") != F.col("source_class")).alias("mismatches"))
+    return both.agg(F.count("*").alias("cells"), F.count_if(~F.col("graph_class").eqNullSafe(F.col("source_class"))).alias("mismatches"))
 
 
 def class_cells(trees: DataFrame, bias: list[float], features: int, missing: bool = True) -> DataFrame:

@@ -65,6 +65,47 @@ def partition_audit(boxes: DataFrame, cells: int) -> DataFrame:
     return boxes.groupBy("tree").agg(F.count("*").alias("leaves"), F.sum(volume(F.col("lo"), F.col("hi"))).alias("covered")).withColumn("whole", F.col("covered") == cells)
 
 
+def atoms(lo: Column, hi: Column, missing: Column) -> Column:
+    """The bins of an interval (none if it ends before it begins), and -1 where values may be missing."""
+    numbers = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    return F.concat(numbers, F.when(missing == 1, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+
+
+def meet(a: DataFrame, b: DataFrame, on: list[str], axis: int) -> DataFrame:
+    """Pairs of boxes (lo, hi, sides) of ``a`` and ``b`` that share a point, and the box of what they share.
+
+    Both are laid out over the bins of one axis and meet there by equality; a pair counts in the first bin it
+    shares, so boxes far apart on that axis never meet, and no pair comes up twice.  The columns of ``b`` keep
+    their names with a ``_`` before.
+    """
+    at = lambda c: F.get(c, F.lit(axis))
+    left = a.withColumn("atom", F.explode(atoms(at("lo"), at("hi"), at("sides"))))
+    other = b.withColumn("atom", F.explode(atoms(at("lo"), at("hi"), at("sides"))))
+    other = other.select(*on, "atom", *(F.col(c).alias(f"_{c}") for c in b.columns if c not in on))
+    most, least = (lambda x, y: F.greatest(x, y)), (lambda x, y: F.least(x, y))
+    lo, hi = F.zip_with("lo", "_lo", most), F.zip_with("hi", "_hi", least)
+    both = left.join(other, [*on, "atom"]).withColumn("lo2", lo).withColumn("hi2", hi).withColumn("sides2", F.zip_with("sides", "_sides", least))
+    first = F.when(at("lo2") <= at("hi2"), at("lo2")).otherwise(-1)
+    shared = F.forall(F.arrays_zip("lo2", "hi2", "sides2"), lambda x: (x["lo2"] <= x["hi2"]) | (x["sides2"] == 1))
+    kept = both.where((F.col("atom") == first) & shared).drop("atom", "lo", "hi", "sides", "_lo", "_hi", "_sides")
+    return kept.withColumnsRenamed({"lo2": "lo", "hi2": "hi", "sides2": "sides"})
+
+
+def pair_bounds(parts: DataFrame, boxes: DataFrame, pairs: DataFrame, axis: int = 0) -> DataFrame:
+    """(region, a, b, least, greatest): bounds of the ordered sum of two trees inside each part of the domain.
+
+    ``parts`` has (region, lo, hi, sides), ``boxes`` what ``leaf_partitions`` gives, ``pairs`` (a, b), a before b.
+    Leaves count only where one point of the region reaches both, so the bounds are exact, and no wider than
+    those of the trees one by one.
+    """
+    own = boxes.select("tree", "lo", "hi", "sides", "value")
+    met = cut(meet(parts, own, [], axis).select("region", F.col("_tree").alias("tree"), "lo", "hi", "sides", F.col("_value").alias("value")), "met")
+    first = met.join(F.broadcast(pairs.select(F.col("a").alias("tree"), "b")), "tree").withColumnRenamed("tree", "a")
+    second = met.withColumnRenamed("tree", "b")
+    total = (F.col("value") + F.col("_value")).cast("float")
+    return meet(first, second, ["region", "b"], axis).groupBy("region", "a", "b").agg(F.min(total).alias("least"), F.max(total).alias("greatest"))
+
+
 def score_regions(trees: DataFrame, bias: list[float], features: int, most: int = 1 << 20) -> DataFrame:
     """(lo, hi, margins): regions of equal margins that part the grid of known values.
 

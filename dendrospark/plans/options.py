@@ -39,6 +39,9 @@ def training_parameters(given: dict[str, Any], classes: int) -> dict[str, Any]:
         if not math.isfinite(value) or value > most or value < least or (open_end and value == least):
             raise ValueError(f"{name} is out of range")
         out[name] = value if whole else float(value)
+    for name in SAMPLING[1:]:
+        if out.get(name, 1.0) != 1.0:
+            raise ValueError(f"{name}: training does not sample columns")
     if out["rounds"] > LARGE // max(1, classes):
         raise ValueError("rounds times classes is out of range")
     return out

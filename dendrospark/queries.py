@@ -547,6 +547,41 @@ def class_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.class_regions(regions.score_regions(forest(spark), BIAS, len(NAMES))).select("class", "cells")
 
 
+CUTS_USED = [sorted(c for g, c in USED if g == f) for f in range(len(CUTS))]
+
+
+def bin_sql(x: str, f: int) -> str:
+    return " + ".join(f"({x} >= CAST({fp32.decimal_text(c)} AS FLOAT))::INT" for c in CUTS_USED[f])
+
+
+PAIRS = [(t, t + K) for t in range(K)]
+#: Each user's part of the domain in bins, and every cell of the grid inside it.
+IN_PARTS = f"""WITH {EVENTS}, {', '.join(axis_sql(f) for f in range(len(CUTS)))},
+u AS (SELECT CAST(x1 AS BIGINT) AS region, {', '.join(f"min({bin_sql(f'x{f}', f)}) FILTER (NOT isnan(x{f})) AS lo{f}, max({bin_sql(f'x{f}', f)}) FILTER (NOT isnan(x{f})) AS hi{f}, bool_or(isnan(x{f})) AS miss{f}" for f in range(3))} FROM x GROUP BY x1),
+g AS (SELECT {', '.join(f"x{f}, {bin_sql(f'x{f}', f)} AS b{f}" for f in range(3))} FROM a0 CROSS JOIN a1 CROSS JOIN a2),
+v AS (SELECT *, {', '.join(f"{tree_sql(FOREST, t, NAMES)} AS t{t}" for t in range(2 * K))} FROM g),
+p AS (SELECT region, {', '.join(f"t{t}" for t in range(2 * K))} FROM u JOIN v ON {' AND '.join(f"CASE WHEN isnan(x{f}) THEN miss{f} ELSE b{f} BETWEEN lo{f} AND hi{f} END" for f in range(3))})"""
+
+
+def user_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, lo, hi, sides): the bins that each user's rows reach on each axis, and whether values are missing there."""
+    rows = events(spark, sf_dir)
+    bins = [fp32.rank_of(F.col(n), F.array(*(fp32.single(c) for c in CUTS_USED[f]))) for f, n in enumerate(NAMES)]
+    seen = rows.select(F.col("x1").cast("long").alias("region"), *(b.alias(f"b{f}") for f, b in enumerate(bins)))
+    known = lambda f: F.when(F.col(f"b{f}") >= 0, F.col(f"b{f}"))
+    ends = [c for f in range(3) for c in (F.coalesce(F.min(known(f)), F.lit(1)).alias(f"lo{f}"), F.coalesce(F.max(known(f)), F.lit(0)).alias(f"hi{f}"), F.max((F.col(f"b{f}") < 0).cast("int")).alias(f"m{f}"))]
+    out = seen.groupBy("region").agg(*ends)
+    return out.select("region", *(F.array(*(f"{c}{f}" for f in range(3))).alias(n) for c, n in (("lo", "lo"), ("hi", "hi"), ("m", "sides"))))
+
+
+@query(f"{IN_PARTS} {' UNION ALL '.join(f'SELECT region, {a} AS a, {b} AS b, CAST(min(t{a} + t{b}) AS DOUBLE) AS least, CAST(max(t{a} + t{b}) AS DOUBLE) AS greatest FROM p GROUP BY region' for a, b in PAIRS)}")
+def joint_pair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest sum of two trees of a class inside each user's part of the domain; the SQL tries every cell."""
+    pairs = spark.createDataFrame(PAIRS, "a int, b int")
+    found = regions.pair_bounds(user_parts(spark, sf_dir), regions.leaf_partitions(forest(spark), len(NAMES)), pairs)
+    return found.select("region", "a", "b", F.col("least").cast("double").alias("least"), F.col("greatest").cast("double").alias("greatest"))
+
+
 @query(f"{SCORED} SELECT row_id, class FROM s")
 def compact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compiled graph packed into a word a node, unpacked and used."""
@@ -581,13 +616,15 @@ def graded_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT o_orderkey AS model, o_orderkey AS ord, o_custkey % 40 AS plan, o_orderkey % 17 AS rounds FROM orders),
-w AS (SELECT o_orderkey AS want, o_custkey % 40 AS plan, o_orderkey % 19 AS rounds FROM orders WHERE o_orderkey % 10 = 0)
-SELECT want, model, rounds FROM (SELECT w.want, m.model, m.rounds, row_number() OVER (PARTITION BY w.want ORDER BY m.rounds NULLS LAST, m.ord) AS place FROM w LEFT JOIN m ON m.plan = w.plan AND m.rounds >= w.rounds) WHERE place = 1 AND model IS NOT NULL""")
+w AS (SELECT o_orderkey AS want, o_custkey % 40 AS plan, o_orderkey % 19 AS rounds FROM orders),
+f AS (SELECT plan, rounds, min(ord) AS model FROM m GROUP BY plan, rounds),
+r AS (SELECT w.want, w.plan, min(f.rounds) AS rounds FROM w JOIN f ON f.plan = w.plan AND f.rounds >= w.rounds GROUP BY w.want, w.plan)
+SELECT want, model, rounds FROM r JOIN f USING (plan, rounds)""")
 def training_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/orders.parquet")
     i, plan = F.col("o_orderkey"), F.col("o_custkey") % 40
     models = t.select(i.alias("model"), i.alias("ord"), plan.alias("plan"), (i % 17).alias("rounds"))
-    wanted = t.where(i % 10 == 0).select(i.alias("want"), plan.alias("plan"), (i % 19).alias("rounds"))
+    wanted = t.select(i.alias("want"), plan.alias("plan"), (i % 19).alias("rounds"))
     return study.cached_model(models, wanted).where("model IS NOT NULL")
 
 

@@ -181,16 +181,17 @@ def test_witnesses_lie_in_their_regions(spark):
     trees = trees_table(spark, rows)
     own = compiler.Ensemble([r.asDict() for r in trees.collect()], bias, 3, compiler.Domain())
     points = compiler.witnesses(trees, bias, 3, compiler.explored(trees, bias, 3)).collect()
-    assert len({p.mode for p in points}) == 5
+    assert len({p.number for p in points}) == 5
     for p in points:
         _, lo, hi, miss, _, _ = own.unpack(bytes(p.state))
         for f, v in enumerate(p.x):
             place = sum(c <= v for c in own.cuts[f])
             assert miss[f] if np.isnan(v) else lo[f] <= place <= hi[f]
-        if p.mode in (3, 4):
-            assert all(np.signbit(np.float32(v)) == (p.mode == 3) for v in p.x if v == 0)
     first, _ = own.settle(own.start())
     from_start = [p for p in points if bytes(p.state) == first]
+    for f, choices in enumerate(own.choices(own.unpack(first))):
+        zeros = {bool(np.signbit(v)) for v in choices if v == 0}
+        assert zeros == {True, False} and sum(np.isnan(v) for v in choices) == 1 and choices[0] < own.cuts[f][0]
     assert len(from_start) == 5 and all(p["class"] == direct(rows, bias, p.x) for p in from_start)
 
 
@@ -207,9 +208,43 @@ def test_groups_have_witnesses(spark):
     domain = compiler.Domain(True, [[0, 1, 2]])
     own = compiler.Ensemble([r.asDict() for r in trees_table(spark, rows).collect()], [0.0] * 3, 4, domain)
     state = own.start(compiler.Region(members={0: [1, 2]}))
-    assert [own.witness(state, m)[:3] for m in (0, 1)] == [[0, 1, 0], [0, 0, 1]]
+    assert {tuple(own.witness(state, m)[:3]) for m in range(9)} == {(0, 1, 0), (0, 0, 1)}
     nodes, root = compiler.compile_graph(trees_table(spark, rows), [0.0] * 3, 4, domain, region=compiler.Region(members={0: [1, 2]}))
     known = {r.node: r for r in nodes.collect()}
     for hot, x in itertools.product((1, 2), (0.0, 1.5, 3.0, float("nan"))):
         point = [float(k == hot) for k in range(3)] + [x]
         assert follow(known, root, point) == direct(rows, [0.0] * 3, point)
+
+
+def reach(rows, tree, x):
+    """The leaf value of a point."""
+    own = {r[2]: r for r in rows if r[0] == tree}
+    n = 0
+    while own[n][3] >= 0:
+        v = x[own[n][3]]
+        n = own[n][7] if (own[n][6] if np.isnan(v) else np.float32(v) < np.float32(own[n][4])) else own[n][8]
+    return np.float32(own[n][9])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_of_trees_are_bounded_by_what_points_reach(seed):
+    rows = rule_forest(3, 2, CUTS, 3, seed)
+    names = ["tree", "channel", "node", "feature", "cut", "cut_bits", "default_left", "left", "right", "value"]
+    own = compiler.Ensemble([dict(zip(names, r, strict=True)) for r in rows], [0.0] * 2, 3, compiler.Domain(), visits=1000)
+    axes = [[c[0] - 1, *c, float("nan")] for c in own.cuts]
+    at, *region, _ = own.start()
+    for t, u in itertools.combinations(range(len(own.trees)), 2):
+        sums = [np.float32(np.float32(np.float32(0.3) + reach(rows, t, x)) + reach(rows, u, x)) for x in itertools.product(*axes)]
+        assert own.paired(t, u, at, tuple(region), np.float32(0.3), np.float32(0.3)) == (min(sums), max(sums))
+
+
+def test_pairs_give_the_same_graph_after_fewer_states(spark, monkeypatch):
+    counts = []
+    real = compiler.assemble_small
+    monkeypatch.setattr(compiler, "assemble_small", lambda spark, rows, first: (counts.append(len(rows)), real(spark, rows, first))[1])
+    for seed in (3, 8):
+        trees = trees_table(spark, rule_forest(4, 3, CUTS, 3, seed))
+        one, a = compiler.compile_graph(trees, [0.0] * 3, 3, joint=False)
+        two, b = compiler.compile_graph(trees, [0.0] * 3, 3)
+        assert a == b and graph.same_graph(one, two)
+        assert counts[-1] < counts[-2]
