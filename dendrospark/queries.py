@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fp32
+from .functions import directed, fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
 from .operators import bundles, compiler, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
 from .plans import storage
@@ -407,6 +407,22 @@ def half_ulp_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", fp32.half_ulp(F.col("value").cast("float")).alias("radius"))
 
 
+@query("""WITH n AS (SELECT event_id, (event_id * 1000000007 + 7) * 1048576.0::DOUBLE AS a, floor(value * 1024) / 1024 AS b, (event_id * 1009 + 1)::DOUBLE AS c, (user_id + 3)::DOUBLE AS d FROM events),
+r AS (SELECT *, a + b AS s, a - b AS t, c / d AS q, (a * 1024)::HUGEINT + (b * 1024)::HUGEINT AS sum, (a * 1024)::HUGEINT - (b * 1024)::HUGEINT AS difference FROM n),
+e AS (SELECT *, (s * 1024)::HUGEINT - sum AS ds, (t * 1024)::HUGEINT - difference AS dt, (q * pow(2, 60))::HUGEINT * d::HUGEINT - (c * pow(2, 60))::HUGEINT AS dq FROM r)
+SELECT event_id, CASE WHEN ds > 0 THEN nextafter(s, '-inf'::DOUBLE) ELSE s END AS add_down, CASE WHEN ds < 0 THEN nextafter(s, 'inf'::DOUBLE) ELSE s END AS add_up,
+  CASE WHEN dt > 0 THEN nextafter(t, '-inf'::DOUBLE) ELSE t END AS sub_down, CASE WHEN dt < 0 THEN nextafter(t, 'inf'::DOUBLE) ELSE t END AS sub_up,
+  CASE WHEN dq > 0 THEN nextafter(q, '-inf'::DOUBLE) ELSE q END AS div_down, CASE WHEN dq < 0 THEN nextafter(q, 'inf'::DOUBLE) ELSE q END AS div_up FROM e""")
+def directed_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, differences and quotients rounded down and up; the SQL compares with 128-bit integers."""
+    i = F.col("event_id")
+    a, b = (i * 1000000007 + 7) * F.lit(1048576.0), F.floor(F.col("value") * 1024) / F.lit(1024.0)
+    c, d = (i * 1009 + 1).cast("double"), (F.col("user_id") + 3).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    sums = [getattr(directed, n)(F.col("a"), F.col("b")).alias(n) for n in ("add_down", "add_up", "sub_down", "sub_up")]
+    return rows.select("event_id", *sums, directed.div_down(F.col("c"), F.col("d")).alias("div_down"), directed.div_up(F.col("c"), F.col("d")).alias("div_up"))
+
+
 @query("SELECT o_orderkey, CAST(bit_count(o_orderkey) AS INTEGER) AS set_bits, CASE WHEN o_orderkey = 0 THEN -1 ELSE CAST(log2(o_orderkey & -o_orderkey) AS INTEGER) END AS lowest, CASE WHEN o_orderkey = 0 THEN -1 ELSE CAST(floor(log2(o_orderkey)) AS INTEGER) END AS highest FROM orders")
 def bit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("o_orderkey")
