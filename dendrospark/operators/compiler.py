@@ -17,7 +17,8 @@ is done in memory, beyond that by joins.
 A state whose winner no open leaf can change is a leaf: its channels' least and greatest sums
 decide, ties going to the smaller class.  They are not looked for where two witness points of the
 region have different classes.  Where trees one by one prove nothing, they are taken two at a time: a pair of
-leaves counts only if one point of the region reaches both.  A search beyond ``most_states`` raises; a
+leaves counts only if one point of the region reaches both.  Last, the difference of two classes is bounded as
+one exact sum, subtrees that read one feature added up bin by bin, with room for all rounding.  A search beyond ``most_states`` raises; a
 graph is never returned incomplete.
 
 With a ``folder`` each wave is kept there with a manifest, and a later call with the same ensemble,
@@ -34,6 +35,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import reduce
+from itertools import zip_longest
 from typing import Any
 
 import numpy as np
@@ -42,6 +44,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import directed
 from ..functions.fp32 import value_of, word_of
 from ..functions.models import NODES, split_mix
 from ..plans.storage import bounded, content_id, cut, load, save
@@ -82,10 +85,11 @@ class Domain:
 class Ensemble:
     """Trees in memory: node arrays, cuts by feature, what each subtree reads and its extremes."""
 
-    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64, screen: bool = True, joint: bool = True) -> None:
+    def __init__(self, rows: list, bias: list[float], features: int, domain: Domain, visits: int = 64, screen: bool = True, joint: bool = True, gaps: bool = True) -> None:
         self.visits = visits  #: nodes of a subtree looked at for its extremes inside a region
         self.screen = screen  #: whether points are tried before the extremes
         self.joint = joint  #: whether trees are looked at two at a time where one by one proves nothing
+        self.gaps = gaps  #: whether the difference of two classes is bounded as one sum where that proves nothing
         trees: dict[int, dict[int, object]] = {}
         for r in rows:
             trees.setdefault(r["tree"], {})[r["node"]] = r
@@ -116,6 +120,26 @@ class Ensemble:
             self.reads.append(reads)
             self.low.append(low)
             self.high.append(high)
+        self.steps = [self.step_functions(t) for t in self.trees]
+
+    def step_functions(self, tree: dict) -> dict[int, tuple[int, np.ndarray]]:
+        """For each subtree that reads one feature outside groups: the feature, and the leaf of each bin, the missing value's last."""
+        out: dict[int, tuple[int, np.ndarray]] = {}
+        for n in sorted(tree, reverse=True):
+            r = tree[n]
+            f = r["feature"]
+            if f < 0 or f in self.group:
+                continue
+            sides = []
+            for child in (r["left"], r["right"]):
+                if tree[child]["feature"] < 0:
+                    sides.append(np.full(len(self.cuts[f]) + 2, float(np.float32(tree[child]["value"]))))
+                elif child in out and out[child][0] == f:
+                    sides.append(out[child][1])
+            if len(sides) == 2:
+                left = np.append(np.arange(len(self.cuts[f]) + 1) <= self.cut_index(r), bool(r["default_left"]))
+                out[n] = f, np.where(left, *sides)
+        return out
 
     def cut_index(self, r: object) -> int:
         return self.index[r["feature"]][float(np.float32(r["cut"])) + 0.0]
@@ -362,19 +386,67 @@ class Ensemble:
         Against each rival the last open trees of both classes are looked at together: no pair of their leaves
         that one point can reach may put the rival ahead.
         """
+        return all(self.ahead(state, w, r) or (self.gaps and self.gap(state, w, r) > 0) for r in range(len(self.bias)) if r != w)
+
+    def ahead(self, state: tuple, w: int, r: int) -> bool:
         at, *region, _ = state
         low, _, last = self.before_last(state, w)
         own = [(np.float32(low + least), part) for least, _, part in self.parts(last, at[last], tuple(region), [self.visits])] if last is not None else [(low, tuple(region))]
-        for r in range(len(self.bias)):
-            if r == w:
-                continue
-            _, high, rival = self.before_last(state, r)
-            for least, part in own:
-                most = high if rival is None else np.float32(high + self.reached(rival, at[rival], part)[1])
-                if not (least > most or (least == most and w < r)):
-                    return False
+        _, high, rival = self.before_last(state, r)
+        for least, part in own:
+            most = high if rival is None else np.float32(high + self.reached(rival, at[rival], part)[1])
+            if not (least > most or (least == most and w < r)):
+                return False
         return True
 
+    def rounding(self, state: tuple, c: int) -> float:
+        """The most that rounding moves a channel's ordered sum: half a unit in the last place of each partial sum's bound."""
+        at, *_, score = state
+        size, moved = abs(float(score[c])), 0.0
+        for t in range(len(self.trees)):
+            if at[t] >= 0 and self.channel[t] == c:
+                most = max(abs(float(self.low[t][at[t]])), abs(float(self.high[t][at[t]])))
+                size = float(directed.add_up(directed.add_up(size, most), moved))
+                moved = float(directed.add_up(moved, max(size * 2.0**-24, 2.0**-150)))
+        return moved
+
+    def gap(self, state: tuple, w: int, r: int) -> float:
+        """A lower bound of the exact difference of two classes' scores over the region, less what rounding may move.
+
+        Subtrees that read one feature are added up as step functions over that feature's bins, both classes
+        together, and only the least bin that the region reaches counts.  The others are bounded two at a time, one
+        of each class, over pairs of leaves that one point reaches; what is left, alone.
+        """
+        at, lo, hi, miss, groups, score = state
+        region = lo, hi, miss, groups
+        total = directed.sub_down(float(score[w]), float(score[r]))
+        axes: dict[int, np.ndarray] = {}
+        others: dict[int, list[int]] = {w: [], r: []}
+        for t in range(len(self.trees)):
+            c = self.channel[t]
+            if at[t] < 0 or c not in others:
+                continue
+            if at[t] in self.steps[t]:
+                f, values = self.steps[t][at[t]]
+                own = values if c == w else -values
+                axes[f] = directed.add_down(axes[f], own) if f in axes else own
+            elif self.trees[t][at[t]]["feature"] < 0:
+                value = float(np.float32(self.trees[t][at[t]]["value"]))
+                total = directed.add_down(total, value if c == w else -value)
+            else:
+                others[c].append(t)
+        for f, values in axes.items():
+            total = directed.add_down(total, min([*values[lo[f] : hi[f] + 1], *values[-1:][: bool(miss[f])]]))
+        for t, u in zip_longest(others[w], others[r]):
+            if t is None:
+                least = -float(self.reached(u, at[u], region)[1])
+            elif u is None:
+                least = float(self.reached(t, at[t], region)[0])
+            else:
+                least = min(float(directed.sub_down(float(low), float(self.reached(u, at[u], own)[1]))) for low, _, own in self.parts(t, at[t], region, [self.visits]))
+            total = directed.add_down(total, least)
+        return float(directed.sub_down(total, directed.add_up(self.rounding(state, w), self.rounding(state, r))))
+
     def children(self, state: tuple, policy: Policy = "source") -> tuple[object, tuple[bytes, int | None], tuple[bytes, int | None]]:
         r = self.split(state, policy)
         return r, self.settle(self.restrict(state, r, True)), self.settle(self.restrict(state, r, False))
@@ -408,14 +480,14 @@ def expand(front: DataFrame, ensemble: object, policy: Policy, budget: int = BUD
 
 def compile_graph(
     trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_states: int = 1 << 20, budget: int = BUDGET, small: int = SMALL,
-    region: Region | None = None, folder: str | None = None, most_waves: int | None = None, screen: bool = True, joint: bool = True,
+    region: Region | None = None, folder: str | None = None, most_waves: int | None = None, screen: bool = True, joint: bool = True, gaps: bool = True,
 ) -> tuple[DataFrame, int]:
     """(nodes, root) of the graph that gives every point of the domain, or of a region, the ensemble's class.
 
     A search of more than ``most_waves`` waves in this call raises ``Paused``.
     """
     spark = trees.sparkSession
-    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain(), screen=screen, joint=joint)
+    own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain(), screen=screen, joint=joint, gaps=gaps)
     first, label = own.settle(own.start(region))
     if label is not None:
         return spark.createDataFrame([(0, -1, None, None, None, -1, -1, label)], NODES), 0
@@ -460,7 +532,7 @@ class Waves:
             raise ValueError("a search by a callable cannot be resumed")
         self.spark, self.folder = spark, folder.rstrip("/")
         nodes = [[sorted((k, str(v)) for k, v in r.items()) for _, r in sorted(t.items())] for t in own.trees]
-        facts = repr((nodes, [float(b).hex() for b in own.bias], own.features, own.domain, region, own.visits))
+        facts = repr((nodes, [float(b).hex() for b in own.bias], own.features, own.domain, region, own.visits, own.screen, own.joint, own.gaps))
         self.plan = {"search": hashlib.sha256(facts.encode()).hexdigest(), "policy": policy}
 
     def keep(self, wave: DataFrame, number: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import running_least, sliding
+from .regions import meet
 
 
 def accuracy_by_role(scored: DataFrame, label: str = "label", predicted: str = "class", role: str = "role") -> DataFrame:
@@ -111,8 +112,11 @@ def throughput(progress: DataFrame, steps: int = 4) -> DataFrame:
 def tree_conflicts(boxes: DataFrame) -> DataFrame:
     """(tree, a, b): pairs of leaf boxes of one tree that overlap on every axis; none in a partition.
 
-    ``boxes`` has (tree, leaf, lo, hi) with arrays of first and last bin by feature.
+    ``boxes`` has (tree, leaf, lo, hi) with arrays of first and last bin by feature.  Boxes meet in the bins of the
+    axis on which they begin at most places, so those apart there are never compared.
     """
-    a, b = boxes.select("tree", F.col("leaf").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), boxes.select("tree", F.col("leaf").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meets = F.forall(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), lambda x: (x["lo1"] <= x["hi2"]) & (x["lo2"] <= x["hi1"]))
-    return a.join(b, "tree").where((F.col("a") < F.col("b")) & meets).select("tree", "a", "b")
+    begins = boxes.select(F.posexplode("lo").alias("axis", "at")).groupBy("axis").agg(F.count_distinct("at").alias("n"))
+    best = begins.orderBy(F.desc("n"), "axis").first()
+    own = boxes.select("tree", "leaf", "lo", "hi", F.transform("lo", lambda x: F.lit(0)).alias("sides"))
+    met = meet(own, own, ["tree"], best["axis"] if best else 0)
+    return met.where("leaf < _leaf").select("tree", F.col("leaf").alias("a"), F.col("_leaf").alias("b"))

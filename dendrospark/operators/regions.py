@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import directed
 from ..functions.fp32 import first_winner
 from ..plans.storage import bounded, cut
 from .grid import cut_catalog
@@ -106,6 +107,57 @@ def pair_bounds(parts: DataFrame, boxes: DataFrame, pairs: DataFrame, axis: int
     return meet(first, second, ["region", "b"], axis).groupBy("region", "a", "b").agg(F.min(total).alias("least"), F.max(total).alias("greatest"))
 
 
+def axis_sums(trees: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(channel, axis, bin, least, greatest) of trees that read one feature each: their sum in every bin, -1 where values are missing.
+
+    Trees are added in their order, rounded down and up; a tree without tests counts on axis 0, one that reads
+    several features is an error.
+    """
+    reads = trees.groupBy("tree").agg(F.count_distinct(F.when(F.col("feature") >= 0, F.col("feature"))).alias("n"), F.greatest(F.max("feature"), F.lit(0)).alias("axis"))
+    axis = F.when(F.col("n") <= 1, F.col("axis")).otherwise(F.raise_error(F.lit("a tree reads several features")).cast("int"))
+    own = boxes.join(F.broadcast(reads.select("tree", axis.alias("axis"))), "tree")
+    at = lambda c: F.get(c, F.col("axis"))
+    steps = own.select("channel", "axis", "tree", F.col("value").cast("double").alias("value"), F.explode(atoms(at("lo"), at("hi"), at("sides"))).alias("bin"))
+    values = F.array_sort(F.collect_list(F.struct("tree", "value")))
+    added = lambda rule: F.aggregate(values, F.lit(0.0), lambda total, x: rule(total, x["value"]))
+    return steps.groupBy("channel", "axis", "bin").agg(added(directed.add_down).alias("least"), added(directed.add_up).alias("greatest"))
+
+
+def range_table(sums: DataFrame) -> DataFrame:
+    """(channel, axis, level, bin, least, greatest): extremes of the 2^level bins from ``bin`` on, and the missing value at level -1.
+
+    Any range of bins is covered by two rows of one level.
+    """
+    level = cut(sums.where("bin >= 0").select("channel", "axis", F.lit(0).alias("level"), "bin", "least", "greatest"), "level")
+    out = sums.where("bin < 0").select("channel", "axis", F.lit(-1).alias("level"), "bin", "least", "greatest").unionByName(level)
+    bins = level.agg(F.max("bin")).first()[0]
+    for k in range((0 if bins is None else bins + 1).bit_length() - 1):
+        ahead = level.select("channel", "axis", (F.col("bin") - (1 << k)).alias("bin"), F.col("least").alias("_least"), F.col("greatest").alias("_greatest"))
+        level = level.join(ahead, ["channel", "axis", "bin"]).select("channel", "axis", F.lit(k + 1).alias("level"), "bin", F.least("least", "_least").alias("least"), F.greatest("greatest", "_greatest").alias("greatest"))
+        level = cut(level, "level")
+        out = out.unionByName(level)
+    return out
+
+
+def grouped_bounds(parts: DataFrame, table: DataFrame) -> DataFrame:
+    """(region, channel, least, greatest): bounds of the exact sum of trees of one feature each inside each part of the domain.
+
+    ``parts`` has (region, lo, hi, sides), ``table`` is a ``range_table``.  On each axis the trees are one step function,
+    so its extremes are met by one bin, and those of the sum by one point.
+    """
+    axes = parts.select("region", F.posexplode(F.arrays_zip("lo", "hi", "sides")).alias("axis", "x")).select("region", "axis", "x.*")
+    size = F.col("hi") - F.col("lo") + 1
+    level = F.length(F.bin(size.cast("long"))) - 1
+    both = F.array(F.struct(level.alias("level"), F.col("lo").alias("bin")), F.struct(level.alias("level"), (F.col("hi") + 1 - F.call_function("shiftleft", F.lit(1), level)).alias("bin")))
+    none = F.array().cast("array<struct<level:int,bin:int>>")
+    missing = F.when(F.col("sides") == 1, F.array(F.struct(F.lit(-1).alias("level"), F.lit(-1).alias("bin")))).otherwise(none)
+    asked = axes.select("region", "axis", F.inline(F.array_distinct(F.concat(F.when(size > 0, both).otherwise(none), missing))))
+    met = asked.join(table, ["axis", "level", "bin"]).groupBy("region", "channel", "axis").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    ordered = F.array_sort(F.collect_list(F.struct("axis", "least", "greatest")))
+    added = lambda rule, c: F.aggregate(ordered, F.lit(0.0), lambda total, x: rule(total, x[c]))
+    return met.groupBy("region", "channel").agg(added(directed.add_down, "least").alias("least"), added(directed.add_up, "greatest").alias("greatest"))
+
+
 def score_regions(trees: DataFrame, bias: list[float], features: int, most: int = 1 << 20) -> DataFrame:
     """(lo, hi, margins): regions of equal margins that part the grid of known values.
 

@@ -463,8 +463,10 @@ def cut_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = [sorted({float(np.nextafter(np.float32(c[0]), np.float32(-np.inf))), *c}) for c in ([c for g, c in USED if g == f] for f in range(len(CUTS)))]
 
 
-def axis_sql(f: int) -> str:
-    points = ", ".join(f"(CAST({fp32.decimal_text(v)} AS FLOAT))" for v in GRID[f])
+def axis_sql(f: int, cuts: list[list[float]] | None = None) -> str:
+    """One value of each bin of an axis, and NaN."""
+    own = GRID[f] if cuts is None else [float(np.nextafter(np.float32(cuts[f][0]), np.float32(-np.inf))), *cuts[f]]
+    points = ", ".join(f"(CAST({fp32.decimal_text(v)} AS FLOAT))" for v in own)
     return f"a{f} AS (SELECT * FROM (VALUES {points}, (CAST('nan' AS FLOAT))) t(x{f}))"
 
 
@@ -563,41 +565,65 @@ def class_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.class_regions(regions.score_regions(forest(spark), BIAS, len(NAMES))).select("class", "cells")
 
 
-CUTS_USED = [sorted(c for g, c in USED if g == f) for f in range(len(CUTS))]
 
 
-def bin_sql(x: str, f: int) -> str:
-    return " + ".join(f"({x} >= CAST({fp32.decimal_text(c)} AS FLOAT))::INT" for c in CUTS_USED[f])
+def used_cuts(rows: list[tuple]) -> list[list[float]]:
+    return [sorted({r[4] for r in rows if r[3] == f}) for f in range(len(CUTS))]
 
 
 PAIRS = [(t, t + K) for t in range(K)]
-#: Each user's part of the domain in bins, and every cell of the grid inside it.
-IN_PARTS = f"""WITH {EVENTS}, {', '.join(axis_sql(f) for f in range(len(CUTS)))},
-u AS (SELECT CAST(x1 AS BIGINT) AS region, {', '.join(f"min({bin_sql(f'x{f}', f)}) FILTER (NOT isnan(x{f})) AS lo{f}, max({bin_sql(f'x{f}', f)}) FILTER (NOT isnan(x{f})) AS hi{f}, bool_or(isnan(x{f})) AS miss{f}" for f in range(3))} FROM x GROUP BY x1),
-g AS (SELECT {', '.join(f"x{f}, {bin_sql(f'x{f}', f)} AS b{f}" for f in range(3))} FROM a0 CROSS JOIN a1 CROSS JOIN a2),
-v AS (SELECT *, {', '.join(f"{tree_sql(FOREST, t, NAMES)} AS t{t}" for t in range(2 * K))} FROM g),
-p AS (SELECT region, {', '.join(f"t{t}" for t in range(2 * K))} FROM u JOIN v ON {' AND '.join(f"CASE WHEN isnan(x{f}) THEN miss{f} ELSE b{f} BETWEEN lo{f} AND hi{f} END" for f in range(3))})"""
 
 
-def user_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_parts(rows: list[tuple]) -> str:
+    """SQL of each user's part of the domain in bins, and the trees' values on every cell of the grid inside it."""
+    cuts = used_cuts(rows)
+
+    def bin_of(f: int) -> str:
+        return " + ".join(f"(x{f} >= CAST({fp32.decimal_text(c)} AS FLOAT))::INT" for c in cuts[f])
+
+    ends = ", ".join(f"min({bin_of(f)}) FILTER (NOT isnan(x{f})) AS lo{f}, max({bin_of(f)}) FILTER (NOT isnan(x{f})) AS hi{f}, bool_or(isnan(x{f})) AS miss{f}" for f in range(3))
+    inside = " AND ".join(f"CASE WHEN isnan(x{f}) THEN miss{f} ELSE b{f} BETWEEN lo{f} AND hi{f} END" for f in range(3))
+    trees = range(max(r[0] for r in rows) + 1)
+    return f"""WITH {EVENTS}, {', '.join(axis_sql(f, cuts) for f in range(3))},
+u AS (SELECT CAST(x1 AS BIGINT) AS region, {ends} FROM x GROUP BY x1),
+g AS (SELECT {', '.join(f"x{f}, {bin_of(f)} AS b{f}" for f in range(3))} FROM a0 CROSS JOIN a1 CROSS JOIN a2),
+v AS (SELECT *, {', '.join(f"{tree_sql(rows, t, NAMES)} AS t{t}" for t in trees)} FROM g),
+p AS (SELECT region, {', '.join(f"t{t}" for t in trees)} FROM u JOIN v ON {inside})"""
+
+
+def user_parts(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
     """(region, lo, hi, sides): the bins that each user's rows reach on each axis, and whether values are missing there."""
-    rows = events(spark, sf_dir)
-    bins = [fp32.rank_of(F.col(n), F.array(*(fp32.single(c) for c in CUTS_USED[f]))) for f, n in enumerate(NAMES)]
-    seen = rows.select(F.col("x1").cast("long").alias("region"), *(b.alias(f"b{f}") for f, b in enumerate(bins)))
+    bins = [fp32.rank_of(F.col(n), F.array(*map(fp32.single, own))) for n, own in zip(NAMES, used_cuts(rows), strict=True)]
+    seen = events(spark, sf_dir).select(F.col("x1").cast("long").alias("region"), *(b.alias(f"b{f}") for f, b in enumerate(bins)))
     known = lambda f: F.when(F.col(f"b{f}") >= 0, F.col(f"b{f}"))
     ends = [c for f in range(3) for c in (F.coalesce(F.min(known(f)), F.lit(1)).alias(f"lo{f}"), F.coalesce(F.max(known(f)), F.lit(0)).alias(f"hi{f}"), F.max((F.col(f"b{f}") < 0).cast("int")).alias(f"m{f}"))]
     out = seen.groupBy("region").agg(*ends)
     return out.select("region", *(F.array(*(f"{c}{f}" for f in range(3))).alias(n) for c, n in (("lo", "lo"), ("hi", "hi"), ("m", "sides"))))
 
 
-@query(f"{IN_PARTS} {' UNION ALL '.join(f'SELECT region, {a} AS a, {b} AS b, CAST(min(t{a} + t{b}) AS DOUBLE) AS least, CAST(max(t{a} + t{b}) AS DOUBLE) AS greatest FROM p GROUP BY region' for a, b in PAIRS)}")
+@query(f"{in_parts(FOREST)} {' UNION ALL '.join(f'SELECT region, {a} AS a, {b} AS b, CAST(min(t{a} + t{b}) AS DOUBLE) AS least, CAST(max(t{a} + t{b}) AS DOUBLE) AS greatest FROM p GROUP BY region' for a, b in PAIRS)}")
 def joint_pair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least and greatest sum of two trees of a class inside each user's part of the domain; the SQL tries every cell."""
     pairs = spark.createDataFrame(PAIRS, "a int, b int")
-    found = regions.pair_bounds(user_parts(spark, sf_dir), regions.leaf_partitions(forest(spark), len(NAMES)), pairs)
+    found = regions.pair_bounds(user_parts(spark, sf_dir, FOREST), regions.leaf_partitions(forest(spark), len(NAMES)), pairs)
     return found.select("region", "a", "b", F.col("least").cast("double").alias("least"), F.col("greatest").cast("double").alias("greatest"))
 
 
+STUMPS = rule_forest(8, K, CUTS, depth=1, seed=17)
+
+
+def stumps_sql(channel: int) -> str:
+    return " + ".join(f"CAST(t{t} AS DOUBLE)" for t in range(channel, 8 * K, K))
+
+
+@query(f"{in_parts(STUMPS)} {' UNION ALL '.join(f'SELECT region, {k} AS channel, min({stumps_sql(k)}) AS least, max({stumps_sql(k)}) AS greatest FROM p GROUP BY region' for k in range(K))}")
+def grouped_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest exact sum of a class's trees of one test inside each user's part of the domain; the SQL tries every cell."""
+    trees = forest(spark, STUMPS)
+    table = regions.range_table(regions.axis_sums(trees, regions.leaf_partitions(trees, len(NAMES))))
+    return regions.grouped_bounds(user_parts(spark, sf_dir, STUMPS), table)
+
+
 @query(f"{SCORED} SELECT row_id, class FROM s")
 def compact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compiled graph packed into a word a node, unpacked and used."""

@@ -1,4 +1,6 @@
+import functools
 import itertools
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -245,6 +247,33 @@ def test_pairs_give_the_same_graph_after_fewer_states(spark, monkeypatch):
     for seed in (3, 8):
         trees = trees_table(spark, rule_forest(4, 3, CUTS, 3, seed))
         one, a = compiler.compile_graph(trees, [0.0] * 3, 3, joint=False)
-        two, b = compiler.compile_graph(trees, [0.0] * 3, 3)
-        assert a == b and graph.same_graph(one, two)
-        assert counts[-1] < counts[-2]
+        two, b = compiler.compile_graph(trees, [0.0] * 3, 3, gaps=False)
+        three, c = compiler.compile_graph(trees, [0.0] * 3, 3)
+        assert a == b == c and graph.same_graph(one, two) and graph.same_graph(one, three)
+        assert counts[-1] <= counts[-2] < counts[-3]
+
+
+@pytest.mark.parametrize(("seed", "depth"), [(1, 1), (2, 1), (3, 2), (4, 3)])
+def test_gaps_bound_the_difference_on_every_region(seed, depth):
+    """Never above the least difference that a point has; with trees of one test each, as near as rounding lets it."""
+    rows = rule_forest(4, 3, CUTS, depth, seed)
+    names = ["tree", "channel", "node", "feature", "cut", "cut_bits", "default_left", "left", "right", "value"]
+    own = compiler.Ensemble([dict(zip(names, r, strict=True)) for r in rows], [0.1, 0.0, 0.0], 3, compiler.Domain())
+    rng = np.random.default_rng(seed)
+    for _ in range(12):
+        ends = [sorted(rng.integers(0, len(c) + 1, 2).tolist()) for c in own.cuts]
+        miss = (rng.random(3) < 0.5).tolist()
+        axes = [[(c[0] - 1, *c)[i] for i in range(lo, hi + 1)] + [float("nan")] * m for c, (lo, hi), m in zip(own.cuts, ends, miss, strict=True)]
+        state = [0] * len(own.trees), [e[0] for e in ends], [e[1] for e in ends], miss, [], [np.float32(b) for b in own.bias]
+        for w, r in itertools.permutations(range(3), 2):
+            exact, rounded = [], []
+            for x in itertools.product(*axes):
+                values = [[np.float32(own.bias[c])] + [reach(rows, t, x) for t in range(len(own.trees)) if own.channel[t] == c] for c in (w, r)]
+                sums = [functools.reduce(lambda a, b: np.float32(a + b), v) for v in values]
+                rounded.append(float(sums[0]) - float(sums[1]))
+                exact.append(sum(map(Fraction, map(float, values[0]))) - sum(map(Fraction, map(float, values[1]))))
+            gap, room = own.gap(state, w, r), own.rounding(state, w) + own.rounding(state, r)
+            assert gap <= min(rounded) and room < 1e-5
+            if depth == 1:
+                # with one feature a tree, the least of each axis is met by one point
+                assert gap >= float(min(exact)) - room - 1e-12
