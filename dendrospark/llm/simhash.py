@@ -17,7 +17,9 @@ changes; each round is written to the shared folder.
 
 Defined cases: a text without words, and null, has fingerprint zero, linked like any other; a
 text with fewer words than a shingle is one shingle; repeated rows have the same fingerprint; a
-null id never is a component's smallest id unless it has no other.
+null id never is a component's smallest id unless it has no other; very long texts are read whole, and
+ties need no rule, since a component has one smallest id; an empty table gives an empty result; kept
+columns that have a name of this operator's own are refused.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MOST_BROADCAST, batches, checked, materialise, rows_of
+from .common import MOST_BROADCAST, batches, checked, materialise, own_names, rows_of
 
 WORDS, SEED, RADIUS = 4, 42, 4
 LEAF, FANOUT = 8, 8
@@ -264,6 +266,7 @@ def spread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(df: DataFrame, id_col: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """(id, fingerprint, component_id) of every row of ``df``, with its ``keep`` columns; ids are integers."""
+    own_names(keep, "fingerprint", "node", "own", "least", "label", "component_id")
     own = materialise(fingerprints(df, text, [id_col, *keep]), "fingerprints")
     folded = materialise(own.groupBy("fingerprint").agg(F.min(id_col).alias("own")), "folded")
     # a fingerprint whose ids are all null takes part with an id beyond all others
@@ -278,8 +281,7 @@ def components(df: DataFrame, id_col: str, text: str, keep: Sequence[str] = ())
 
 NEAR_WORDS, NEAR_RADIUS, SIMILARITY = 5, 9, 0.8
 SHORT = 2  #: words of the shingles whose fingerprints find candidates
-MOST_LOCAL = 4096  #: different texts of a component that one task compares
-ROUNDS = 5  #: rounds that bring similar texts of a larger component together, by a min-hash each
+MOST_LOCAL = 4096  #: different texts of a component that one task takes in at a time
 
 
 def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -292,10 +294,15 @@ def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     Jaccard similarity of ``SIMILARITY`` or more with those of one that stays; equal texts are
     compared once.  So no row goes without a similar one before it.  Ids may be null or repeated.
 
-    A component of more than ``MOST_LOCAL`` texts is dealt out evenly first, which leaves one of each
-    group to a part; what stays of it is compared once more, in one part where that is few enough, else
-    by min-hashes of the shingles, one a round.
+    A component of more than ``MOST_LOCAL`` texts is taken in blocks of that many, by the same order: one task
+    settles a block, and all later texts, dealt to many tasks, are compared with what stays of it.  A text of
+    a later block has then met every earlier one that stays, so the outcome is that of one task.
+
+    Null and empty texts are equal texts without shingles; long texts are read whole; ties in the order of ids go to
+    the smaller hash of the text, then to the row's file and place; an empty table drops nothing; ``docs`` may
+    have other columns, but none that begin with ``_`` besides those of ``row_keys``.
     """
+    own_names([c for c in docs.columns if c not in ("_file", "_at")])
     order = ["_last", id_col, "_hash", "_file", "_at"]
     keyed = docs.select("_file", "_at", id_col, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
     own = keyed.select("_file", "_at", id_col, "_body", F.xxhash64("_body").alias("_hash"), F.col(id_col).isNull().alias("_last"))
@@ -317,20 +324,36 @@ def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     members = materialise(grouped.join(sizes, "_group").select(*order, "_group", "_size"), "members")
     left = materialise(keyed.select("_file", "_at", "_body").join(checked(members, MOST_BROADCAST // 4), ["_file", "_at"]), "candidates")
     dropped = own.join(best.select("_file", "_at"), ["_file", "_at"], "left_anti").select("_file", "_at")
-    for turn in range(ROUNDS + 1):
-        parts = F.ceil(F.col("_size") / MOST_LOCAL)
-        salt = F.pmod(F.xxhash64("_hash"), parts) if turn == 0 else F.when(parts == 1, F.lit(0)).otherwise(F.element_at("_mins", turn))
-        dealt = left.withColumn("_part", salt.cast("long")).select(*order, "_group", "_size", "_part", "_body")
-        judged = materialise(dealt.groupBy("_group", "_part").applyInArrow(apart(order), f"{', '.join(f'{c} {dealt.schema[c].dataType.simpleString()}' for c in order)}, _group long, _size long, _mins array<long>, _stays boolean"), "judged")
+    fields = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in order)
+    settled = f"{fields}, _group long, _stays boolean"
+    here = left.where(F.col("_size") <= MOST_LOCAL).groupBy("_group").applyInArrow(apart(order), settled)
+    dropped = dropped.unionByName(here.where("NOT _stays").select("_file", "_at"))
+    rest = left.where(F.col("_size") > MOST_LOCAL).drop("_size")
+    while not rest.isEmpty():
+        rest = materialise(rest, "rest")
+        block = checked(materialise(first_of_each(rest.select("_group", *order), order, MOST_LOCAL).select("_file", "_at"), "block"), MOST_BROADCAST // 4)
+        judged = materialise(rest.join(block, ["_file", "_at"]).groupBy("_group").applyInArrow(apart(order), settled), "judged")
         dropped = dropped.unionByName(judged.where("NOT _stays").select("_file", "_at"))
-        stays = judged.where(F.col("_stays") & (F.col("_size") > MOST_LOCAL))
-        if turn == ROUNDS or stays.isEmpty():
-            break
-        again = stays.groupBy("_group").agg(F.count("*").alias("_now"))
-        left = stays.join(again, "_group").withColumn("_size", F.col("_now")).join(keyed.select("_file", "_at", "_body"), ["_file", "_at"]).select(*order, "_group", "_size", "_mins", "_body")
+        stays = materialise(rest.join(checked(judged.where("_stays").select("_file", "_at"), MOST_BROADCAST // 4), ["_file", "_at"]).select("_group", "_body"), "stays")
+        later = rest.join(block, ["_file", "_at"], "left_anti")
+        parts = later.groupBy("_group").agg(F.ceil(F.count("*") / MOST_LOCAL).cast("int").alias("_parts"))
+        sent = stays.join(parts, "_group").select("_group", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_body")
+        dealt = later.join(parts, "_group").select("_group", F.pmod(F.xxhash64("_hash"), F.col("_parts")).cast("int").alias("_part"), *order, "_body")
+        met = dealt.groupBy("_group", "_part").cogroup(sent.groupBy("_group", "_part")).applyInArrow(against(order), settled)
+        met = materialise(met, "met")
+        dropped = dropped.unionByName(met.where("NOT _stays").select("_file", "_at"))
+        rest = later.join(checked(met.where("_stays").select("_file", "_at"), MOST_BROADCAST // 4), ["_file", "_at"])
     return materialise(dropped, "dropped")
 
 
+def first_of_each(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, first within 64 parts of it, so that no task sorts a whole group."""
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("_hash"), F.lit(64)))
+    some = dealt.withColumn("_n", place("_group", "_deal")).where(F.col("_n") <= n)
+    return some.withColumn("_n", place("_group")).where(F.col("_n") <= n)
+
+
 def two_fingerprints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and the fingerprints ``_one`` and ``_two`` of a text's different short shingles, by two hashes."""
 
@@ -367,25 +390,54 @@ def similar(kept: dict[int, list[int]], sizes: list[int], own: np.ndarray) -> bo
     return any(c >= SIMILARITY * (n + sizes[k] - c) for k, c in common.items()) or (n == 0 and 0 in sizes)
 
 
+class Kept:
+    """Texts that stay, by their shingles."""
+
+    def __init__(self) -> None:
+        self.texts: dict[int, list[int]] = {}
+        self.sizes: list[int] = []
+
+    def add(self, own: np.ndarray) -> None:
+        for h in own.tolist():
+            self.texts.setdefault(h, []).append(len(self.sizes))
+        self.sizes.append(len(own))
+
+    def similar(self, own: np.ndarray) -> bool:
+        return similar(self.texts, self.sizes, own)
+
+
+def own_shingles(body: pa.Scalar) -> np.ndarray:
+    return np.unique(shingle_hashes(body.as_py(), NEAR_WORDS))
+
+
+def told(table: pa.Table, order: list[str], stays: list[bool]) -> pa.Table:
+    return pa.table([*(table.column(c) for c in (*order, "_group")), pa.array(stays, pa.bool_())], names=[*order, "_group", "_stays"])
+
+
 def apart(order: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """Marks the rows of a part that stay: those not similar to an earlier one that stays."""
+    """Marks the rows of a group that stay: those not similar to an earlier one that stays."""
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])
-        kept: dict[int, list[int]] = {}
-        sizes: list[int] = []
-        stays, mins = [], []
+        kept, stays = Kept(), []
         for body in table.column("_body"):
-            own = np.unique(shingle_hashes(body.as_py(), NEAR_WORDS))
-            stays.append(not similar(kept, sizes, own))
+            own = own_shingles(body)
+            stays.append(not kept.similar(own))
             if stays[-1]:
-                for h in own.tolist():
-                    kept.setdefault(h, []).append(len(sizes))
-                sizes.append(len(own))
-            turned = [(own * np.uint64(2 * turn + 0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64) for turn in range(ROUNDS)]
-            mins.append([int(t.min()) if len(t) else 0 for t in turned])
-        columns = [table.column(c) for c in (*order, "_group", "_size")]
-        return pa.table([*columns, pa.array(mins, pa.list_(pa.int64())), pa.array(stays)], names=[*order, "_group", "_size", "_mins", "_stays"])
+                kept.add(own)
+        return told(table, order, stays)
+
+    return judge
+
+
+def against(order: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Marks the rows that are similar to none of those that stay."""
+
+    def judge(later: pa.Table, first: pa.Table) -> pa.Table:
+        kept = Kept()
+        for body in first.column("_body") if later.num_rows else ():
+            kept.add(own_shingles(body))
+        return told(later, order, [not kept.similar(own_shingles(body)) for body in later.column("_body")])
 
     return judge
 

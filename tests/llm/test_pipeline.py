@@ -76,6 +76,24 @@ def test_large_components_are_dealt_out(spark, tables, monkeypatch):
     assert got == brute_kept(rows) == {0, *range(40, 60)}
 
 
+@pytest.mark.parametrize("bound", [7, 30])
+def test_chains_lose_no_text(spark, tables, monkeypatch, bound):
+    """Each text is similar to its neighbours alone: whatever a part takes in, a text goes only for one that stays."""
+    where, _ = tables
+    monkeypatch.setattr(simhash, "MOST_LOCAL", bound)
+    say = random.Random(11)
+    words, rows = [f"v{k}" for k in range(120)], []
+    for i in range(150):
+        rows.append((i, " ".join(words)))
+        words[(i * 37) % 120] = f"e{i}"
+        words[(i * 37 + 60) % 120] = f"f{i}"
+    say.shuffle(rows)
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, where).collect()}
+    assert got == brute_kept(rows) and len(got) < 120
+
+
 def test_each_stage_against_its_decisions(spark, tables):
     where, _ = tables
     docs = spark.read.parquet(f"{where}/documents.parquet")
