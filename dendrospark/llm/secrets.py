@@ -1,7 +1,8 @@
 """Secret scans that also look below nested encodings.
 
 Every text is scanned for three kinds of secret.  A worklist then unwraps encoded stretches
-(percent escapes, backslash-u escapes, base64, and what gzip or zlib compressed), scans what comes out, and goes
+(percent escapes, backslash-u and backslash-x escapes, numeric character references, base64, and what gzip or
+zlib compressed), scans what comes out, and goes
 on with the encoded stretches in that, until nothing new appears.  Each decoded layer carries a
 map to the original text, so a secret found at any depth is reported at the least span that holds
 it: to the character through escapes and base64, at the whole stretch through compression.  A layer whose content was seen before in the same text is not unwrapped
@@ -11,7 +12,7 @@ Defined cases: null text is empty and has no spans; empty layers are dropped; ov
 from different layers are all reported, equal (kind, start, end) once.  Bytes are read as UTF-8, with
 a sign for each that is none, and as UTF-16 if any is zero.  What compressed data holds, in any number
 of joined members and as far as it is whole, is scanned in overlapping windows of about
-``MOST_INFLATED`` bytes; only an encoded stretch in it that has no blank for that long is cut.  Repeated
+``MOST_INFLATED`` bytes; encoded data without a blank for that long is read in every phase in each window.  Repeated
 rows are scanned each, texts of any length whole; an empty table gives no rows.  Columns named like
 the operator's own cannot be kept (ValueError).
 """
@@ -45,7 +46,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 URL_RUN, URL_BYTE = re.compile(r"[\w.~!$&'()*+,;=:@/?%-]+", re.ASCII), re.compile(r"%[0-9A-Fa-f]{2}")
 RUN = re.compile(r"[\x21-\x7E]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-UNIT = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
+UNIT = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+# How base64 of gzip and of zlib's usual headers begins (fixed values); anywhere in a run.
+PACKED = re.compile(r"H4sI|eAE|eF4|eJ|eNo")
 # Two lines or more; the first is one by itself as well.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -181,8 +184,8 @@ def kept(run: str, escapes: re.Pattern[str]) -> np.ndarray:
 def code_point(m: re.Match[str]) -> str:
     if m[1]:
         return chr(0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00)
-    code = int(m[3], 16)
-    return "\ufffd" if 0xD800 <= code < 0xE000 else chr(code)
+    code = int(m[7]) if m[7] else int(m[3] or m[4] or m[5] or m[6], 16)
+    return "\ufffd" if 0xD800 <= code < 0xE000 or code > 0x10FFFF else chr(code)
 
 
 def unbase64(text: str) -> bytes | None:
@@ -215,9 +218,18 @@ def base64_map(starts: Callable[[], np.ndarray], at: np.ndarray) -> Places:
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """Base64 in a line, and wrapped over lines: all of them, and from each line on whose length differs from
-    the one before, as long as it stays the same, with the line after."""
+    the one before, as long as it stays the same, with the line after.
+
+    What stands before encoded data may belong to its run (a path, a name), so a run is read from each of its first
+    four characters, one of which the data is in step with, and from where compressed data begins in it.
+    """
     for m in BASE64.finditer(text):
-        yield m.span()
+        for phase in range(4):
+            yield m.start() + phase, m.end()
+        for p in PACKED.finditer(text, m.start() + 4, m.end()):
+            head = unbase64(text[p.start() : min(m.end(), p.start() + 256)])
+            if head and compressed(head):
+                yield p.start(), m.end()
     for m in WRAPPED.finditer(text):
         yield m.span()
         lines = [(m.start() + w.start(), m.start() + w.end()) for w in LINE.finditer(m[0])]
@@ -243,7 +255,7 @@ def layers(text: str) -> Iterator[tuple[int, int, str, Callable[[], Places] | No
             if URL_BYTE.search(m[0]):
                 for out, starts in texts(unquote_to_bytes(m[0])):
                     yield m.start(), m.end(), out, partial(url_map, m[0], starts, m.start())
-    if "\\u" in text:
+    if "\\u" in text or "\\x" in text or "&#" in text:
         for m in RUN.finditer(text):
             if UNIT.search(m[0]):
                 yield m.start(), m.end(), UNIT.sub(code_point, m[0]), partial(unit_map, m[0], m.start())
@@ -281,7 +293,7 @@ def below(layer: tuple[int, int, str, Places | None]) -> Iterator[tuple[int, int
 def unwrap(text: str, base: list[Span] | None = None) -> tuple[list[Span], int]:
     """Base spans and those of all decoded layers, in code points of ``text``; the number of layers."""
     found = set(scan(text) if base is None else base)
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    seen = {hashlib.blake2b(f"0:{len(text)}:".encode() + text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
     # the layers of a text are drawn one at a time, so that of a stream only a window is held
     work = [((a, b, inner, places and places()) for a, b, inner, places in layers(text))]
     n = 0

@@ -1,12 +1,15 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
 
+import pytest
+
 from dendrospark.llm import secrets
 from dendrospark.llm.entry import op8_secret_worklist
 
@@ -135,3 +138,36 @@ def test_layers_are_read_whole(monkeypatch):
     for lead in (0, 900, 990, 995, 1000, 5000, 2_000_000):
         text = base64.b64encode(gzip.compress(b"\xc3\xa9" * (lead // 2) + f" {KEY} ".encode() + b"tail" * 900)).decode()
         assert ("access", 0, len(text)) in secrets.unwrap(text)[0]
+
+
+SECRET = "password=hunter2hunter2"
+
+
+@pytest.mark.parametrize("before", ["data/", "a/", "ab/", "blob_", "abcd", "a", "ab", "abc", "x-y-z_"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_base64_behind_other_characters_of_its_run(before, packed):
+    data = zlib.compress(SECRET.encode() * 3) if packed else SECRET.encode()
+    code = base64.b64encode(data).decode()
+    text = f"see {before}{code} there"
+    found = [s for s in secrets.unwrap(text)[0] if s[0] == "assign"]
+    assert found and all(a >= 4 and b <= 4 + len(before) + len(code) for _, a, b in found)
+    if not packed:
+        # to the characters of the encoded secret
+        assert ("assign", 4 + len(before), 4 + len(before) + len(code.rstrip("="))) in found
+
+
+@pytest.mark.parametrize("escape", [lambda c: f"\\x{ord(c):02x}", lambda c: f"\\u{{{ord(c):x}}}", lambda c: f"&#{ord(c)};", lambda c: f"&#x{ord(c):X};", lambda c: f"\\u{ord(c):04x}"])
+def test_other_escapes(escape):
+    text = f"so {''.join(map(escape, SECRET))} it is"
+    assert ("assign", 3, len(text) - 6) in secrets.unwrap(text)[0]
+    assert secrets.unwrap("&#9999999; \\u{110000} \\u{d800} &#55296;")[0] == []
+
+
+def test_encoded_data_longer_than_a_window(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1 << 16)
+    say = random.Random(2)
+    for shift in range(4):
+        plain = "".join(say.choice("abcdefgh ") for _ in range(90_000)) + " " + SECRET + " " + "x" * (90_000 + shift)
+        inner = "x " + "y" * shift + base64.b64encode(plain.encode()).decode()
+        text = base64.b64encode(gzip.compress(inner.encode())).decode()
+        assert ("assign", 0, len(text)) in secrets.unwrap(text)[0]
