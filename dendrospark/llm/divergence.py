@@ -39,8 +39,8 @@ from .common import checked, materialise
 
 LEAST, TOP = 3, 200
 SHARD = 1 << 14  #: documents for each shard, at most, unless there are as many shards as shuffle partitions
-HELD = 2_000_000  #: counts that a task holds before it gives them out
-SLICE = 16 << 20  #: bytes of texts that are split into words at a time; longer texts are counted in pieces
+HELD = 1_000_000  #: counts that a task holds before it gives them out
+SLICE = 4 << 20  #: bytes of texts that are split into words at a time; longer texts are counted in pieces
 PIECE = 1 << 20
 UNIT = 1_000_000_000
 ENTRY = ["group", "term", "n", "docs"]
@@ -74,11 +74,11 @@ def count_many(bodies: pa.Array, group: np.ndarray) -> pa.Table:
     # the bytes left are letters and bytes from 128, whose runs an ASCII split leaves whole
     words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(bodies), ends, text, offset=bodies.offset))
     coded = words.flatten().dictionary_encode()
-    code, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_parent_indices(words).to_numpy()
+    code, doc = coded.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(words).to_numpy()
     terms = coded.dictionary.cast(pa.binary())
     some = pc.binary_length(terms).to_numpy(zero_copy_only=False)[code] > 0 if len(code) else np.zeros(0, bool)
     code, doc = code[some], doc[some]
-    size = max(1, len(terms))
+    size = np.int64(max(1, len(terms)))
     key, n = np.unique(group[doc] * size + code, return_counts=True)
     once = np.unique(doc * size + code)
     _, docs = np.unique(group[once // size] * size + once % size, return_counts=True)
@@ -93,7 +93,11 @@ def dealt(parts: list[pa.Table], names: list[tuple[str, str]], shards: int) -> p
     whole = whole.combine_chunks()
     group = whole.column("group").to_numpy()
     langs = [lang.encode() for lang, _ in names]
-    shard = np.array([xxhash.xxh64_intdigest(t, xxhash.xxh64_intdigest(langs[g])) % shards for g, t in zip(group.tolist(), whole.column("term").to_pylist(), strict=True)], np.int64)
+    seeds = [xxhash.xxh64_intdigest(lang) for lang in langs]
+    shard = np.empty(len(group), np.int64)
+    for at in range(0, len(group), 1 << 15):
+        own = zip(group[at : at + (1 << 15)].tolist(), whole.column("term").slice(at, 1 << 15).to_pylist(), strict=True)
+        shard[at : at + (1 << 15)] = [xxhash.xxh64_intdigest(t, seeds[g]) % shards for g, t in own]
     order = np.lexsort((group, shard))
     shard, group = shard[order], group[order]
     # runs of one group within one shard, and the shards' first runs
@@ -173,7 +177,7 @@ def on_shards(rows: DataFrame, sql: str, schema: str, macros: str = "", **values
     """The result of a DuckDB query over each shard's rows, which it sees as ``held``."""
 
     def run(held: pa.Table) -> pa.Table:
-        with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as db:
+        with duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "1GB"}) as db:
             if macros:
                 db.execute(macros)
             db.register("held", held)
