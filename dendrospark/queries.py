@@ -530,16 +530,7 @@ def sql_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(values([(t, 4, 0) for t in range(2 * K)], "tree, leaves, conflicts"))
 def leaf_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf boxes of each tree over bins, and pairs of them that overlap (there must be none)."""
-    trees = [r for r in rule_forest(2, K, [[10.0], [30.0], [25.0]], depth=1, seed=5)]
-    deep = []
-    for t, channel, _, feature, *_ in [r for r in trees if r[2] == 0]:
-        other = (feature + 1) % 3
-        for leaf_no in range(4):
-            lo, hi = [0, 0, 0], [1, 1, 1]
-            lo[feature] = hi[feature] = leaf_no // 2
-            lo[other] = hi[other] = leaf_no % 2
-            deep.append((t, leaf_no, lo, hi))
-    boxes = spark.createDataFrame(deep, "tree int, leaf int, lo array<int>, hi array<int>")
+    boxes = regions.leaf_partitions(forest(spark), len(NAMES))
     bad = evaluation.tree_conflicts(boxes).groupBy("tree").agg(F.count("*").cast("int").alias("c"))
     return boxes.groupBy("tree").agg(F.count("*").cast("int").alias("leaves")).join(bad, "tree", "left").select("tree", "leaves", F.coalesce("c", F.lit(0)).alias("conflicts"))
 
