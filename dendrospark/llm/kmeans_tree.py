@@ -321,9 +321,10 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
                     yield pa.RecordBatch.from_arrays([own.column("id").take(row), own.column("vector").take(row), pa.array(least).take(row), leaf, block], ["id", "vector", "least", "leaf", "block"])
 
     asked = indexed.where("asks").select("id", "vector").mapInArrow(ask, f"id long, vector {kind}, least double, leaf long, block long")
-    hot = {leaf: n for leaf, n in sorted(counts.items()) if n > 1}
-    of = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for item in hot.items() for x in item)), F.col("leaf")), F.lit(1)) if hot else F.lit(1)
-    held = indexed.select("id", "vector", "leaf", F.pmod(F.xxhash64("id"), of).cast("long").alias("block"))
+    # at most MOST_LEAVES rows of two numbers
+    hot = spark.createDataFrame([(leaf, n) for leaf, n in counts.items() if n > 1], "leaf long, blocks long")
+    of = F.coalesce("blocks", F.lit(1))
+    held = indexed.select("id", "vector", "leaf").join(F.broadcast(hot), "leaf", "left").select("id", "vector", "leaf", F.pmod(F.xxhash64("id"), of).cast("long").alias("block"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]

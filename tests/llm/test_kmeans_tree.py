@@ -162,3 +162,15 @@ def test_search_with_grafted_trees(spark):
     for r in kmeans_tree.search(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0, sample=500, upper=6).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {v for v, _ in truth[q]}) / 20 for q in truth]) >= 0.9
+
+
+def test_block_counts_of_leaves_are_joined(spark, monkeypatch):
+    """However many leaves are hot, the plan has no literal for each."""
+    monkeypatch.setattr(kmeans_tree, "BLOCK", 2)
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(20, 8)), 30, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = kmeans_tree.search(df, "vec_id", "embedding", kmeans_tree.F.col("vec_id") % 20 == 0, k=5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in plan and "blocks" in plan
+    assert found.groupBy("query_id").count().where("count = 5").count() == 45
