@@ -5,7 +5,7 @@ Texts are equal if they are so after every blank (space and bytes 9 to 13) is de
 Each partition is a row of senders: runs of at most ``MOST_ROWS`` rows or about ``MOST_BYTES`` bytes of
 text.  A sender compares its own texts byte by byte, so that each different one counts once however often
 it occurs, and sends its fingerprints (the first bits of SHA-256), sorted, to the owners of their ranges:
-the gaps in a Golomb code, some ten bits a text beside 64.  An owner answers with a bitmap for each
+the gaps in a Golomb code, which takes some 1.5 bits more than the logarithm of the mean gap.  An owner answers with a bitmap for each
 sender: which of its fingerprints another sender has too.  The senders' texts lie in buckets by sender,
 so only the bitmaps travel to them.
 
