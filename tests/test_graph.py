@@ -115,3 +115,9 @@ def test_import_needs_single_parents(spark):
     assert top == 2 and sorted(r.node for r in out.collect()) == [0, 1, 2]
     with pytest.raises(ValueError):
         graph.unfold(nodes_table(spark, rows), root, most=3)
+
+
+def test_equal_rows_take_an_arc_each(spark):
+    arcs = spark.createDataFrame([(0, 0, 4, 7), (0, 5, 9, 8)], "node int, low int, high int, child int")
+    rows = spark.createDataFrame([(1, 0, 3), (1, 0, 3), (1, 0, 6)], "id int, node int, rank int")
+    assert sorted(r.child for r in graph.take_arc(rows, arcs, "id").collect()) == [7, 7, 8]

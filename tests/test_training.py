@@ -63,7 +63,7 @@ def test_same_rows_same_model_and_prefixes(spark, clusters):
 def test_bad_labels_and_parameters(spark, clusters):
     with pytest.raises(ValueError):
         training.train(clusters, NAMES, "label", 2, PLAN)
-    for bad in ({}, {"rounds": 0, "max_depth": 1}, PLAN | {"eta": 0}, PLAN | {"eta": 1.5}, PLAN | {"other": 1}, PLAN | {"rounds": 1.5}, PLAN | {"subsample": 0}, PLAN | {"max_bin": 1}, PLAN | {"lambda": float("nan")}):
+    for bad in ({}, {"rounds": 0, "max_depth": 1}, PLAN | {"eta": 0}, PLAN | {"eta": 1.5}, PLAN | {"other": 1}, PLAN | {"rounds": 1.5}, PLAN | {"subsample": 0}, PLAN | {"max_bin": 1}, PLAN | {"colsample_bytree": 0.5}, PLAN | {"lambda": float("nan")}):
         with pytest.raises(ValueError):
             options.training_parameters(bad, 3)
     with pytest.raises(ValueError):
