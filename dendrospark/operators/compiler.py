@@ -241,8 +241,11 @@ class Ensemble:
                 lo[f], hi[f] = 1, 0
         return at, lo, hi, miss, groups, score
 
-    def settle(self, state: tuple) -> tuple[bytes, int | None]:
-        """The state in normal form as bytes, or the class of all its points."""
+    def settle(self, state: tuple, widen: bool = True) -> tuple[bytes, int | None]:
+        """The state in normal form as bytes, or the class of all its points.
+
+        Intervals are widened to the next cuts that are still read, unless the state's own bins are to be kept.
+        """
         at, lo, hi, miss, groups, score = state
         for t, tree in enumerate(self.trees):
             while at[t] >= 0 and tree[at[t]]["feature"] >= 0:
@@ -287,7 +290,7 @@ class Ensemble:
             first, last = self.bins(f)
             if f not in used or f in self.group:
                 lo[f], hi[f], miss[f] = first, last, self.domain.missing
-            elif lo[f] <= hi[f]:
+            elif widen and lo[f] <= hi[f]:
                 lo[f] = max([first, *(j + 1 for j in used[f] if j + 1 <= lo[f])])
                 hi[f] = min([last, *(j for j in used[f] if j >= hi[f])])
         for g, members in enumerate(self.domain.groups):
@@ -447,9 +450,9 @@ class Ensemble:
             total = directed.add_down(total, least)
         return float(directed.sub_down(total, directed.add_up(self.rounding(state, w), self.rounding(state, r))))
 
-    def children(self, state: tuple, policy: Policy = "source") -> tuple[object, tuple[bytes, int | None], tuple[bytes, int | None]]:
+    def children(self, state: tuple, policy: Policy = "source", widen: bool = True) -> tuple[object, tuple[bytes, int | None], tuple[bytes, int | None]]:
         r = self.split(state, policy)
-        return r, self.settle(self.restrict(state, r, True)), self.settle(self.restrict(state, r, False))
+        return r, self.settle(self.restrict(state, r, True), widen), self.settle(self.restrict(state, r, False), widen)
 
 
 EXPANDED = "state binary, feature int, cut_bits int, default_left boolean, left binary, left_class int, right binary, right_class int"
@@ -708,59 +711,77 @@ def estimate_states(trees: DataFrame, bias: list[float], features: int, paths: i
     return spark.range(paths).mapInArrow(walk, "path long, depth long, weight double")
 
 
-def coverage(trees: DataFrame, bias: list[float], features: int, expansions: int, domain: Domain | None = None, policy: Policy = "source") -> tuple[Fraction, int]:
-    """(settled share of the domain's grid, its cells) after at most so many expansions of one search.
+LIMB = 32  #: bits of a part of a count of cells; sums of up to 2^31 such parts fit in 64 bits
+
 
-    Exact: each child's share of a state is the product of its bins over the state's; states that
-    were not expanded count as open.  A bounded probe for how far a full search may have to go.
+def coverage(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_waves: int | None = None) -> DataFrame:
+    """(wave, class, cells, share): exactly how many cells of the domain's grid each wave of a search settles for each class.
+
+    All cells start at the first state.  A wave hands the cells of every open state on to its two children, in proportion
+    to the bins of the tested feature, and adds up what a state gets from several parents; cells that reach a class
+    are settled.  A row with class null has the cells that are still open after ``most_waves``; without that number the search
+    runs to its end.  ``cells`` is the count in decimal digits, exact at every size: counts travel as parts of 32 bits.
+    States keep the bins they were reached by, as far as they are still read, so there are more of them than in a
+    compilation; one that is reached at several depths is stepped once for each.  Cells of a domain with exactly-one
+    groups are no grid and are refused.
     """
+    spark = trees.sparkSession
     own = Ensemble([r.asDict() for r in bounded(trees, MOST_NODES, "ensemble")], bias, features, domain or Domain())
+    if own.domain.groups:
+        raise ValueError("the cells of a domain with groups are not counted")
     total = 1
     for f in range(features):
         first, last = own.bins(f)
         total *= last - first + 1 + own.domain.missing
-    start, label = own.settle(own.start())
-    if label is not None:
-        return Fraction(1), total
-    work, made = deque([start]), {start: None}
-    while work and expansions > 0:
-        data = work.popleft()
-        state = own.unpack(data)
-        r = own.split(state, policy)
-        _, lo, hi, miss, _, _ = state
-        f = r["feature"]
-        numbers = max(0, hi[f] - lo[f] + 1)
-        left = max(0, min(hi[f], own.cut_index(r)) - lo[f] + 1) if numbers else 0
-        share = Fraction(left + (miss[f] and r["default_left"]), numbers + miss[f])
-        kids = [own.settle(own.restrict(state, r, side)) for side in (True, False)]
-        made[data] = (share, kids)
-        expansions -= 1
-        for child, done in kids:
-            if done is None and child not in made:
-                made[child] = None
-                work.append(child)
-    settled: dict[bytes, Fraction] = {}
-
-    def value(child: bytes, done: int | None) -> Fraction | None:
-        if done is not None:
-            return Fraction(1)
-        return Fraction(0) if made[child] is None else settled.get(child)
-
-    stack = [start]
-    while stack:
-        data = stack[-1]
-        if made[data] is None or data in settled:
-            settled.setdefault(data, Fraction(0))
-            stack.pop()
-            continue
-        share, kids = made[data]
-        parts = [value(*k) for k in kids]
-        if None in parts:
-            stack += [k[0] for k, p in zip(kids, parts, strict=True) if p is None]
-            continue
-        settled[data] = share * parts[0] + (1 - share) * parts[1]
-        stack.pop()
-    return settled[start], total
+    limbs = total.bit_length() // LIMB + 1
+    names = [f"m{i}" for i in range(limbs)]
+    mask = (1 << LIMB) - 1
+    split_up = lambda n: [n >> LIMB * i & mask for i in range(limbs)]
+    schema = "state binary, class int, " + ", ".join(f"{m} long" for m in names)
+    out: list[tuple[int, int | None, int]] = []
+
+    def settle(rows: DataFrame, wave: int) -> None:
+        sums = rows.groupBy("class").agg(*(F.sum(m).alias(m) for m in names))
+        out.extend((wave, r["class"], sum(r[m] << LIMB * i for i, m in enumerate(names))) for r in bounded(sums, MOST_NODES, "classes"))
+
+    start, label = own.settle(own.start(), False)
+    shared = spark.sparkContext.broadcast(own)
+
+    def hand_on(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Ensemble = shared.value
+        for batch in source:
+            rows = []
+            for data, *parts in zip(*(batch.column(c).to_pylist() for c in ("state", *names)), strict=True):
+                cells = sum(p << LIMB * i for i, p in enumerate(parts))
+                state = own.unpack(data)
+                r, *kids = own.children(state, policy, False)
+                _, lo, hi, miss, *_ = state
+                f = r["feature"]
+                numbers = max(0, hi[f] - lo[f] + 1)
+                left = max(0, min(hi[f], own.cut_index(r)) - lo[f] + 1) + (miss[f] and r["default_left"])
+                slice_, rest = divmod(cells, numbers + miss[f])
+                if rest:
+                    raise ValueError("a state's cells are not whole slices of its tested feature")
+                for (child, done), n in zip(kids, (slice_ * left, slice_ * (numbers + miss[f] - left)), strict=True):
+                    rows.append((child if done is None else None, done, *split_up(n)))
+            if rows:
+                kinds = [pa.binary(), pa.int32(), *(pa.int64() for _ in names)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["state", "class", *names])
+
+    at = spark.createDataFrame([(start if label is None else None, label, *split_up(total))], schema)
+    wave = 0
+    while True:
+        settle(at.where("class IS NOT NULL"), wave)
+        front = at.where("class IS NULL").groupBy("state").agg(*(F.sum(m).alias(m) for m in names))
+        if most_waves is not None and wave >= most_waves:
+            settle(front.withColumn("class", F.lit(None).cast("int")), wave)
+            break
+        at = cut(front.mapInArrow(hand_on, schema), "cells")
+        if at.isEmpty():
+            break
+        wave += 1
+    rows = [(w, k, str(n), float(Fraction(n, total))) for w, k, n in out]
+    return spark.createDataFrame(rows, "wave int, class int, cells string, share double")
 
 
 def eta(progress: DataFrame, remaining: float, window: int = 4) -> DataFrame:

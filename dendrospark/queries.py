@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .drawn import HEAP_SQL, cells_sql, drawn_forest, forest_sql, heap_graph
 from .functions import directed, fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
 from .operators import bundles, compiler, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
@@ -58,6 +59,30 @@ EVENTS = """x AS (SELECT event_id AS row_id, CASE WHEN event_id % 7 = 0 THEN CAS
   CASE WHEN event_id % 5 < 4 THEN 'FIT' ELSE 'VALID' END AS role FROM events)"""
 
 
+BAGS = 9  #: trees of the drawn forest that is compiled
+VALUED = f"{EVENTS}, y AS (SELECT x.*, CAST(e.value AS FLOAT) AS v0 FROM x JOIN events e ON e.event_id = x.row_id)"
+DRAWN = f"WITH {VALUED}, {forest_sql('y', f'row_id % {BAGS}', K)}"
+BY_USER = f"WITH {VALUED}, {forest_sql('y', 'x1', K)}"
+DRAWN_CELLS = f"{DRAWN}, {cells_sql(K)}"
+AXES_SQL = "axes AS (SELECT f - 1 AS feature, list_sort(list_distinct(list(c[f]))) AS cuts FROM drawn CROSS JOIN range(1, 4) r(f) GROUP BY f)"
+
+
+def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with v0, the value of x0 where it is missing too."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events(spark, sf_dir).join(t.select(F.col("event_id").alias("row_id"), F.col("value").cast("float").alias("v0")), "row_id")
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest drawn from all events, dealt to ``BAGS`` trees."""
+    return storage.cut(drawn_forest(valued(spark, sf_dir), F.col("row_id") % BAGS, K), "drawn")
+
+
+def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for every user, drawn from the user's events."""
+    return storage.cut(drawn_forest(valued(spark, sf_dir), F.col("x1"), K), "drawn")
+
+
 def tree_sql(rows: list[tuple], tree: int, names: list[str]) -> str:
     own = {r[2]: r for r in rows if r[0] == tree}
 
@@ -446,43 +471,31 @@ def certified_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- graphs and grids ------------------------------------------------------------------------
 
 
-def values(rows: list[tuple], names: str) -> str:
-    text = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(text(v) for v in r) + ')' for r in rows)}) t({names})"
-
-
-USED = sorted({(r[3], r[4]) for r in FOREST if r[3] >= 0})
-
-
-@query(values([(f, len([c for g, c in USED if g == f]), sum(c for g, c in USED if g == f)) for f in sorted({f for f, _ in USED})], "feature, cuts, total"))
+@query(f"{BY_USER}, {AXES_SQL} SELECT CAST(feature AS INTEGER) AS feature, CAST(len(cuts) AS INTEGER) AS cuts, CAST(list_sum(list_transform(cuts, lambda c: CAST(c AS DOUBLE))) AS DOUBLE) AS total FROM axes")
 def cut_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grid.cut_catalog(forest(spark))
+    """The cuts of all users' trees."""
+    found = grid.cut_catalog(user_trees(spark, sf_dir))
     return found.select("feature", F.size("cuts").alias("cuts"), F.aggregate("cuts", F.lit(0.0), lambda a, c: a + c).alias("total"))
 
 
-GRID = [sorted({float(np.nextafter(np.float32(c[0]), np.float32(-np.inf))), *c}) for c in ([c for g, c in USED if g == f] for f in range(len(CUTS)))]
-
-
-def axis_sql(f: int, cuts: list[list[float]] | None = None) -> str:
+def axis_sql(f: int, cuts: list[list[float]]) -> str:
     """One value of each bin of an axis, and NaN."""
-    own = GRID[f] if cuts is None else [float(np.nextafter(np.float32(cuts[f][0]), np.float32(-np.inf))), *cuts[f]]
+    own = [float(np.nextafter(np.float32(cuts[f][0]), np.float32(-np.inf))), *cuts[f]]
     points = ", ".join(f"(CAST({fp32.decimal_text(v)} AS FLOAT))" for v in own)
     return f"a{f} AS (SELECT * FROM (VALUES {points}, (CAST('nan' AS FLOAT))) t(x{f}))"
 
 
-CELLS = f"WITH {', '.join(axis_sql(f) for f in range(len(CUTS)))}, g AS (SELECT * FROM a0 CROSS JOIN a1 CROSS JOIN a2), s AS {scored_sql(source='g')}"
-
-
-@query(f"{CELLS} SELECT class, CAST(count(*) AS BIGINT) AS cells FROM s GROUP BY class")
+@query(f"{DRAWN_CELLS} SELECT class, CAST(count(*) AS BIGINT) AS cells FROM cells GROUP BY class")
 def class_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.class_cells(forest(spark), BIAS, len(NAMES))
+    return grid.class_cells(drawn(spark, sf_dir), BIAS, len(NAMES))
 
 
-@query(f"{CELLS} SELECT CAST(count(*) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS mismatches FROM s")
+@query(f"{DRAWN_CELLS} SELECT CAST(count(*) AS BIGINT) AS cells, CAST(count(*) FILTER (class IS NULL) AS BIGINT) AS mismatches FROM cells")
 def grid_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The compiled graph against the ensemble on every cell of the domain's grid."""
-    nodes, root = compiled(spark)
-    return grid.audit(forest(spark), BIAS, nodes, root, len(NAMES))
+    """The compiled graph of the drawn forest against the forest on every cell of the domain's grid."""
+    trees = drawn(spark, sf_dir)
+    nodes, root = compiler.compile_graph(trees, BIAS, len(NAMES))
+    return grid.audit(trees, BIAS, nodes, root, len(NAMES))
 
 
 def redundant_graph() -> tuple[list[tuple], int]:
@@ -499,24 +512,43 @@ def simplify_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.predict(events(spark, sf_dir), nodes, root, NAMES).groupBy("class").agg(F.count("*").alias("n")).withColumn("nodes", F.lit(total))
 
 
-BROKEN = [leaf(0, 0), leaf(1, 9), branch(2, 0, 1.0, True, 0, 0), branch(3, 7, 1.0, True, 0, 1), branch(4, 1, 1.0, True, 0, 5), branch(5, 1, float("nan"), True, 0, 1)]
+def heap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A graph of all events, a node each."""
+    rows = valued(spark, sf_dir)
+    return heap_graph(rows, rows.count(), K)
 
 
-@query(values([(1, "class out of range"), (2, "equal children"), (3, "feature out of range"), (4, "child not before its parent"), (5, "no usable cut")], "node, problem"))
-def invalid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.invalid_nodes(nodes_table(spark, BROKEN), 3, 3)
+SPOILT = {11: "class out of range", 13: "feature out of range", 17: "no usable cut", 19: "child not before its parent", 23: "equal children"}
 
 
-@query(values([(10, 3, 7, 14, 5, 3, 4, "13")], "nodes, leaves, branches, edges, predicates, features_used, height, unfolded"))
+@query(f"""WITH {VALUED}, {HEAP_SQL} SELECT CAST(node AS INTEGER) AS node, problem FROM (SELECT node, CASE WHEN NOT inside THEN CASE WHEN i % 11 = 0 THEN 'class out of range' END
+  {' '.join(f"WHEN i % {d} = 0 THEN '{problem}'" for d, problem in SPOILT.items() if d > 11)} END AS problem FROM heap) WHERE problem IS NOT NULL""")
+def invalid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of all events whose nodes are spoilt by their numbers, and what is found wrong with each."""
+    nodes, root = heap(spark, sf_dir)
+    i, inside = root - F.col("node"), F.col("feature") >= 0
+    spoil = lambda d, c, v: F.when(inside & (i % d == 0), v).otherwise(F.col(c)).cast(nodes.schema[c].dataType)
+    broken = nodes.select(
+        "node", spoil(13, "feature", F.lit(3)).alias("feature"), "cut", spoil(17, "cut_bits", F.lit(None)).alias("cut_bits"), "default_left",
+        F.when(inside & (i % 19 == 0), F.col("node")).when(inside & (i % 23 == 0), F.col("right")).otherwise(F.col("left")).cast("int").alias("left"),
+        "right", F.when(~inside & (i % 11 == 0), K).otherwise(F.col("class")).cast("int").alias("class"),
+    )
+    return graph.invalid_nodes(broken, len(NAMES), K)
+
+
+@query(f"""WITH {VALUED}, {HEAP_SQL} SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) FILTER (NOT inside) AS BIGINT) AS leaves, CAST(count(*) FILTER (inside) AS BIGINT) AS branches, CAST(2 * count(*) FILTER (inside) AS BIGINT) AS edges,
+  CAST(count(DISTINCT CASE WHEN inside THEN (i % 3, i % 2, v0) END) AS BIGINT) AS predicates, CAST(count(DISTINCT CASE WHEN inside THEN i % 3 END) AS BIGINT) AS features_used,
+  CAST(coalesce(max(length(bin(i + 1))) FILTER (inside), 0) AS INTEGER) AS height, CAST(2 * count(*) FILTER (inside) + 1 AS VARCHAR) AS unfolded FROM heap""")
 def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, root = redundant_graph()
-    return graph.statistics(nodes_table(spark, rows), root)
+    """Statistics of a graph of all events."""
+    return graph.statistics(*heap(spark, sf_dir))
 
 
-@query(values([(0, "D0(x) = 0"), (1, "D1(x) = 1"), (2, "D2(x) = 2"), (3, "D3(x) = if (isnan(x[0]) ? false : x[0] < 0) then D1(x) else D0(x)"), (4, "D4(x) = if (isnan(x[2]) ? false : x[2] < 0.5) then D3(x) else D2(x)")], "node, equation"))
+@query(f"""WITH {VALUED}, {HEAP_SQL} SELECT CAST(node AS INTEGER) AS node, 'D' || node || '(x) = ' || CASE WHEN NOT inside THEN CAST(label AS VARCHAR) ELSE
+  'if (isnan(x[' || (i % 3) || ']) ? ' || (i % 2 = 0) || ' : x[' || (i % 3) || '] < ' || format('{{:.9g}}', CAST(v0 AS DOUBLE)) || ') then D' || (total - 2 - 2 * i) || '(x) else D' || (total - 3 - 2 * i) || '(x)' END AS equation FROM heap""")
 def graph_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = demo_graph()
-    return graph.equations(nodes_table(spark, rows))
+    """Every node of a graph of all events as an equation."""
+    return graph.equations(heap(spark, sf_dir)[0])
 
 
 @query(f"{SCORED} SELECT row_id, class FROM s")
@@ -527,35 +559,41 @@ def sql_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT row_id, {graph.sql_case(nodes, root, NAMES)} AS class FROM exported_rows")
 
 
-@query(values([(t, 4, 0) for t in range(2 * K)], "tree, leaves, conflicts"))
+BOXES = f"""{BY_USER}, {AXES_SQL}, w AS (SELECT list(len(cuts) + 1 ORDER BY feature) AS bins FROM axes),
+k AS (SELECT tree, list(list_position(cuts, c[feature + 1]) ORDER BY feature) AS below FROM drawn CROSS JOIN axes GROUP BY tree),
+l AS (SELECT tree, leaf, bins, CASE WHEN leaf < 2 THEN below[tree % 3 + 1] ELSE bins[tree % 3 + 1] - below[tree % 3 + 1] END * CASE leaf
+  WHEN 0 THEN below[(tree + 1) % 3 + 1] WHEN 1 THEN bins[(tree + 1) % 3 + 1] - below[(tree + 1) % 3 + 1] WHEN 2 THEN below[(tree + 2) % 3 + 1] ELSE bins[(tree + 2) % 3 + 1] - below[(tree + 2) % 3 + 1] END
+  * CASE WHEN leaf < 2 THEN bins[(tree + 2) % 3 + 1] ELSE bins[(tree + 1) % 3 + 1] END AS cells FROM k CROSS JOIN w CROSS JOIN range(4) r(leaf))"""
+
+
+@query(f"{BOXES} SELECT tree, CAST(leaf + 3 AS INTEGER) AS leaf, CAST(cells AS BIGINT) AS cells, CAST(0 AS BIGINT) AS conflicts FROM l")
 def leaf_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaf boxes of each tree over bins, and pairs of them that overlap (there must be none)."""
-    boxes = regions.leaf_partitions(forest(spark), len(NAMES))
-    bad = evaluation.tree_conflicts(boxes).groupBy("tree").agg(F.count("*").cast("int").alias("c"))
-    return boxes.groupBy("tree").agg(F.count("*").cast("int").alias("leaves")).join(bad, "tree", "left").select("tree", "leaves", F.coalesce("c", F.lit(0)).alias("conflicts"))
+    """Cells of every leaf box of the users' trees, and how many other leaves of its tree it overlaps (there must be none)."""
+    boxes = regions.leaf_partitions(user_trees(spark, sf_dir), len(NAMES))
+    met = evaluation.tree_conflicts(boxes)
+    bad = met.select("tree", F.explode(F.array("a", "b")).alias("leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("c"))
+    sized = boxes.select("tree", "leaf", regions.volume(F.col("lo"), F.col("hi")).alias("cells"))
+    return sized.join(bad, ["tree", "leaf"], "left").select("tree", "leaf", "cells", F.coalesce("c", F.lit(0)).cast("long").alias("conflicts"))
 
 
 @query()
 def state_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiler.work_summary(compiler.estimate_states(forest(spark), BIAS, len(NAMES), 2000))
-
-
-NUMBERS = [sorted({c for g, c in USED if g == f}) for f in range(len(CUTS))]
-WHOLE = (len(NUMBERS[0]) + 1) * (len(NUMBERS[1]) + 1) * (len(NUMBERS[2]) + 1)
+    return compiler.work_summary(compiler.estimate_states(drawn(spark, sf_dir), BIAS, len(NAMES), 2000))
 
 
-@query(values([(t, 4, WHOLE, True) for t in range(2 * K)], "tree, leaves, covered, whole"))
+@query(f"{BOXES} SELECT tree, CAST(count(*) AS BIGINT) AS leaves, CAST(sum(cells) AS BIGINT) AS covered, sum(cells) = any_value(bins[1] * bins[2] * bins[3]) AS whole FROM l GROUP BY tree")
 def leaf_partition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaf boxes of every tree cover the grid exactly."""
-    return regions.partition_audit(regions.leaf_partitions(forest(spark), len(NAMES)), WHOLE).select("tree", F.col("leaves").cast("int").alias("leaves"), F.col("covered").cast("int").alias("covered"), "whole")
+    """The leaf boxes of every user's tree cover the grid of all their cuts exactly."""
+    trees = user_trees(spark, sf_dir)
+    bins = {r["feature"]: r["bins"] for r in storage.bounded(grid.axis_bins(trees), len(NAMES), "features")}
+    whole = int(np.prod([bins.get(f, 1) for f in range(len(NAMES))], dtype=object))
+    return regions.partition_audit(regions.leaf_partitions(trees, len(NAMES)), whole)
 
 
-@query(f"{CELLS} SELECT class, CAST(count(*) AS BIGINT) AS cells FROM s WHERE NOT (isnan(x0) OR isnan(x1) OR isnan(x2)) GROUP BY class")
+@query(f"{DRAWN_CELLS} SELECT class, CAST(count(*) AS BIGINT) AS cells FROM cells WHERE NOT (isnan(x0) OR isnan(x1) OR isnan(x2)) GROUP BY class")
 def class_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells by class from the ordered sum of the trees' boxes; the SQL enumerates the cells."""
-    return regions.class_regions(regions.score_regions(forest(spark), BIAS, len(NAMES))).select("class", "cells")
-
-
+    """Cells by class from the ordered sum of the drawn trees' boxes; the SQL enumerates the cells."""
+    return regions.class_regions(regions.score_regions(drawn(spark, sf_dir), BIAS, len(NAMES))).select("class", "cells")
 
 
 def used_cuts(rows: list[tuple]) -> list[list[float]]:
@@ -687,21 +725,17 @@ def holdout_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,)], "shared long")
 
 
-@query()
+@query(f"{DRAWN_CELLS} SELECT class, CAST(count(*) AS BIGINT) AS cells FROM cells GROUP BY class")
 def settled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact settled share of the domain after 1, 4, 16, ... expansions; 1 once the search is complete."""
-    rows = []
-    for n in (1, 4, 16, 64, 256):
-        share, total = compiler.coverage(forest(spark), BIAS, len(NAMES), n)
-        low, _ = grid.settled_bounds(share, share, total)
-        rows.append((n, float(share), low, total))
-    return spark.createDataFrame(rows, "expansions int, share double, settled_cells long, cells long")
+    """Cells that a search of the drawn forest settles for each class, added up over its waves; the SQL enumerates them."""
+    found = compiler.coverage(drawn(spark, sf_dir), BIAS, len(NAMES))
+    return found.groupBy("class").agg(F.sum(F.col("cells").cast("long")).alias("cells")).where("cells > 0 OR class IS NULL")
 
 
 @query()
 def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split orders that make smaller graphs, learned from parallel episodes."""
-    return policy.learn(forest(spark), BIAS, len(NAMES), 3, 16)[0]
+    return policy.learn(drawn(spark, sf_dir), BIAS, len(NAMES), 3, 16)[0]
 
 
 @query(f"WITH {EVENTS} SELECT row_id, CAST(CASE WHEN row_id % 2 = 0 THEN CASE WHEN r < 40 THEN 3 WHEN r < 90 THEN 5 ELSE 7 END ELSE CASE WHEN r < 10 THEN 4 ELSE 6 END END AS INTEGER) AS child FROM (SELECT row_id, CAST(x2 AS INTEGER) AS r FROM x)")
@@ -734,14 +768,13 @@ def region_graph_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 TALL = rule_forest(22, K, [[10.0, 25.0, 40.0, 60.0, 75.0, 90.5], [15.0, 30.0, 75.0, 100.0, 120.0], [5.0, 25.0, 50.0, 75.0, 95.0]], depth=6, seed=41)
 
 
-@query("SELECT CAST(7 * 6 * 6 AS BIGINT) AS known_cells, CAST(0 AS BIGINT) AS mismatches")
+@query(f"WITH {EVENTS} SELECT class, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS mismatches FROM {scored_sql(TALL)} GROUP BY class")
 def tall_forest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """66 trees of depth 6, compiled and compared on every cell of their grid, missing values included."""
+    """Rows by class of the graph of 66 trees of depth 6, and those that the trees themselves class otherwise."""
     trees = forest(spark, TALL)
     nodes, root = compiler.compile_graph(trees, BIAS, len(NAMES))
-    # a feature that may be missing has one more cell
-    cells = F.lit(7 * 6 * 6) * (F.col("cells") == 8 * 7 * 7).cast("long")
-    return grid.audit(trees, BIAS, nodes, root, len(NAMES)).select(cells.alias("known_cells"), "mismatches")
+    both = scoring.predict(scoring.classify(events(spark, sf_dir), trees, NAMES, BIAS, name="expected"), nodes, root, NAMES)
+    return both.groupBy("class").agg(F.count("*").alias("rows"), F.count_if(~F.col("class").eqNullSafe(F.col("expected"))).alias("mismatches"))
 
 
 @query(f"{SCORED} SELECT role, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (class <> label) AS BIGINT) AS errors, count(*) FILTER (class = label) / count(*) AS accuracy FROM s GROUP BY role")

@@ -4,7 +4,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from dendrospark.functions.fp32 import word_of
 from dendrospark.functions.models import rule_forest, trees_table
 from dendrospark.operators import compiler, evaluation, graph, grid, regions, scoring
 
@@ -84,8 +86,37 @@ def test_constant_class(spark):
 
 def test_coverage_grows_to_one(spark):
     rows = rule_forest(2, 3, CUTS, 2, 2)
-    shares = [compiler.coverage(trees_table(spark, rows), [0.0] * 3, 3, n)[0] for n in (0, 1, 4, 16, 1000)]
-    assert shares[0] == 0 and shares[-1] == 1 and shares == sorted(shares)
+    shares = []
+    for waves in (0, 1, 3, None):
+        found = compiler.coverage(trees_table(spark, rows), [0.0] * 3, 3, most_waves=waves).collect()
+        assert sum(r.share for r in found) == pytest.approx(1)
+        shares.append(sum(r.share for r in found if r["class"] is not None))
+    assert shares[0] == 0 and shares[-1] == pytest.approx(1) and shares == sorted(shares)
+
+
+@pytest.mark.parametrize(("depth", "seed", "missing"), [(2, 2, True), (3, 5, True), (3, 6, False)])
+def test_settled_cells_are_those_of_the_grid(spark, depth, seed, missing):
+    trees = trees_table(spark, rule_forest(3, 3, CUTS, depth, seed))
+    found = compiler.coverage(trees, [0.0] * 3, 3, compiler.Domain(missing))
+    assert found.where("class IS NULL").isEmpty()
+    by_class = {r["class"]: r.n for r in found.groupBy("class").agg(F.sum(F.col("cells").cast("long")).alias("n")).collect() if r.n}
+    assert by_class == {r["class"]: r.cells for r in grid.class_cells(trees, [0.0] * 3, 3, missing).collect()}
+
+
+def test_cells_beyond_64_bits_are_exact(spark):
+    # the last feature decides; the others only multiply the cells
+    wide, cuts = 12, [float(i) for i in range(60)]
+    rows = [(0, 0, 0, wide, 0.5, word_of(0.5), True, 1, 2, None), (0, 0, 1, -1, None, None, None, -1, -1, 1.0), (0, 0, 2, -1, None, None, None, -1, -1, -1.0)]
+    tree = 2
+    for f in range(wide):
+        for c in cuts:
+            rows += [(tree, 0, 0, f, c, word_of(c), True, 1, 2, None), (tree, 0, 1, -1, None, None, None, -1, -1, 0.0), (tree, 0, 2, -1, None, None, None, -1, -1, 0.0)]
+            tree += 2
+    found = compiler.coverage(trees_table(spark, rows), [0.0, 0.0], wide + 1).where("class IS NOT NULL").collect()
+    by_class = {k: sum(int(r.cells) for r in found if r["class"] == k) for k in (0, 1)}
+    assert by_class == {0: 2 * 62**wide, 1: 62**wide}
+    with pytest.raises(ValueError, match="groups"):
+        compiler.coverage(trees_table(spark, rows), [0.0, 0.0], wide + 1, compiler.Domain(False, [[0, 1]]))
 
 
 def test_walks_estimate_the_tree(spark):
