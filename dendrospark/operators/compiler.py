@@ -714,12 +714,12 @@ def estimate_states(trees: DataFrame, bias: list[float], features: int, paths: i
 LIMB = 32  #: bits of a part of a count of cells; sums of up to 2^31 such parts fit in 64 bits
 
 
-def coverage(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_waves: int | None = None) -> DataFrame:
+def coverage(trees: DataFrame, bias: list[float], features: int, domain: Domain | None = None, policy: Policy = "source", most_waves: int | None = None, budget: int = BUDGET) -> DataFrame:
     """(wave, class, cells, share): exactly how many cells of the domain's grid each wave of a search settles for each class.
 
     All cells start at the first state.  A wave hands the cells of every open state on to its two children, in proportion
     to the bins of the tested feature, and adds up what a state gets from several parents; cells that reach a class
-    are settled.  A row with class null has the cells that are still open after ``most_waves``; without that number the search
+    are settled.  A task goes on below its states for up to ``budget`` steps.  A row with class null has the cells that are still open after ``most_waves``; without that number the search
     runs to its end.  ``cells`` is the count in decimal digits, exact at every size: counts travel as parts of 32 bits.
     States keep the bins they were reached by, as far as they are still read, so there are more of them than in a
     compilation; one that is reached at several depths is stepped once for each.  Cells of a domain with exactly-one
@@ -750,20 +750,28 @@ def coverage(trees: DataFrame, bias: list[float], features: int, domain: Domain
     def hand_on(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Ensemble = shared.value
         for batch in source:
-            rows = []
+            work: dict[bytes, int] = {}
+            settled: dict[int, int] = {}
             for data, *parts in zip(*(batch.column(c).to_pylist() for c in ("state", *names)), strict=True):
-                cells = sum(p << LIMB * i for i, p in enumerate(parts))
+                work[data] = sum(p << LIMB * i for i, p in enumerate(parts))
+            for _ in range(max(len(work), budget)):
+                if not work:
+                    break
+                data = next(iter(work))
+                cells = work.pop(data)
                 state = own.unpack(data)
                 r, *kids = own.children(state, policy, False)
                 _, lo, hi, miss, *_ = state
                 f = r["feature"]
                 numbers = max(0, hi[f] - lo[f] + 1)
                 left = max(0, min(hi[f], own.cut_index(r)) - lo[f] + 1) + (miss[f] and r["default_left"])
-                slice_, rest = divmod(cells, numbers + miss[f])
+                one, rest = divmod(cells, numbers + miss[f])
                 if rest:
                     raise ValueError("a state's cells are not whole slices of its tested feature")
-                for (child, done), n in zip(kids, (slice_ * left, slice_ * (numbers + miss[f] - left)), strict=True):
-                    rows.append((child if done is None else None, done, *split_up(n)))
+                for (child, done), n in zip(kids, (one * left, one * (numbers + miss[f] - left)), strict=True):
+                    to, key = (work, child) if done is None else (settled, done)
+                    to[key] = to.get(key, 0) + n
+            rows = [(data, None, *split_up(n)) for data, n in work.items()] + [(None, k, *split_up(n)) for k, n in settled.items()]
             if rows:
                 kinds = [pa.binary(), pa.int32(), *(pa.int64() for _ in names)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["state", "class", *names])

@@ -7,6 +7,7 @@ Teachers that differ in rounds alone share one fit, of which shorter ones are pr
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,7 @@ from . import evaluation, scoring, training
 
 CANDIDATES = "ord int, kind string, errors long, bytes long"
 NODE_BYTES = 16
+MOST_MODELS = 1 << 12
 
 
 def size_of(trees: DataFrame) -> int:
@@ -96,15 +98,21 @@ class Stopped(Exception):
     """A study stopped after its out-of-fold responses, which its folder keeps."""
 
 
-def kept_responses(folder: str | None, plan: dict[str, Any], make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """Responses of the folder, if they are of this plan, else made and kept there."""
+Model = tuple[DataFrame, list[float]]
+
+
+def kept_models(spark: SparkSession, folder: str | None, stage: str, plan: dict[str, Any], make: Callable[[], list[Model]]) -> list[Model]:
+    """The models of a stage in a study's folder, fitted and saved there if they are missing."""
     if folder is None:
         return make()
-    try:
-        return storage.load(spark, folder, plan)[0]
-    except AnalysisException:
-        storage.save(make(), folder, plan)
-        return storage.load(spark, folder, plan)[0]
+
+    def table() -> DataFrame:
+        parts = [trees.select(F.lit(i).alias("model"), F.array(*(F.lit(float(b)) for b in bias)).alias("bias"), "*") for i, (trees, bias) in enumerate(make())]
+        return reduce(DataFrame.unionByName, parts)
+
+    found = storage.kept(spark, folder, stage, plan, table)
+    facts = storage.bounded(found.select("model", "bias").distinct(), MOST_MODELS, "models of a stage")
+    return [(found.where(F.col("model") == r["model"]).drop("model", "bias"), list(r["bias"])) for r in sorted(facts, key=lambda r: r["model"])]
 
 
 def combine(
@@ -114,16 +122,18 @@ def combine(
     """Candidates of a stacking study, and the validation rows with every candidate's class.
 
     Candidates are the teachers fitted on all of ``fit``, then for each meta plan a model on the
-    teachers' out-of-fold responses.  A combination's size counts each distinct teacher once.  With a
-    ``folder`` the responses are kept there for later calls of the same plan; a study may stop once
-    they are (``Stopped``), before any meta model is fitted.
+    teachers' out-of-fold responses.  A combination's size counts each distinct teacher once.
+
+    With a ``folder`` every stage is kept there once it is whole: the responses, the teachers, each meta model, the scored
+    rows and the candidates.  A later call of the same plan goes on after the last whole stage, and one of
+    another plan is refused.  A study may stop once the responses are kept (``Stopped``).
     """
     spark = fit.sparkSession
     identity = {"plans": plans, "folds": folds, "seed": seed, "features": features, "classes": classes, "rows": storage.content_id(fit.select(id_col, label, *features)) if folder else None}
-    responses = kept_responses(folder, identity, lambda: out_of_fold(fit, features, label, classes, plans, folds, seed, id_col), spark)
+    responses = storage.kept(spark, folder, "responses", identity, lambda: out_of_fold(fit, features, label, classes, plans, folds, seed, id_col))
     if stop_after_responses:
         raise Stopped(f"{len(plans)} teachers have answered")
-    teachers = fits(fit, features, label, classes, plans)
+    teachers = kept_models(spark, folder, "teachers", identity, lambda: fits(fit, features, label, classes, plans))
     sizes = [size_of(t) for t, _ in teachers]
     scored = valid
     for i, (trees, bias) in enumerate(teachers):
@@ -137,16 +147,20 @@ def combine(
     outer, _ = widen(answers, len(plans), classes)
     kinds = ["teacher"] * len(plans)
     for j, plan in enumerate(meta):
-        trees, bias = training.train(inner, names, label, classes, plan)
+        [(trees, bias)] = kept_models(spark, folder, f"meta-{j}", identity | {"meta": plan}, lambda p=plan: [training.train(inner, names, label, classes, p)])
         column = f"c{len(plans) + j}"
         judged = scoring.margins(outer, trees, names, bias).select("row_id", first_winner(F.col("margins")).alias(column))
         scored = scored.join(judged.withColumnRenamed("row_id", id_col), id_col)
         sizes.append(sum(sizes[: len(plans)]) + size_of(trees))
         kinds.append("combination")
-    scored = cut(scored, "scored")
-    counts = scored.agg(*(F.count_if(F.col(f"c{i}") != F.col(label)).alias(f"c{i}") for i in range(len(kinds)))).first()
-    rows = [(i, kind, counts[f"c{i}"], sizes[i]) for i, kind in enumerate(kinds)]
-    return spark.createDataFrame(rows, CANDIDATES), scored
+    last = identity | {"all_meta": meta, "valid": storage.content_id(valid) if folder else None}
+    scored = storage.kept(spark, folder, "scored", last, lambda made=scored: made) if folder else cut(scored, "scored")
+
+    def candidates() -> DataFrame:
+        counts = scored.agg(*(F.count_if(F.col(f"c{i}") != F.col(label)).alias(f"c{i}") for i in range(len(kinds)))).first()
+        return spark.createDataFrame([(i, kind, counts[f"c{i}"], sizes[i]) for i, kind in enumerate(kinds)], CANDIDATES)
+
+    return storage.kept(spark, folder, "candidates", last, candidates).orderBy("ord"), scored
 
 
 def confirm(scored: DataFrame, candidates: DataFrame, baseline: int, label: str, blocks: int, id_col: str) -> DataFrame:

@@ -183,20 +183,24 @@ def level(state: DataFrame, rounds: list[list[Tree]], now: list[Tree], open_node
         rounds, now, open_nodes = shared.value
         sums = np.zeros((3, math.prod(shape)), np.int64)
         for batch in source:
-            for at in range(0, batch.num_rows, 1 << 16):
-                rows = batch.slice(at, 1 << 16)
+            for start in range(0, batch.num_rows, 1 << 16):
+                rows = batch.slice(start, 1 << 16)
                 bins, margins = matrices(rows)
                 g, h = slopes(add_up(margins, rounds, bins), rows.column("label").to_numpy())
-                ends = [tree.arrive(bins) for tree in now]
-                for slot, (k, node) in enumerate(open_nodes):
-                    own = ends[k] == node
-                    if own.any():
-                        weights = g[own, k], h[own, k]
-                        for f in range(features):
-                            cell = bins[own, f] + 1
-                            base = (slot * features + f) * (width + 1)
-                            for i, w in enumerate((*weights, None)):
-                                sums[i, base : base + width + 1] += np.bincount(cell, w, width + 1).astype(np.int64)
+                for k, tree in enumerate(now):
+                    slot = np.full(len(tree.feature), -1)
+                    for at_slot, (c, node) in enumerate(open_nodes):
+                        if c == k:
+                            slot[node] = at_slot
+                    if (slot < 0).all():
+                        continue
+                    here = slot[tree.arrive(bins)]
+                    own = np.flatnonzero(here >= 0)
+                    # one pass over the rows of all open nodes of the class, feature by feature
+                    for f in range(features):
+                        cell = (here[own] * features + f) * (width + 1) + bins[own, f] + 1
+                        for i, w in enumerate((g[own, k], h[own, k], None)):
+                            sums[i] += np.bincount(cell, w, sums.shape[1]).astype(np.int64)
         cells = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(s[cells]) for s in sums)], ["cell", "g", "h", "n"])
 
@@ -231,10 +235,29 @@ def choose(hist: np.ndarray, p: dict[str, Any]) -> dict[str, Any]:
                 if heavy and gain[b] > max(p["gamma"], 1e-6):
                     best = max(best, (float(gain[b]), -f, -b, not default_left, float(gl[b]), float(hl[b])))
     if best:
-        out |= {"feature": -best[1], "bin": -best[2], "default_left": not best[3], "gl": best[4], "hl": best[5]}
+        f, b, default_left = -best[1], -best[2], not best[3]
+        to_left = int(n[f, 1 : b + 2].sum() + (n[f, 0] if default_left else 0))
+        out |= {"feature": f, "bin": b, "default_left": default_left, "gl": best[4], "hl": best[5], "left_is_less": 2 * to_left <= int(n[f].sum())}
     return out
 
 
+def histograms(live: DataFrame, rounds: list[list[Tree]], now: list[Tree], open_nodes: list[tuple[int, int]], known: dict[tuple[int, int], tuple[tuple[int, int], np.ndarray]], width: int, features: int) -> list[np.ndarray]:
+    """The histogram of each of ``open_nodes``.
+
+    ``known`` gives for a node its sibling, which is among ``open_nodes`` and not in ``known``, and their parent's
+    histogram; such a node is not added up over the rows.
+    """
+    asked = [x for x in open_nodes if x not in known]
+    at_once = max(1, MOST_CELLS // (features * (width + 1)))
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for at in range(0, len(asked), at_once):
+        some = asked[at : at + at_once]
+        found.update(zip(some, level(live, rounds, now, some, width, features), strict=True))
+    for node, (sibling, parent) in known.items():
+        found[node] = parent - found[sibling]
+    return [found[x] for x in open_nodes]
+
+
 def train(rows: DataFrame, features: list[str], label: str, classes: int, parameters: dict[str, Any]) -> tuple[DataFrame, list[float]]:
     """(trees, bias) fitted to all ``rows``; float features, NaN for missing, labels from 0.
 
@@ -248,7 +271,6 @@ def train(rows: DataFrame, features: list[str], label: str, classes: int, parame
     width = max(len(c) for c in cuts) + 1
     base = rows.select(F.col(label).cast("int").alias("label"), bin_columns(rows, features, cuts).alias("bins"))
     state = cut(base.withColumn("margins", F.array(*(F.lit(0.0).cast("float") for _ in range(classes)))), "margins")
-    at_once = max(1, MOST_CELLS // (len(features) * (width + 1)))
     done: list[list[Tree]] = []
     kept = 0
     out: list[tuple] = []
@@ -259,17 +281,22 @@ def train(rows: DataFrame, features: list[str], label: str, classes: int, parame
         own = [Tree() for _ in range(classes)]
         sums: list[dict[int, tuple[float, float]]] = [{} for _ in range(classes)]
         open_nodes = [(k, 0) for k in range(classes)]
+        known: dict[tuple[int, int], tuple[tuple[int, int], np.ndarray]] = {}
         for _ in range(p["max_depth"]):
-            found = []
-            for at in range(0, len(open_nodes), at_once):
-                found += [choose(h, p) for h in level(live, done[kept:], own, open_nodes[at : at + at_once], width, len(features))]
-            further = []
-            for (k, node), pick in zip(open_nodes, found, strict=True):
+            hists = histograms(live, done[kept:], own, open_nodes, known, width, len(features))
+            # parents are kept while a level of them is no larger than a pass; beyond that both children are added up
+            keep = len(open_nodes) * len(features) * (width + 1) <= MOST_CELLS
+            further, known = [], {}
+            for (k, node), hist in zip(open_nodes, hists, strict=True):
+                pick = choose(hist, p)
                 sums[k][node] = pick["g"], pick["h"]
                 if pick["feature"] is not None:
                     left = own[k].split(node, pick["feature"], pick["bin"], pick["default_left"])
                     sums[k][left], sums[k][left + 1] = (pick["gl"], pick["hl"]), (pick["g"] - pick["gl"], pick["h"] - pick["hl"])
-                    further += [(k, left), (k, left + 1)]
+                    pair = [(k, left), (k, left + 1)]
+                    further += pair
+                    if keep:
+                        known[pair[pick["left_is_less"]]] = pair[not pick["left_is_less"]], hist
             open_nodes = further
             if not open_nodes:
                 break

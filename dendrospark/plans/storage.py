@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,12 +58,35 @@ def identity(plan: dict[str, Any]) -> str:
     return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder in one step of its file system; false if that was refused."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    return not system.exists(path(target)) and system.rename(path(source), path(target))
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether the folder has a manifest."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def save(df: DataFrame, path: str, plan: dict[str, Any], **facts: Any) -> None:
-    """A table and its manifest (one JSON row) in a folder that must not exist yet."""
-    df.write.mode("errorifexists").parquet(f"{path}/data")
-    spark = df.sparkSession
-    manifest = {"identity": identity(plan), "plan": plan, **facts}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+    """A table and its manifest (one JSON row) in a folder that has no manifest yet.
+
+    Data are written under a name of their own and the manifest beside them; renaming the manifest is the last step
+    and the only one that readers see.  A run that ends before it leaves unnamed files, and the next may save
+    again.  Of two runs at once one is refused.
+    """
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    if committed(spark, path):
+        raise FileExistsError(f"{path} is written already")
+    df.write.mode("errorifexists").parquet(f"{path}/data-{run}")
+    manifest = {"identity": identity(plan), "plan": plan, "data": f"data-{run}", **facts}
+    pending = f"{path}/_pending-{run}"
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(pending)
+    if not move(spark, pending, f"{path}/manifest"):
+        raise FileExistsError(f"{path} is written already")
 
 
 def load(spark: SparkSession, path: str, plan: dict[str, Any] | None = None) -> tuple[DataFrame, dict[str, Any]]:
@@ -70,4 +94,14 @@ def load(spark: SparkSession, path: str, plan: dict[str, Any] | None = None) ->
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     if plan is not None and manifest["identity"] != identity(plan):
         raise ValueError("the saved run has another plan")
-    return spark.read.parquet(f"{path}/data"), manifest
+    return spark.read.parquet(f"{path}/{manifest['data']}"), manifest
+
+
+def kept(spark: SparkSession, folder: str | None, stage: str, plan: dict[str, Any], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a stage in a run's folder, made and saved there if it is missing; without a folder just made."""
+    if folder is None:
+        return make()
+    path = f"{folder.rstrip('/')}/{stage}"
+    if not committed(spark, path):
+        save(make(), path, plan)
+    return load(spark, path, plan)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dendrospark.functions import fp32
 from dendrospark.functions.models import demo_graph, nodes_table, rule_forest, trees_table
-from dendrospark.operators import bundles, graph, regions, scoring, study
+from dendrospark.operators import bundles, graph, regions, scoring, study, training
 from dendrospark.plans import storage
 from dendrospark.sources import tables
 
@@ -96,6 +96,61 @@ def test_studies_stop_after_their_responses_and_go_on(spark, rows, tmp_path, mon
         run(folder=folder, seed=1)
 
 
+def test_a_study_killed_between_any_two_steps_goes_on(spark, rows, tmp_path, monkeypatch):
+    """Every rename of a manifest fails once, as if the driver had died there; what is resumed equals an uninterrupted study."""
+    fit = rows.where("role = 'FIT'").withColumn("row_id", F.floor(F.col("row_id") / 4) * 3 + F.col("row_id") % 4 - 1)
+    valid, folder = rows.where("role = 'VALID'"), f"file://{tmp_path}/killed"
+    run = lambda **more: study.combine(fit, valid, NAMES, "label", 3, [PLAN], [PLAN], **more)
+    want, want_scored = run()
+    move, fit_model, fitted, died = storage.move, training.train, [], set()
+
+    def dies_once(spark, source, target):
+        stage = target.split("/")[-2]
+        if stage not in died:
+            died.add(stage)
+            raise KeyboardInterrupt(stage)
+        return move(spark, source, target)
+
+    def counted(*args):
+        fitted.append(1)
+        return fit_model(*args)
+
+    monkeypatch.setattr(storage, "move", dies_once)
+    monkeypatch.setattr(training, "train", counted)
+    calls = 0
+    while True:
+        calls += 1
+        try:
+            found, scored = run(folder=folder)
+            break
+        except KeyboardInterrupt:
+            continue
+    assert died == {"responses", "teachers", "meta-0", "scored", "candidates"} and calls == 6
+    # two folds, a teacher and a meta model, each lost once with its stage and never fitted again after that
+    assert len(fitted) == 2 * (2 + 1 + 1)
+    assert found.collect() == want.collect()
+    assert sorted(map(tuple, scored.select(want_scored.columns).collect())) == sorted(map(tuple, want_scored.collect()))
+
+
+def test_saved_tables_are_whole_or_absent(spark, tmp_path, monkeypatch):
+    df, where = spark.range(5), f"file://{tmp_path}/table"
+    move = storage.move
+    monkeypatch.setattr(storage, "move", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        storage.save(df, where, {"a": 1})
+    assert not storage.committed(spark, where)
+    monkeypatch.setattr(storage, "move", move)
+    storage.save(spark.range(3), where, {"a": 1})
+    assert storage.load(spark, where, {"a": 1})[0].count() == 3
+    with pytest.raises(FileExistsError):
+        storage.save(df, where, {"a": 1})
+    # a second run that passed the first check is refused at the rename
+    monkeypatch.setattr(storage, "committed", lambda *a: False)
+    with pytest.raises(FileExistsError):
+        storage.save(df, where, {"a": 1})
+    assert storage.load(spark, where)[0].count() == 3
+
+
 def test_forks_keep_the_winner(spark):
     responses = spark.createDataFrame([(1, 0, 0, 0.5), (1, 1, 0, 0.25)], "row_id long, teacher int, class int, p double")
     donor = spark.createDataFrame([(0, "p"), (1, "q")], "teacher int, declaration string")

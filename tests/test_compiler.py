@@ -88,7 +88,7 @@ def test_coverage_grows_to_one(spark):
     rows = rule_forest(2, 3, CUTS, 2, 2)
     shares = []
     for waves in (0, 1, 3, None):
-        found = compiler.coverage(trees_table(spark, rows), [0.0] * 3, 3, most_waves=waves).collect()
+        found = compiler.coverage(trees_table(spark, rows), [0.0] * 3, 3, most_waves=waves, budget=1).collect()
         assert sum(r.share for r in found) == pytest.approx(1)
         shares.append(sum(r.share for r in found if r["class"] is not None))
     assert shares[0] == 0 and shares[-1] == pytest.approx(1) and shares == sorted(shares)
@@ -97,7 +97,7 @@ def test_coverage_grows_to_one(spark):
 @pytest.mark.parametrize(("depth", "seed", "missing"), [(2, 2, True), (3, 5, True), (3, 6, False)])
 def test_settled_cells_are_those_of_the_grid(spark, depth, seed, missing):
     trees = trees_table(spark, rule_forest(3, 3, CUTS, depth, seed))
-    found = compiler.coverage(trees, [0.0] * 3, 3, compiler.Domain(missing))
+    found = compiler.coverage(trees, [0.0] * 3, 3, compiler.Domain(missing), budget=50)
     assert found.where("class IS NULL").isEmpty()
     by_class = {r["class"]: r.n for r in found.groupBy("class").agg(F.sum(F.col("cells").cast("long")).alias("n")).collect() if r.n}
     assert by_class == {r["class"]: r.cells for r in grid.class_cells(trees, [0.0] * 3, 3, missing).collect()}

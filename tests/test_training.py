@@ -149,3 +149,22 @@ def test_choice_equals_that_of_the_data_frame_form(spark, clusters):
         got = training.choose(hist, p)
         assert (got["feature"], got["bin"], got["default_left"]) == (want[k].feature, want[k].bin, want[k].default_left)
         assert abs(got["gl"] - want[k].gl) < 1e-5 and abs(got["h"] - want[k].h) < 1e-5
+
+
+def test_less_of_two_siblings_is_added_up(spark, clusters, monkeypatch):
+    """What is subtracted equals what would have been added up; rows below one node of a pair are passed over."""
+    asked, level = [], training.level
+
+    def seen(live, rounds, now, open_nodes, width, features):
+        asked.append(list(open_nodes))
+        return level(live, rounds, now, open_nodes, width, features)
+
+    monkeypatch.setattr(training, "level", seen)
+    plan = PLAN | {"rounds": 1, "max_depth": 3}
+    some = sorted(map(tuple, training.train(clusters, NAMES, "label", 3, plan)[0].collect()))
+    pairs = [len(a) for a in asked]
+    asked.clear()
+    monkeypatch.setattr(training, "MOST_CELLS", 0)
+    assert sorted(map(tuple, training.train(clusters, NAMES, "label", 3, plan)[0].collect())) == some
+    each = [len(a) for a in asked]
+    assert pairs[0] == 3 and sum(each) == 3 + 2 * sum(pairs[1:]) and set(each) == {1}
