@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .drawn import HEAP_SQL, cells_sql, drawn_forest, forest_sql, heap_graph
 from .functions import directed, fp32
 from .functions.models import branch, demo_graph, leaf, nodes_table, rule_forest, trees_table
-from .operators import bundles, compiler, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
+from .operators import bundles, compiler, diagrams, evaluation, graph, grid, ordered, policy, regions, scoring, study, training
 from .plans import storage
 from .sources.tables import apply_labels, first_seen_labels
 from .streaming.scoring import class_counts, latest_counts, score_stream
@@ -596,6 +596,21 @@ def class_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.class_regions(regions.score_regions(drawn(spark, sf_dir), BIAS, len(NAMES))).select("class", "cells")
 
 
+@query(f"{DRAWN_CELLS} SELECT CAST(class AS VARCHAR) AS terminal, CAST(count(*) AS BIGINT) AS cells FROM cells GROUP BY class")
+def diagram_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by class from the shared diagram of the drawn forest."""
+    nodes, root, _ = diagrams.class_diagram(drawn(spark, sf_dir), BIAS, len(NAMES))
+    return diagrams.cells_by_terminal(nodes, root, len(NAMES)).select("terminal", F.col("cells").cast("long").alias("cells"))
+
+
+@query(f"""{DRAWN_CELLS}, d2 AS (SELECT x0, x1, list(class ORDER BY x2) AS f FROM cells GROUP BY x0, x1), d1 AS (SELECT x0, list(class ORDER BY x1, x2) AS f FROM cells GROUP BY x0)
+SELECT 0 AS axis, CAST(1 AS BIGINT) AS nodes UNION ALL SELECT 1, count(DISTINCT f) FROM d1 UNION ALL SELECT 2, count(DISTINCT f) FROM d2""")
+def diagram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of that diagram by axis: one for each different function of the axes from there on."""
+    nodes, _, _ = diagrams.class_diagram(drawn(spark, sf_dir), BIAS, len(NAMES))
+    return nodes.groupBy("axis").agg(F.count("*").alias("nodes"))
+
+
 def used_cuts(rows: list[tuple]) -> list[list[float]]:
     return [sorted({r[4] for r in rows if r[3] == f}) for f in range(len(CUTS))]
 
