@@ -9,10 +9,11 @@ bits, and every pair meets in one of them.  ``b`` grows with the number of finge
 with more than a cell's share of rows is dealt to pairs of its parts, so no task holds it alone.
 
 Inside a cell, fingerprints are sorted by Gray rank.  Runs of neighbours form the lower nodes of
-a tree, runs of nodes the upper ones; a node keeps the bits its members share, as mask and
-pattern.  Two nodes are at least as far apart as their patterns are under both masks; pairs of
-nodes beyond the radius are dropped whole, others are opened.  A cell gives out a tree over each
-of its connected groups, never all pairs.  Labels then spread along those edges until no label
+a tree, runs of nodes the upper ones.  Bits that all members of a node share are factored out into
+it, as mask and pattern, and count there once: a node's own bits are those it adds to its parent's.
+A pair of nodes carries the difference found so far; opening it adds, for each pair of children, the
+difference in the bits that either adds of its own.  Pairs beyond the radius are dropped whole.  A
+cell gives out a tree over each of its connected groups, never all pairs.  Labels then spread along those edges until no label
 changes; each round is written to the shared folder.
 
 Defined cases: a text without words, and null, has fingerprint zero, linked like any other; a
@@ -45,7 +46,14 @@ LEAST_CELL, MOST_CELL = 512, 16_384  #: rows of a key that stay together; betwee
 
 def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
     """XXH64 of each of a text's shingles of ``size`` words, in order; of all words if they are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return hashes_of(words_of(text), size)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def hashes_of(words: list[bytes], size: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= size:
@@ -104,25 +112,30 @@ def linked(codes: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray
     leaf = LEAF if radius <= RADIUS else WIDE_LEAF
     # levels[0] are the code words; each upper level shares bits over FANOUT nodes of the one below
     levels = [(codes, np.full(len(codes), ~np.uint64(0)))]
+    added = []  # for each level but the top one: the bits that a node has and its parent has not
     span = leaf
     while len(levels) == 1 or len(levels[-1][0]) > 1:
         pattern, mask = levels[-1]
         cuts = np.arange(0, len(pattern), span)
         both, either = np.bitwise_and.reduceat(pattern, cuts), np.bitwise_or.reduceat(pattern, cuts)
         levels.append((both, np.bitwise_and.reduceat(mask, cuts) & ~(both ^ either)))
+        added.append(mask & ~levels[-1][1][np.arange(len(mask)) // span])
         span = FANOUT
     padded = np.resize(codes, (len(levels[1][0]), leaf)) if len(codes) else np.zeros((0, leaf), np.uint64)
-    start = [(np.zeros(1, np.int64), np.zeros(1, np.int64), len(levels) - 1)]
+    # a pair of nodes, its level, and the bits in which it is known to differ: none at the root
+    start = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint8), len(levels) - 1)]
     while start:
-        left, right, level = start.pop()
+        left, right, known, level = start.pop()
         pattern, mask = levels[level - 1]
         span = leaf if level == 1 else FANOUT
         room = (1 << 20) // (span * span)
         if len(left) > room:
-            start += [(left[k : k + room], right[k : k + room], level) for k in range(0, len(left), room)]
+            start += [(left[k : k + room], right[k : k + room], known[k : k + room], level) for k in range(0, len(left), room)]
             continue
         if level == 1:
-            apart = np.bitwise_count(padded[left][:, :, None] ^ padded[right][:, None, :])
+            # a word has every bit, so each leaf's own bits are those its node does not share
+            fresh = ~(levels[1][1][left] & levels[1][1][right])[:, None, None]
+            apart = known[:, None, None] + np.bitwise_count((padded[left][:, :, None] ^ padded[right][:, None, :]) & fresh)
             k, i, j = np.nonzero(apart <= radius)
             a, b = left[k] * leaf + i, right[k] * leaf + j
             fits = (a < b) & (b < len(codes))
@@ -133,10 +146,12 @@ def linked(codes: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray
         a = np.broadcast_to((left * span)[:, None, None] + kids[None, :, None], (len(left), span, span)).ravel()
         b = np.broadcast_to((right * span)[:, None, None] + kids[None, None, :], (len(left), span, span)).ravel()
         fits = (a < len(pattern)) & (b < len(pattern)) & (a <= b)
-        a, b = a[fits], b[fits]
-        near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
+        a, b, known = a[fits], b[fits], np.repeat(known, span * span)[fits]
+        own = added[level - 1]
+        known = known + np.bitwise_count((pattern[a] ^ pattern[b]) & (own[a] & mask[b] | mask[a] & own[b]))
+        near = known <= radius
         if near.any():
-            start.append((a[near], b[near], level - 1))
+            start.append((a[near], b[near], known[near], level - 1))
 
 
 def groups(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -192,14 +207,18 @@ def keys(code: Column, b: int, radius: int = RADIUS) -> Column:
 
 def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges whose connected groups are those of the linked fingerprints of ``codes`` (fingerprint, distinct)."""
-    spark = codes.sparkSession
     n = codes.count()
-    # a wider radius needs many more tables for shorter cells, so its cells are larger
-    b = blocks_for(n, 1024 if radius <= RADIUS else 8192, radius)
-    dealt = codes.select("fingerprint", F.inline(keys(F.col("fingerprint"), b, radius)))
-    tables = math.comb(b, radius)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = min(MOST_CELL, max(LEAST_CELL, n * tables // max(1, tasks)))
+    b = blocks_for(n, 1024, radius)
+    return cell_links(codes.select("fingerprint", F.inline(keys(F.col("fingerprint"), b, radius))), n * math.comb(b, radius), radius)
+
+
+def cell_links(dealt: DataFrame, n: int, radius: int) -> DataFrame:
+    """(a, b): edges whose connected groups are those of the linked fingerprints that share a cell.
+
+    ``dealt`` has ``n`` rows (t, key, fingerprint); a cell is a key of a table ``t``.
+    """
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(MOST_CELL, max(LEAST_CELL, n // max(1, tasks)))
     large = materialise(dealt.groupBy("t", "key").count().where(F.col("count") > share).select("t", "key", F.ceil(F.col("count") / share).cast("int").alias("parts")), "large")
     cells = dealt.join(large, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
@@ -279,17 +298,20 @@ def components(df: DataFrame, id_col: str, text: str, keep: Sequence[str] = ())
     return found.select(id_col, *keep, "fingerprint", F.nullif("least", top).alias("component_id"))
 
 
-NEAR_WORDS, NEAR_RADIUS, SIMILARITY = 5, 9, 0.8
-SHORT = 2  #: words of the shingles whose fingerprints find candidates
+NEAR_WORDS, NEAR_RADIUS, SIMILARITY = 5, 16, 0.8
+BANDS, BAND_ROWS = 25, 5  #: two texts at SIMILARITY share no band with a chance of 5 in 100,000, whatever the table's size
+SHORT = 2  #: words of the shingles that fingerprints of candidates are from
 MOST_LOCAL = 4096  #: different texts of a component that one task takes in at a time
 
 
 def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(_file, _at): the rows of ``docs`` (with ``row_keys``) to drop so that one of each group of near copies stays.
 
-    Candidates are the components of texts one of whose two fingerprints differs in ``NEAR_RADIUS`` bits
-    or fewer.  They are from ``SHORT``-word shingles, each counted once: an edit moves them less than
-    longer ones, and unlike those of single words unlike texts hardly ever share them.  Inside a component
+    Each text has ``BANDS`` keys, each from the least of ``BAND_ROWS`` hashes of its ``NEAR_WORDS``-word shingles.
+    The texts of a key are a cell, in which the Gray tree links those whose fingerprints differ in ``NEAR_RADIUS``
+    bits or fewer; so a text is dealt to as many cells in a table of any size, and unlike texts hardly ever
+    become candidates by chance.  These fingerprints are from ``SHORT``-word shingles, each counted once: an edit
+    moves them less than longer ones.  Candidates are the components of those links.  Inside a component
     texts are taken by id (nulls last), and one is dropped if its ``NEAR_WORDS``-word shingles have a
     Jaccard similarity of ``SIMILARITY`` or more with those of one that stays; equal texts are
     compared once.  So no row goes without a similar one before it.  Ids may be null or repeated.
@@ -306,17 +328,11 @@ def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     order = ["_last", id_col, "_hash", "_file", "_at"]
     keyed = docs.select("_file", "_at", id_col, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
     own = keyed.select("_file", "_at", id_col, "_body", F.xxhash64("_body").alias("_hash"), F.col(id_col).isNull().alias("_last"))
-    own = materialise(two_fingerprints(own, "_body", order), "fingerprints")
-    best = own.groupBy("_one", "_two", "_hash").agg(F.min(F.struct(*order)).alias("best")).select("_one", "_two", "best.*")
-    best = materialise(best, "texts")
-    edges = materialise(links(best.select(F.col("_one").alias("fingerprint")).distinct(), NEAR_RADIUS), "links")
-    others = materialise(links(best.select(F.col("_two").alias("fingerprint")).distinct(), NEAR_RADIUS), "links")
-    # a second fingerprint is a node of its own, tied to the first ones of the texts that have it
-    second = F.xxhash64(F.lit("second"), "_two")
-    linked_two = others.select(F.col("a").alias("_two")).union(others.select("b")).distinct()
-    ties = best.select("_one", "_two").distinct().join(linked_two, "_two").select(F.col("_one").alias("a"), second.alias("b"))
-    moved = others.select(*(F.xxhash64(F.lit("second"), c).alias(c) for c in ("a", "b")))
-    edges = materialise(edges.unionByName(moved).unionByName(ties), "edges")
+    own = materialise(marks(own, "_body", order), "marks")
+    best = own.groupBy("_one", "_hash").agg(F.min(F.struct(*order)).alias("best"), F.any_value("_bands").alias("_bands"))
+    best = materialise(best.select("_one", "_bands", "best.*"), "texts")
+    dealt = best.select(F.col("_one").alias("fingerprint"), F.posexplode("_bands").alias("t", "key"))
+    edges = materialise(cell_links(dealt, best.count() * BANDS, NEAR_RADIUS), "links")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("own"))
     label = spread(edges, nodes)
     grouped = best.join(label.select("node", "label"), F.col("_one") == F.col("node"), "left").withColumn("_group", F.coalesce("label", "_one"))
@@ -354,25 +370,40 @@ def first_of_each(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return some.withColumn("_n", place("_group")).where(F.col("_n") <= n)
 
 
-def two_fingerprints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the fingerprints ``_one`` and ``_two`` of a text's different short shingles, by two hashes."""
+def marks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``_one``, the fingerprint of a text's different short shingles, and ``_bands``, its keys (none without words)."""
 
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            schema = pa.schema([*(batch.schema.field(k) for k in keep), ("_one", pa.int64()), ("_two", pa.int64())])
+            schema = pa.schema([*(batch.schema.field(k) for k in keep), ("_one", pa.int64()), ("_bands", pa.list_(pa.int64()))])
 
             def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
                 for body, *rest in rows_of(batch, text, *keep):
-                    hashes = np.unique(shingle_hashes(body, SHORT))
-                    pair = [majority(h) for h in (hashes, remix(hashes))]
-                    yield (*rest, *(v - (v >> 63 << 64) for v in pair))
+                    words = words_of(body)
+                    code = majority(np.unique(hashes_of(words, SHORT)))
+                    yield (*rest, code - (code >> 63 << 64), bands(np.unique(hashes_of(words, NEAR_WORDS))).view(np.int64))
 
             yield from batches(rows(), schema)
 
-    out_type = T.StructType([*(df.schema[k] for k in keep), T.StructField("_one", T.LongType()), T.StructField("_two", T.LongType())])
+    out_type = T.StructType([*(df.schema[k] for k in keep), T.StructField("_one", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
     return df.select(text, *keep).mapInArrow(read, out_type)
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set of hashes: two sets have one in common as often as the least of ``BAND_ROWS`` hashes all agree."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    odd, plus = remix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, -1)
+    odd |= np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * odd + plus).min(0), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        key = remix(key ^ row)
+    return key
+
+
 def remix(hashes: np.ndarray) -> np.ndarray:
     """Other 64 bits for each hash, by two rounds of an odd multiplication and a shift."""
     for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):

@@ -53,15 +53,31 @@ def clustered(rng, n, groups=40):
     return np.unique(codes)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 7, 9, 65, 400])
-def test_links_of_a_cell_against_all_pairs(n):
+@pytest.mark.parametrize("radius", [0, 4, 16])
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 9, 65, 400, 1500])
+def test_links_of_a_cell_against_all_pairs(n, radius):
     codes = clustered(np.random.default_rng(n), n) if n else np.zeros(0, np.uint64)
     codes = codes[np.argsort(simhash.gray_rank(codes), kind="stable")]
-    got = sorted((int(a), int(b)) for x, y in simhash.linked(codes) for a, b in zip(x, y, strict=True)) if n > 1 else []
-    want = [(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (int(codes[i]) ^ int(codes[j])).bit_count() <= 4]
+    got = sorted((int(a), int(b)) for x, y in simhash.linked(codes, radius) for a, b in zip(x, y, strict=True)) if n > 1 else []
+    want = [(i, j) for i, c in enumerate(codes) for j in (i + 1 + np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ c) <= radius)).tolist()]
     assert got == want
 
 
+def test_bands_meet_at_the_similarity():
+    """Sets at 0.8 share a band, sets at 0.2 hardly ever; few share all."""
+    rng = np.random.default_rng(3)
+    met = {0.8: 0, 0.2: 0}
+    for share in met:
+        for _ in range(300):
+            common = round(180 * share)
+            drawn = rng.integers(0, 2**63, 180, np.uint64)
+            rest = (180 - common) // 2
+            a, b = drawn[: common + rest], np.concatenate([drawn[:common], drawn[common + rest :]])
+            met[share] += bool(np.isin(simhash.bands(a), simhash.bands(b)).any())
+    assert met[0.8] == 300 and met[0.2] < 30
+    assert len(simhash.bands(drawn)) == simhash.BANDS == len(set(simhash.bands(drawn).tolist())) and not len(simhash.bands(drawn[:0]))
+
+
 def test_blocks_leave_pairs_together():
     """Codes at four bits or fewer agree in a table's key, whatever the number of blocks."""
     assert simhash.blocks_for(1000) == 5 and simhash.blocks_for(10**9) > 5
