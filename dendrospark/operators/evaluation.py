@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
 from .ordered import running_least, sliding
 from .regions import meet
 
+FEW = 64  #: leaves of a tree whose boxes are all compared
+
 
 def accuracy_by_role(scored: DataFrame, label: str = "label", predicted: str = "class", role: str = "role") -> DataFrame:
     """(role, rows, errors, accuracy)."""
@@ -112,11 +115,13 @@ def throughput(progress: DataFrame, steps: int = 4) -> DataFrame:
 def tree_conflicts(boxes: DataFrame) -> DataFrame:
     """(tree, a, b): pairs of leaf boxes of one tree that overlap on every axis; none in a partition.
 
-    ``boxes`` has (tree, leaf, lo, hi) with arrays of first and last bin by feature.  Boxes meet in the bins of the
-    axis on which they begin at most places, so those apart there are never compared.
+    ``boxes`` has (tree, leaf, lo, hi) with arrays of first and last bin by feature.  Trees of up to ``FEW`` leaves
+    compare all of them.  Boxes of larger trees meet on the axis on which they begin at most places, so those apart
+    there are never compared.
     """
     begins = boxes.select(F.posexplode("lo").alias("axis", "at")).groupBy("axis").agg(F.count_distinct("at").alias("n"))
     best = begins.orderBy(F.desc("n"), "axis").first()
-    own = boxes.select("tree", "leaf", "lo", "hi", F.transform("lo", lambda x: F.lit(0)).alias("sides"))
-    met = meet(own, own, ["tree"], best["axis"] if best else 0)
+    sizes = boxes.groupBy("tree").agg((F.count("*") <= FEW).alias("few"))
+    own = cut(boxes.join(sizes, "tree").select("tree", "leaf", "lo", "hi", F.transform("lo", lambda x: F.lit(0)).alias("sides"), "few"), "boxes")
+    met = meet(own, own, ["tree"], best["axis"] if best else 0, F.col("few"))
     return met.where("leaf < _leaf").select("tree", F.col("leaf").alias("a"), F.col("_leaf").alias("b"))

@@ -29,13 +29,12 @@ def leaf_partitions(trees: DataFrame, features: int) -> DataFrame:
     ``lo`` and ``hi`` are bins by feature.  ``sides`` has for each feature 1 if every test of it on
     the path sends a missing value along the path, else 0.
     """
-    catalog = {r["feature"]: r["cuts"] for r in bounded(cut_catalog(trees), MOST_BOXES, "features")}
-    spark = trees.sparkSession
-    bins = [(f, c, i) for f, own in catalog.items() for i, c in enumerate(own)]
-    index = spark.createDataFrame(bins, "feature int, cut float, at int") if bins else spark.createDataFrame([], "feature int, cut float, at int")
+    catalog = cut(cut_catalog(trees), "cuts")
+    sizes = dict(bounded(catalog.select("feature", F.size("cuts")), MOST_BOXES, "features"))
+    index = catalog.select("feature", F.posexplode("cuts").alias("at", "cut"))
     plain = F.col("cut") + F.lit(0.0).cast("float")
     full = cut(trees.withColumn("cut", plain).join(index, ["feature", "cut"], "left"), "nodes")
-    last = F.array(*(F.lit(len(catalog.get(f, []))) for f in range(features)))
+    last = F.array(*(F.lit(sizes.get(f, 0)) for f in range(features)))
     level = full.where("node = 0").select("tree", "channel", "node", "feature", "at", "default_left", "left", "right", "value", F.array(*(F.lit(0) for _ in range(features))).alias("lo"), last.alias("hi"), F.array(*(F.lit(1) for _ in range(features))).alias("sides"))
     out = None
     while not level.isEmpty():
@@ -72,23 +71,48 @@ def atoms(lo: Column, hi: Column, missing: Column) -> Column:
     return F.concat(numbers, F.when(missing == 1, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
 
 
-def meet(a: DataFrame, b: DataFrame, on: list[str], axis: int) -> DataFrame:
+def spans(lo: Column, hi: Column, missing: Column, top: int) -> tuple[Column, Column]:
+    """Two lists of (kind, level, at): what an interval of bins covers, and where it begins.
+
+    Level k has blocks of 2^k bins.  An interval is the union of at most two blocks a level; its first bin lies in one
+    block of every level.  So of two intervals, one covers the other's first bin in just one block if they meet.
+    Kind 0 has the blocks of the covering side, kind 1 swaps the sides, kind 2 is for missing values.
+    """
+    a, z = lo.cast("long"), hi.cast("long") + 1
+    cover, begin = [], []
+    for k in range(top + 1):
+        left, right = F.shiftright(a + ((1 << k) - 1), k), F.shiftright(z, k)
+        cover += [(left < right) & (left % 2 == 1), k, left], [(left < right) & (right % 2 == 1), k, right - 1]
+        begin.append((a < z, k, F.shiftright(a, k)))
+    key = lambda kind, level, at: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), at.alias("at"))
+    none = F.when(missing == 1, key(2, 0, F.lit(0).cast("long")))
+    rows = lambda covers, begins: F.array_compact(F.array(*(F.when(c, key(covers, k, x)) for c, k, x in cover), *(F.when(c, key(begins, k, x)) for c, k, x in begin), none))
+    return rows(0, 1), rows(1, 0)
+
+
+def meet(a: DataFrame, b: DataFrame, on: list[str], axis: int, few: Column | None = None) -> DataFrame:
     """Pairs of boxes (lo, hi, sides) of ``a`` and ``b`` that share a point, and the box of what they share.
 
-    Both are laid out over the bins of one axis and meet there by equality; a pair counts in the first bin it
-    shares, so boxes far apart on that axis never meet, and no pair comes up twice.  The columns of ``b`` keep
-    their names with a ``_`` before.
+    On one axis either box begins inside the other, and they meet there in the one block of bins that holds this
+    place (``spans``); so a box is laid out over twice the logarithm of the bins, boxes apart on that axis never
+    meet, and no pair comes up twice.  Boxes with ``few`` (a column of both) meet all others of ``on`` instead.
+    The columns of ``b`` keep their names with a ``_`` before.
     """
     at = lambda c: F.get(c, F.lit(axis))
-    left = a.withColumn("atom", F.explode(atoms(at("lo"), at("hi"), at("sides"))))
-    other = b.withColumn("atom", F.explode(atoms(at("lo"), at("hi"), at("sides"))))
-    other = other.select(*on, "atom", *(F.col(c).alias(f"_{c}") for c in b.columns if c not in on))
-    most, least = (lambda x, y: F.greatest(x, y)), (lambda x, y: F.least(x, y))
-    lo, hi = F.zip_with("lo", "_lo", most), F.zip_with("hi", "_hi", least)
-    both = left.join(other, [*on, "atom"]).withColumn("lo2", lo).withColumn("hi2", hi).withColumn("sides2", F.zip_with("sides", "_sides", least))
-    first = F.when(at("lo2") <= at("hi2"), at("lo2")).otherwise(-1)
+    most = [x.agg(F.max(at("hi"))).first()[0] for x in ([a] if a is b else [a, b])]
+    ways = spans(at("lo"), at("hi"), at("sides"), max(x or 0 for x in most).bit_length())
+    alone = F.array(F.struct(F.lit(3).alias("kind"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("at")))
+    ways = [F.inline(w if few is None else F.when(few, alone).otherwise(w)).alias("_kind", "_level", "_place") for w in ways]
+    left, other = a.select("*", ways[0]), b.select("*", ways[1])
+    keys = [*on, "_kind", "_level", "_place"]
+    other = other.select(*keys, *(F.col(c).alias(f"_{c}") for c in b.columns if c not in on))
+    greater, lesser = (lambda x, y: F.greatest(x, y)), (lambda x, y: F.least(x, y))
+    lo, hi = F.zip_with("lo", "_lo", greater), F.zip_with("hi", "_hi", lesser)
+    # rows are many times those that the files of the boxes let Spark expect: a merge join never holds a side whole
+    both = left.join(other.hint("merge"), keys).withColumn("lo2", lo).withColumn("hi2", hi).withColumn("sides2", F.zip_with("sides", "_sides", lesser))
     shared = F.forall(F.arrays_zip("lo2", "hi2", "sides2"), lambda x: (x["lo2"] <= x["hi2"]) | (x["sides2"] == 1))
-    kept = both.where((F.col("atom") == first) & shared).drop("atom", "lo", "hi", "sides", "_lo", "_hi", "_sides")
+    once = F.when(F.col("_kind") == 1, at("lo") > at("_lo")).when(F.col("_kind") == 2, at("lo2") > at("hi2")).otherwise(True)
+    kept = both.where(once & shared).drop("_kind", "_level", "_place", "lo", "hi", "sides", "_lo", "_hi", "_sides")
     return kept.withColumnsRenamed({"lo2": "lo", "hi2": "hi", "sides2": "sides"})
 
 

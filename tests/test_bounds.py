@@ -80,3 +80,38 @@ def test_conflicts_are_those_of_all_pairs(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     trees = trees_table(spark, rule_forest(2, 2, CUTS, 3, 5))
     assert evaluation.tree_conflicts(regions.leaf_partitions(trees, 3)).isEmpty()
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_boxes_that_meet_are_those_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(evaluation, "FEW", few)
+    rng = np.random.default_rng(3)
+    boxes = []
+    for tree, leaf in itertools.product(range(2), range(40)):
+        ends = rng.integers(0, 33, (3, 2))
+        boxes.append((tree, leaf, ends.min(1).tolist(), ends.max(1).tolist(), rng.integers(0, 2, 3).tolist()))
+    boxes.append((0, 40, [1] * 3, [0] * 3, [1] * 3))  # missing values alone
+    table = spark.createDataFrame(boxes, "tree int, leaf int, lo array<int>, hi array<int>, sides array<int>")
+    want = {}
+    for (t, i, *one), (u, j, *other) in itertools.product(boxes, boxes):
+        lo, hi, sides = [max(p) for p in zip(one[0], other[0])], [min(p) for p in zip(one[1], other[1])], [min(p) for p in zip(one[2], other[2])]
+        if t == u and all(a <= z or m for a, z, m in zip(lo, hi, sides)):
+            want[t, i, j] = lo, hi, sides
+    got = regions.meet(table, table, ["tree"], 1).collect()
+    assert len(got) == len(want) and {(r.tree, r.leaf, r._leaf): (r.lo, r.hi, r.sides) for r in got} == want
+    conflicts = evaluation.tree_conflicts(table).collect()
+    solid = {k for k in want if k[1] < k[2] and all(a <= z for a, z in zip(*want[k][:2]))}
+    assert len(conflicts) == len(solid) and {tuple(r) for r in conflicts} == solid
+
+
+def test_boxes_meet_by_few_rows_and_no_side_is_broadcast(spark):
+    # 40 boxes over nearly all of 100,000 bins: laid out bin by bin they were 4,000,000 rows, sent to every executor
+    boxes = [(0, leaf, [leaf], [99_999 - leaf], [0]) for leaf in range(40)]
+    table = spark.createDataFrame(boxes, "tree int, leaf int, lo array<int>, hi array<int>, sides array<int>")
+    from pyspark.sql import functions as F
+
+    ways = regions.spans(F.get("lo", F.lit(0)), F.get("hi", F.lit(0)), F.get("sides", F.lit(0)), 17)
+    assert table.select(*(F.max(F.size(w)).alias(f"n{i}") for i, w in enumerate(ways))).first() <= (60, 60)
+    met = regions.meet(table, table, ["tree"], 0)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 1600
