@@ -17,6 +17,7 @@ from ..functions.models import NODES
 from ..plans.storage import bounded, cut
 
 MOST_NODES = 1 << 20
+MOST_ARCS = 1 << 18  #: arcs that a join may send to all executors
 PREDICATE = ["feature", "cut_bits", "default_left"]
 COLUMNS = [x.split()[0] for x in NODES.split(", ")]
 
@@ -384,13 +385,16 @@ def pack_graphs(graphs: list[tuple[DataFrame, int]]) -> tuple[DataFrame, list[in
 def take_arc(rows: DataFrame, arcs: DataFrame, id_col: str) -> DataFrame:
     """``rows`` (node, rank) with the ``child`` of the one arc (node, low, high, child) of their node that holds their rank.
 
-    A row that no arc or several arcs hold is an error when it is read.
+    Each row looks through the list of its node's arcs, so rows are neither dealt anew nor gathered.  A row that no
+    arc or several arcs hold is an error when it is read.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())  # equal rows are rows of their own
-    held = keyed.join(arcs.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("rank").between(F.col("low"), F.col("high")), "left")
-    taken = held.groupBy(*keyed.columns).agg(F.count("child").alias("_n"), F.max("child").alias("_child"))
-    wrong = F.raise_error(F.concat(F.lit("arcs that hold row "), F.col(id_col).cast("string"), F.lit(": "), F.col("_n").cast("string")))
-    return taken.select(*rows.columns, F.when(F.col("_n") == 1, F.col("_child")).otherwise(wrong.cast("int")).alias("child"))
+    lists = arcs.groupBy(F.col("node").alias("_node")).agg(F.collect_list(F.struct("low", "high", "child")).alias("_arcs"))
+    lists = F.broadcast(lists) if arcs.count() <= MOST_ARCS else lists
+    holds = lambda x: F.col("rank").between(x["low"], x["high"]) & x["child"].isNotNull()
+    held = rows.join(lists, F.col("node") == F.col("_node"), "left").withColumn("_held", F.filter("_arcs", holds))
+    n = F.greatest(F.coalesce(F.size("_held"), F.lit(0)), F.lit(0))  # a node without arcs has no list
+    wrong = F.raise_error(F.concat(F.lit("arcs that hold row "), F.col(id_col).cast("string"), F.lit(": "), n.cast("string")))
+    return held.select(*rows.columns, F.when(n == 1, F.get(F.col("_held.child"), F.lit(0))).otherwise(wrong.cast("int")).alias("child"))
 
 
 def exact_lookup(rows: DataFrame, costs: DataFrame, key: str, cost: str) -> DataFrame:

@@ -121,3 +121,16 @@ def test_equal_rows_take_an_arc_each(spark):
     arcs = spark.createDataFrame([(0, 0, 4, 7), (0, 5, 9, 8)], "node int, low int, high int, child int")
     rows = spark.createDataFrame([(1, 0, 3), (1, 0, 3), (1, 0, 6)], "id int, node int, rank int")
     assert sorted(r.child for r in graph.take_arc(rows, arcs, "id").collect()) == [7, 7, 8]
+
+
+def test_arcs_are_taken_without_gathering_rows(spark):
+    arcs = spark.createDataFrame([(0, 0, 4, 7), (0, 5, 9, 8), (0, 5, 9, None)], "node int, low int, high int, child int")
+    rows = spark.createDataFrame([(1, 0, 3), (2, 0, 6)], "id int, node int, rank int")
+    taken = graph.take_arc(rows, arcs, "id")
+    # the arcs alone are grouped; rows stay in the tasks that read them
+    plan = graph.take_arc(rows, arcs, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert {(r.id, r.child) for r in taken.collect()} == {(1, 7), (2, 8)}
+    for bad in ((3, 1, 3), (4, 0, 10), (5, 0, None)):
+        with pytest.raises(Exception, match=f"arcs that hold row {bad[0]}: 0"):
+            graph.take_arc(spark.createDataFrame([bad], "id int, node int, rank int"), arcs, "id").collect()
