@@ -21,6 +21,7 @@ from ..plans.storage import bounded, cut
 from .grid import cut_catalog
 
 MOST_BOXES = 1 << 16
+LIST = 1024  #: overlaps of two trees' leaves that a region looks through in one row
 
 
 def leaf_partitions(trees: DataFrame, features: int) -> DataFrame:
@@ -119,16 +120,34 @@ def meet(a: DataFrame, b: DataFrame, on: list[str], axis: int, few: Column | Non
 def pair_bounds(parts: DataFrame, boxes: DataFrame, pairs: DataFrame, axis: int = 0) -> DataFrame:
     """(region, a, b, least, greatest): bounds of the ordered sum of two trees inside each part of the domain.
 
-    ``parts`` has (region, lo, hi, sides), ``boxes`` what ``leaf_partitions`` gives, ``pairs`` (a, b), a before b.
-    Leaves count only where one point of the region reaches both, so the bounds are exact, and no wider than
+    ``parts`` has (region, lo, hi, sides), a row a region, ``boxes`` what ``leaf_partitions`` gives, ``pairs`` (a, b), a
+    before b.  Leaves count only where one point of the region reaches both, so the bounds are exact, and no wider than
     those of the trees one by one.
+
+    Where leaves of both trees overlap is found once, for the model.  A region then looks through lists of at most
+    ``LIST`` overlaps of a pair, so parts of the domain are neither laid out nor gathered.
     """
     own = boxes.select("tree", "lo", "hi", "sides", "value")
-    met = cut(meet(parts, own, [], axis).select("region", F.col("_tree").alias("tree"), "lo", "hi", "sides", F.col("_value").alias("value")), "met")
-    first = met.join(F.broadcast(pairs.select(F.col("a").alias("tree"), "b")), "tree").withColumnRenamed("tree", "a")
-    second = met.withColumnRenamed("tree", "b")
+    pairs = pairs.select("a", "b").distinct()
+    first = own.join(F.broadcast(pairs.withColumnRenamed("a", "tree")), "tree").withColumnRenamed("tree", "a")
     total = (F.col("value") + F.col("_value")).cast("float")
-    return meet(first, second, ["region", "b"], axis).groupBy("region", "a", "b").agg(F.min(total).alias("least"), F.max(total).alias("greatest"))
+    met = cut(meet(first, own.withColumnRenamed("tree", "b"), ["b"], axis).select("a", "b", "lo", "hi", "sides", total.alias("total")), "overlaps")
+    sizes = met.groupBy("a", "b").count()
+    most = sizes.agg(F.max("count"), F.sum("count")).first()
+    deal = F.pmod(F.xxhash64("lo", "hi", "sides"), F.ceil(F.col("count") / LIST))
+    lists = met.join(sizes, ["a", "b"]).groupBy("a", "b", deal.alias("_deal")).agg(F.collect_list(F.struct("lo", "hi", "sides", "total")).alias("_met")).drop("_deal")
+    every = parts.select("region", "lo", "hi", "sides").crossJoin(F.broadcast(lists) if (most[1] or 0) <= MOST_BOXES else lists)
+    axes = F.sequence(F.lit(0), F.size("lo") - 1)
+
+    def shared(x: Column) -> Column:
+        at = lambda c, i: (F.get(c, i), F.get(x[c], i))
+        return F.forall(axes, lambda i: (F.greatest(*at("lo", i)) <= F.least(*at("hi", i))) | (F.least(*at("sides", i)) == 1))
+
+    totals = F.filter("_met", shared)["total"]
+    out = every.select("region", "a", "b", totals.alias("_totals")).select("region", "a", "b", F.array_min("_totals").alias("least"), F.array_max("_totals").alias("greatest")).where("least IS NOT NULL")
+    if (most[0] or 0) <= LIST:
+        return out
+    return out.groupBy("region", "a", "b").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
 
 def axis_sums(trees: DataFrame, boxes: DataFrame) -> DataFrame:

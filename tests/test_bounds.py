@@ -50,6 +50,25 @@ def test_pair_bounds(spark, seed, axis):
     assert {(r.region, r.a, r.b): (r.least, r.greatest) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("size", [3, 1024])
+def test_pair_bounds_gather_no_regions(spark, monkeypatch, size):
+    rows = rule_forest(2, 2, CUTS, 3, 5)
+    parts, points = some_parts(rows, 5)
+    parts.append((len(parts), [2] * 3, [1] * 3, [0] * 3))  # no points, so no bounds
+    monkeypatch.setattr(regions, "LIST", size)
+    parts = spark.createDataFrame(parts, "region int, lo array<int>, hi array<int>, sides array<int>")
+    got = regions.pair_bounds(parts, regions.leaf_partitions(trees_table(spark, rows), 3), spark.createDataFrame([(0, 2), (1, 3), (0, 2)], "a int, b int"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # with one list a pair, nothing is dealt by region
+    assert ("Exchange hashpartitioning(region" in plan) == (size == 3)
+    want = {}
+    for (a, b), region in itertools.product([(0, 2), (1, 3)], points):
+        sums = [np.float32(value(rows, a, x) + value(rows, b, x)) for x in points[region]]
+        want[region, a, b] = float(min(sums)), float(max(sums))
+    found = got.collect()
+    assert len(found) == len(want) and {(r.region, r.a, r.b): (r.least, r.greatest) for r in found} == want
+
+
 def test_grouped_bounds(spark):
     rows = rule_forest(9, 2, CUTS, 1, 4)
     parts, points = some_parts(rows, 7)
