@@ -13,7 +13,8 @@ a tree, runs of nodes the upper ones.  Bits that all members of a node share are
 it, as mask and pattern, and count there once: a node's own bits are those it adds to its parent's.
 A pair of nodes carries the difference found so far; opening it adds, for each pair of children, the
 difference in the bits that either adds of its own.  Pairs beyond the radius are dropped whole.  A
-cell gives out a tree over each of its connected groups, never all pairs.  Labels then spread along those edges until no label
+cell gives out a tree over each of its connected groups, never all pairs, and much the same tree as other
+cells that the group shares.  Labels then spread along those edges until no label
 changes; each round is written to the shared folder.
 
 Defined cases: a text without words, and null, has fingerprint zero, linked like any other; a
@@ -171,17 +172,30 @@ def groups(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def cell_edges(codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect each linked group of a cell: a tree with FANOUT branches at a node."""
+    """Edges that connect each linked group of a cell: a tree of two levels, from a code word's hash alone.
+
+    A group is dealt to about as many parts as the root of its size.  Members lead to the least of their part, those
+    to the least of the group.  As hashes decide, a group that shares several cells has mostly the same edges in
+    each, so its edges grow with its members and hardly with its cells; no node has more than about two roots of edges.
+    """
     codes = np.unique(codes)
     codes = codes[np.argsort(gray_rank(codes), kind="stable")]
     label = groups(codes, radius)
-    order = np.argsort(label, kind="stable")
     sizes = np.bincount(label, minlength=len(codes))
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(codes)) - begin
-    child = place > 0
-    parent = begin[child] + (place[child] - 1) // FANOUT
-    return codes[order][child], codes[order][parent]
+    bits = (np.frexp(np.maximum(sizes, 1).astype(np.float64))[1].astype(np.int64) - 1) // 2
+    place = remix(codes)
+    part = (place & ((1 << bits[label]) - 1).astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((place, part, label))
+    codes, label, part, place = codes[order], label[order], part[order], place[order]
+    first = (np.diff(label, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)
+    heads = np.flatnonzero(first)
+    top = heads[np.lexsort((place[heads], label[heads]))]
+    top = top[np.diff(label[top], prepend=-1) != 0]  # the least of each group, groups in order
+    parent = heads[np.cumsum(first) - 1]
+    group = np.cumsum(np.diff(label, prepend=-1) != 0) - 1
+    parent[heads] = top[group[heads]]
+    child = parent != np.arange(len(codes))
+    return codes[child], codes[parent[child]]
 
 
 def blocks_for(n: int, share: int = 1024, radius: int = RADIUS) -> int:

@@ -53,6 +53,23 @@ def clustered(rng, n, groups=40):
     return np.unique(codes)
 
 
+def test_cells_that_share_a_group_share_its_edges():
+    # 2,000 near copies in 25 cells, each of which has three fifths of them
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 1, np.uint64)
+    codes = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, 4000, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000, np.uint64)))
+    seen = set()
+    for _ in range(25):
+        some = codes[rng.random(len(codes)) < 0.6]
+        child, parent = (x.tolist() for x in simhash.cell_edges(some, 4))
+        assert sorted(child) != sorted(some.tolist()) and len(set(child)) == len(child) == len(some) - 1
+        above = dict(zip(child, parent, strict=True))
+        assert len({above.get(above.get(c, c), above.get(c, c)) for c in some.tolist()}) == 1  # two levels
+        assert max(Counter(parent).values()) <= 4 * len(some) ** 0.5
+        seen |= set(zip(child, parent, strict=True))
+    assert len(seen) <= 6 * len(codes)
+
+
 @pytest.mark.parametrize("radius", [0, 4, 16])
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 9, 65, 400, 1500])
 def test_links_of_a_cell_against_all_pairs(n, radius):
