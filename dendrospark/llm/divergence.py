@@ -3,7 +3,9 @@
 Each task counts its texts' terms and deals the counts to shards by a hash of (language, term), so a shard has
 all sources of its terms.  There DuckDB adds them up, keeps the terms that enough documents of the language
 have (``LEAST``), and, once Spark has the totals of all shards, adds up for each pair of sources what their
-common terms contribute.  Spark adds the shards' sums and ranks.  Between tasks a shard's terms travel as
+common terms contribute.  Spark adds the shards' sums and ranks.  A shard gives out somewhat more than its even
+share of a source's leading terms first; only where its last one is not behind the last leader of all
+shards does it give out the others that may lead, so the result is exact and rows hardly grow with shards.  Between tasks a shard's terms travel as
 lists, a row for each task and shard, so Spark moves a few rows for millions of counts.
 
 With p and q the smoothed shares of a term in two sources, in billionths, its divergence is
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import checked, materialise
 
 LEAST, TOP = 3, 200
-SHARD = 1 << 14  #: documents for each shard, at most, unless there are as many shards as shuffle partitions
+SPARE = 8  #: terms that a shard gives out first for a group, besides its even share of the leading ones
+SHARD = 1 << 14  #: documents for each shard, at most
+SMALL = 1 << 10  #: documents for each shard, at least, before there are as many shards as shuffle partitions
 HELD = 1_000_000  #: counts that a task holds before it gives them out
 SLICE = 4 << 20  #: bytes of texts that are split into words at a time; longer texts are counted in pieces
 PIECE = 1 << 20
@@ -158,18 +162,29 @@ CREATE MACRO share(n, total) AS CAST(1 + CAST(n + 1 AS HUGEINT) * 1000000000 //
 CREATE MACRO apart(p, q) AS (p - q) * (p - q) // q;
 """
 
-#: Of a shard's terms: what pairs of sources have in common, and the terms that lead each source.
-SUMS = """
-WITH e AS (SELECT lang, source, total, lang_total, v, unnest(entries) AS e FROM held),
+#: Of a shard's terms: those that lead each source, by f.
+LED = """
+WITH e AS (SELECT shard, lang, source, total, lang_total, v, floor, unnest(entries) AS e FROM held),
 k AS MATERIALIZED (
-  SELECT lang, source, e.term AS term, share(e.n, total + v) AS p, share(0, total + v) AS p0, share(e.of_lang, lang_total + v) AS q FROM e),
-led AS (SELECT lang, source, term, apart(p, q) AS f FROM k WHERE p > q)
-SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
-  CAST(sum(apart(a.p, b.p) - apart(a.p, b.p0) - apart(a.p0, b.p) + apart(a.p0, b.p0)) AS DECIMAL(38, 0)) AS value
+  SELECT shard, lang, source, floor, e.term AS term, share(e.n, total + v) AS p, share(0, total + v) AS p0, share(e.of_lang, lang_total + v) AS q FROM e),
+led AS (SELECT shard, lang, source, term, floor, apart(p, q) AS f FROM k WHERE p > q)
+"""
+OUT = "shard long, lang string, source string, part string, item string, value decimal(38,0), last boolean"
+
+#: What pairs of sources have in common, and the first terms of each source; ``last`` if the shard may have more.
+SUMS = f"""{LED}
+SELECT NULL AS shard, a.lang, a.source, 'pair' AS part, b.source AS item,
+  CAST(sum(apart(a.p, b.p) - apart(a.p, b.p0) - apart(a.p0, b.p) + apart(a.p0, b.p0)) AS DECIMAL(38, 0)) AS value, false AS last
 FROM k a JOIN k b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
 UNION ALL
-SELECT lang, source, 'term', term, CAST(f AS DECIMAL(38, 0)) FROM led
-QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY f DESC, term) <= $top
+SELECT shard, lang, source, 'term', term, CAST(f AS DECIMAL(38, 0)), place = $first FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY f DESC, term) AS place FROM led QUALIFY place <= $first)
+"""
+
+#: The terms after those, as far as they may come among the leading ones of all shards.
+MORE = f"""{LED}
+SELECT shard, lang, source, 'term' AS part, term AS item, CAST(f AS DECIMAL(38, 0)) AS value, false AS last FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY f DESC, term) AS place FROM led QUALIFY place > $first AND place <= $top AND f >= floor)
 """
 
 
@@ -234,7 +249,8 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).cast("binary").alias("body"))
-    shards = max(tasks, df.count() // SHARD)
+    n = df.count()
+    shards = max(1, min(tasks, n // SMALL), -(-n // SHARD))
     kept = materialise(on_shards(count_terms(rows, shards), KEEP, KEPT, least=least), "kept")
 
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -245,8 +261,18 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 
     known = checked(groups.select("lang", "source", "total", "lang_total", "v"))
     shares = kept.select("shard", "lang", "source", "entries").join(known, ["lang", "source"])
-    sums = materialise(on_shards(shares, SUMS, "lang string, source string, part string, item string, value decimal(38,0)", MACROS, top=top), "sums")
+    first = min(top, -(-top // shards) + SPARE)
+    sums = materialise(on_shards(shares.withColumn("floor", F.lit(0).cast("long")), SUMS, OUT, MACROS, first=first), "sums")
+    led = sums.where("part = 'term'")
     out = ["lang", "source", "part", "item", "value", "rank"]
     of_pairs = rank(pairs(kept, groups, sums.where("part = 'pair'")), ["lang", "source"]).withColumn("part", F.lit("pair"))
-    of_terms = leaders(sums.where("part = 'term'"), top).withColumn("part", F.lit("term"))
-    return of_pairs.select(*out).unionByName(of_terms.select(*out))
+    of_terms = materialise(leaders(led, top), "leaders")
+    if first < top:
+        # a shard has more for a group only if the last term it gave out is not behind the group's last leader
+        floors = of_terms.where(F.col("rank") == top).select("lang", "source", F.col("value").alias("floor"))
+        floors = groups.select("lang", "source").join(floors, ["lang", "source"], "left").select("lang", "source", F.coalesce("floor", F.lit(0)).alias("floor"))
+        open_ = materialise(led.where("last").join(floors, ["lang", "source"]).where(F.col("value") >= F.col("floor")).select("shard", "lang", "source", "floor"), "open")
+        if not open_.isEmpty():
+            more = materialise(on_shards(shares.join(open_, ["shard", "lang", "source"]), MORE, OUT, MACROS, first=first, top=top), "more")
+            of_terms = leaders(led.unionByName(more), top)
+    return of_pairs.select(*out).unionByName(of_terms.withColumn("part", F.lit("term")).select(*out))

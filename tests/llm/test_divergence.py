@@ -85,3 +85,22 @@ def test_small_shards_flushes_and_ranks(spark, monkeypatch):
 def test_a_hot_source(spark):
     rows = MIXED + [("the hot words of a third of all rows", "en", "s0")] * 40
     assert sorted(map(tuple, divergence.audit(table(spark, rows)).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("spare", [-1, 0, 8])
+def test_leading_terms_that_shards_give_out_later(spark, monkeypatch, spare):
+    """The same rows if a shard gives out fewer terms of a group than lead there."""
+    monkeypatch.setattr(divergence, "SPARE", spare)
+    monkeypatch.setattr(divergence, "SMALL", 1)
+    named = {}
+    own = divergence.materialise
+    monkeypatch.setattr(divergence, "materialise", lambda df, name: named.setdefault(name, own(df, name)))
+    rows = [(" ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[j % 10]}{'uvwxyz'[j % 6]}" for j in range(30 + i % 9)), "en", f"s{i % 3}") for i in range(90)]
+    rows += [("q" + " q".join("abcdefghijklmnopqrstuvwxyz"), "de", "only"), *[("x", "de", "other")] * 3] * 3
+    got = divergence.audit(table(spark, rows), top=8).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 8)
+    shards = named["kept"].select("shard").distinct().count()
+    groups = named["groups"].count()
+    given = named["sums"].where("part = 'term'").count()
+    assert given <= shards * groups * min(8, 2 + spare)
+    assert ("more" in named) == (spare < 8)
